@@ -122,7 +122,7 @@ def profiles(df: DataFrame, columns: list[str]) -> list[dict]:
     aggregates = [F.count("*").alias("rows")]
     for i, c in enumerate(columns):
         v = F.col(f"`{c}`").cast("string")
-        whole, real, truth = v.rlike(r"^\s*[+-]?\d+\s*$"), v.try_cast("double").isNotNull(), v.isin("True", "False", "true", "false", "TRUE", "FALSE")
+        whole, real, truth = v.rlike(r"^\s*[+-]?\d+\s*$"), F.when(v.isNotNull(), v.try_cast("double").isNotNull()), v.isin("True", "False", "true", "false", "TRUE", "FALSE")
         aggregates += [
             F.count(v).alias(f"n{i}"), F.countDistinct(v).alias(f"u{i}"), F.bool_and(whole).alias(f"i{i}"), F.bool_and(real).alias(f"f{i}"), F.bool_and(truth).alias(f"b{i}"),
             F.min(v).alias(f"a{i}"), F.max(v).alias(f"z{i}"), F.min(v.try_cast("double")).alias(f"x{i}"), F.max(v.try_cast("double")).alias(f"y{i}"),
@@ -164,7 +164,7 @@ def category_column(df: DataFrame, columns: list[str]) -> str | None:
     """Of the text columns with 2 to 50 distinct values that are fewer than a tenth of the rows, the one with most."""
     if not columns:
         return None
-    counts = df.agg(F.count("*").alias("rows"), *[F.countDistinct(f"`{c}`").alias(str(i)) for i, c in enumerate(columns)], *[F.bool_and(F.col(f"`{c}`").try_cast("double").isNotNull()).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    counts = df.agg(F.count("*").alias("rows"), *[F.countDistinct(f"`{c}`").alias(str(i)) for i, c in enumerate(columns)], *[F.bool_and(F.when(F.col(f"`{c}`").isNotNull(), F.col(f"`{c}`").try_cast("double").isNotNull())).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     best, most = None, -1
     for i, c in enumerate(columns):
         n = counts[str(i)]

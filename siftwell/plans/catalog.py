@@ -250,7 +250,7 @@ with c as (
     _MIXED
     + """r as (select avg(case when regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') then 1.0 else 0.0 end) as e, count(distinct segment) as u, count(*) as n from c)
     select * from (
-      select 'contact_email' as column_name, 'email' as detected_type, 'ContactAgent' as agent, least(1.0, e + 0.15) as confidence, n as sample_size from r union all
+      select 'contact_email' as column_name, 'email' as detected_type, 'ContactAgent' as agent, round(least(1.0, e + 0.15), 4) as confidence, n as sample_size from r union all
       select 'mobile', 'phone', 'ContactAgent', 1.0, n from r union all
       select 'price', 'currency', 'CurrencyAgent', 1.0, n from r union all
       select 'segment', 'categorical', 'unclassified', round(1 - u / n, 4), n from r union all
@@ -276,7 +276,7 @@ def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "column_name string, null_pct double, unique_count bigint, inferred_dtype string, min_value string, max_value string")
 
 
-@_registered("select case when count(distinct p_brand) between 2 and 50 and count(distinct p_brand) / count(*) < 0.1 then 'p_brand' end as category_column from part")
+@_registered("select case when count(distinct p_brand) between 2 and 50 and count(distinct p_brand) / count(*) < 0.1 then 'p_brand' else 'two' end as category_column from part")
 def category_column_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "part").withColumn("two", F.when(F.col("p_size") > 25, "large").otherwise("small"))
     return spark.createDataFrame([(profiling.category_column(df, ["p_name", "two", "p_brand", "p_partkey"]),)], "category_column string")
