@@ -67,13 +67,62 @@ def long_numbers(df: DataFrame, columns: list[str], row_index: str = "row_index"
     return df.select(F.col(row_index).alias("row_index"), values).where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+def quantiles(cells: DataFrame, shares: tuple[float, ...] = (0.25, 0.75), in_memory: int = 2_000_000, bins: int = 2048, few: int = 20_000) -> DataFrame:
+    """ordinal, n, mean, sd, q (the exact quantiles, linear between neighbours) of the values of each ordinal.
+
+    Up to in_memory values the built-in exact percentile does it in one pass. Its state grows with the distinct values, so beyond
+    that the ranks are bracketed instead: a histogram of the bracket, a bounded number of rows, says which bin holds the rank,
+    that bin is the next bracket, and when it holds few values those are read.
+    """
+    moments = cells.groupBy("ordinal").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"))
+    small = cells.groupBy("ordinal").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", F.array(*[F.lit(x) for x in shares])).alias("q"))
+    known = [r.asDict() for r in moments.collect()] if in_memory else []  # a row a column
+    if sum(r["n"] for r in known) <= in_memory:
+        return small
+    rows = []
+    for r in known:
+        mine = cells.where(F.col("ordinal") == r["ordinal"]).select("value")
+        rows.append((r["ordinal"], r["n"], r["mean"], r["sd"], [_quantile(mine, r["n"], r["low"], r["high"], x, bins, few) for x in shares]))
+    return cells.sparkSession.createDataFrame(rows, "ordinal int, n bigint, mean double, sd double, q array<double>")
+
+
+def _quantile(values: DataFrame, n: int, low: float, high: float, share: float, bins: int, few: int) -> float:
+    rank = (n - 1) * share
+    first, below, inside = int(rank), 0, n  # the order statistics first and first + 1 are wanted
+    second = min(first + 1, n - 1)
+    while inside > few and low < high:
+        bracket = values.where(F.col("value").between(low, high))
+        place = F.least(F.floor((F.col("value") - low) / F.lit((high - low) / bins)), F.lit(bins - 1)).cast("int")
+        counts = sorted(tuple(x) for x in bracket.groupBy(place.alias("bin")).agg(F.min("value").alias("a"), F.max("value").alias("z"), F.count("*").alias("n")).collect())  # at most bins rows
+        seen, held = below, []
+        for _, a, z, count in counts:
+            if seen + count > first and seen <= second:
+                held.append((a, z, count, seen))
+            seen += count
+        new = held[0][0], held[-1][1]
+        if new == (low, high):
+            break
+        low, high, below, inside = *new, held[0][3], sum(x[2] for x in held)
+    if low == high:
+        return float(low)
+    counted = sorted(tuple(x) for x in values.where(F.col("value").between(low, high)).groupBy("value").count().collect())
+    at = below
+    found = {}
+    for value, count in counted:
+        for wanted in (first, second):
+            if at <= wanted < at + count:
+                found[wanted] = value
+        at += count
+    return found[first] + (found[second] - found[first]) * (rank - first)
+
+
 def anomalies(df: DataFrame, columns: list[str], row_index: str = "row_index") -> DataFrame:
     """Values outside the quartiles by more than 1.5 interquartile ranges, exactly: column, row_index, value, z_score,
     direction, ordinal. The bounds of all columns are a few rows and are joined back as such."""
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, row_index bigint, value double, z_score double, direction string, ordinal int")
     cells = long_numbers(df, columns, row_index)
-    stats = cells.groupBy("ordinal").agg(F.count("*").alias("n"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    stats = quantiles(cells)
     stats = stats.where(F.col("n") >= LEAST_VALUES).select("ordinal", "mean", "sd", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")).where("q3 != q1")
     reach = IQR_FACTOR * (F.col("q3") - F.col("q1"))
     out = cells.join(F.broadcast(stats), "ordinal").where((F.col("value") < F.col("q1") - reach) | (F.col("value") > F.col("q3") + reach))  # a row a column

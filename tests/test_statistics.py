@@ -91,3 +91,13 @@ def test_cards(spark):
     assert set(cards["charts"]) >= {"correlation_matrix", "trend_line", "category_bar", "anomaly_scatter"} and len(cards["trends"]) <= 8
     none = insights.cards(df.select("row_index", "c3"), date=None, category=None, numbers=[])
     assert len(none["warnings"]) == 2 and none["correlations"] == none["trends"] == none["anomalies"] == []
+
+
+def test_quantiles_by_brackets_equal_the_built_in_ones(spark):
+    r = random.Random(9)
+    rows = [(0, r.gauss(0, 1)) for _ in range(3000)] + [(1, float(r.randint(0, 3))) for _ in range(2001)] + [(2, 5.0)] * 50 + [(3, 1e300), (3, -1e300), (3, 0.5), (3, 0.25)]
+    cells = numbers(spark, rows, "ordinal int, value double")
+    exact = {x["ordinal"]: x["q"] for x in statistics.quantiles(cells).collect()}
+    for few in (10, 500):
+        got = {x["ordinal"]: x["q"] for x in statistics.quantiles(cells, in_memory=1, bins=16, few=few).collect()}
+        assert got.keys() == exact.keys() and all(abs(a - b) <= 1e-9 * max(1, abs(a)) for k in exact for a, b in zip(got[k], exact[k]))
