@@ -70,17 +70,23 @@ def sample_per_label(rows: DataFrame, label: str, key: str, per_label: int, salt
     return rows.where(hash_share(F.col(key), salt) < share).limit(2 * per_label * len(counts))
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
-    """mapInArrow over plain Python columns. function gets an iterator over batches, each a dict of lists,
-    once a partition, and yields dicts of lists in the order of schema."""
+def map_batches(df: DataFrame, function: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str, rows: int = 1000) -> DataFrame:
+    """mapInArrow over plain Python columns. function gets an iterator over batches of at most ``rows`` rows, each a dict of
+    lists, once a partition, and yields dicts of lists in the order of schema. Only one batch at a time is held as Python
+    objects."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                yield {name: column.to_pylist() for name, column in zip(part.schema.names, part.columns)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = ({name: column.to_pylist() for name, column in zip(b.schema.names, b.columns)} for b in batches)
-        for out in function(plain):
+        for out in function(plain(batches)):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
