@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow.fs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,43 +140,60 @@ def materialise_order(docs: DataFrame, out_uri: str, *, id_col: str, text_col: s
     stride, shards = length * 2, max(1, -(-total // shard_sequences))
 
     def place(batches: Iterator[dict]) -> Iterator[dict]:
+        pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
             numbers = np.array([bases.value[p] for p in b["part"]], np.int64) + np.array(b["place"], np.int64)
             slots = permute(numbers, total, key)
-            yield {"slot": slots.tolist(), "shard": (slots // shard_sequences).tolist(), "n_tokens": b["n_tokens"], "doc_ids": b["doc_ids"], "tokens": b["tokens"]}
+            order = np.argsort(slots)
+            cuts = np.flatnonzero(np.diff(slots[order] // shard_sequences)) + 1
+            out: dict[str, list] = {k: [] for k in ("shard", "slots", "n_tokens", "doc_ids", "packed")}
+            for rows in np.split(order, cuts) if len(order) else []:
+                out["shard"].append(int(slots[rows[0]] // shard_sequences))
+                out["slots"].append(slots[rows].tolist())
+                out["n_tokens"].append([b["n_tokens"][i] for i in rows])
+                out["doc_ids"].append([b["doc_ids"][i] for i in rows])
+                out["packed"].append(pack.compress(b"".join([b["tokens"][i] for i in rows])))
+            yield out
 
     def write(batches: Iterator[dict]) -> Iterator[dict]:
         fs, root = pyarrow.fs.FileSystem.from_uri(out_uri)
-        name = stream = temporary = None
-
-        def close() -> None:
-            if stream is not None:
-                stream.close()
-                fs.move(temporary, f"{root}/{name}")
-
-        for b in batches:
-            for shard, slot, tokens in zip(b["shard"], b["slot"], b["tokens"]):
-                if name != f"shard-{shard:08d}.bin":
-                    close()
-                    name = f"shard-{shard:08d}.bin"
-                    temporary = f"{root}/.{name}-{uuid.uuid4().hex}"
-                    stream = fs.open_output_stream(temporary)
-                    if slot % shard_sequences:
-                        raise ValueError(f"shard {shard} starts at slot {slot}")
-                stream.write(tokens)
-            yield {
-                "slot": b["slot"],
-                "shard": b["shard"],
-                "byte_offset": [s % shard_sequences * stride for s in b["slot"]],
-                "n_tokens": b["n_tokens"],
-                "doc_ids": b["doc_ids"],
-                "tokens_crc32": [zlib.crc32(t) for t in b["tokens"]],
+        unpack = zstandard.ZstdDecompressor()
+        held: dict[int, dict] = {}  # one shard a task; bounded by a shard's size
+
+        def close(shard: int, h: dict) -> dict:
+            name = f"shard-{shard:08d}.bin"
+            temporary = f"{root}/.{name}-{uuid.uuid4().hex}"
+            with fs.open_output_stream(temporary) as stream:
+                stream.write(memoryview(h["bytes"]))
+            fs.move(temporary, f"{root}/{name}")
+            places = range(len(h["n_tokens"]))
+            return {
+                "slot": [shard * shard_sequences + i for i in places],
+                "shard": [shard] * len(places),
+                "byte_offset": [i * stride for i in places],
+                "n_tokens": h["n_tokens"],
+                "doc_ids": h["doc_ids"],
+                "tokens_crc32": [zlib.crc32(h["bytes"][i * stride : (i + 1) * stride]) for i in places],
             }
-        close()
 
-    placed = map_batches(rows, place, f"slot bigint, shard int, n_tokens int, doc_ids array<{kind}>, tokens binary")
-    dealt = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
-    manifest = map_batches(dealt, write, f"slot bigint, shard int, byte_offset bigint, n_tokens int, doc_ids array<{kind}>, tokens_crc32 bigint")
+        for b in batches:
+            for shard, slots, n_tokens, doc_ids, packed in zip(b["shard"], b["slots"], b["n_tokens"], b["doc_ids"], b["packed"]):
+                size = min(shard_sequences, total - shard * shard_sequences)
+                h = held.setdefault(shard, {"bytes": bytearray(size * stride), "n_tokens": [0] * size, "doc_ids": [None] * size, "left": size})
+                raw = unpack.decompress(packed)
+                for i, slot in enumerate(slots):
+                    at = slot % shard_sequences
+                    h["bytes"][at * stride : (at + 1) * stride] = raw[i * stride : (i + 1) * stride]
+                    h["n_tokens"][at], h["doc_ids"][at] = n_tokens[i], doc_ids[i]
+                h["left"] -= len(slots)
+                if not h["left"]:
+                    yield close(shard, held.pop(shard))
+        if held:
+            raise ValueError(f"shards {sorted(held)} are not complete")
+
+    # Sequences of one shard travel together, packed; a shard is put in order in memory, so nothing is sorted.
+    placed = map_batches(rows, place, f"shard int, slots array<bigint>, n_tokens array<int>, doc_ids array<array<{kind}>>, packed binary", rows=20_000)
+    manifest = map_batches(placed.repartitionById(shards, F.col("shard")), write, f"slot bigint, shard int, byte_offset bigint, n_tokens int, doc_ids array<{kind}>, tokens_crc32 bigint")
     manifest.write.parquet(f"{out_uri}/manifest")
     meta = {"sequences": total, "length": length, "shard_sequences": shard_sequences, "key_sha256": hashlib.sha256(key.encode()).hexdigest()}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{out_uri}/meta")
