@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token's bytes form a doubly linked list. Every mergeable pair is filed in a bucket of its merge rank,
-and a bitmap with summary levels above it marks the ranks whose bucket holds anything. Find-first-set picks
+and a bitmap with a summary level above it marks the ranks whose bucket holds anything. Find-first-set picks
 the lowest rank; its bucket's positions are merged from left to right and entries whose pair has changed
 meanwhile are skipped. A merge costs a few word operations whatever the pre-token's length, so very long
 pre-tokens take time in proportion to their length.
@@ -19,60 +19,43 @@ from heapq import heapify, heappop, heappush
 import regex
 
 
-class RankQueue:
-    """Buckets of positions by rank. Level 0 has a word of 64 bits for every 64 ranks, level 1 one bit for
-    every such word; both are searched by find-first-set (lowest set bit)."""
-
-    __slots__ = ("buckets", "low", "high")
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.high = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(position)
-            return
-        self.buckets[rank] = [position]
-        i = rank >> 6
-        word = self.low.get(i)
-        if word is None:
-            self.high |= 1 << i
-            word = 0
-        self.low[i] = word | 1 << (rank & 63)
-
-    def pop(self) -> tuple[int, list[int]]:
-        """The lowest rank that has a bucket, and that bucket, which goes."""
-        i = (self.high & -self.high).bit_length() - 1
-        word = self.low[i]
-        bit = word & -word
-        if word == bit:
-            del self.low[i]
-            self.high &= self.high - 1
-        else:
-            self.low[i] = word ^ bit
-        rank = i << 6 | bit.bit_length() - 1
-        return rank, self.buckets.pop(rank)
-
-
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token: always the lowest rank first, within a rank the leftmost pair first."""
+    """The ids of one pre-token: always the lowest rank first, within a rank the leftmost pair first.
+
+    The queue: ``buckets`` has the positions of each rank; level 0 of the bitmap, ``low``, has a word of 64 bits for every 64
+    ranks, and level 1, ``high``, one bit for every word that is not zero. Find-first-set on both (the lowest set bit of an
+    integer) gives the next rank. It is written out in place, since a call for every pair would cost more than the work.
+    """
     if piece in ranks:
         return [ranks[piece]]
     n, get = len(piece), ranks.get
-    end = list(range(1, n + 1))  # where the part that starts here ends, 0 if it was merged into another
+    end = list(range(1, n + 1))  # where the part that starts here ends
     before = list(range(-1, n))  # start of the part to the left
-    pair = [get(piece[i : i + 2], -1) for i in range(n)]  # rank of the part here with the next one, as it is now
-    pair[n - 1] = -1
-    queue = RankQueue()
-    push = queue.push
+    pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the part here with the next one, as it is now
+    pair.append(-1)
+    buckets: dict[int, list[int]] = {}
+    low: dict[int, int] = {}
+    high = 0
     for i, rank in enumerate(pair):
         if rank >= 0:
-            push(rank, i)
-    while queue.high:
-        rank, positions = queue.pop()
+            if rank in buckets:
+                buckets[rank].append(i)
+            else:
+                buckets[rank] = [i]
+                word = rank >> 6
+                low[word] = low.get(word, 0) | 1 << (rank & 63)
+                high |= 1 << word
+    while high:
+        word = (high & -high).bit_length() - 1
+        bits = low[word]
+        rank = word << 6 | (bits & -bits).bit_length() - 1
+        bits &= bits - 1
+        if bits:
+            low[word] = bits
+        else:
+            del low[word]
+            high &= high - 1
+        positions = buckets.pop(rank)
         if len(positions) > 1:
             heapify(positions)
         while positions:
@@ -81,23 +64,33 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 continue  # stale
             j = end[i]
             k = end[i] = end[j]
-            end[j], pair[j] = 0, -1
-            fresh = -1
+            pair[j] = -1
+            h = before[i]
             if k < n:
                 before[k] = i
-                fresh = get(piece[i : end[k]], -1)
+                fresh = pair[i] = get(piece[i : end[k]], -1)
                 if fresh == rank:
                     heappush(positions, i)
+                elif fresh in buckets:
+                    buckets[fresh].append(i)
                 elif fresh >= 0:
-                    push(fresh, i)
-            pair[i] = fresh
-            h = before[i]
+                    buckets[fresh] = [i]
+                    word = fresh >> 6
+                    low[word] = low.get(word, 0) | 1 << (fresh & 63)
+                    high |= 1 << word
+            else:
+                pair[i] = -1
             if h >= 0:
                 fresh = pair[h] = get(piece[h:k], -1)
                 if fresh == rank:
                     heappush(positions, h)
+                elif fresh in buckets:
+                    buckets[fresh].append(h)
                 elif fresh >= 0:
-                    push(fresh, h)
+                    buckets[fresh] = [h]
+                    word = fresh >> 6
+                    low[word] = low.get(word, 0) | 1 << (fresh & 63)
+                    high |= 1 << word
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -111,29 +104,39 @@ def load_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
 
 
 class ByteBpe:
-    """One vocabulary. cache_size bounds the pre-tokens that are remembered, cache_bytes the length of each."""
+    """One vocabulary. Ids of pre-tokens are remembered in two generations of cache_size entries, each of up to cache_bytes
+    bytes: when the younger is full the older goes, so what keeps occurring stays."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 300_000, cache_bytes: int = 48):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 500_000, cache_bytes: int = 48):
         self.ranks, self.cache_size, self.cache_bytes = ranks, cache_size, cache_bytes
         self.tokens = {v: k for k, v in ranks.items()}
         self.split: Callable[[str], list[str]] = splitter(pattern)
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
-        cache, extend = self.cache, out.extend
+        extend, get = out.extend, self.cache.get
         for piece in self.split(text or ""):
-            ids = cache.get(piece)
+            ids = get(piece)
             if ids is None:
-                raw = piece.encode("utf-8", "replace")
-                ids = tuple(merge(raw, self.ranks))
-                if len(raw) <= self.cache_bytes:
-                    if len(cache) >= self.cache_size:
-                        cache.clear()
-                    cache[piece] = ids
+                ids = self._encode_piece(piece)
+                get = self.cache.get
             extend(ids)
         return out
 
+    def _encode_piece(self, piece: str) -> tuple[int, ...]:
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode("utf-8", "replace")
+            ids = tuple(merge(raw, self.ranks))
+            if len(raw) > self.cache_bytes:
+                return ids
+        if len(self.cache) >= self.cache_size:
+            self.older, self.cache = self.cache, {}
+        self.cache[piece] = ids
+        return ids
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
