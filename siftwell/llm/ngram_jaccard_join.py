@@ -35,6 +35,8 @@ from .common import map_batches, map_groups, materialise
 from .components import connected_components
 
 COORDINATES = 128
+#: Up to so many rows of ids (of 8 to 40 bytes) are broadcast; more are joined by key.
+BROADCAST_ROWS = 1_000_000
 _rng = np.random.default_rng(2023)
 _MULTIPLY = (_rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
 _ADD = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -155,7 +157,7 @@ def _tiled(members: DataFrame, group: str, n: str, key: str, tile: int) -> DataF
 
 
 def classes(
-    docs: DataFrame, *, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, recall: float = 0.99, bucket: int = 64, depth: int = 3, tile: int = 512, slack: float = 0.12, broadcast_rows: int = 1_000_000
+    docs: DataFrame, *, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, recall: float = 0.99, bucket: int = 64, depth: int = 3, tile: int = 512, slack: float = 0.12, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Every document: id_col, class_id (the smallest id of its class) and n_links (documents linked with it, copies included)."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
@@ -267,6 +269,8 @@ def without_duplicates(docs: DataFrame, *, id_col: str, text_col: str, **options
     """The rows of docs whose document has the smallest id of its class, one row an id. Rows with a null id stay."""
     found = materialise(classes(docs, id_col=id_col, text_col=text_col, **options), "classes")
     gone = found.where(F.col(id_col) != F.col("class_id")).select(id_col)
+    if gone.count() <= options.get("broadcast_rows", BROADCAST_ROWS):
+        gone = F.broadcast(gone)  # ids only, counted; the texts then stay where they are
     kept = docs.join(gone, id_col, "left_anti")
     again = materialise(docs.groupBy(id_col).count().where(f"`{id_col}` is not null and count > 1").select(id_col), "repeated")
     if again.isEmpty():
