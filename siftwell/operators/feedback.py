@@ -26,6 +26,11 @@ def latest(corrections: DataFrame, column_type: str | None, most: int | None = M
     return own.groupBy(key(F.col("original_value")).alias("key")).agg(F.max_by("corrected_value", recent).alias("corrected_value"))
 
 
+def exact(corrections: DataFrame, column_type: str, original_value: str) -> DataFrame:
+    """The correction of exactly this value of this type, if there is one."""
+    return corrections.where((F.col("column_type") == F.lit(column_type)) & (F.col("original_value") == F.lit(original_value)))
+
+
 def with_correction(df: DataFrame, value: str, found: DataFrame, out: str, rows: int | None = None) -> DataFrame:
     """Adds the correction of a column's value, or null. rows: how many corrections there are, where that is known to be
     small enough to broadcast."""
