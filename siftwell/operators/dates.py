@@ -64,6 +64,6 @@ def clean(raw: Column, day_first: Column, evidence: Column, correction: Column |
 
 
 def clean_column(df: DataFrame, column: str, out: str, correction: Column | None = None) -> DataFrame:
-    """Adds the cells of a date column; its evidence is one aggregate over the column, joined as a single row."""
-    evidence = day_first_evidence(df.where(~is_missing(F.col(column))), column).select(F.col("day_first").alias("__day_first"), F.col("evidence").alias("__evidence"))
-    return df.crossJoin(F.broadcast(evidence)).withColumn(out, clean(F.col(column), F.col("__day_first"), F.col("__evidence"), correction)).drop("__day_first", "__evidence")
+    """Adds the cells of a date column; its evidence is one aggregate over the column, used as a scalar subquery."""
+    found = day_first_evidence(df.where(~is_missing(F.col(column))), column).select(F.struct("day_first", "evidence")).scalar()
+    return df.withColumn(out, clean(F.col(column), found["day_first"], found["evidence"], correction))

@@ -47,8 +47,8 @@ def upsert(corrections: DataFrame, changes: DataFrame) -> DataFrame:
     updated = corrections.join(changes.select(*pair, F.col("agent_output").alias("new_output"), F.col("corrected_value").alias("new_value")), pair, "left")
     kept = updated.select("feedback_id", *pair, F.when(F.col("new_value").isNotNull(), F.col("new_output")).otherwise(F.col("agent_output")).alias("agent_output"), F.coalesce("new_value", "corrected_value").alias("corrected_value"), "created_at")
     new = changes.join(corrections.select(*pair), pair, "left_anti")
-    top = corrections.agg(F.coalesce(F.max("feedback_id"), F.lit(0)).alias("top"))
-    numbered = new.crossJoin(F.broadcast(top)).withColumn("feedback_id", F.col("top") + F.row_number().over(_by_time()))
+    top = corrections.agg(F.coalesce(F.max("feedback_id"), F.lit(0))).scalar()
+    numbered = new.withColumn("feedback_id", top + F.row_number().over(_by_time()))
     return kept.unionByName(numbered.select("feedback_id", *pair, "agent_output", "corrected_value", "created_at"))
 
 

@@ -85,8 +85,8 @@ def orders(people: DataFrame, seed: int = 42) -> DataFrame:
     usual = months.agg(F.avg(F.when(F.col("m") != SPIKE_MONTH, F.col("n"))).alias("usual"), F.coalesce(F.max(F.when(F.col("m") == SPIKE_MONTH, F.col("n"))), F.lit(0)).alias("have"))
     wanted = F.greatest(F.lit(0), F.round(F.col("usual") * SPIKE) - F.col("have")).cast("int")
     extra = usual.select(F.explode(F.sequence(F.lit(1), F.greatest(wanted, F.lit(1)))).alias("i"), wanted.alias("w")).where("i <= w").select((F.lit(1_000_000) + F.col("i")).cast("int").alias("order_no"))
-    n = people.agg(F.max("customer_id").alias("n"))
-    extra = extra.crossJoin(F.broadcast(n)).withColumn("customer_id", (F.floor(d.share("extra", "order_no") * F.col("n")) + 1).cast("int")).drop("n")
+    n = people.agg(F.max("customer_id")).scalar()
+    extra = extra.withColumn("customer_id", (F.floor(d.share("extra", "order_no") * n) + 1).cast("int"))
     extra = extra.join(people.withColumn("adjust", adjust), "customer_id").withColumns({"order_date_true": F.date_add(F.lit(SPIKE_MONTH + "-01").cast("date"), d.whole("extra day", 0, 27, *keys)), "category": F.lit(CATEGORIES[0])})
     rows = rows.unionByName(extra)
     amount = F.greatest(F.lit(8.0), 30 + 5.5 * F.col("age_true") + F.col("adjust") + 18 * d.normal("noise", *keys))
