@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterable
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import regex
 
@@ -103,40 +104,40 @@ def load_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-class ByteBpe:
-    """One vocabulary. Ids of pre-tokens are remembered in two generations of cache_size entries, each of up to cache_bytes
-    bytes: when the younger is full the older goes, so what keeps occurring stays."""
+class _Remembered(dict):
+    """Ids of pre-tokens, in two generations of ``size`` entries, each of up to ``most`` bytes: when the younger is full the
+    older goes, so what keeps occurring stays."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 500_000, cache_bytes: int = 48):
-        self.ranks, self.cache_size, self.cache_bytes = ranks, cache_size, cache_bytes
-        self.tokens = {v: k for k, v in ranks.items()}
-        self.split: Callable[[str], list[str]] = splitter(pattern)
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+    def __init__(self, ranks: dict[bytes, int], size: int, most: int):
+        super().__init__()
+        self.ranks, self.size, self.most, self.older = ranks, size, most, {}
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        extend, get = out.extend, self.cache.get
-        for piece in self.split(text or ""):
-            ids = get(piece)
-            if ids is None:
-                ids = self._encode_piece(piece)
-                get = self.cache.get
-            extend(ids)
-        return out
-
-    def _encode_piece(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.older.get(piece)
         if ids is None:
             raw = piece.encode("utf-8", "replace")
             ids = tuple(merge(raw, self.ranks))
-            if len(raw) > self.cache_bytes:
+            if len(raw) > self.most:
                 return ids
-        if len(self.cache) >= self.cache_size:
-            self.older, self.cache = self.cache, {}
-        self.cache[piece] = ids
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
+
+class ByteBpe:
+    """One vocabulary. cache_size and cache_bytes bound what is remembered of pre-tokens."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 700_000, cache_bytes: int = 48):
+        self.ranks = ranks
+        self.tokens = {v: k for k, v in ranks.items()}
+        self.split: Callable[[str], list[str]] = splitter(pattern)
+        self.cache = _Remembered(ranks, cache_size, cache_bytes)
+
+    def encode(self, text: str | None) -> list[int]:
+        return list(chain.from_iterable(map(self.cache.__getitem__, self.split(text or ""))))
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 

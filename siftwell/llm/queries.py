@@ -102,12 +102,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         import hashlib
 
         bpe = multilingual_bpe()
+        names = {i: str(i) for i in bpe.tokens}
         for b in batches:
             out: dict[str, list] = {"doc_id": b["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for text in b["text"]:
                 ids = bpe.encode(text)
                 out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                out["ids_sha256"].append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield out
 
