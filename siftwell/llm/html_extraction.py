@@ -39,11 +39,13 @@ BLOCKS = set(
 CONTAINERS = set("article body center details div main section table tbody td tr figure blockquote html".split())
 DROPPED = set("aside audio button canvas dialog footer form head iframe input math menu nav noscript object search select script style svg template textarea title video".split())
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "tr td th thead tbody", "tfoot": "tr td th thead tbody"}
+QUALIFIERS = {"has", "is", "no", "non", "with", "without", "free", "below", "above"}
+NOT_INLINE = {"ad", "ads", "advert", "advertisement", "sponsored", "promo", "share", "sharing"}
 # Parts of class names, ids and roles that mark what is not the article, and what is.
 NOT_ARTICLE = set(
     "ad ads advert advertisement advertorial adsense alert banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disclaimer disqus feedback footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup popular promo promoted promotion recommended related replies respond search share sharing sidebar skip social sponsor sponsored subscribe subscription tags toc toolbar widget widgets".split()
 )
-ARTICLE = set("article articlebody articlecontent body content entry hentry main maincontent post postcontent story storybody text".split())
+ARTICLE = set("article articlebody articlecontent articletext content contentbody entry entrycontent hentry main maincontent maintext pagecontent post postbody postcontent story storybody".split())
 
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -81,8 +83,17 @@ def _generalised(tag: str, classes: str) -> str:
     return ".".join([tag, *names[:4]])
 
 
-def parse(html: str | None) -> tuple[list[Node], list[Block]]:
-    """All block elements in page order, and all blocks of text that are not dropped."""
+def _marks(attributes: dict[str, str]) -> set[str]:
+    """The words of an element's class names, id and role; names that only say what the element has or lacks, such as
+    has-sidebar, say nothing of what it is."""
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".lower().split()
+    words = [_WORDS.findall(n) for n in names]
+    return {w for parts in words if not QUALIFIERS & set(parts) for w in parts}
+
+
+def parse(html: str | None, by_name: bool = True) -> tuple[list[Node], list[Block]]:
+    """All block elements in page order, and all blocks of text that are not dropped. by_name: names of classes, ids and roles
+    can have an element dropped, not only its tag."""
     root = Node("html", "html", None, False)
     nodes, blocks, stack = [root], [], [root]
     inline: list[str] = []  # open inline elements of interest above the innermost block: only links
@@ -139,8 +150,7 @@ def parse(html: str | None) -> tuple[list[Node], list[Block]]:
         attributes = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true"
         if tag not in BLOCKS and tag not in DROPPED:
-            marks = {*attributes.get("class", "").lower().split(), attributes.get("role", "").lower()}
-            if tag not in VOID and (hidden or marks & NOT_ARTICLE) and not m[3].rstrip().endswith("/"):
+            if tag not in VOID and (hidden or by_name and _marks(attributes) & NOT_INLINE) and not m[3].rstrip().endswith("/"):
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)  # an inline advert or the like
                 at = close.end() if close and "<p" not in text[at : close.start()] else at
             continue
@@ -164,7 +174,7 @@ def parse(html: str | None) -> tuple[list[Node], list[Block]]:
             continue
         above = stack[-1]
         within = above.within
-        marks = {*_WORDS.findall(attributes.get("class", "").lower()), *attributes.get("class", "").lower().split(), attributes.get("role", "").lower(), *_WORDS.findall(attributes.get("id", "").lower())}
+        marks = _marks(attributes) if by_name else set()
         semantic = tag in ("article", "main") or bool({*re.split(r"[\s]+", attributes.get("class", "").lower().replace("-", "").replace("_", "")), attributes.get("id", "").lower().replace("-", "").replace("_", ""), attributes.get("role", "").lower()} & ARTICLE)
         dropped = above.dropped or hidden or tag in DROPPED or (tag == "header" and not within)
         if tag not in ("html", "body", "article", "main") and not (semantic and not marks & {"comment", "comments", "sidebar", "ad", "ads"}):
@@ -219,6 +229,9 @@ def main_text(html: str | None, path: str | None, least_share: float = 0.2) -> s
     """The text of the containers at path, or of the page's best container where they hold too little."""
     nodes, blocks = parse(html)
     total = weigh(nodes, blocks)
+    if not total:  # everything was dropped by what it is called
+        nodes, blocks = parse(html, False)
+        total = weigh(nodes, blocks)
     chosen = {id(n) for n in nodes if n.path == path and not n.dropped}
     if not chosen or sum(n.text for n in nodes if id(n) in chosen) < least_share * total:
         best = max(nodes, key=lambda n: score(n, total))
@@ -254,7 +267,7 @@ def host_votes(pages: DataFrame, *, url_col: str, html_col: str) -> DataFrame:
 
 def extract(pages: DataFrame, *, id_col: str, url_col: str, html_col: str, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """Every row of pages: id_col, url, path (the host's winning path), text."""
-    winners = materialise(host_votes(pages, url_col=url_col, html_col=html_col), "host-paths")
+    winners = materialise(host_votes(pages, url_col=url_col, html_col=html_col), "host-paths", compact=True)
     size = winners.agg(F.sum(F.length("host") + F.length("path") + 64)).first()[0] or 0
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = source.schema[0].dataType.simpleString()
