@@ -112,7 +112,10 @@ def sequences(docs: DataFrame, *, id_col: str, text_col: str, vocabulary: str, p
 
         for b in batches:
             for at in range(0, len(b["id"]), 500):
-                arrays = [document_ids(encode, t).astype(np.uint16) for t in b["text"][at : at + 500]]
+                arrays = [document_ids(encode, t) for t in b["text"][at : at + 500]]
+                if any(a.max() > 0xFFFF for a in arrays):
+                    raise ValueError("ids above 65535 do not fit in two bytes")
+                arrays = [a.astype(np.uint16) for a in arrays]
                 owners += [(k, len(a)) for k, a in zip(b["id"][at : at + 500], arrays)]
                 rest = np.concatenate([rest, *arrays])
                 yield cut(False)
