@@ -39,11 +39,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score below the bound."""
     model = queries.quality_model(spark, sf_dir, docs)
-    shared = spark.sparkContext.broadcast(model)
+    shared, least = spark.sparkContext.broadcast(model), queries.GOOD
 
     def decide(texts: list) -> list[bool]:
-        scores = quality_classifier.scores(shared.value, texts)
-        return [s >= queries.GOOD for s in scores]
+        return [s >= least for s in quality_classifier.scores(shared.value, texts)]
 
     return docs if model is None else _kept(docs, decide)
 

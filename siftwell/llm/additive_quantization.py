@@ -132,7 +132,7 @@ def search(
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null").where(usable("v"))
     # One row an id; the commonest length is the index's. Both without moving more than a row an id.
-    rows = materialise(rows.withColumn("n", F.size("v")).groupBy("id").agg(F.min("v").alias("v"), F.min("n").alias("n")), "vectors")
+    rows = materialise(rows.withColumn("n", F.size("v")).groupBy("id").agg(F.min("v").alias("v"), F.min("n").alias("n")), "vectors", compact=True)
     lengths = rows.groupBy("n").count().orderBy(F.desc("count"), "n").limit(1).collect()
     total, dimensions = (lengths[0]["count"], lengths[0]["n"]) if lengths else (0, 1)
     rows = rows.where(F.col("n") == dimensions).select("id", "v", is_query(F.col("id")).alias("q"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,14 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that the driver and every executor see: the session's spark.checkpoint.dir, or a
-    temporary folder where that is unset (single-machine tests only)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A folder that the driver and every executor see: under the session's spark.checkpoint.dir, or under a temporary folder
+    where that is unset (single-machine tests only)."""
+    app = spark.sparkContext.applicationId
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folders.get(app)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="siftwell-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/siftwell-{spark.sparkContext.applicationId}"
+        root = _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="siftwell-")
+    return f"{root.rstrip('/')}/siftwell-{app}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -37,12 +41,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and reads it back, so that losing an
-    executor costs a re-read and never a recomputation."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialise(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """Cuts lineage: writes df as Parquet in the shared folder and reads it back, so that losing an executor costs a re-read
+    and never a recomputation. compact: for light tables that come out of a shuffle, into no more files than twice the cores,
+    since every file costs its making."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if compact else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def id_remainder(doc_id: Column, modulus: int) -> Column:
@@ -88,10 +94,20 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[dict[str, list]]], I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in function(plain(batches)):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next task should hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_groups(df: DataFrame, keys: list[str], function: Callable[[tuple, dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """function(key, columns of its rows) for every key, over sorted partitions: many small groups cost little.
     The caller bounds the rows of a key. Yields dicts of lists in the order of schema."""

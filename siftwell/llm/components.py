@@ -12,7 +12,7 @@ def connected_components(edges: DataFrame, *, a: str, b: str, most_rounds: int =
     """node, component (its smallest node) for every node with an edge to another. The edges stay distributed; every
     round is a written table. Rounds grow with the logarithm of the longest path; not ending in ``most_rounds`` is an error."""
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
-    now = materialise(now, "edges")
+    now = materialise(now, "edges", compact=True)
     before = None
     for _ in range(most_rounds):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -24,5 +24,5 @@ def connected_components(edges: DataFrame, *, a: str, b: str, most_rounds: int =
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = materialise(small.where("u != v").distinct(), "edges")
+        now = materialise(small.where("u != v").distinct(), "edges", compact=True)
     raise RuntimeError(f"no end after {most_rounds} rounds")

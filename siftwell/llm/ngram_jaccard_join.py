@@ -174,7 +174,7 @@ def classes(
 
     signed = materialise(map_batches(source, sign, "id bigint, digest binary, signature binary"), "signatures")
     distinct = signed.where("digest is not null").groupBy("digest", "id").agg(F.first("signature").alias("signature"))  # rows with one id count once
-    reps = materialise(distinct.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")), "representatives")
+    reps = materialise(distinct.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")), "representatives", compact=True)
     runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, depth))))
 
     def roots(batches: Iterator[dict]) -> Iterator[dict]:
@@ -201,7 +201,7 @@ def classes(
     leaves = None
     for level in range(1, depth + 1):
         sizes = members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        sized = materialise(members.join(sizes, "node"), "nodes")  # members that are alone in a node go
+        sized = materialise(members.join(sizes, "node"), "nodes", compact=True)  # members that are alone in a node go
         small = sized if level == depth else sized.where(f"n <= {bucket}")
         leaves = small if leaves is None else leaves.unionByName(small)
         large = sized.where(f"n > {bucket}")
@@ -226,7 +226,7 @@ def classes(
     clusters = connected_components(edges, a="a", b="b")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
     chosen = _tiled(clusters.join(sizes, "component"), "component", "n", "node", tile).join(reps.groupBy(F.col("rep").alias("node")).agg(F.max("copies").alias("copies")), "node")
-    chosen = materialise(chosen.select(F.col("node").alias("id"), "component", "own", "t", "u", "copies"), "clusters")
+    chosen = materialise(chosen.select(F.col("node").alias("id"), "component", "own", "t", "u", "copies"), "clusters", compact=True)
     if chosen.count() <= broadcast_rows:
         chosen = F.broadcast(chosen)  # at most broadcast_rows rows of 40 bytes
 
@@ -267,12 +267,12 @@ def classes(
 
 def without_duplicates(docs: DataFrame, *, id_col: str, text_col: str, **options) -> DataFrame:
     """The rows of docs whose document has the smallest id of its class, one row an id. Rows with a null id stay."""
-    found = materialise(classes(docs, id_col=id_col, text_col=text_col, **options), "classes")
+    found = materialise(classes(docs, id_col=id_col, text_col=text_col, **options), "classes", compact=True)
     gone = found.where(F.col(id_col) != F.col("class_id")).select(id_col)
     if gone.count() <= options.get("broadcast_rows", BROADCAST_ROWS):
         gone = F.broadcast(gone)  # ids only, counted; the texts then stay where they are
     kept = docs.join(gone, id_col, "left_anti")
-    again = materialise(docs.groupBy(id_col).count().where(f"`{id_col}` is not null and count > 1").select(id_col), "repeated")
+    again = materialise(docs.groupBy(id_col).count().where(f"`{id_col}` is not null and count > 1").select(id_col), "repeated", compact=True)
     if again.isEmpty():
         return kept
     return kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]))
