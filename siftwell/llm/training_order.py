@@ -131,7 +131,7 @@ def materialise_order(docs: DataFrame, out_uri: str, *, id_col: str, text_col: s
     # Tokenising is the dear part: it is done once, into a table that outlives its executors.
     staged = f"{out_uri}/staged"
     made = sequences(docs, id_col=id_col, text_col=text_col, vocabulary=vocabulary, pattern=pattern, length=length)
-    made.write.option("compression", "zstd").parquet(staged)
+    made.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "5").parquet(staged)
     rows = spark.read.schema(made.schema).parquet(staged)
     counts = sorted(rows.groupBy("part").count().collect())  # one row a partition
     total, base = 0, {}
@@ -143,7 +143,7 @@ def materialise_order(docs: DataFrame, out_uri: str, *, id_col: str, text_col: s
     stride, shards = length * 2, max(1, -(-total // shard_sequences))
 
     def place(batches: Iterator[dict]) -> Iterator[dict]:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=5)
         for b in batches:
             numbers = np.array([bases.value[p] for p in b["part"]], np.int64) + np.array(b["place"], np.int64)
             slots = permute(numbers, total, key)
