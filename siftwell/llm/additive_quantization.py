@@ -6,6 +6,10 @@ every row is encoded by beam search, and the squared norm of its reconstruction
 query is scored against all codes through lookup tables of its inner products with the codewords; the best
 ``rerank`` codes of each query are rescored exactly, in double precision, on the original vectors.
 
+Equal vectors are searched as one, which stands for its smallest ids, and equal codes are scored as one; every
+vector of a chosen code is rescored, and all codes that tie with the last one chosen are chosen too. So no copy and
+no near copy is lost to the cut.
+
 Queries meet all codes in a grid of query blocks and code blocks, so neither side is broadcast and a task's
 memory is one block of each. Defined results: vectors that are null, zero, of another length than most or that
 hold a null or a non-finite component take no part on either side; a query with fewer candidates gets all of
@@ -136,14 +140,21 @@ def search(
     lengths = rows.groupBy("n").count().orderBy(F.desc("count"), "n").limit(1).collect()
     total, dimensions = (lengths[0]["count"], lengths[0]["n"]) if lengths else (0, 1)
     rows = rows.where(F.col("n") == dimensions).select("id", "v", is_query(F.col("id")).alias("q"))
+    # One row a vector: its k + 1 smallest ids are all that any query can need of it. The limit works before the shuffle too.
+    copies = Window.partitionBy("v").orderBy("id")
+    few = rows.select("id", "v").withColumn("place", F.row_number().over(copies)).where(F.col("place") <= k + 1)
+    vectors = materialise(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "v", "ids"), "distinct-vectors", compact=True)
+    total = vectors.count() if total else 0
     share = min(1.0, train_rows / max(1, total))
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit("codebooks")), F.lit(1_000_003)) < share * 1_000_003).select("id", "v").limit(2 * train_rows).collect()
+    picked = vectors.where(F.pmod(F.xxhash64("id", F.lit("codebooks")), F.lit(1_000_003)) < share * 1_000_003).select("id", "v").limit(2 * train_rows).collect()
     schema = f"query_id bigint, rank int, `{id_col}` bigint, score double"
     if not total:
         return spark.createDataFrame([], schema)
-    sample = _matrix([r["v"] for r in sorted(picked)] or [rows.select("v").first()["v"]])
+    sample = _matrix([r["v"] for r in sorted(picked)] or [vectors.select("v").first()["v"]])
     books = spark.sparkContext.broadcast(train(sample, levels=levels, size=size, beam=beam))
-    queries = rows.where("q").count()
+    # Queries with equal vectors ask as one, named by the smallest.
+    asking = materialise(rows.where("q").groupBy("v").agg(F.min("id").alias("query")).select("query", "v"), "query-vectors", compact=True)
+    queries = asking.count()
     parallel = max(2, spark.sparkContext.defaultParallelism)
     code_blocks = -(-total // code_block)
     query_blocks = max(-(-queries // query_block), min(parallel, -(-queries // 64)), 1)
@@ -152,42 +163,49 @@ def search(
         for b in batches:
             if b["id"]:
                 codes, norms = encode(books.value, _matrix(b["v"]))
-                yield {"id": b["id"], "code": [c.tobytes() for c in codes.astype(np.uint16)], "norm": norms.tolist()}
+                yield b | {"code": [c.tobytes() for c in codes.astype(np.uint16)], "norm": norms.tolist()}
 
-    codes = map_batches(rows.select("id", "v"), code, "id bigint, code binary, norm float")
-    grid_codes = codes.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(code_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).select("id", "code", "norm", "c", "q")
-    asked = rows.where("q").select("id", "v", F.pmod(F.xxhash64("id", F.lit("query")), F.lit(query_blocks)).cast("int").alias("q"))
-    grid_queries = asked.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(code_blocks - 1).cast("long")))).select("id", "v", "c", "q")
+    coded = materialise(map_batches(vectors, code, "id bigint, v array<double>, ids array<bigint>, code binary, norm float").withColumn("key", F.xxhash64("code")), "vector-codes")
+    codes = coded.groupBy("key").agg(F.min("code").alias("code"), F.min("norm").alias("norm"))
+    grid_codes = codes.withColumn("c", F.pmod(F.xxhash64("key"), F.lit(code_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).select("key", "code", "norm", "c", "q")
+    asked = asking.select("query", "v", F.pmod(F.xxhash64("query", F.lit("query")), F.lit(query_blocks)).cast("int").alias("q"))
+    grid_queries = asked.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(code_blocks - 1).cast("long")))).select("query", "v", "c", "q")
 
     def lookup(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """The best of one block of codes for one block of queries, by sums of looked-up inner products."""
-        out: dict[str, list] = {"query_id": [], "id": [], "guess": []}
+        out: dict[str, list] = {"query": [], "key": [], "guess": []}
         if len(left) and len(right):
             b = books.value
-            ids = right["id"].to_numpy()
-            order = np.argsort(ids)
-            ids = ids[order]
+            keys = right["key"].to_numpy()
+            order = np.argsort(keys)
+            keys = keys[order]
             flat = (np.frombuffer(b"".join(right["code"]), np.uint16).reshape(len(right), -1)[order] + np.arange(b.levels) * b.size).T.copy()
             tables = _matrix(left["v"].tolist()) @ b.words.reshape(-1, b.words.shape[2]).T
-            keep = min(rerank + 1, len(ids))
+            keep = min(rerank + 1, len(keys))  # the query's own code may be one of them
             norms = right["norm"].to_numpy()[order] * np.float32(-0.5 if measure == "euclidean" else 0)
-            for query, table in zip(left["id"], tables):
+            for query, table in zip(left["query"], tables):
                 guess = norms + table[flat[0]]
                 for level in flat[1:]:
                     guess += table[level]
-                best = np.argpartition(-guess, keep - 1)[:keep]
-                out["query_id"].append(np.full(keep, query))
-                out["id"].append(ids[best])
+                best = np.flatnonzero(guess >= np.partition(guess, len(guess) - keep)[len(guess) - keep])
+                out["query"].append(np.full(len(best), query))
+                out["key"].append(keys[best])
                 out["guess"].append(guess[best])
-        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()}).astype({"query_id": "int64", "id": "int64", "guess": "float32"})
+        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()}).astype({"query": "int64", "key": "int64", "guess": "float32"})
 
-    found = grid_queries.groupBy("c", "q").cogroup(grid_codes.groupBy("c", "q")).applyInPandas(lookup, "query_id bigint, id bigint, guess float").where("query_id != id")
+    found = grid_queries.groupBy("c", "q").cogroup(grid_codes.groupBy("c", "q")).applyInPandas(lookup, "query bigint, key bigint, guess float")
     if code_blocks > 1:
-        nearest = Window.partitionBy("query_id").orderBy(F.desc("guess"), "id")
-        found = found.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= rerank)
-    pairs = found.select("query_id", "id").join(rows.select("id", "v"), "id").join(rows.where("q").select(F.col("id").alias("query_id"), F.col("v").alias("w")), "query_id")
+        nearest = Window.partitionBy("query").orderBy(F.desc("guess"))
+        found = found.withColumn("place", F.rank().over(nearest)).where(F.col("place") <= rerank + 1)
+    pairs = found.select("query", "key").join(coded.select("key", "id", "v", "ids"), "key").join(asking.withColumnRenamed("v", "w"), "query")
     term = (lambda a, b: a * b) if measure == "inner" else (lambda a, b: -(a - b) * (a - b))
     exact = F.aggregate(F.zip_with("v", "w", term), F.lit(0.0), lambda s, x: s + x)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    # The best k + 1 vectors hold the best k + 1 ids, for a vector goes by its smallest id; one of them may be the query itself.
+    best = pairs.select("query", "id", "ids", exact.alias("score")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    best = best.select("query", "score", F.explode("ids").alias("id")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    askers = rows.where("q").select(F.col("id").alias("query_id"), "v").join(asking, "v").select("query_id", "query")
+    answers = askers.join(best.select("query", "id", "score"), "query").where("query_id != id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = pairs.select("query_id", "id", exact.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = answers.select("query_id", "id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score")

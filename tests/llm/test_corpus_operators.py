@@ -259,6 +259,26 @@ def test_euclidean(spark):
         assert [x[0] for x in found] == [i for i in np.argsort(d) if i != q][:5]
 
 
+@pytest.mark.parametrize("code_block", [1 << 20, 400])
+def test_copies_and_near_copies_beyond_the_rerank(spark, code_block):
+    """Ties of equal vectors go to the smallest ids however many there are; near copies with one code are all rescored."""
+    r = np.random.default_rng(3)
+    a = r.normal(size=(1800, 8))
+    a[300:900] = a[300]
+    a[900:1500] = 2 * a[300] + np.arange(600)[:, None] * 1e-6
+    ids = r.permutation(1800)
+    rows = [(int(i), x.tolist()) for i, x in zip(ids, a)]
+    want = exact(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(additive_quantization.search(df, id_col="vec_id", vector_col="embedding", is_query=lambda i: i % 20 == 0, levels=4, size=16, rerank=50, code_block=code_block, query_block=30))
+    assert got.keys() == want.keys()
+    for q in ids[300:1500][ids[300:1500] % 20 == 0]:
+        assert [x[0] for x in got[q]] == [x[0] for x in want[q]]
+    tied = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(700)], "vec_id long, embedding array<double>")
+    got = nearest(additive_quantization.search(tied, id_col="vec_id", vector_col="embedding", is_query=lambda i: i % 20 == 0, levels=2, size=4, rerank=50, code_block=code_block))
+    assert len(got) == 35 and all([x[0] for x in got[q]] == [i for i in range(21) if i != q][:20] for q in got)
+
+
 # The pipeline
 
 
