@@ -1,13 +1,16 @@
-"""Hierarchical residual packing of token pieces into sequences of fixed length.
+"""Two-step packing of token pieces into sequences of fixed length.
 
 Every input partition cuts its documents into pieces and packs them by best fit, longest first. Bins that are
-full but for ``slack`` tokens are sequences; what is in underfull bins becomes items of the next level, where the
-items of ``fan_in`` partitions are packed by best fit again, and so on up a tree until one group is left. Up to
-``carry`` items go up as they are, in bins of their own, which packs best; of more, the underfull bins go up whole.
+full but for ``slack`` tokens are sequences; the pieces of all other bins are loose again, and all loose pieces of
+the table are packed together by best fit, longest first.
+
+That second step needs only how many loose pieces there are of each length, at most ``capacity`` numbers: pieces of
+one length go into alike bins in bulk, which gives as many bins as taking them one by one (``plan``). A piece then
+finds its place by its number among the loose pieces of its length. So no task gathers bins, no bin is closed
+because there are many, and no piece is ever left out.
 
 Bins are told apart by how much room they have, and a bitmap over the possible rooms finds the best fit in
-constant time. A group hands on at most ``carry`` bins, the emptiest; fuller ones become sequences as they are,
-so no task ever gathers an unbounded number of bins and no piece is ever left out.
+constant time.
 
 Defined results: a null or empty text is the single end-of-document id; repeated rows and repeated ids are
 packed row by row; an empty table gives an empty result.
@@ -16,10 +19,12 @@ packed row by row; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialise
@@ -27,6 +32,8 @@ from .tokens import document_ids, encoder
 
 #: Bits of a bin's number that count within a partition.
 LOCAL_BITS = 36
+#: The first number of a bin of loose pieces; those of partitions are smaller.
+SHARED_BINS = 1 << 62
 
 
 def best_fit(sizes: list[int], capacity: int) -> tuple[list[tuple[int, int]], list[int]]:
@@ -66,13 +73,52 @@ def pieces(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, first)] if first else []) + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def _bound(function, first):
-    """function of one argument less; Spark goes by the number of arguments."""
-    return lambda frame: function(first, frame)
+def plan(counts: dict[int, int], capacity: int) -> tuple[dict[int, list[tuple[int, int, int, int]]], int]:
+    """Best fit, longest first, of counts[length] items of each length, in bulk, and the number of bins. For each length the runs
+    (first item, first bin, items a bin, offset in the bin): items of a run fill its bins one after another."""
+    runs: dict[int, list[tuple[int, int, int, int]]] = {}
+    bins = 0
+    open_bins: dict[int, list[tuple[int, int]]] = {}  # room: ranges (first bin, how many)
+    rooms = 0  # bit r: a bin with room r
+
+    def leave(room: int, first: int, n: int) -> None:
+        nonlocal rooms
+        if room and n:
+            open_bins.setdefault(room, []).append((first, n))
+            rooms |= 1 << room
+
+    for size in sorted((s for s, n in counts.items() if n), reverse=True):
+        taken, count = 0, counts[size]
+        found = runs.setdefault(size, [])
+        while taken < count:
+            fitting = rooms >> size
+            if fitting:
+                room = size + (fitting & -fitting).bit_length() - 1
+                first, n = open_bins[room].pop()
+                if not open_bins[room]:
+                    rooms ^= 1 << room
+            else:
+                room, first, n = capacity, bins, -(-(count - taken) // (capacity // size))
+                bins += n
+            each = room // size
+            whole = min(n, (count - taken) // each)
+            if whole:
+                found.append((taken, first, each, capacity - room))
+                taken += whole * each
+                leave(room - each * size, first, whole)
+            if whole < n:
+                rest = min(count - taken, each)  # fewer than each, for all that are left
+                if rest:
+                    found.append((taken, first + whole, each, capacity - room))
+                    taken += rest
+                    leave(room - rest * size, first + whole, 1)
+                leave(room, first + whole + bool(rest), n - whole - bool(rest))
+    return runs, bins
 
 
 def pack(docs: DataFrame, *, id_col: str, text_col: str, vocabulary: str, pattern: str, capacity: int = 1024, slack: int = 8, fan_in: int = 16, carry: int = 20_000, at_once: int = 300_000) -> DataFrame:
-    """Rows of pieces: id_col, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Rows of pieces: id_col, piece, start, length, ids_crc32, sequence_id, offset. fan_in and carry bound nothing any more;
+    they are still taken for callers that give them."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema[0].dataType.simpleString()
     full = capacity - slack
@@ -82,20 +128,21 @@ def pack(docs: DataFrame, *, id_col: str, text_col: str, vocabulary: str, patter
         names = ("id", "piece", "start", "length", "ids_crc32")
         held: dict[str, list] = {k: [] for k in names}
 
+        loose: Counter = Counter()  # length: loose pieces so far
+
         def flush() -> dict:
             nonlocal first_bin
             placed, fill = best_fit(held["length"], capacity)
-            loose = [i for i, (b, _) in enumerate(placed) if fill[b] < full]
-            if len(loose) <= carry:
-                for i in loose:
-                    placed[i] = (len(fill), 0)
-                    fill.append(held["length"][i])
-                emptiest = {placed[i][0] for i in loose}
-            else:
-                emptiest = set(sorted((b for b in range(len(fill)) if fill[b] < full), key=lambda b: (fill[b], b))[:carry])
+            numbers: list[int | None] = []
+            for (b, _), length in zip(placed, held["length"]):
+                if fill[b] < full:
+                    numbers.append(loose[length])
+                    loose[length] += 1
+                else:
+                    numbers.append(None)
             base = (part << LOCAL_BITS) + first_bin
             first_bin += len(fill)
-            out = {k: held[k] for k in names} | {"bin": [base + b for b, _ in placed], "offset": [o for _, o in placed], "fill": [fill[b] for b, _ in placed], "open": [b in emptiest for b, _ in placed]}
+            out = {k: held[k] for k in names} | {"part": [part] * len(placed), "bin": [base + b for b, _ in placed], "offset": [o for _, o in placed], "number": numbers}
             for k in names:
                 held[k] = []
             return out
@@ -111,54 +158,27 @@ def pack(docs: DataFrame, *, id_col: str, text_col: str, vocabulary: str, patter
         if held["id"]:
             yield flush()
 
-    rows = materialise(map_batches(source, local, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint, fill bigint, open boolean"), "packed-pieces")
-    underfull = rows.where("open")
-    # (bin: as it was filled locally, at: the bin it is in now, shift: where, fill: that bin's)
-    bins = underfull.groupBy("bin").agg(F.first("fill").alias("fill"), F.shiftright("bin", LOCAL_BITS).alias("part"))
-    moves = materialise(bins.select("bin", F.col("bin").alias("at"), F.lit(0).cast("bigint").alias("shift"), "fill", "part", F.lit(True).alias("open")), "packed-bins", compact=True)
-    groups = (moves.agg(F.max("part")).first()[0] or 0) + 1
-
-    def merge(last: bool, bins):
-        import pandas as pd
-
-        bins = bins.sort_values("at")
-        at, sizes = bins["at"].tolist(), bins["fill"].tolist()
-        placed, fill = best_fit(sizes, capacity)
-        loose = [i for i, (b, _) in enumerate(placed) if fill[b] < full]
-        if not last and len(loose) <= carry:  # they stay apart until more company is there
-            apart, emptiest = set(loose), set()
-        else:
-            apart, emptiest = set(), set() if last else set(sorted((b for b in range(len(fill)) if fill[b] < full), key=lambda b: (fill[b], b))[:carry])
-        lead = {b: at[i] for i, (b, offset) in enumerate(placed) if offset == 0}
-        return pd.DataFrame(
-            {
-                "child": at,
-                "parent": [at[i] if i in apart else lead[b] for i, (b, _) in enumerate(placed)],
-                "moved": [0 if i in apart else o for i, (_, o) in enumerate(placed)],
-                "grown": [sizes[i] if i in apart else fill[b] for i, (b, _) in enumerate(placed)],
-                "still": [i in apart or b in emptiest for i, (b, _) in enumerate(placed)],
-            }
-        )
-
-    groups = groups if moves.isEmpty() else max(2, groups)  # loose items of a single partition are merged as well
-    while groups > 1:
-        groups = -(-groups // fan_in)
-        last = groups == 1
-        now = moves.where("open and bin = at").select("at", "fill", F.expr(f"part div {fan_in}").alias("part"))
-        step = now.groupBy("part").applyInPandas(_bound(merge, last), "child bigint, parent bigint, moved bigint, grown bigint, still boolean")
-        moves = materialise(
-            moves.join(step, moves["at"] == step["child"], "left").select(
-                "bin",
-                F.coalesce("parent", "at").alias("at"),
-                (F.col("shift") + F.coalesce("moved", F.lit(0))).alias("shift"),
-                F.coalesce("grown", "fill").alias("fill"),
-                F.expr(f"part div {fan_in}").alias("part"),
-                F.coalesce("still", F.lit(False)).alias("open"),
-            ),
-            "packed-bins",
-            compact=True,
-        )
-    columns = [F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32"]
-    done = rows.where("not open").select(*columns, F.col("bin").alias("sequence_id"), "offset")
-    moved = underfull.join(moves.select("bin", "at", "shift"), "bin").select(*columns, F.col("at").alias("sequence_id"), (F.col("offset") + F.col("shift")).alias("offset"))
-    return done.unionByName(moved)
+    rows = materialise(map_batches(source, local, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, bin bigint, offset bigint, number bigint"), "packed-pieces")
+    loose = rows.where("number is not null")
+    # Numbers of loose pieces count on from partition to partition.
+    counts = materialise(loose.groupBy("part", "length").agg(F.count("*").alias("n")), "loose-pieces", compact=True)
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    runs, _ = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
+    shared = docs.sparkSession.sparkContext.broadcast({size: ([r[0] for r in found], found) for size, found in runs.items()})
+    names = ("id", "piece", "start", "length", "ids_crc32")
+
+    def place(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            bins, offsets = [], []
+            for size, number in zip(b["length"], b["number"]):
+                starts, found = shared.value[size]
+                start, first, each, offset = found[bisect_right(starts, number) - 1]
+                bins.append(SHARED_BINS + first + (number - start) // each)
+                offsets.append(offset + (number - start) % each * size)
+            yield {k: b[k] for k in names} | {"bin": bins, "offset": offsets}
+
+    numbered = loose.join(bases, ["part", "length"]).select(*names, (F.col("number") + F.col("base")).alias("number"))
+    placed = map_batches(numbered, place, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint")
+    columns = [F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset"]
+    return rows.where("number is null").select(*columns).unionByName(placed.select(*columns))

@@ -150,6 +150,27 @@ def test_packing_over_many_partitions(spark):
     assert packing.pack(df.limit(0), id_col="doc_id", text_col="text", vocabulary=P.path("byte_bpe_50k.json"), pattern=P.PATTERN).count() == 0
 
 
+def test_bulk_plan_equals_best_fit():
+    r = random.Random(4)
+    for n in [0, 1, 2, 5, 50, 3000]:
+        for sizes in ([r.randint(1, 100) for _ in range(n)], [r.choice([60, 40, 35, 7]) for _ in range(n)], [r.choice([100, 51, 1]) for _ in range(n)]):
+            runs, bins = packing.plan(Counter(sizes), 100)
+            assert bins == len(packing.best_fit(sizes, 100)[1])
+            rows = []
+            for size, count in Counter(sizes).items():
+                for (start, first, each, offset), end in zip(runs[size], [x[0] for x in runs[size][1:]] + [count]):
+                    rows += [{"sequence_id": first + j // each, "offset": offset + j % each * size, "length": size} for j in range(end - start)]
+            assert len(rows) == n and held(rows, 100) == bins
+
+
+def test_no_bin_is_closed_because_there_are_many(spark):
+    """Two kinds of partitions that fill each other's bins, with more bins than are carried."""
+    rows = [(i, "word " * (600 if i < 200 else 400)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").orderBy("doc_id").repartitionByRange(8, "doc_id")
+    got = packing.pack(df, id_col="doc_id", text_col="text", vocabulary=P.path("byte_bpe_50k.json"), pattern=P.PATTERN, carry=10, fan_in=2).collect()
+    assert len(got) == 400 and held(got) == 200
+
+
 def test_ids_are_those_of_the_tokenizers_library():
     from tokenizers import Tokenizer
 
