@@ -5,9 +5,8 @@ histogram of character classes and of common words is compared with the referenc
 the Jensen-Shannon distance (base 2, the square root of the divergence); the nearest language counts. A text
 is kept if the base rules pass and neither distance is above its bound; both tests need a minimum length.
 
-References come from all rows with a language: character classes are exact, common words come from lossy
-counting in each partition (an error of at most ``LOSSY`` of a language's words, far below a common word's
-share). Defined results: a null or empty text has no words and fails the base rules; without any reference
+References come from all rows with a language and are exact: every word of every partition is counted, and the common
+words are chosen from the sums. A task that holds too many words hands its counts on and starts again. Defined results: a null or empty text has no words and fails the base rules; without any reference
 the base rules alone decide; rows without a language are judged like the others.
 """
 
@@ -34,7 +33,8 @@ _CLASS[10] = 4
 _CLASS[list(b".,;:?'\"-()")] = 5
 _CLASS[128:192] = 7
 SYMBOLS = b"#*$%&|<>"
-LOSSY = 1e-5
+#: A task hands its word counts on when it holds this many words, or has read this many bytes since it last did.
+HELD_WORDS, HELD_BYTES = 300_000, 1 << 27
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -69,33 +69,40 @@ def references(docs: DataFrame, *, text_col: str, lang_col: str, common_words: i
         words: dict[str, Counter] = {}
         chars: dict[str, np.ndarray] = {}
         seen: Counter = Counter()
-        floor: Counter = Counter()
+        held = read = 0
+
+        def hand_on() -> Iterator[dict]:
+            for lang, c in words.items():
+                # Rows with a null word carry the number of all words and the character classes.
+                yield {
+                    "lang": [lang] * (len(c) + 1),
+                    "word": [k.decode("utf-8", "replace") for k in c] + [None],
+                    "n": [*c.values(), seen[lang]],
+                    "chars": [None] * len(c) + [[int(x) for x in chars[lang]]],
+                }
+            words.clear(), chars.clear(), seen.clear()
+
         for b in batches:
             for lang, text in zip(b["lang"], b["text"]):
                 raw = text.encode("utf-8", "replace")
                 w = raw.split()
                 c = words.setdefault(lang, Counter())
+                held -= len(c)
                 c.update(w)
+                held += len(c)
+                read += len(raw)
                 seen[lang] += len(w)
                 chars[lang] = chars.get(lang, 0) + char_histogram(raw)
-                if len(c) > 400_000:  # lossy counting: rare words go, with what they may lack
-                    floor[lang] = max(floor[lang] + 1, int(LOSSY * seen[lang]))
-                    words[lang] = Counter({k: v for k, v in c.items() if v > floor[lang]})
-        for lang, c in words.items():
-            least = 2e-4 * seen[lang]
-            common = [(k, v) for k, v in c.items() if v >= least]
-            # Rows with a null word carry the number of all words and the character classes.
-            yield {
-                "lang": [lang] * (len(common) + 1),
-                "word": [k.decode("utf-8", "replace") for k, _ in common] + [None],
-                "n": [v for _, v in common] + [seen[lang]],
-                "chars": [None] * len(common) + [[int(x) for x in chars[lang]]],
-            }
+                if held > HELD_WORDS or read > HELD_BYTES:
+                    yield from hand_on()
+                    held = read = 0
+        yield from hand_on()
 
     parts = map_batches(rows, count, "lang string, word string, n bigint, chars array<bigint>")
     sums = parts.groupBy("lang", "word").agg(F.sum("n").alias("n"), *[F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(CLASSES)])
     order = Window.partitionBy("lang").orderBy(F.col("word").isNotNull(), F.desc("n"), "word")  # the null row, then common words
-    top = sums.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") <= common_words).orderBy("lang", "rank").collect()
+    # The limit on the row number itself lets every task cut its words before they are gathered by language.
+    top = sums.withColumn("row", F.row_number().over(order)).where(F.col("row") <= common_words + 1).withColumn("rank", F.col("row") - 1).orderBy("lang", "rank").collect()
     languages = sorted({r["lang"] for r in top})
     at = {x: i for i, x in enumerate(languages)}
     chars, words = np.zeros((len(languages), CLASSES)), np.zeros((len(languages), common_words + 1))

@@ -121,6 +121,18 @@ def test_references_are_the_corpus_counts(spark):
     assert abs(refs.words.sum(1) - 1).max() < 1e-9
 
 
+@pytest.mark.parametrize("held", [300_000, 50])
+def test_references_count_words_that_are_rare_in_a_partition(spark, monkeypatch, held):
+    """A word counts from partitions where it is rare among many others too, and when a task hands its counts on often."""
+    rows = [(i, " ".join(["often"] * (60 if i < 4 else 1) + ["second"] * 55 * (i < 4) + [f"w{i}x{j}" for j in range(10_000)]), "en") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartitionByRange(8, "doc_id")
+    monkeypatch.setattr(quality_rules, "HELD_WORDS", held, raising=False)
+    refs = quality_rules.references(df, text_col="text", lang_col="lang", common_words=2)
+    total = 8 * 10_000 + 4 * 115 + 4
+    assert refs.place == {"often": [(0, 0)], "second": [(0, 1)]}
+    assert np.allclose(refs.words[0] * total, [244, 220, total - 464])
+
+
 def test_op8_drops_junk_and_keeps_prose(spark):
     df = queries.op8_quality_rules(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("not base_failed")
     kept = {r["quality"]: r["k"] for r in df.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
