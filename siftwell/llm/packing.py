@@ -124,7 +124,7 @@ def pack(docs: DataFrame, *, id_col: str, text_col: str, vocabulary: str, patter
     full = capacity - slack
 
     def local(batches: Iterator[dict]) -> Iterator[dict]:
-        encode, part, first_bin = encoder(vocabulary, pattern), TaskContext.get().partitionId(), 0
+        encode, part, first_bin = encoder(vocabulary, pattern, added_tokens=True), TaskContext.get().partitionId(), 0
         names = ("id", "piece", "start", "length", "ids_crc32")
         held: dict[str, list] = {k: [] for k in names}
 

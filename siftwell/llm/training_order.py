@@ -84,7 +84,7 @@ def sequences(docs: DataFrame, *, id_col: str, text_col: str, vocabulary: str, p
     kind = source.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        encode, part, place = encoder(vocabulary, pattern), TaskContext.get().partitionId(), 0
+        encode, part, place = encoder(vocabulary, pattern, added_tokens=True), TaskContext.get().partitionId(), 0
         rest, owners = np.zeros(0, np.uint16), []  # tokens not yet emitted; (id, tokens of it in rest)
 
         def cut(last: bool) -> dict:

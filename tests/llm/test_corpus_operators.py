@@ -182,6 +182,28 @@ def test_ids_are_those_of_the_tokenizers_library():
         assert document_ids(encode, text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_added_tokens_are_recognised_as_by_the_library(spark, tmp_path):
+    """Under the library's defaults: in the encoder, in what is packed and in the shards."""
+    from tokenizers import Tokenizer
+
+    t, r = Tokenizer.from_file(P.path("byte_bpe_50k.json")), random.Random(7)
+    parts = ["<|endoftext|>", "a ", " b", "  ", "\n\n", "<|endof", "text|>", "<|", "|>", "é", " 日本"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>  y", *("".join(r.choices(parts, k=n)) for n in range(100)), "word " * 1500 + "<|endoftext|>"]
+    want = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert want[0] == [64, 220, 50256, 275, 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    options = {"id_col": "doc_id", "text_col": "text", "vocabulary": P.path("byte_bpe_50k.json"), "pattern": P.PATTERN}
+    got = packing.pack(df, **options).collect()
+    assert Counter(i for r in got for i in [r["doc_id"]] * r["length"]) == Counter({i: len(x) for i, x in enumerate(want)})
+    assert all(r["ids_crc32"] == zlib.crc32(np.array(want[r["doc_id"]][r["start"] :][: r["length"]], "<u4").tobytes()) for r in got)
+    out = f"file://{tmp_path}/order"
+    made = training_order.materialise_order(df, out, key="k", **options).orderBy("slot").collect()
+    read = [x[: r["n_tokens"]].tolist() for r, x in zip(made, training_order.read_slots(out, 0))]
+    assert Counter(i for x in read for i in x) == Counter(i for x in want for i in x)
+    encode = encoder(P.path("byte_bpe_50k.json"), P.PATTERN, added_tokens=True)
+    assert [document_ids(encode, x).tolist() for x in texts] == want
+
+
 # 9: training order
 
 
