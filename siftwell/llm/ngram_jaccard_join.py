@@ -266,13 +266,23 @@ def classes(
 
 
 def without_duplicates(docs: DataFrame, *, id_col: str, text_col: str, **options) -> DataFrame:
-    """The rows of docs whose document has the smallest id of its class, one row an id. Rows with a null id stay."""
-    found = materialise(classes(docs, id_col=id_col, text_col=text_col, **options), "classes", compact=True)
-    gone = found.where(F.col(id_col) != F.col("class_id")).select(id_col)
-    if gone.count() <= options.get("broadcast_rows", BROADCAST_ROWS):
-        gone = F.broadcast(gone)  # ids only, counted; the texts then stay where they are
-    kept = docs.join(gone, id_col, "left_anti")
-    again = materialise(docs.groupBy(id_col).count().where(f"`{id_col}` is not null and count > 1").select(id_col), "repeated", compact=True)
-    if again.isEmpty():
-        return kept
-    return kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]))
+    """The rows of docs that stand for their class: the one with the smallest id, of rows with that id the one with the smallest
+    digest of its text. Where ids repeat, every row is a document of its own, so rows with one id and unlike texts stay; of
+    rows with one id and equal texts one stays. Rows with a null id stay."""
+    few = options.get("broadcast_rows", BROADCAST_ROWS)
+    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        found = materialise(classes(docs, id_col=id_col, text_col=text_col, **options), "classes", compact=True)
+        gone = found.where(F.col(id_col) != F.col("class_id")).select(id_col)
+        if gone.count() <= few:
+            gone = F.broadcast(gone)  # ids only, counted; the texts then stay where they are
+        return docs.join(gone, id_col, "left_anti")
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+    mine = rows.where(F.col(id_col).isNotNull())
+    found = materialise(classes(mine, id_col="_row", text_col=text_col, **options), "classes", compact=True)
+    keys = mine.select("_row", F.col(id_col).alias("id"), F.sha2(F.col(text_col).cast("binary"), 256).alias("digest")).join(found.select("_row", "class_id"), "_row")
+    best = keys.groupBy("class_id").agg(F.min(F.struct("id", "digest", "_row")).alias("best")).select("best.*")
+    best = best.groupBy("id", "digest").agg(F.min("_row").alias("_row"))  # texts without a word are in no class with others
+    gone = materialise(found.select("_row").join(best.select("_row"), "_row", "left_anti"), "gone", compact=True)
+    if gone.count() <= few:
+        gone = F.broadcast(gone)
+    return rows.join(gone, "_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])

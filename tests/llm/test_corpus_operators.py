@@ -82,6 +82,16 @@ def test_join_odd_rows(spark):
     assert as_dict(ngram_jaccard_join.classes(df.limit(0), id_col="doc_id", text_col="text")) == {}
 
 
+def test_rows_with_one_id_and_unlike_texts_stay(spark):
+    a, b, c = ("".join(f"{x}{i} " for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, b), (5, c), (7, c + "end"), (8, None), (8, None), (8, ""), (None, a), (-3, "one text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "2 as class_id", "3 as digest").repartition(4)
+    kept = ngram_jaccard_join.without_duplicates(df, id_col="doc_id", text_col="text")
+    assert kept.columns == df.columns
+    want = [(1, a), (5, b), (5, c), (8, None), (8, ""), (None, a), (-3, "one text")]
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(want)
+
+
 def test_survival_falls_with_depth():
     s = [ngram_jaccard_join.survival(0.8, d) for d in range(5)]
     assert s[0] == 1 and all(a > b for a, b in zip(s, s[1:])) and abs(s[1] - 0.84) < 0.01
