@@ -236,7 +236,7 @@ def classes(
         seen = set()
         for i, text in enumerate(rows["text"]):
             grams = shingles(text, n, hashes)
-            mark = (rows["id"][i], grams.tobytes()[:64], len(grams))
+            mark = (rows["id"][i], xxhash.xxh3_128_digest(grams.tobytes()))
             if len(grams) and mark not in seen:
                 seen.add(mark)
                 sets.append(grams)
@@ -247,6 +247,11 @@ def classes(
         both = common_grams(sets)
         size = np.array([len(s) for s in sets], np.float64)
         linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
+        if len(set(ids.tolist())) < len(ids):  # the texts of one id are one document, linked as any of them is
+            _, first, at = np.unique(ids, return_index=True, return_inverse=True)
+            some = np.zeros((len(first), len(first)), bool)
+            np.logical_or.at(some, (at[:, None], at[None, :]), linked)
+            ids, own, copies, linked = ids[first], own[first], copies[first], some
         np.fill_diagonal(linked, False)
         counted = linked & ((own[:, None] != own[None, :]) | (key[1] == key[2]))  # pairs within a block count in its own tile only
         root = _forest(linked)

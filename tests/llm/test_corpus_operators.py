@@ -82,6 +82,19 @@ def test_join_odd_rows(spark):
     assert as_dict(ngram_jaccard_join.classes(df.limit(0), id_col="doc_id", text_col="text")) == {}
 
 
+def test_every_text_of_a_repeated_id_is_verified(spark):
+    """Two texts of one id whose smallest eight grams and number of grams agree: links of either are found."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    grams = lambda w: ngram_jaccard_join.shingles(" ".join(w), 5, ngram_jaccard_join._WordHashes())
+    change = lambda w, i: [*w[:i], word(), *w[i + 1 :]]
+    one = [word() for _ in range(60)]
+    other = next(x for x in (change(one, r.randrange(5, 31)) for _ in range(1000)) if (grams(x)[:8] == grams(one)[:8]).all() and len(grams(x)) == len(grams(one)))
+    rows = [(i, " ".join(w)) for i, w in [(1, one), (1, other), (2, change(other, 40)), (3, change(one, 50))]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert as_dict(ngram_jaccard_join.classes(df, id_col="doc_id", text_col="text")) == {1: (1, 2), 2: (1, 1), 3: (1, 1)}
+
+
 def test_rows_with_one_id_and_unlike_texts_stay(spark):
     a, b, c = ("".join(f"{x}{i} " for i in range(60)) for x in "abc")
     rows = [(1, a), (5, a), (5, b), (5, b), (5, c), (7, c + "end"), (8, None), (8, None), (8, ""), (None, a), (-3, "one text")]
