@@ -7,14 +7,21 @@ its text is taken from the containers at its host's winning path; a page without
 holds almost nothing of the page's running text, falls back on its own best container.
 
 Menus, headers outside the article, footers, side bars, notices, adverts, forms, scripts, styles and reader
-comments are never text, whichever container holds them. Within it every block is kept: character references
-are decoded, white space inside a block becomes one space, empty blocks go and blocks are joined by one space.
+comments are never text, whichever container holds them. What an element is follows from its tag, or from a class
+name, role or (outside the article) id all of whose words say so: ``ad-slot`` and ``site-footer`` do, ``share-price``
+and ``notice-period`` do not. Headings, paragraphs, table cells and inline elements are dropped by such a name only
+if it is that of an advert. Where an element that is dropped by its name holds most of the article or nearly
+all of the page, its name is taken to mean something else, unless it is one of reader comments. Within the article
+every other block is kept: character references are decoded, white space inside a block becomes one space, empty
+blocks go and blocks are joined by one space. Elements may be nested to any depth.
 
 Votes are pre-aggregated in every task, so a host with a third of all pages costs no more than others. The
 winning paths are broadcast only when their counted rows and lengths stay under ``broadcast_bytes``; else the
 pages are joined with them by host, where Spark can split a hot host's pages. Defined results: null or empty
 html has empty text; a page with a null URL votes and is judged under the empty host; ties between paths go
-to the deeper, then to the smaller path; repeated pages vote repeatedly and get equal texts.
+to the deeper, then to the smaller path; repeated pages vote repeatedly and get equal texts; time and memory grow
+in proportion to a page's length, however long or deep it is; an empty table gives an empty result; columns besides the
+three named ones are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,7 +31,8 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialise
@@ -39,10 +47,17 @@ BLOCKS = set(
 CONTAINERS = set("article body center details div main section table tbody td tr figure blockquote html".split())
 DROPPED = set("aside audio button canvas dialog footer form head iframe input math menu nav noscript object search select script style svg template textarea title video".split())
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "tr td th thead tbody", "tfoot": "tr td th thead tbody"}
-QUALIFIERS = {"has", "is", "no", "non", "with", "without", "free", "below", "above"}
-NOT_INLINE = {"ad", "ads", "advert", "advertisement", "sponsored", "promo", "share", "sharing"}
-# Parts of class names, ids and roles that mark what is not the article, and what is.
-NOT_ARTICLE = set(
+#: Names of these make an element an advert even where it is a paragraph, a cell or inline.
+ADVERT = {"ad", "ads", "advert", "advertisement", "sponsored"}
+COMMENT = {"comment", "comments", "disqus", "replies", "reply", "respond"}
+# Words of class names, ids and roles that mark what is not the article, words that add nothing to them, and what is.
+NOT_ARTICLE = ADVERT | COMMENT | set(
+    "adsense advertorial alert banner breadcrumb breadcrumbs complementary contentinfo cookie cookies disclaimer feedback footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup popular promo promoted promotion recommended related search share sharing sidebar skip social sponsor subscribe subscription tags toc toolbar widget widgets".split()
+)
+NEUTRAL = set(
+    "area articles bar block body bottom box buttons center col column consent container content desktop fixed floating global google group holder icons inline inner item items left links list main message mobile module news outer page panel placeholder post posts primary reader right row secondary section side signup site slot space sticky stories text thread title top unit user wrap wrapper".split()
+)
+ARTICLE = set(
     "ad ads advert advertisement advertorial adsense alert banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disclaimer disqus feedback footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup popular promo promoted promotion recommended related replies respond search share sharing sidebar skip social sponsor sponsored subscribe subscription tags toc toolbar widget widgets".split()
 )
 ARTICLE = set("article articlebody articlecontent articletext content contentbody entry entrycontent hentry main maincontent maintext pagecontent post postbody postcontent story storybody".split())
@@ -51,25 +66,47 @@ _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
-#: Deeper elements are counted to the one above, as browsers do.
-MAX_DEPTH = 200
-
-
-@dataclass
+_DIGITS = re.compile(r"\d+")
+#: Elements that are dropped by any name that says so; others only by an advert's.
+NAMED = CONTAINERS - {"td", "tr", "tbody", "html", "body"} | set("ul ol dl fieldset address hgroup details".split())
+HEADINGS = set("p h1 h2 h3 h4 h5 h6".split())
+LISTS = set("ul ol dl table select".split())
+#: A new block closes an open paragraph or heading unless one of these is in between.
+_STOPS = HEADINGS | CONTAINERS | {"ul", "ol", "dl"}
+#: Shares of the article, and of the page, above which an element's name does not have it dropped.
+MOST_OF_ARTICLE, MOST_OF_PAGE = 0.5, 0.8
+
+
+@dataclass(eq=False, slots=True)
 class Node:
     tag: str
-    path: str
+    name: str  # tag and generalised classes
     parent: Node | None
-    dropped: bool
+    key: int  # of the path
+    place: int = 0  # in the stack of open elements
+    dropped: bool = False
+    named: str = ""  # what its names make of it: nothing, "advert" (or another part that is not the article) or "comment"
     semantic: bool = False
     depth: int = 0
     within: bool = False  # in an article
-    text: int = 0  # characters of running text below
-    links: int = 0  # of them, in links
-    blocks: list[str] = field(default_factory=list)
+    stop: Node | None = None  # the innermost open element, itself included, of _STOPS
+    closable: Node | None = None  # the same for elements that others of a list or table close, and their lists
+    own: int = 0  # characters of running text
+    own_links: int = 0  # of them, in links
+    text: int = 0  # the same with all elements below
+    links: int = 0
+    chosen: bool = False
+
+    @property
+    def path(self) -> str:
+        parts, node = [], self
+        while node is not None:
+            parts.append(node.name)
+            node = node.parent
+        return ">".join(reversed(parts))
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     """Text between two block boundaries, and the innermost element that holds it."""
 
@@ -79,27 +116,56 @@ class Block:
 
 
 def _generalised(tag: str, classes: str) -> str:
-    names = sorted({re.sub(r"\d+", "#", c) for c in classes.split()})
-    return ".".join([tag, *names[:4]])
+    if not classes:
+        return tag
+    return ".".join([tag, *sorted({_DIGITS.sub("#", c).replace(">", "#") for c in classes.split()})])
+
+
+def _key(above: int, name: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{above}>{name}")
+
+
+def path_key(path: str) -> int:
+    key = 0
+    for name in path.split(">"):
+        key = _key(key, name)
+    return key
+
+
+def _named(tag: str, attributes: dict[str, str], within: bool) -> str:
+    """What the element's names say it is: "", "part" or "comment". All words of a name must agree."""
+    text = f"{attributes.get('class', '')} {attributes.get('role', '')} {'' if within else attributes.get('id', '')}".lower()
+    found = ""
+    for name in text.split():
+        words = set(_WORDS.findall(name))
+        marks = words & NOT_ARTICLE
+        if not marks or words - marks - NEUTRAL or (tag not in NAMED and not marks & ADVERT):
+            continue
+        if tag not in NAMED and len(words) > 1 and not words <= ADVERT:
+            continue
+        if within and marks == {"header"}:
+            continue
+        if marks & COMMENT:
+            return "comment"
+        found = "part"
+    return found
 
 
-def _marks(attributes: dict[str, str]) -> set[str]:
-    """The words of an element's class names, id and role; names that only say what the element has or lacks, such as
-    has-sidebar, say nothing of what it is."""
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".lower().split()
-    words = [_WORDS.findall(n) for n in names]
-    return {w for parts in words if not QUALIFIERS & set(parts) for w in parts}
+CLOSABLE = set("li dt dd tr td th option tbody thead tfoot".split()) | LISTS
 
 
-def parse(html: str | None, by_name: bool = True) -> tuple[list[Node], list[Block]]:
-    """All block elements in page order, and all blocks of text that are not dropped. by_name: names of classes, ids and roles
-    can have an element dropped, not only its tag."""
-    root = Node("html", "html", None, False)
+def parse(html: str | None) -> tuple[list[Node], list[Block]]:
+    """All block elements in page order, and all blocks of text that no tag has dropped."""
+    root = Node("html", "html", None, _key(0, "html"))
+    root.stop = root
     nodes, blocks, stack = [root], [], [root]
-    inline: list[str] = []  # open inline elements of interest above the innermost block: only links
+    opened: dict[str, list[int]] = {}  # places of the open elements of each tag
+    inline: list[str] = []  # open links above the innermost block
     now = Block(root)
     text, at, end = html or "", 0, len(html or "")
     last = text.rfind(">")
+    ends: dict[str, tuple[int, int]] = {}
+    paragraph = -1
 
     def cut() -> None:
         nonlocal now
@@ -107,6 +173,11 @@ def parse(html: str | None, by_name: bool = True) -> tuple[list[Node], list[Bloc
             blocks.append(now)
         now = Block(stack[-1])
 
+    def close(place: int) -> None:
+        for node in stack[place:]:
+            opened[node.tag].pop()
+        del stack[place:]
+
     while at < end:
         if at > last and text[at] == "<":  # no tag ends from here on
             if not stack[-1].dropped:
@@ -129,17 +200,14 @@ def parse(html: str | None, by_name: bool = True) -> tuple[list[Node], list[Bloc
                 inline.pop()
             if tag == "p":
                 cut()  # parts blocks even where it closes nothing
-            if tag in BLOCKS or tag in DROPPED:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        inline.clear()
-                        cut()
-                        break
+            if (tag in BLOCKS or tag in DROPPED) and opened.get(tag):
+                close(opened[tag][-1])
+                inline.clear()
+                cut()
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(text, at)
-            at = close.end() if close else end
+            found = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(text, at)
+            at = found.end() if found else end
             continue
         if tag == "br":
             now.parts.append(" ")
@@ -150,58 +218,99 @@ def parse(html: str | None, by_name: bool = True) -> tuple[list[Node], list[Bloc
         attributes = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true"
         if tag not in BLOCKS and tag not in DROPPED:
-            if tag not in VOID and (hidden or by_name and _marks(attributes) & NOT_INLINE) and not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)  # an inline advert or the like
-                at = close.end() if close and "<p" not in text[at : close.start()] else at
+            if tag not in VOID and (hidden or attributes and _named(tag, attributes, True)) and not m[3].rstrip().endswith("/"):
+                # An inline advert or the like. Where its end, or a paragraph, comes next is looked up once for all of a kind.
+                if ends.get(tag, (0, 0))[0] < at:
+                    found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
+                    ends[tag] = found.span() if found else (end + 1, end + 1)
+                if paragraph < at:
+                    paragraph = text.find("<p", at) % (end + 2)  # beyond the end if there is none
+                start, after = ends[tag]
+                if start <= end and paragraph > start:
+                    at = after
             continue
         # A new block: what cannot hold it is closed.
         if tag in BLOCKS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and tag not in ("option",):
-                    del stack[i:]
-                    inline.clear()
-                    break
-                if stack[i].tag in CONTAINERS or stack[i].tag in ("ul", "ol", "dl"):
-                    break
+            stop = stack[-1].stop
+            if stop is not None and stop.tag in HEADINGS and tag != "option":
+                close(stop.place)
+                inline.clear()
             closes = CLOSES.get(tag, "").split()
-            while closes and len(stack) > 1:
-                inner = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in closes or stack[i].tag in ("ul", "ol", "dl", "table", "select")), 0)
-                if not inner or stack[inner].tag not in closes:
+            inner = stack[-1].closable if closes else None
+            while inner is not None:
+                if inner.tag in closes:
+                    close(inner.place)
+                    inner = stack[-1].closable
+                elif inner.tag in LISTS:
                     break
-                del stack[inner:]
+                else:
+                    inner = inner.parent.closable
         if tag in VOID:
             cut()
             continue
         above = stack[-1]
         within = above.within
-        marks = _marks(attributes) if by_name else set()
-        semantic = tag in ("article", "main") or bool({*re.split(r"[\s]+", attributes.get("class", "").lower().replace("-", "").replace("_", "")), attributes.get("id", "").lower().replace("-", "").replace("_", ""), attributes.get("role", "").lower()} & ARTICLE)
+        semantic = tag in ("article", "main") or bool(attributes) and _is_article(attributes)
+        named = _named(tag, attributes, within) if attributes and tag not in ("html", "body", "main") else ""
+        if semantic and named == "part" and not {"sidebar", *ADVERT} & set(_WORDS.findall(attributes.get("class", "").lower())) and tag != "article":
+            named = ""
         dropped = above.dropped or hidden or tag in DROPPED or (tag == "header" and not within)
-        if tag not in ("html", "body", "article", "main") and not (semantic and not marks & {"comment", "comments", "sidebar", "ad", "ads"}):
-            dropped = dropped or bool(marks & (NOT_ARTICLE - {"header"} if within else NOT_ARTICLE))
-        if tag == "article" and marks & {"comment", "comments", "reply", "promo", "related", "sponsored", "ad"}:
-            dropped = True
-        if tag == "html" or len(stack) >= MAX_DEPTH or tag == "body" and any(n.tag == tag for n in stack):
+        if tag == "html" or tag == "body" and opened.get(tag):
             cut()
             continue
-        node = Node(tag, f"{above.path}>{_generalised(tag, attributes.get('class', ''))}", above, dropped, semantic, above.depth + 1, within or semantic)
+        name = _generalised(tag, attributes.get("class", ""))
+        node = Node(tag, name, above, _key(above.key, name), len(stack), dropped, named, semantic, above.depth + 1, within or semantic)
+        node.stop = node if tag in _STOPS else above.stop
+        node.closable = node if tag in CLOSABLE else above.closable
         nodes.append(node)
+        opened.setdefault(tag, []).append(len(stack))
         stack.append(node)
         cut()
     cut()
     return nodes, blocks
 
 
+def _is_article(attributes: dict[str, str]) -> bool:
+    plain = lambda name: name.replace("-", "").replace("_", "")
+    names = {plain(x) for x in attributes.get("class", "").lower().split()} | {plain(attributes.get("id", "").lower()), attributes.get("role", "").lower()}
+    return bool(names & ARTICLE)
+
+
+def _sum(nodes: list[Node]) -> int:
+    """How much running text every element holds that is not dropped; returns the page's."""
+    for n in nodes:
+        n.text, n.links = (0, 0) if n.dropped else (n.own, n.own_links)
+    for n in reversed(nodes):  # an element comes after the one it is in
+        if n.parent is not None:
+            n.parent.text += n.text
+            n.parent.links += n.links
+    return nodes[0].text
+
+
 def weigh(nodes: list[Node], blocks: list[Block]) -> int:
-    """Fills in how much running text every element holds; returns the page's."""
+    """Decides which elements their names have dropped and fills in how much running text every element holds; returns the
+    page's. A page of which nothing would be left is read by its tags alone."""
     for b in blocks:
         size = len(_SPACE.sub(" ", "".join(b.parts)).strip())
-        node = b.node
-        while node is not None:
-            node.text += size
-            node.links += min(b.links, size)
-            node = node.parent
-    return nodes[0].text
+        b.node.own += size
+        b.node.own_links += min(b.links, size)
+    whole = _sum(nodes)
+    by_tag = [n.dropped for n in nodes]
+    article: dict[int, int] = {}  # key of an element's place: text of the article around it
+    for i, n in enumerate(nodes[1:], 1):
+        above = n.parent
+        around = article[id(n)] = above.text if above.semantic else article.get(id(above), 0)
+        if above.dropped:
+            n.dropped = True
+        elif n.named:
+            most = n.text > (MOST_OF_ARTICLE * around if above.within else MOST_OF_PAGE * whole)
+            n.dropped = n.dropped or n.named == "comment" or not most or 2 * n.links > n.text
+    total = _sum(nodes)
+    if not total and whole:
+        for n, dropped in zip(nodes, by_tag):
+            n.dropped = dropped
+        total = _sum(nodes)
+    return total
 
 
 def score(node: Node, total: int) -> float:
@@ -218,30 +327,32 @@ def best_containers(html: str | None, most: int = 3) -> list[tuple[str, float]]:
     """(path, score) of a page's best containers; equal paths count together."""
     nodes, blocks = parse(html)
     total = weigh(nodes, blocks)
-    by: dict[str, float] = {}
+    by: dict[int, list] = {}
     for n in nodes:
         if (s := score(n, total)) > 0:
-            by[n.path] = by.get(n.path, 0.0) + s
-    return sorted(by.items(), key=lambda x: (-x[1], -x[0].count(">"), x[0]))[:most]
+            by.setdefault(n.key, [n, 0.0])[1] += s
+    best = sorted(by.values(), key=lambda x: (-x[1], -x[0].depth, x[0].key))[:most]
+    return [(n.path, s) for n, s in best]
 
 
 def main_text(html: str | None, path: str | None, least_share: float = 0.2) -> str:
     """The text of the containers at path, or of the page's best container where they hold too little."""
     nodes, blocks = parse(html)
     total = weigh(nodes, blocks)
-    if not total:  # everything was dropped by what it is called
-        nodes, blocks = parse(html, False)
-        total = weigh(nodes, blocks)
-    chosen = {id(n) for n in nodes if n.path == path and not n.dropped}
-    if not chosen or sum(n.text for n in nodes if id(n) in chosen) < least_share * total:
+    wanted = None if path is None else path_key(path)
+    chosen = [n for n in nodes if n.key == wanted and not n.dropped]
+    for n in chosen:
+        n.chosen = True
+    if not chosen or sum(n.text for n in chosen) < least_share * total:
+        for n in chosen:
+            n.chosen = False
         best = max(nodes, key=lambda n: score(n, total))
-        chosen = {id(best if score(best, total) > 0 else nodes[0])}
+        (best if score(best, total) > 0 else nodes[0]).chosen = True
+    for n in nodes[1:]:
+        n.chosen = n.chosen or n.parent.chosen
     out = []
     for b in blocks:
-        node = b.node
-        while node is not None and id(node) not in chosen:
-            node = node.parent
-        if node is not None and (clean := _SPACE.sub(" ", "".join(b.parts)).strip()):
+        if b.node.chosen and not b.node.dropped and (clean := _SPACE.sub(" ", "".join(b.parts)).strip()):
             out.append(clean)
     return " ".join(out)
 

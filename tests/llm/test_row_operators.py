@@ -219,8 +219,62 @@ def test_html_shapes():
     assert html_extraction.main_text("<div><p>short</p></div>", "html>body>gone") == "short"
 
 
+ARTICLE_TEXT = "word " * 60
+
+
+@pytest.mark.parametrize(
+    "inner, kept",
+    [
+        ('<h2 id="related-work">Related work</h2>', "Related work"),
+        ('<h2 id="cookies">Cookies</h2>', "Cookies"),
+        ('<h3 id="social-impact" class="section-title">Social impact</h3>', "Social impact"),
+        ('<p class="feedback">They gave feedback.</p>', "They gave feedback."),
+        ('<p id="notice-period">A month.</p>', "A month."),
+        ('<section class="search-engines"><p>On engines.</p></section>', "On engines."),
+        ('<table class="search-results-table"><tr><td>1<td>2</table>', "1 2"),
+        ('<div class="share-price-table">12.5</div>', "12.5"),
+        ('<div id="cookies">How cookies are baked.</div>', "How cookies are baked."),
+        ('<p>Half <span class="share">of the market</span> fell.</p>', "Half of the market fell."),
+        ('<div class="has-sidebar no-ads">Text.</div>', "Text."),
+        ('<div class="menu">' + "dish " * 400 + "</div>", ("dish " * 400).strip()),  # most of the article
+        ('<div class="ad-slot-2">buy</div>', ""),
+        ('<div class="share-buttons"><a href="x">share</a></div>', ""),
+        ('<p class="advert">buy</p>', ""),
+        ('<p>One <span class="ad">buy</span>two.</p>', "One two."),
+        ('<aside>side</aside><form><p>name</p></form>', ""),
+        ('<section class="comments"><p>' + "reader " * 400 + "</p></section>", ""),  # comments go whatever their share
+        ('<div class="related-posts"><ul><li><a href="x">more</a></ul></div>', ""),
+    ],
+)
+def test_names_drop_only_what_they_name(inner, kept):
+    page = f'<body><nav>menu</nav><div class="site-header">top</div><article><p>{ARTICLE_TEXT}</p>{inner}</article><div id="footer">end</div><div class="cookie-notice">we use</div></body>'
+    assert html_extraction.main_text(page, None) == f"{ARTICLE_TEXT.strip()} {kept}".strip()
+
+
+def test_a_name_does_not_drop_nearly_all_of_a_page():
+    text = lambda h: html_extraction.main_text(h, None)
+    assert text(f'<div class="post-form"><p>{ARTICLE_TEXT}</p></div><p>rest</p>') == ARTICLE_TEXT + "rest"
+    assert text(f'<div class="banner"><p>{ARTICLE_TEXT}</p></div><p>rest</p>') == ARTICLE_TEXT + "rest"
+    assert text('<div class="comments"><p>only readers</p></div>') == "only readers"  # nothing else is there
+
+
+@pytest.mark.parametrize("depth", [150, 250, 1000])
+def test_any_depth(depth):
+    page = "<div>" * depth + '<p>lead</p>deep<nav>MENU</nav><div class="ad">BUY</div><p>tail</p>' + "</div>" * depth + "<footer>end</footer>"
+    assert html_extraction.main_text(page, None) == "lead deep tail"
+    page = f"<main><p>{ARTICLE_TEXT}</p>" + '<div class="a b c d e">' * depth + "x" + "</div>" * depth + "<p>after</p></main><p>outside</p>"
+    assert html_extraction.main_text(page, None) == ARTICLE_TEXT + "x after"
+
+
+def test_all_class_names_tell_paths_apart():
+    page = "<div class='a b c d e1'><p>{0}</p></div><div class='a b c d f'><p>other {0}</p></div>".format("word " * 20)
+    paths = [p for p, _ in html_extraction.best_containers(page)]
+    assert "html>div.a.b.c.d.e#" in paths and "html>div.a.b.c.d.f" in paths
+    assert html_extraction.main_text(page, "html>div.a.b.c.d.e#") == ("word " * 20).strip()
+
+
 def test_html_is_linear():
-    for bad in ("<" * 100_000, "<a " * 50_000, "<div>" * 20_000 + "x", '<a b="' * 50_000, "</p>" * 50_000, "<p>x" * 50_000, "<li>" * 50_000, LONG):
+    for bad in ('<span hidden>' * 50_000, '<span hidden>' * 50_000 + "<p></span>", "<section>" * 20_000 + "</div>" * 50_000, "<li><ul>" + "<div>" * 20_000 + "<li></li>" * 20_000, "<" * 100_000, "<a " * 50_000, "<div>" * 20_000 + "x", '<a b="' * 50_000, "</p>" * 50_000, "<p>x" * 50_000, "<li>" * 50_000, LONG):
         html_extraction.main_text(bad, None)
 
 
