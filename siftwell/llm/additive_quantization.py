@@ -10,10 +10,12 @@ Equal vectors are searched as one, which stands for its smallest ids, and equal
 vector of a chosen code is rescored, and all codes that tie with the last one chosen are chosen too. So no copy and
 no near copy is lost to the cut.
 
-Queries meet all codes in a grid of query blocks and code blocks, so neither side is broadcast and a task's
-memory is one block of each. Defined results: vectors that are null, zero, of another length than most or that
-hold a null or a non-finite component take no part on either side; a query with fewer candidates gets all of
-them; ties go to the smaller id; of repeated ids one row takes part.
+Queries meet all codes in a grid of query blocks and code blocks, so neither side is broadcast; a task holds one
+block of each and the lookup tables of QUERIES_AT_ONCE queries. Defined results: vectors that are null, zero, of another
+length than most (of equally common lengths the shorter) or that hold a null or a non-finite component take no part on
+either side; a query with fewer candidates gets all of them; ties go to the smaller id; of the rows of one id that can
+take part the one with the smallest vector does; rows with a null id take no part; an empty table gives an empty
+result; columns besides the two named ones are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -29,6 +31,12 @@ from pyspark.sql import functions as F
 from .common import map_batches, materialise
 
 
+#: Queries whose lookup tables a task holds at a time: levels x size x 4 bytes each.
+QUERIES_AT_ONCE = 256
+#: Bytes of a component, and of an id or a count, by which tables are bounded.
+_WIDE = 9
+
+
 @dataclass
 class Codebooks:
     words: np.ndarray  # levels x size x dimensions
@@ -134,18 +142,21 @@ def search(
     """is_query: a condition on id_col. Returns query_id, rank, id_col, score. train_rows bounds the sample that the codebooks
     are fitted on; every row is indexed. measure: inner (product) or euclidean (score is the negative squared distance)."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null").where(usable("v"))
-    # One row an id; the commonest length is the index's. Both without moving more than a row an id.
-    rows = materialise(rows.withColumn("n", F.size("v")).groupBy("id").agg(F.min("v").alias("v"), F.min("n").alias("n")), "vectors", compact=True)
-    lengths = rows.groupBy("n").count().orderBy(F.desc("count"), "n").limit(1).collect()
+    # Vectors travel in their own type; products are taken in double precision.
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v")).where("id is not null").where(usable("v"))
+    # The commonest length is the index's; rows of other lengths go before one row of each id is chosen.
+    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     total, dimensions = (lengths[0]["count"], lengths[0]["n"]) if lengths else (0, 1)
-    rows = rows.where(F.col("n") == dimensions).select("id", "v", is_query(F.col("id")).alias("q"))
+    size_of = lambda n: n * _WIDE * (dimensions + 4)
+    rows = materialise(rows.where(F.size("v") == dimensions).groupBy("id").agg(F.min("v").alias("v")), "vectors", size_of(total)).withColumn("q", is_query(F.col("id")))
     # One row a vector: its k + 1 smallest ids are all that any query can need of it. The limit works before the shuffle too.
     copies = Window.partitionBy("v").orderBy("id")
     few = rows.select("id", "v").withColumn("place", F.row_number().over(copies)).where(F.col("place") <= k + 1)
-    vectors = materialise(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "v", "ids"), "distinct-vectors", compact=True)
+    vectors = materialise(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "v", "ids"), "distinct-vectors", size_of(total))
     total = vectors.count() if total else 0
-    share = min(1.0, train_rows / max(1, total))
+    share = min(1.0, train_rows / max(1, total))  # at most 2 * train_rows vectors come to the driver
     picked = vectors.where(F.pmod(F.xxhash64("id", F.lit("codebooks")), F.lit(1_000_003)) < share * 1_000_003).select("id", "v").limit(2 * train_rows).collect()
     schema = f"query_id bigint, rank int, `{id_col}` bigint, score double"
     if not total:
@@ -153,19 +164,21 @@ def search(
     sample = _matrix([r["v"] for r in sorted(picked)] or [vectors.select("v").first()["v"]])
     books = spark.sparkContext.broadcast(train(sample, levels=levels, size=size, beam=beam))
     # Queries with equal vectors ask as one, named by the smallest.
-    asking = materialise(rows.where("q").groupBy("v").agg(F.min("id").alias("query")).select("query", "v"), "query-vectors", compact=True)
+    asking = materialise(rows.where("q").groupBy("v").agg(F.min("id").alias("query")).select("query", "v"), "query-vectors", size_of(total))
     queries = asking.count()
     parallel = max(2, spark.sparkContext.defaultParallelism)
     code_blocks = -(-total // code_block)
     query_blocks = max(-(-queries // query_block), min(parallel, -(-queries // 64)), 1)
 
+    word = np.uint8 if books.value.size <= 256 else np.uint16
+
     def code(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             if b["id"]:
                 codes, norms = encode(books.value, _matrix(b["v"]))
-                yield b | {"code": [c.tobytes() for c in codes.astype(np.uint16)], "norm": norms.tolist()}
+                yield b | {"code": [c.tobytes() for c in codes.astype(word)], "norm": norms.tolist()}
 
-    coded = materialise(map_batches(vectors, code, "id bigint, v array<double>, ids array<bigint>, code binary, norm float").withColumn("key", F.xxhash64("code")), "vector-codes")
+    coded = materialise(map_batches(vectors, code, f"id bigint, v {kind}, ids array<bigint>, code binary, norm float").withColumn("key", F.xxhash64("code")), "vector-codes")
     codes = coded.groupBy("key").agg(F.min("code").alias("code"), F.min("norm").alias("norm"))
     grid_codes = codes.withColumn("c", F.pmod(F.xxhash64("key"), F.lit(code_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).select("key", "code", "norm", "c", "q")
     asked = asking.select("query", "v", F.pmod(F.xxhash64("query", F.lit("query")), F.lit(query_blocks)).cast("int").alias("q"))
@@ -179,18 +192,20 @@ def search(
             keys = right["key"].to_numpy()
             order = np.argsort(keys)
             keys = keys[order]
-            flat = (np.frombuffer(b"".join(right["code"]), np.uint16).reshape(len(right), -1)[order] + np.arange(b.levels) * b.size).T.copy()
-            tables = _matrix(left["v"].tolist()) @ b.words.reshape(-1, b.words.shape[2]).T
+            flat = (np.frombuffer(b"".join(right["code"]), word).reshape(len(right), -1)[order].T + (np.arange(b.levels) * b.size)[:, None]).astype(np.int32)
             keep = min(rerank + 1, len(keys))  # the query's own code may be one of them
             norms = right["norm"].to_numpy()[order] * np.float32(-0.5 if measure == "euclidean" else 0)
-            for query, table in zip(left["query"], tables):
-                guess = norms + table[flat[0]]
-                for level in flat[1:]:
-                    guess += table[level]
-                best = np.flatnonzero(guess >= np.partition(guess, len(guess) - keep)[len(guess) - keep])
-                out["query"].append(np.full(len(best), query))
-                out["key"].append(keys[best])
-                out["guess"].append(guess[best])
+            for at in range(0, len(left), QUERIES_AT_ONCE):
+                part = left.iloc[at : at + QUERIES_AT_ONCE]
+                tables = _matrix(part["v"].tolist()) @ b.words.reshape(-1, b.words.shape[2]).T
+                for query, table in zip(part["query"], tables):
+                    guess = norms + table[flat[0]]
+                    for level in flat[1:]:
+                        guess += table[level]
+                    best = np.flatnonzero(guess >= np.partition(guess, len(guess) - keep)[len(guess) - keep])
+                    out["query"].append(np.full(len(best), query))
+                    out["key"].append(keys[best])
+                    out["guess"].append(guess[best])
         return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()}).astype({"query": "int64", "key": "int64", "guess": "float32"})
 
     found = grid_queries.groupBy("c", "q").cogroup(grid_codes.groupBy("c", "q")).applyInPandas(lookup, "query bigint, key bigint, guess float")
@@ -199,7 +214,8 @@ def search(
         found = found.withColumn("place", F.rank().over(nearest)).where(F.col("place") <= rerank + 1)
     pairs = found.select("query", "key").join(coded.select("key", "id", "v", "ids"), "key").join(asking.withColumnRenamed("v", "w"), "query")
     term = (lambda a, b: a * b) if measure == "inner" else (lambda a, b: -(a - b) * (a - b))
-    exact = F.aggregate(F.zip_with("v", "w", term), F.lit(0.0), lambda s, x: s + x)
+    wide = lambda c: c.cast("double")
+    exact = F.aggregate(F.zip_with("v", "w", lambda a, b: term(wide(a), wide(b))), F.lit(0.0), lambda s, x: s + x)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     # The best k + 1 vectors hold the best k + 1 ids, for a vector goes by its smallest id; one of them may be the query itself.
     best = pairs.select("query", "id", "ids", exact.alias("score")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)

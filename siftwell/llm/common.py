@@ -25,10 +25,12 @@ _own_folders: dict[str, str] = {}
 
 def shared_folder(spark: SparkSession) -> str:
     """A folder that the driver and every executor see: under the session's spark.checkpoint.dir, or under a temporary folder
-    where that is unset (single-machine tests only)."""
+    where that is unset and the one machine is all there is."""
     app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None) or _own_folders.get(app)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="siftwell-")
     return f"{root.rstrip('/')}/siftwell-{app}"
 
@@ -41,16 +43,43 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+#: Bytes of a written file at which tables with a known bound are cut.
+FILE_BYTES = 128 << 20
+
+
+def materialise(df: DataFrame, name: str, at_most: int | None = None) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it back, so that losing an executor costs a re-read
-    and never a recomputation. compact: for light tables that come out of a shuffle, into no more files than twice the cores,
-    since every file costs its making."""
+    and never a recomputation. at_most: a counted bound of the table's bytes, where there is one; so many files of FILE_BYTES
+    are enough for it (twice the cores at least), and every file costs its making."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if compact else df).write.parquet(path)
+    if at_most is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-at_most // FILE_BYTES)))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes what materialise wrote for df, which must not be read again. Only under the shared folder."""
+    spark = df.sparkSession
+    own = shared_folder(spark)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"/{own.rsplit('/', 1)[1]}/" in path:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def joined_by_key(rows: DataFrame, by_key: DataFrame, key: str, most: int, few: int, width: int, written: list[DataFrame]) -> DataFrame:
+    """rows joined with by_key, which has one row a key and at most ``most`` rows. If these are no more than ``few``, they are
+    broadcast; else they are written (and put on the list), so that both sides of the join come plainly out of a shuffle and
+    Spark can split a key that many rows have."""
+    if most <= few:
+        return rows.join(F.broadcast(by_key), key)
+    kept = materialise(by_key, "by-key", most * width)
+    written.append(kept)
+    return rows.join(kept, key)
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
@@ -61,19 +90,20 @@ def hash_share(column: Column, salt: str) -> Column:
     return F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(1_000_003)) / F.lit(1_000_003.0)
 
 
-def sample_per_label(rows: DataFrame, label: str, key: str, per_label: int, salt: str, max_labels: int = 512) -> DataFrame:
+def sample_per_label(rows: DataFrame, label: str, key: str, per_label: int, salt: str, max_labels: int = 2000) -> DataFrame:
     """A deterministic sample of about per_label rows of each label, for fitting classifiers only.
 
     The share of each label comes from counts over all rows; the choice depends on the hash of key.
-    Repeated keys hash alike, so a hard bound of twice the expected number of rows closes the sample.
+    Repeated keys hash alike, so a hard bound of twice the expected number of rows closes the sample. More than max_labels
+    labels are an error: none is left out.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
+    counts = rows.groupBy(label).count().limit(max_labels + 1).collect()
+    if len(counts) > max_labels:
+        raise ValueError(f"more than {max_labels} values of {label}")
     if not counts:
         return rows.limit(0)
-    share = F.lit(None).cast("double")
-    for row in counts:
-        share = F.when(F.col(label) == F.lit(row[0]), F.lit(min(1.0, per_label / row[1]))).otherwise(share)
-    return rows.where(hash_share(F.col(key), salt) < share).limit(2 * per_label * len(counts))
+    shares = F.create_map(*[F.lit(x) for row in counts for x in (row[0], min(1.0, per_label / row[1]))])
+    return rows.where(hash_share(F.col(key), salt) < F.try_element_at(shares, F.col(label))).limit(2 * per_label * len(counts))
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str, rows: int = 1000) -> DataFrame:

@@ -12,8 +12,15 @@ gathers an unbounded group. The number of runs follows from the target recall: t
 the threshold survives all splits.
 
 Buckets compare minwise sketches and hand on only a spanning forest of likely links, never all pairs. The
-clusters that these make are verified on their exact n-gram sets, read from the texts once more, again in tiles;
-links are counted there and classes are the components of the verified links.
+clusters that these make are verified on their exact n-gram sets, read from the texts once more: a cluster of up to
+``tile`` members in one task. Of a larger one every text travels once, to a block of its cluster where the cluster's
+centre is too, and is kept as its difference from the centre: the centre's n-grams that it lacks and those that it
+has besides. Blocks then meet in tiles of ``diff_tile`` by ``diff_tile`` differences, which say exactly how many
+n-grams any two members share. Links are counted there and classes are the components of the verified links.
+
+Hot nodes and groups: sizes by node, component or vertex are broadcast while their count is small and written before
+they are joined otherwise, which lets Spark split a key that many rows have. Exact copies beyond the first cost a
+signature each.
 
 Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return; case and
 punctuation count. Defined results: a text with fewer words than n is the single gram of all its words; a null
@@ -31,12 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, map_groups, materialise
+from .common import discard, joined_by_key, map_batches, map_groups, materialise
 from .components import connected_components
 
 COORDINATES = 128
 #: Up to so many rows of ids (of 8 to 40 bytes) are broadcast; more are joined by key.
 BROADCAST_ROWS = 1_000_000
+#: The same for tables of keys and counts inside the join.
+BROADCAST_KEYS = 200_000
 _rng = np.random.default_rng(2023)
 _MULTIPLY = (_rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
 _ADD = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -120,7 +129,7 @@ def _forest(linked: np.ndarray) -> np.ndarray:
 def common_grams(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, by blocks of columns of the incidence matrix; grams of one set only are left out."""
     m = len(sets)
-    out = np.zeros((m, m), np.float32)
+    out = np.zeros((m, m))
     if m <= 6:
         for i in range(m):
             for j in range(i):
@@ -142,22 +151,34 @@ def common_grams(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _tiled(members: DataFrame, group: str, n: str, key: str, tile: int) -> DataFrame:
-    """Adds t and u: the tiles a member takes part in, all (t, u) with t <= u where its own block is one of both. A group
-    of up to tile members has the one tile (0, 0)."""
-    blocks = F.ceil(F.col(n) / F.lit(tile)).cast("int")
-    mine = F.pmod(F.xxhash64(F.col(key), F.lit("block")), blocks).cast("int")
-    return (
-        members.withColumn("own", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("t", F.least("own", "other"))
-        .withColumn("u", F.greatest("own", "other"))
-        .drop("other")
-    )
+def _blocks(n: str, tile: int):
+    return F.ceil(F.col(n) / F.lit(tile)).cast("int")
+
+
+def _tiled(members: DataFrame) -> DataFrame:
+    """members have own, their block of ``blocks``. Adds t and u: the tiles a member takes part in, all (t, u) with t <= u where
+    its own block is one of both. A group of one block has the one tile (0, 0)."""
+    other = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.withColumns({"t": F.least("own", "other"), "u": F.greatest("own", "other")}).drop("other")
+
+
+def _links(ids: np.ndarray, own: np.ndarray, copies: np.ndarray, size: np.ndarray, both: np.ndarray, threshold: float, one_block: bool) -> dict[str, list]:
+    """Links and a forest of them, from the sizes of sets and of their intersections. Pairs within a block count only if the tile
+    is of one block."""
+    linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
+    if len(set(ids.tolist())) < len(ids):  # the texts of one id are one document, linked as any of them is
+        _, first, at = np.unique(ids, return_index=True, return_inverse=True)
+        some = np.zeros((len(first), len(first)), bool)
+        np.logical_or.at(some, (at[:, None], at[None, :]), linked)
+        ids, own, copies, linked = ids[first], own[first], copies[first], some
+    np.fill_diagonal(linked, False)
+    counted = linked if one_block else linked & (own[:, None] != own[None, :])
+    root = _forest(linked)
+    return {"node": ids.tolist(), "links": (counted @ copies).tolist(), "root": ids[root].tolist()}
 
 
 def classes(
-    docs: DataFrame, *, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, recall: float = 0.999, bucket: int = 64, depth: int = 3, tile: int = 512, slack: float = 0.14, broadcast_rows: int = BROADCAST_ROWS
+    docs: DataFrame, *, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, recall: float = 0.999, bucket: int = 64, depth: int = 3, tile: int = 512, diff_tile: int = 1024, slack: float = 0.14, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Every document: id_col, class_id (the smallest id of its class) and n_links (documents linked with it, copies included)."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
@@ -173,8 +194,11 @@ def classes(
             yield out
 
     signed = materialise(map_batches(source, sign, "id bigint, digest binary, signature binary"), "signatures")
+    rows = signed.count()
+    few = min(broadcast_rows, BROADCAST_KEYS)
     distinct = signed.where("digest is not null").groupBy("digest", "id").agg(F.first("signature").alias("signature"))  # rows with one id count once
-    reps = materialise(distinct.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")), "representatives", compact=True)
+    reps = distinct.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
+    reps = materialise(reps, "representatives", rows * (4 * COORDINATES + 48))
     runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, depth))))
 
     def roots(batches: Iterator[dict]) -> Iterator[dict]:
@@ -198,14 +222,18 @@ def classes(
 
     signatures = reps.select("rep", "signature")
     members = map_batches(signatures, roots, "node bigint, rep bigint")
-    leaves = None
+    leaves, written = None, []
     for level in range(1, depth + 1):
+        members = materialise(members, "members")
         sizes = members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        sized = materialise(members.join(sizes, "node"), "nodes", compact=True)  # members that are alone in a node go
+        sizes = materialise(sizes, "nodes", members.count() * 12)
+        written += [members, sizes]
+        own = F.broadcast(sizes) if sizes.count() <= few else sizes  # a counted table, else one that is joined with hot nodes split
+        sized = members.join(own, "node")  # members that are alone in a node go
         small = sized if level == depth else sized.where(f"n <= {bucket}")
         leaves = small if leaves is None else leaves.unionByName(small)
         large = sized.where(f"n > {bucket}")
-        if level == depth or large.isEmpty():
+        if level == depth or sizes.where(f"n > {bucket}").isEmpty():
             break
         members = map_batches(large.select("node", "rep").join(signatures, "rep").select("node", "rep", "signature"), split, "node bigint, rep bigint")
 
@@ -221,46 +249,76 @@ def classes(
         moved = root != np.arange(len(root))
         return {"a": own[moved].tolist(), "b": own[root[moved]].tolist()}
 
-    tiles = _tiled(leaves.select("node", "rep", "n"), "node", "n", "rep", tile).join(signatures, "rep").select("node", "t", "u", "rep", "signature")
-    edges = map_groups(tiles, ["node", "t", "u"], compare, "a bigint, b bigint")
-    clusters = connected_components(edges, a="a", b="b")
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    chosen = _tiled(clusters.join(sizes, "component"), "component", "n", "node", tile).join(reps.groupBy(F.col("rep").alias("node")).agg(F.max("copies").alias("copies")), "node")
-    chosen = materialise(chosen.select(F.col("node").alias("id"), "component", "own", "t", "u", "copies"), "clusters", compact=True)
+    leaves = leaves.select("node", "rep", _blocks("n", tile).alias("blocks"))
+    leaves = leaves.withColumn("own", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
+    tiles = _tiled(leaves).join(signatures, "rep").select("node", "t", "u", "rep", "signature")
+    edges = materialise(map_groups(tiles, ["node", "t", "u"], compare, "a bigint, b bigint"), "likely-links")
+    for table in written:
+        discard(table)
+    clusters = connected_components(edges, a="a", b="b", most_edges=edges.count(), few=few)
+    count = clusters.count()
+    kept: list[DataFrame] = []
+    clusters = joined_by_key(clusters, clusters.groupBy("component").agg(F.count("*").alias("n")), "component", count, few, 24, kept)
+    clusters = clusters.join(reps.groupBy(F.col("rep").alias("node")).agg(F.max("copies").alias("copies")), "node")
+    # Clusters of up to a tile are whole; of others every block gets the centre, the cluster's smallest member, besides its own.
+    clusters = clusters.withColumn("blocks", F.when(F.col("n") <= tile, 0).otherwise(_blocks("n", diff_tile)))
+    clusters = clusters.withColumn("own", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks"))).otherwise(0).cast("int"))
+    clusters = clusters.select(F.col("node").alias("id"), "component", "blocks", "own", "copies", F.lit(False).alias("centre"))
+    centres = clusters.where("blocks > 0 and id = component").withColumns({"own": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "centre": F.lit(True)})
+    chosen = materialise(clusters.unionByName(centres.select(clusters.columns)), "clusters", 2 * count * 48)
     if chosen.count() <= broadcast_rows:
         chosen = F.broadcast(chosen)  # at most broadcast_rows rows of 40 bytes
 
+    nothing = {k: None for k in ("component", "blocks", "own", "copies", "size", "lacks", "adds")}
+
     def verify(key: tuple, rows: dict[str, list]) -> dict[str, list]:
+        """Links of a whole cluster, or the differences of a block's members from the cluster's centre."""
         hashes = _WordHashes()
-        sets, place = [], []
-        seen = set()
+        sets: list[np.ndarray] = []
+        place, seen, centre = [], set(), None
         for i, text in enumerate(rows["text"]):
             grams = shingles(text, n, hashes)
-            mark = (rows["id"][i], xxhash.xxh3_128_digest(grams.tobytes()))
-            if len(grams) and mark not in seen:
-                seen.add(mark)
+            digest = xxhash.xxh3_128_digest(grams.tobytes())
+            if rows["centre"][i]:
+                centre = (digest, grams) if centre is None else min(centre, (digest, grams), key=lambda x: x[0])  # of an id with several texts the same one everywhere
+            elif len(grams) and (rows["id"][i], digest) not in seen:
+                seen.add((rows["id"][i], digest))
                 sets.append(grams)
                 place.append(i)
+        ids, own, copies = (np.array([rows[k][i] for i in place], np.int64) for k in ("id", "own", "copies"))
         if not sets:
-            return {"node": [], "links": [], "root": []}
-        ids, own, copies = (np.array(rows[k])[place] for k in ("id", "own", "copies"))
-        both = common_grams(sets)
-        size = np.array([len(s) for s in sets], np.float64)
-        linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-        if len(set(ids.tolist())) < len(ids):  # the texts of one id are one document, linked as any of them is
-            _, first, at = np.unique(ids, return_index=True, return_inverse=True)
-            some = np.zeros((len(first), len(first)), bool)
-            np.logical_or.at(some, (at[:, None], at[None, :]), linked)
-            ids, own, copies, linked = ids[first], own[first], copies[first], some
-        np.fill_diagonal(linked, False)
-        counted = linked & ((own[:, None] != own[None, :]) | (key[1] == key[2]))  # pairs within a block count in its own tile only
-        root = _forest(linked)
-        return {"node": ids.tolist(), "links": (counted @ copies).tolist(), "root": ids[root].tolist()}
-
-    texts = source.join(chosen, "id").select("component", "t", "u", "id", "own", "copies", "text")
-    found = materialise(map_groups(texts, ["component", "t", "u"], verify, "node bigint, links bigint, root bigint"), "links")
+            return {k: [] for k in ("node", "links", "root", *nothing)}
+        if centre is None:
+            size = np.array([len(s) for s in sets], np.float64)
+            found = _links(ids, own, copies, size, common_grams(sets), threshold, True)
+            return found | {k: [v] * len(found["node"]) for k, v in nothing.items()}
+        m, blocks = len(sets), rows["blocks"][place[0]]
+        lacks = [np.flatnonzero(~np.isin(centre[1], s, assume_unique=True)).astype(np.uint32).tobytes() for s in sets]
+        adds = [np.setdiff1d(s, centre[1], assume_unique=True).tobytes() for s in sets]
+        known = {"component": [key[0]] * m, "blocks": [blocks] * m, "own": own.tolist(), "copies": copies.tolist(), "size": [len(s) for s in sets], "lacks": lacks, "adds": adds}
+        return {"node": ids.tolist(), "links": [None] * m, "root": [None] * m} | known
+
+    def verify_differences(key: tuple, rows: dict[str, list]) -> dict[str, list]:
+        ids, own, copies = (np.array(rows[k]) for k in ("node", "own", "copies"))
+        size = np.array(rows["size"], np.float64)
+        lacks, adds = [np.frombuffer(x, np.uint32) for x in rows["lacks"]], [np.frombuffer(x, np.uint64) for x in rows["adds"]]
+        lost = np.array([len(x) for x in lacks], np.float64)
+        centre = size[0] - len(adds[0]) + lost[0]
+        both = centre - lost[:, None] - lost[None, :] + common_grams(lacks) + common_grams(adds)
+        return _links(ids, own, copies, size, both, threshold, key[1] == key[2])
+
+    texts = source.join(chosen, "id").select("component", "own", "blocks", "id", "copies", "centre", "text")
+    schema = "node bigint, links bigint, root bigint, component bigint, blocks int, own int, copies bigint, size bigint, lacks binary, adds binary"
+    found = materialise(map_groups(texts, ["component", "own"], verify, schema), "links")
+    differences = found.where("size is not null")
+    found = found.where("size is null").select("node", "links", "root")
+    if not differences.isEmpty():
+        tiles = _tiled(differences.drop("links", "root"))
+        found = found.unionByName(materialise(map_groups(tiles, ["component", "t", "u"], verify_differences, "node bigint, links bigint, root bigint"), "links-of-blocks"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots_of = connected_components(found.select("node", "root"), a="node", b="root")
+    roots_of = connected_components(found.select("node", "root"), a="node", b="root", most_edges=found.count(), few=few)
+    for table in kept:
+        discard(table)
     by_rep = links.join(roots_of, "node", "left").select(F.col("node").alias("rep"), "links", "component")
     known = signed.where("digest is not null").select("id", "digest").distinct().join(reps.select("digest", "rep", "copies"), "digest").join(by_rep, "rep", "left")
     result = known.select("id", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
@@ -276,18 +334,18 @@ def without_duplicates(docs: DataFrame, *, id_col: str, text_col: str, **options
     rows with one id and equal texts one stays. Rows with a null id stay."""
     few = options.get("broadcast_rows", BROADCAST_ROWS)
     if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
-        found = materialise(classes(docs, id_col=id_col, text_col=text_col, **options), "classes", compact=True)
+        found = materialise(classes(docs, id_col=id_col, text_col=text_col, **options), "classes", 24 * docs.count())
         gone = found.where(F.col(id_col) != F.col("class_id")).select(id_col)
         if gone.count() <= few:
             gone = F.broadcast(gone)  # ids only, counted; the texts then stay where they are
         return docs.join(gone, id_col, "left_anti")
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
     mine = rows.where(F.col(id_col).isNotNull())
-    found = materialise(classes(mine, id_col="_row", text_col=text_col, **options), "classes", compact=True)
+    found = materialise(classes(mine, id_col="_row", text_col=text_col, **options), "classes", 24 * rows.count())
     keys = mine.select("_row", F.col(id_col).alias("id"), F.sha2(F.col(text_col).cast("binary"), 256).alias("digest")).join(found.select("_row", "class_id"), "_row")
     best = keys.groupBy("class_id").agg(F.min(F.struct("id", "digest", "_row")).alias("best")).select("best.*")
     best = best.groupBy("id", "digest").agg(F.min("_row").alias("_row"))  # texts without a word are in no class with others
-    gone = materialise(found.select("_row").join(best.select("_row"), "_row", "left_anti"), "gone", compact=True)
+    gone = materialise(found.select("_row").join(best.select("_row"), "_row", "left_anti"), "gone", 12 * rows.count())
     if gone.count() <= few:
         gone = F.broadcast(gone)
     return rows.join(gone, "_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -161,7 +161,7 @@ def pack(docs: DataFrame, *, id_col: str, text_col: str, vocabulary: str, patter
     rows = materialise(map_batches(source, local, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, bin bigint, offset bigint, number bigint"), "packed-pieces")
     loose = rows.where("number is not null")
     # Numbers of loose pieces count on from partition to partition.
-    counts = materialise(loose.groupBy("part", "length").agg(F.count("*").alias("n")), "loose-pieces", compact=True)
+    counts = materialise(loose.groupBy("part", "length").agg(F.count("*").alias("n")), "loose-pieces", 24 * rows.count())
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     runs, _ = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
