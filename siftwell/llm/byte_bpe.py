@@ -3,11 +3,12 @@
 A pre-token's bytes form a doubly linked list. Every mergeable pair is filed in a bucket of its merge rank,
 and a bitmap with a summary level above it marks the ranks whose bucket holds anything. Find-first-set picks
 the lowest rank; its bucket's positions are merged from left to right and entries whose pair has changed
-meanwhile are skipped. A merge costs a few word operations whatever the pre-token's length, so very long
-pre-tokens take time in proportion to their length.
+meanwhile are skipped. A merge costs a few word operations whatever the pre-token's length, and the logarithm of the
+bucket's size to keep its positions in order, so very long pre-tokens take nearly time in proportion to their length.
 
 Short pre-tokens repeat, so their ids are kept in a bounded cache. Defined results: a null text counts as
-empty and has no ids; special-token strings are ordinary text; any byte string can be decoded.
+empty and has no ids; special-token strings are ordinary text; any byte string can be decoded; repeated rows and
+repeated ids are encoded row by row; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ def url_filters(host_rules: list[tuple[str, str]]) -> str:
 with rules(verdict, rule, host, path) as (values {rules}),
 a as (select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
 fits as (select a.page_id, r.rule, r.verdict, row_number() over (partition by a.page_id order by length(r.rule) desc, r.rule) as n from a join rules r on (a.host = r.host or a.host like '%.' || r.host) and starts_with(a.path, r.path))
-select a.page_id, a.host, a.path, f.rule, case when f.rule is not null then f.verdict when len(list_intersect(string_split_regex(a.host || a.path, '[./]'), [{parts}])) > 0 then 'block' else 'allow' end as verdict
+select a.page_id, a.host, a.path, f.rule, case when f.rule is not null then f.verdict when len(list_intersect(regexp_extract_all(a.host || a.path, '[A-Za-z0-9_%\\x{{80}}-\\x{{10FFFF}}-]+'), [{parts}])) > 0 then 'block' else 'allow' end as verdict
 from a left join fits f on f.page_id = a.page_id and f.n = 1"""
 
 
@@ -47,12 +47,11 @@ def _distance(pairs: str, key: str) -> str:
 
 def quality_rules(common_words: int = 100, b: Bounds = Bounds()) -> str:
     """The counts and both distances, rounded as the query rounds them."""
-    classes = [("[a-z\\x{C0}-\\x{10FFFF}]", 0), ("[A-Z]", 1), ("[0-9]", 2), ("[ \\t\\r\\x0b\\x0c]", 3), ("\\n", 4), ("[.,;:?\\x27\\x22()-]", 5)]
-    counted = ", ".join(f"len(regexp_extract_all(t, '{p}')) as k{i}" for p, i in classes)
-    # Characters of U+0080 to U+00BF start with a byte of the letters' class, as all others beyond ASCII do.
-    counted = counted.replace("\\x{C0}", "\\x{80}")
+    classes = ["[\\p{Ll}\\p{Lm}\\p{Lo}\\p{M}]", "[\\p{Lu}\\p{Lt}]", "\\p{Nd}", "[ \\t\\r\\x0b\\x0c\\p{Zs}]", "\\n", "[.,;:?!\\x27\\x22()-]"]
+    counted = ", ".join(f"len(regexp_extract_all(t, '{p}')) as k{i}" for i, p in enumerate(classes))
+    counted = counted.replace(" as k5", " + len(regexp_extract_all(regexp_replace(t, '[\\x00-\\x7F]', '', 'g'), '\\p{P}')) as k5")
     k = [f"k{i}" for i in range(6)]
-    rest = f"(octet_length(encode(t)) - ({' + '.join(k[1:])}) - len(regexp_extract_all(t, '[a-z]')) - (octet_length(encode(t)) - (length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g'))))) as k6"
+    rest = f"length(t) - ({' + '.join(k)}) as k6"
     long = lambda table, key, total: " union all ".join(f"select {key}, {i} as class, k{i} / {total} as share from {table}" for i in range(7))
     return f"""
 with d as (select doc_id, lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents),

@@ -8,7 +8,8 @@ that the dictionaries have not seen.
 Fitting uses a bounded, deterministic sample of labelled rows (``per_label`` of either label); scoring reads
 every whole text. Defined results: an empty or null text has difference 0 and so the calibration's
 prior-like score; without rows of both labels every score is 0.5; several labels of one document count as
-its best one; ties and repeated rows score alike.
+its best one; ties and repeated rows score alike; texts may be of any length; an empty table gives an empty result;
+columns besides the named ones are not read, whatever they are called.
 """
 
 from __future__ import annotations

@@ -7,14 +7,18 @@ is kept if the base rules pass and neither distance is above its bound; both tes
 
 References come from all rows with a language and are exact: every word of every partition is counted, and the common
 words are chosen from the sums. A task that holds too many words hands its counts on and starts again. Defined results: a null or empty text has no words and fails the base rules; without any reference
-the base rules alone decide; rows without a language are judged like the others.
+the base rules alone decide; rows without a language are judged like the others; of words that are equally common the
+smaller is chosen; repeated rows and repeated ids are counted and judged row by row; a text may be of any length; an
+empty table gives an empty result; columns besides the named ones are not read, whatever they are called.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -22,19 +26,30 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-#: Character classes of a UTF-8 byte: 0 letter, 1 upper case, 2 digit, 3 blank, 4 line end, 5 sentence mark, 6 symbol; 7 is not counted.
+#: Classes of characters: 0 letter, 1 upper-case letter, 2 digit, 3 blank, 4 line end, 5 sentence mark, 6 anything else.
 CLASSES = 7
-_CLASS = np.full(256, 6, np.uint8)
-_CLASS[97:123] = _CLASS[192:256] = 0
-_CLASS[65:91] = 1
-_CLASS[48:58] = 2
-_CLASS[list(b" \t\r\x0b\x0c")] = 3
-_CLASS[10] = 4
-_CLASS[list(b".,;:?'\"-()")] = 5
-_CLASS[128:192] = 7
+#: Sentence marks of ASCII; beyond it all punctuation counts as such.
+MARKS = ".,;:?!'\"-()"
+
+
+@lru_cache(maxsize=1)
+def character_classes() -> np.ndarray:
+    """The class of every code point, by its Unicode category: letters and the marks on them, upper-case letters, decimal digits,
+    separators, punctuation."""
+    of_category = {"Lu": 1, "Lt": 1, "Nd": 2, "Zs": 3} | {c: 0 for c in ("Ll", "Lm", "Lo", "Mn", "Mc", "Me")} | {c: 5 for c in ("Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po")}
+    table = np.fromiter((of_category.get(unicodedata.category(chr(c)), 6) for c in range(0x110000)), np.uint8, 0x110000)
+    table[:128][table[:128] == 5] = 6
+    table[[ord(c) for c in MARKS]] = 5
+    table[[9, 11, 12, 13]] = 3
+    table[10] = 4
+    return table
+
+
 SYMBOLS = b"#*$%&|<>"
 #: A task hands its word counts on when it holds this many words, or has read this many bytes since it last did.
 HELD_WORDS, HELD_BYTES = 300_000, 1 << 27
+#: Into so many parts a language's words are dealt before the commonest are chosen.
+PARTS = 16
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -58,8 +73,9 @@ class References:
     words: np.ndarray  # languages x (common words + 1), shares; the last is for all other words
 
 
-def char_histogram(raw: bytes) -> np.ndarray:
-    return np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=8)[:CLASSES]
+def char_histogram(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    return np.bincount(character_classes()[points], minlength=CLASSES)
 
 
 def references(docs: DataFrame, *, text_col: str, lang_col: str, common_words: int = 100) -> References:
@@ -92,7 +108,7 @@ def references(docs: DataFrame, *, text_col: str, lang_col: str, common_words: i
                 held += len(c)
                 read += len(raw)
                 seen[lang] += len(w)
-                chars[lang] = chars.get(lang, 0) + char_histogram(raw)
+                chars[lang] = chars.get(lang, 0) + char_histogram(text)
                 if held > HELD_WORDS or read > HELD_BYTES:
                     yield from hand_on()
                     held = read = 0
@@ -100,9 +116,11 @@ def references(docs: DataFrame, *, text_col: str, lang_col: str, common_words: i
 
     parts = map_batches(rows, count, "lang string, word string, n bigint, chars array<bigint>")
     sums = parts.groupBy("lang", "word").agg(F.sum("n").alias("n"), *[F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(CLASSES)])
-    order = Window.partitionBy("lang").orderBy(F.col("word").isNotNull(), F.desc("n"), "word")  # the null row, then common words
-    # The limit on the row number itself lets every task cut its words before they are gathered by language.
-    top = sums.withColumn("row", F.row_number().over(order)).where(F.col("row") <= common_words + 1).withColumn("rank", F.col("row") - 1).orderBy("lang", "rank").collect()
+    order = (F.col("word").isNotNull(), F.desc("n"), "word")  # the null row, then common words
+    best = lambda rows, *keys: rows.withColumn("row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("row") <= common_words + 1)
+    # In two steps, so that a language's words are ranked by PARTS tasks and only the best of each go to one.
+    some = best(sums.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(PARTS))), "lang", "part")
+    top = best(some, "lang").withColumn("rank", F.col("row") - 1).orderBy("lang", "rank").collect()
     languages = sorted({r["lang"] for r in top})
     at = {x: i for i, x in enumerate(languages)}
     chars, words = np.zeros((len(languages), CLASSES)), np.zeros((len(languages), common_words + 1))
@@ -172,7 +190,7 @@ class Judge:
         out["base_failed"] = n < MIN_WORDS or 100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * n
         kept = not out["base_failed"]
         if refs.languages and raw:
-            classes = char_histogram(raw)
+            classes = char_histogram(text)
             if classes.sum() >= b.min_chars:
                 out["char_distance"] = float(js_distance(classes / classes.sum(), refs.chars).min())
                 kept &= out["char_distance"] <= b.char_distance

@@ -60,7 +60,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_rules() -> list[url_filters.Rule]:
-    return [url_filters.host_rule(*x) for x in HOST_RULES] + [url_filters.part_rule(x) for x in url_filters.BLOCKED_PARTS]
+    return [url_filters.host_rule(*x) for x in HOST_RULES] + [url_filters.pattern_rule("block", f"^{x}^") for x in url_filters.BLOCKED_PARTS]
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,17 @@ numbers, walked until the result is in range, maps it to its slot in the trainin
 state. A shard holds ``shard_sequences`` consecutive slots at a fixed stride, so slot s is at byte
 (s mod shard_sequences) * stride of shard s div shard_sequences and reading can stop and resume anywhere.
 
-Slots are dealt evenly by construction, whatever the documents' keys. A shard is written under a temporary
-name and renamed, so a task that runs again writes the same file. Defined results: null and empty texts are
-the end-of-document id; the last sequence of a partition is padded; an empty table gives no shard.
+Slots are dealt evenly by construction, whatever the documents' keys. A task writes a range of consecutive shards, one
+after another, and holds one at a time. A shard is written under a temporary name and renamed, so a task that runs
+again writes the same file; what a failed attempt leaves is removed. The tokens wait in the session's shared folder, not in
+the output. Defined results: null and empty texts are
+the end-of-document id; the last sequence of a partition is padded; repeated rows and repeated ids are written row by
+row; a text may be of any length; an empty table gives no shard; columns besides the two named ones are not read.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import uuid
@@ -124,12 +128,13 @@ def sequences(docs: DataFrame, *, id_col: str, text_col: str, vocabulary: str, p
     return map_batches(source, run, f"part int, place bigint, n_tokens int, doc_ids array<{kind}>, tokens binary")
 
 
-def materialise_order(docs: DataFrame, out_uri: str, *, id_col: str, text_col: str, vocabulary: str, pattern: str, key: str, length: int = 1024, shard_sequences: int = 8192) -> DataFrame:
+def materialise_order(docs: DataFrame, out_uri: str, *, id_col: str, text_col: str, vocabulary: str, pattern: str, key: str, length: int = 1024, shard_sequences: int = 8192, most_tasks: int = 20_000) -> DataFrame:
     """Writes the shards and a manifest under out_uri (a folder all executors reach) and returns the manifest:
-    slot, shard, byte_offset, n_tokens, doc_ids, tokens_crc32."""
+    slot, shard, byte_offset, n_tokens, doc_ids, tokens_crc32. A task writes a shard, or more where there would be more than
+    most_tasks tasks."""
     spark = docs.sparkSession
     # Tokenising is the dear part: it is done once, into a table that outlives its executors.
-    staged = f"{out_uri}/staged"
+    staged = scratch_path(spark, "staged-tokens")
     made = sequences(docs, id_col=id_col, text_col=text_col, vocabulary=vocabulary, pattern=pattern, length=length)
     made.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "5").parquet(staged)
     rows = spark.read.schema(made.schema).parquet(staged)
@@ -141,6 +146,8 @@ def materialise_order(docs: DataFrame, out_uri: str, *, id_col: str, text_col: s
     bases = spark.sparkContext.broadcast(base)
     kind = rows.schema["doc_ids"].dataType.elementType.simpleString()
     stride, shards = length * 2, max(1, -(-total // shard_sequences))
+    each = -(-shards // most_tasks)
+    tasks = -(-shards // each)
 
     def place(batches: Iterator[dict]) -> Iterator[dict]:
         pack = zstandard.ZstdCompressor(level=5)
@@ -161,14 +168,19 @@ def materialise_order(docs: DataFrame, out_uri: str, *, id_col: str, text_col: s
     def write(batches: Iterator[dict]) -> Iterator[dict]:
         fs, root = pyarrow.fs.FileSystem.from_uri(out_uri)
         unpack = zstandard.ZstdDecompressor()
-        held: dict[int, dict] = {}  # one shard a task; bounded by a shard's size
+        held: dict[int, dict] = {}  # one shard at a time; bounded by a shard's size
 
         def close(shard: int, h: dict) -> dict:
             name = f"shard-{shard:08d}.bin"
             temporary = f"{root}/.{name}-{uuid.uuid4().hex}"
-            with fs.open_output_stream(temporary) as stream:
-                stream.write(memoryview(h["bytes"]))
-            fs.move(temporary, f"{root}/{name}")
+            try:
+                with fs.open_output_stream(temporary) as stream:
+                    stream.write(memoryview(h["bytes"]))
+                fs.move(temporary, f"{root}/{name}")
+            except BaseException:
+                with contextlib.suppress(OSError):  # it may not have come to be
+                    fs.delete_file(temporary)
+                raise
             places = range(len(h["n_tokens"]))
             return {
                 "slot": [shard * shard_sequences + i for i in places],
@@ -196,7 +208,9 @@ def materialise_order(docs: DataFrame, out_uri: str, *, id_col: str, text_col: s
 
     # Sequences of one shard travel together, packed; a shard is put in order in memory, so nothing is sorted.
     placed = map_batches(rows, place, f"shard int, slots array<bigint>, n_tokens array<int>, doc_ids array<array<{kind}>>, packed binary", rows=20_000)
-    manifest = map_batches(placed.repartitionById(shards, F.col("shard")), write, f"slot bigint, shard int, byte_offset bigint, n_tokens int, doc_ids array<{kind}>, tokens_crc32 bigint")
+    dealt = placed.repartitionById(tasks, F.floor(F.col("shard") / each).cast("int"))
+    dealt = dealt.sortWithinPartitions("shard") if each > 1 else dealt
+    manifest = map_batches(dealt, write, f"slot bigint, shard int, byte_offset bigint, n_tokens int, doc_ids array<{kind}>, tokens_crc32 bigint")
     manifest.write.parquet(f"{out_uri}/manifest")
     meta = {"sequences": total, "length": length, "shard_sequences": shard_sequences, "key_sha256": hashlib.sha256(key.encode()).hexdigest()}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{out_uri}/meta")

@@ -1,17 +1,26 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-Every rule is a regular expression with literal tokens that any match must hold. A first pass counts, over
+A rule is a pattern over host and path, written as text: ``*`` stands for anything, ``^`` for a separator (a character
+that is not a letter, a digit, ``-``, ``_``, ``%`` or beyond ASCII) or for an end, ``||`` at the start for the start of a host or of one of its
+domains, ``|`` at the start or the end for that end. Its literal tokens, runs of characters that are no separators and are
+bounded by separators or ends on both sides, are derived from the pattern: any address that fits holds them whole. A first pass counts, over
 all URLs, how often the rules' tokens occur; each rule is then filed under its rarest token. A URL's tokens
 fetch the candidate rules and only those run their expressions. Rules without a token always run.
 
+Rules of the other kind, ``host/path``, fit a host and its subdomains if the path starts with theirs; the longest of these
+that fits gives the verdict, and only where none does do the patterns count.
+
 The rule set travels to the executors in a broadcast; ``max_rules`` bounds it and a larger set is refused.
 Defined results: a null URL or one without ``://`` has an empty host and path, and only rules that match an
-empty address could fit it; the longest rule that fits wins, ties go to the smaller rule text.
+empty address could fit it; ties between rules go to the smaller rule text; an exception among the patterns (verdict
+allow) wins over those that block; repeated rows each get their own equal verdict; an empty table gives an empty
+result; columns besides the two named ones are not read, whatever they are called.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,33 +31,59 @@ from .common import map_batches
 
 _ADDRESS = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_TOKEN = re.compile(r"[^./]+")
+#: What tokens are made of; everything else separates.
+_IN_TOKEN = r"[A-Za-z0-9_%\x80-\U0010ffff-]"
+_TOKEN = re.compile(rf"{_IN_TOKEN}+")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern runs on host + path from the start; tokens are whole parts between dots and slashes that a match must hold."""
+    """pattern runs on host + path from the start; tokens are whole tokens that a match must hold."""
 
     name: str
     verdict: str
     pattern: str
     tokens: tuple[str, ...]
-    host_rule: bool = True
+    host_rule: bool = False
 
 
 def host_rule(verdict: str, text: str) -> Rule:
     """``host/path``: fits the host and its subdomains if the URL's path starts with /path."""
     host, _, path = text.partition("/")
-    whole = _TOKEN.findall(host) + (re.findall(r"([^./]+)(?=[./])", path))
-    return Rule(text, verdict, rf"(?:[^/]*\.)?{re.escape(host)}{re.escape('/' + path)}", tuple(whole))
+    return Rule(text, verdict, rf"(?:[^/]*\.)?{re.escape(host)}{re.escape('/' + path)}", literal_tokens(f"||{host}/{path}"), True)
 
 
-#: Blocked words: whole parts of a host or path that name spam, trackers and pages for members only.
-BLOCKED_PARTS = ("adserver", "casino", "doubleclick", "gambling", "login", "phishing", "porn", "sex", "signin", "tracker", "viagra", "wp-login", "xxx")
+def pattern_rule(verdict: str, text: str) -> Rule:
+    body = text.removeprefix("||") if text.startswith("||") else text.removeprefix("|")
+    start = r"(?:[^/]*\.)?" if text.startswith("||") else "" if text.startswith("|") else ".*"
+    end = r"\Z" if body.endswith("|") else ""
+    # A separator at the very start or end of the address is its end.
+    parts = {"*": ".*", "^": rf"(?:(?!{_IN_TOKEN}).|\Z|\A)"}
+    return Rule(text, verdict, start + "".join(parts.get(c) or re.escape(c) for c in body.removesuffix("|")) + end, literal_tokens(text))
+
 
+def literal_tokens(text: str) -> tuple[str, ...]:
+    """The tokens that every address has that fits the pattern."""
+    body = text.removeprefix("|").removeprefix("|")
+    found = []
+    for m in _TOKEN.finditer(body):
+        before = body[m.start() - 1] if m.start() else "^" if text.startswith("|") else "*"
+        after = body[m.end()] if m.end() < len(body) else "*"
+        if "*" not in (before, after):
+            found.append(m[0])
+    return tuple(found)
 
-def part_rule(part: str) -> Rule:
-    return Rule(part, "block", rf"(?:.*[./])?{re.escape(part)}(?:[./].*)?\Z", (part,), False)
+
+def read_rules(rules: DataFrame, max_rules: int = 100_000) -> list[Rule]:
+    """Rules of a table with verdict, kind (host or pattern) and text; rows that lack one are left out."""
+    rows = rules.select("verdict", "kind", "text").where("verdict is not null and kind in ('host', 'pattern') and text <> ''").distinct().limit(max_rules + 1).collect()
+    if len(rows) > max_rules:
+        raise ValueError(f"more than {max_rules} rules")
+    return [(host_rule if r["kind"] == "host" else pattern_rule)(r["verdict"], r["text"]) for r in sorted(rows)]
+
+
+#: Blocked words: whole parts of a host or path that name spam, trackers and pages for members only.
+BLOCKED_PARTS = ("adserver", "casino", "doubleclick", "gambling", "login", "phishing", "porn", "sex", "signin", "tracker", "viagra", "wp-login", "xxx")
 
 
 def address(url: str | None) -> tuple[str, str]:
@@ -58,16 +93,24 @@ def address(url: str | None) -> tuple[str, str]:
 
 def token_counts(urls: DataFrame, url_col: str, tokens: list[str]) -> dict[str, int]:
     """URLs that hold each of the tokens; pre-aggregated in every task, as many rows come back as tokens exist."""
-    parts = F.split(F.lower(F.regexp_extract(F.col(url_col), "://([^?#]*)", 1)), "[./]")
-    held = urls.select(F.explode(F.array_intersect(parts, F.array(*[F.lit(t) for t in tokens]))).alias("token"))
-    return dict(held.groupBy("token").count().collect()) if tokens else {}
+    wanted = urls.sparkSession.sparkContext.broadcast(frozenset(tokens))  # at most some for each rule
+
+    def count(batches: Iterator[dict]) -> Iterator[dict]:
+        sums: Counter = Counter()
+        for b in batches:
+            for url in b["url"]:
+                sums.update(wanted.value.intersection(_TOKEN.findall("".join(address(url)))))
+        yield {"token": list(sums), "n": list(sums.values())}
+
+    parts = map_batches(urls.select(F.col(url_col).alias("url")), count, "token string, n bigint")
+    return dict(parts.groupBy("token").agg(F.sum("n")).collect()) if tokens else {}
 
 
 class RuleIndex:
     def __init__(self, rules: list[Rule], counts: dict[str, int]):
         self.by_token: dict[str | None, list[tuple[Rule, re.Pattern]]] = {}
         for rule in rules:
-            rarest = min(rule.tokens, key=lambda t: (counts.get(t.lower(), 0), -len(t), t), default=None)
+            rarest = min(rule.tokens, key=lambda t: (counts.get(t, 0), -len(t), t), default=None)
             self.by_token.setdefault(rarest, []).append((rule, re.compile(rule.pattern, re.S)))
 
     def fits(self, host: str, path: str) -> list[Rule]:
@@ -78,10 +121,10 @@ class RuleIndex:
 
 def judge(pages: DataFrame, rules: list[Rule], *, id_col: str, url_col: str, default: str = "allow", max_rules: int = 100_000) -> DataFrame:
     """Every row of pages: its id, host, path, rule (the longest host rule that fits, else null), verdict and
-    pattern (the part rule that blocked it, else null)."""
+    pattern (the pattern that decided it, else null)."""
     if len(rules) > max_rules:
         raise ValueError(f"{len(rules)} rules; at most {max_rules} are broadcast")
-    counts = token_counts(pages, url_col, sorted({t.lower() for r in rules for t in r.tokens}))
+    counts = token_counts(pages, url_col, sorted({t for r in rules for t in r.tokens}))
     shared = pages.sparkSession.sparkContext.broadcast((rules, counts))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -92,8 +135,8 @@ def judge(pages: DataFrame, rules: list[Rule], *, id_col: str, url_col: str, def
                 host, path = address(url)
                 fits = index.fits(host, path)
                 best = max((r for r in fits if r.host_rule), key=lambda r: (len(r.name), [-ord(c) for c in r.name]), default=None)
-                part = min((r.name for r in fits if not r.host_rule), default=None) if best is None else None
-                for k, v in (("host", host), ("path", path), ("rule", best and best.name), ("pattern", part), ("verdict", best.verdict if best else "block" if part else default)):
+                part = min((r for r in fits if not r.host_rule), key=lambda r: (r.verdict != "allow", r.name), default=None) if best is None else None
+                for k, v in (("host", host), ("path", path), ("rule", best and best.name), ("pattern", part and part.name), ("verdict", best.verdict if best else part.verdict if part else default)):
                     out[k].append(v)
             yield out
 

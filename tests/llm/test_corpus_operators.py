@@ -259,12 +259,13 @@ def test_permutation(size):
         assert (slots != training_order.permute(numbers, size, "other")).mean() > 0.9 and abs(np.corrcoef(numbers, slots)[0, 1]) < 0.15
 
 
-def test_shards_hold_all_tokens_in_order(spark, tmp_path):
+@pytest.mark.parametrize("most_tasks", [20_000, 4])
+def test_shards_hold_all_tokens_in_order(spark, tmp_path, most_tasks):
     out = f"file://{tmp_path}/order"
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     more = spark.createDataFrame([(10_000, None), (10_001, ""), (None, "no id"), (0, "again")], "doc_id long, text string")
     rows = docs.select("doc_id", "text").unionByName(more).selectExpr("*", "1 as slot", "2 as tokens", "3 as id").repartition(5)
-    made = training_order.materialise_order(rows, out, id_col="doc_id", text_col="text", vocabulary=P.path("byte_bpe_50k.json"), pattern=P.PATTERN, key="k", shard_sequences=100).orderBy("slot").collect()
+    made = training_order.materialise_order(rows, out, id_col="doc_id", text_col="text", vocabulary=P.path("byte_bpe_50k.json"), pattern=P.PATTERN, key="k", shard_sequences=100, most_tasks=most_tasks).orderBy("slot").collect()
     assert [r["slot"] for r in made] == list(range(len(made)))
     read = list(training_order.read_slots(out, 0, shard_sequences=100))
     assert len(read) == len(made) and all(zlib.crc32(x.tobytes()) == r["tokens_crc32"] and r["byte_offset"] == r["slot"] % 100 * 2048 and r["shard"] == r["slot"] // 100 for x, r in zip(read, made))
@@ -284,8 +285,20 @@ def test_order_of_nothing(spark, tmp_path):
 
 
 def test_op9(spark):
-    made = queries.op9_training_order(spark, SF)
-    assert made.agg(F.min("slot"), F.max("slot"), F.count("*"), F.countDistinct("slot")).first()[:2] == (0, made.count() - 1)
+    """Every manifest row against sequences cut and placed one by one, partition by partition."""
+    made = {r["slot"]: r for r in queries.op9_training_order(spark, SF).collect()}
+    encode, numbered = encoder(P.path("byte_bpe_50k.json"), P.PATTERN, added_tokens=True), []
+    parts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.spark_partition_id().alias("p")).collect()
+    for p in sorted({r["p"] for r in parts}):
+        stream = [(t, r["doc_id"]) for r in parts if r["p"] == p for t in document_ids(encode, r["text"]).tolist()]
+        numbered += [stream[i : i + 1024] for i in range(0, len(stream), 1024)]
+    slots = training_order.permute(np.arange(len(numbered)), len(numbered), "epoch-0").tolist()
+    assert sorted(made) == sorted(slots)
+    for slot, sequence in zip(slots, numbered):
+        r, tokens = made[slot], np.zeros(1024, "<u2")
+        tokens[: len(sequence)] = [t for t, _ in sequence]
+        assert (r["shard"], r["byte_offset"], r["n_tokens"], r["tokens_crc32"]) == (slot // 8192, slot % 8192 * 2048, len(sequence), zlib.crc32(tokens.tobytes()))
+        assert r["doc_ids"] == list(dict.fromkeys(d for _, d in sequence))
 
 
 # 3: nearest neighbours

@@ -72,6 +72,20 @@ def test_op10(spark, tiktoken_encoding):
         assert r["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def test_op10_odd_rows(spark, tiktoken_encoding, tmp_path):
+    texts = [None, "", LONG, "<|endoftext|>", "same", "same", "é\x00\u2028日本 " * 50]
+    table = spark.createDataFrame([(i if i != 5 else 4, t) for i, t in enumerate(texts)] + [(None, "no id")], "doc_id long, text string").selectExpr("*", "'n' as n_tokens", "1 as ids_sha256")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_byte_bpe(spark, str(tmp_path)).collect()
+    want = Counter()
+    for i, t in [*((i if i != 5 else 4, t) for i, t in enumerate(texts)), (None, "no id")]:
+        ids = tiktoken_encoding.encode_ordinary(t or "")
+        want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    assert Counter(map(tuple, got)) == want
+    table.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert queries.op10_byte_bpe(spark, f"{tmp_path}/empty").count() == 0
+
+
 def test_ranks_file(tmp_path):
     lines = [base64.b64encode(b"a") + b" 0", b"", base64.b64encode(b"ab") + b" 1"]
     assert byte_bpe.load_ranks(lines) == {b"a": 0, b"ab": 1}
@@ -100,6 +114,13 @@ def test_quality_counts(spark):
         assert r["kept"] == (not r["base_failed"]) and r["char_distance"] is None
 
 
+def test_character_classes():
+    count = lambda t: quality_rules.char_histogram(t).tolist()
+    assert count("aé日ß") == [4, 0, 0, 0, 0, 0, 0] and count("AÉ") == [0, 2, 0, 0, 0, 0, 0] and count("1٣") == [0, 0, 2, 0, 0, 0, 0]
+    assert count(" \t\xa0\u2003") == [0, 0, 0, 4, 0, 0, 0] and count("\n\n") == [0, 0, 0, 0, 2, 0, 0] and count("") == [0] * 7
+    assert count("—„“…!.") == [0, 0, 0, 0, 0, 6, 0] and count("\U0001f600€#*$%&|<>") == [0, 0, 0, 0, 0, 0, 10]
+
+
 def test_js_distance():
     p, q = np.array([0.5, 0.5, 0.0]), np.array([0.25, 0.25, 0.5])
     m = (p + q) / 2
@@ -116,7 +137,7 @@ def test_references_are_the_corpus_counts(spark):
         top = sorted(words.items(), key=lambda x: (-x[1], x[0].decode()))[:20]
         assert np.allclose(refs.words[i, :20], [n / sum(words.values()) for _, n in top])
         assert all((i, j) in refs.place[w.decode()] for j, (w, _) in enumerate(top))
-        chars = sum(quality_rules.char_histogram(r["text"].encode()) for r in rows if r["lang"] == lang)
+        chars = sum(quality_rules.char_histogram(r["text"]) for r in rows if r["lang"] == lang)
         assert np.allclose(refs.chars[i], chars / chars.sum())
     assert abs(refs.words.sum(1) - 1).max() < 1e-9
 
@@ -159,7 +180,7 @@ def plain_verdict(url):
             best = (verdict, rule)
     if best:
         return host, path, best[1], best[0]
-    parts = set(re.split(r"[./]", host + path))
+    parts = set(re.split(r"[^A-Za-z0-9_%\x80-\U0010ffff-]", host + path))
     return host, path, None, "block" if parts & set(url_filters.BLOCKED_PARTS) else "allow"
 
 
@@ -182,6 +203,47 @@ def test_only_fetched_rules_run():
     assert filed["en"] == ["com/en/"] and filed["example"] == ["example.com/en/7"] and filed["net"] == ["net/de/", "example.net/de/8"] and filed["org"] == ["org/es/"]
 
 
+def test_tokens_are_derived_from_patterns():
+    tokens = url_filters.literal_tokens
+    assert tokens("^login^") == ("login",) and tokens("login") == tokens("*login*") == () and tokens("|login^") == ("login",) and tokens("/a-b/*c/d^e|") == ("a-b", "d", "e")
+    assert tokens("||ads.example.com^") == ("ads", "example", "com") and tokens("/x/y") == ("x",) and tokens("/x/y|") == ("x", "y") and tokens("") == ()
+    fits = lambda rule, where: bool(re.compile(url_filters.pattern_rule("block", rule).pattern, re.S).match(where))
+    assert fits("||b.com^", "a.b.com/x") and fits("||b.com^", "b.com") and not fits("||b.com^", "ab.com/") and not fits("||b.com^", "a.com/b.com/")
+    assert fits("|a.com/x", "a.com/xyz") and not fits("|a.com/x", "b.a.com/x") and fits("/x*z|", "a/x/y/z") and not fits("/x*z|", "a/x/z/y") and fits("^p^", "p") and not fits("^p^", "a/pp/")
+
+
+def pattern_rules(n, r):
+    """n rules of all shapes over a small and a large set of words, exceptions among them."""
+    words = ["en", "de", "7", "com", "net", "example"] + [f"w{i}" for i in range(n)]
+    out = []
+    for i in range(n):
+        a, b, c = r.choice(words), words[i % len(words)], r.choice(words)
+        shape = r.choice(["||{0}.{1}^", "/{0}/{1}/", "^{1}^", "|{1}.{0}", "{0}*{1}^{2}", "/{1}|", "-{1}-", "{1}"])
+        out.append(("allow" if r.random() < 0.1 else "block", "pattern", shape.format(a, b, c)))
+    return out
+
+
+def test_thousands_of_rules_from_a_table(spark):
+    """Every verdict equals that of trying all rules one by one."""
+    r = random.Random(3)
+    made = pattern_rules(4000, r) + [(v, "host", t) for v, t in queries.HOST_RULES] + [(None, "pattern", "x"), ("block", "other", "y"), ("block", "pattern", "")]
+    rules = url_filters.read_rules(spark.createDataFrame(made, "verdict string, kind string, text string").selectExpr("*", "1 as name"))
+    words = ["en", "de", "7", "com", "net", "example", "a-b", "x"] + [f"w{i}" for i in range(0, 4000, 7)]
+    urls = [f"http://{r.choice(words)}.{r.choice(words)}/" + "/".join(r.choice(words) + r.choice(["", "-", "?q"]) for _ in range(r.randint(0, 4))) for _ in range(300)] + [None, ""]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(3, urls[3])], "page_id long, url string").selectExpr("*", "'p' as pattern", "'t' as token")
+    got = url_filters.judge(df, rules, id_col="page_id", url_col="url").collect()
+    assert len(got) == len(urls) + 1 and len(rules) > 3500
+    compiled = [(x, re.compile(x.pattern, re.S)) for x in rules]
+    for row in got:
+        where = row["host"] + row["path"]
+        fits = [x for x, p in compiled if p.match(where)]
+        hosts, patterns = [x for x in fits if x.host_rule], [x for x in fits if not x.host_rule]
+        want = max(hosts, key=lambda x: len(x.name)).verdict if hosts else "allow" if not patterns or any(x.verdict == "allow" for x in patterns) else "block"
+        assert row["verdict"] == want and (row["rule"] is None) == (not hosts)
+    assert len({x["verdict"] for x in got}) == 2
+    assert url_filters.judge(df.limit(0), rules, id_col="page_id", url_col="url").count() == 0
+
+
 def test_op7(spark):
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in queries.op7_url_filters(spark, SF).collect()}
     rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
@@ -309,6 +371,44 @@ def test_op6_held_out(spark):
     assert found.where(F.expr("held_out != (crc32(cast(cast(doc_id as string) as binary)) % 3 = 1)")).count() == 0
 
 
+def test_op6_equals_a_plain_version(spark):
+    """Every prediction, recomputed from n-grams counted one by one and losses summed one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = queries.language_model(docs)
+    assert model.languages == sorted(r[0] for r in docs.where("lang is not null").select("lang").distinct().collect())
+    rows, got = docs.select("doc_id", "text").collect(), {r["doc_id"]: r for r in queries.op6_language_id(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for doc_id, text in rows[::4]:
+        if not any(c.isalpha() for c in text or ""):
+            assert got[doc_id]["lang_pred"] == "und"
+            continue
+        folded = re.sub(rb"[^a-z\x80-\xff]+", b" ", f" {text.lower()} ".encode())
+        sums, n = np.zeros(model.codes.shape[1]), 0
+        for size in (1, 2, 3, 4):
+            for i in range(len(folded) - size + 1):
+                h = 0
+                for k, byte in enumerate(folded[i : i + size], 1):
+                    h = (h * 2654435761 + (byte + k * 257) * 40503) % 2**32
+                sums += model.weights[((h ^ h >> 15) * 2246822519) % 2**32 >> 18]
+                n += 1
+        margin = sums / n * model.slope + model.offset
+        loss = [sum(r * np.log1p(np.exp(-c * m)) for c, m, r in zip(code, margin, model.reliability)) for code in model.codes]
+        assert got[doc_id]["lang_pred"] == model.languages[int(np.argmin(loss))]
+        e = np.exp(-(np.array(loss) - min(loss)) / model.reliability.sum() * np.log2(2 + len(margin)))
+        assert abs(got[doc_id]["score"] - e.max() / e.sum()) < 1e-6
+
+
+def test_rare_languages_are_learned(spark):
+    """A language of one labelled document is learned, whichever half of the sample that falls into."""
+    rows = [(i, "the cat and the dog of the house", "en") for i in range(30)] + [(i, "der hund und die katze im haus", "de") for i in range(30, 60)]
+    rows += [(1000 + i, text * 3, lang) for i, (text, lang) in enumerate([("yksi kaksi kolme neljä viisi ", "fi"), ("jeden dwa trzy cztery pięć ", "pl"), ("egy kettő három négy öt ", "hu"), ("bir iki üç dört beş ", "tr")])]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), id_col="doc_id", text_col="text", lang_col="lang")
+    assert model.languages == ["de", "en", "fi", "hu", "pl", "tr"]
+    assert [language_id.decode(model, t, 0.0)[0] for t in ("kolme neljä viisi", "trzy cztery pięć", "három négy öt")] == ["fi", "pl", "hu"]
+    many = language_id.codewords(80)
+    assert min(int((many[i] != many[j]).sum()) for i in range(80) for j in range(i)) >= 15
+
+
 def test_language_odd_rows(spark):
     train = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog of the house", "en"), ("der hund und die katze im haus", "de")] * 40)] + [(100, None, "en"), (101, "12 34", "de"), (102, "le chat", None)]
     df = spark.createDataFrame(train, "doc_id long, text string, lang string")
@@ -333,6 +433,24 @@ def test_op2_held_out(spark):
     assert auc > 0.98
 
 
+def test_op2_equals_a_plain_version(spark):
+    """Every score, from compressing every text block by block without Spark."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = queries.quality_model(spark, SF, docs)
+    got = {r["doc_id"]: r for r in queries.op2_quality_classifier(spark, SF).collect()}
+    packers = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.bad, model.good)]
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for doc_id, text in rows:
+        raw = (text or "").encode()
+        sizes = [sum(len(p.compress(raw[i : i + 1024])) for i in range(0, len(raw), 1024)) for p in packers]
+        want = 1 / (1 + np.exp(-(model.slope * (sizes[0] - sizes[1]) / (len(raw) + 96) + model.offset)))
+        assert abs(got[doc_id]["score"] - want) < 0.02 and got[doc_id]["predicted"] == int(got[doc_id]["score"] >= 0.7)
+    assert quality_classifier.score(docs.limit(0), model, id_col="doc_id", text_col="text").count() == 0
+
+
 def test_quality_odd_rows(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(0, 1), (None, 1), (5, None)], "doc_id long, quality int")
     texts = [("plain words in a row %d" % i) * 9 if i % 2 else "###$$$ &&& %d " % i * 9 for i in range(200)] + [None, "", LONG]
