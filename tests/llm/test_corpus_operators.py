@@ -439,3 +439,19 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in packed} == {r[0] for r in now.select("doc_id").collect()}
     assert corpus_pipeline.ORACLE_SQL is None
     assert sorted(corpus_pipeline.run(spark, SF).select("doc_id", "piece", "ids_crc32").collect())
+
+
+def test_pipeline_of_odd_tables(spark):
+    """Extra columns whose names the operators use themselves, null rows, and no row at all."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, docs.first()["text"], None, None, None), (7, "", "en", "s", 0)], docs.schema)
+    extra = docs.unionByName(odd).selectExpr("*", "'i' as id", "2 as class_id", "3 as digest", "array(1) as score", "'r' as rep", "5 as piece")
+    for now, some in ((extra, True), (extra.limit(0), False)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, "/root/testdata/sf0.001").persist()
+            assert now.columns == extra.columns and (now.count() > 0) == some, name
+            assert now.where("text is null or text = ''").count() == 0, name
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, "/root/testdata/sf0.001")
+        assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in now.select("doc_id").collect()}
