@@ -136,7 +136,7 @@ def search(
     train_rows: int = 8192,
     rerank: int = 600,
     measure: str = "inner",
-    code_block: int = 1 << 20,
+    code_block: int = 1 << 19,
     query_block: int = 1 << 14,
 ) -> DataFrame:
     """is_query: a condition on id_col. Returns query_id, rank, id_col, score. train_rows bounds the sample that the codebooks
@@ -192,7 +192,7 @@ def search(
             keys = right["key"].to_numpy()
             order = np.argsort(keys)
             keys = keys[order]
-            flat = (np.frombuffer(b"".join(right["code"]), word).reshape(len(right), -1)[order].T + (np.arange(b.levels) * b.size)[:, None]).astype(np.int32)
+            flat = (np.frombuffer(b"".join(right["code"]), word).reshape(len(right), -1)[order].T + (np.arange(b.levels) * b.size)[:, None]).astype(np.intp)
             keep = min(rerank + 1, len(keys))  # the query's own code may be one of them
             norms = right["norm"].to_numpy()[order] * np.float32(-0.5 if measure == "euclidean" else 0)
             for at in range(0, len(left), QUERIES_AT_ONCE):

@@ -178,7 +178,7 @@ def _links(ids: np.ndarray, own: np.ndarray, copies: np.ndarray, size: np.ndarra
 
 
 def classes(
-    docs: DataFrame, *, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, recall: float = 0.999, bucket: int = 64, depth: int = 3, tile: int = 512, diff_tile: int = 1024, slack: float = 0.14, broadcast_rows: int = BROADCAST_ROWS
+    docs: DataFrame, *, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, recall: float = 0.999, bucket: int = 64, depth: int = 3, tile: int = 512, diff_tile: int = 512, slack: float = 0.14, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Every document: id_col, class_id (the smallest id of its class) and n_links (documents linked with it, copies included)."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")

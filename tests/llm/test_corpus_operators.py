@@ -90,7 +90,7 @@ def test_a_group_of_thousands_of_near_copies(spark):
         links[i] = linked.sum() - 1
         if (c := classes[linked]).min() != c.max():
             classes[np.isin(classes, c)] = c.min()
-    assert len(w) > 2048 and got == dict(enumerate(zip(classes.tolist(), links.tolist())))
+    assert len(w) > 1024 and got == dict(enumerate(zip(classes.tolist(), links.tolist())))
 
 
 def test_join_odd_rows(spark):
