@@ -2,61 +2,111 @@
 
 ``STRUCT<original_value, cleaned_value, confidence, method, agent_type, flagged, details>``; details is JSON text so
 that the cells of all columns have one type and can be unpivoted together.
+
+A cleaner works in steps. Each step is one projection that names columns made of those of the steps before, so whatever
+the cell uses more than once is computed once a row; the optimiser keeps such projections apart. Cells of several
+columns share the projections. The last step of a cleaner yields ``method``, which decides everything else in the cell.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import is_missing, strip
+from .text import strip
 
 # Confidences of results.
 HIGH, MEDIUM, LOW, NONE = 95.0, 75.0, 35.0, 0.0
 TEXT_NUMBER, HUMAN, RESOLVED_PLACE, RESOLVED_ABROAD = 98.0, 100.0, 80.0, 70.0
 
 CELL_TYPE = "struct<original_value:string,cleaned_value:string,confidence:double,method:string,agent_type:string,flagged:boolean,details:string>"
+# Methods that every cleaner may come to.
+MISSING, REUSED, UNPARSEABLE, FAILED = "missing_value", "reused_prior_feedback", "unparseable", "error_unprocessed"
 
+Parts = Callable[[str], Column]
+Step = Callable[[Parts], dict[str, Column]]
 
-def details(**values: Column) -> Column:
-    """JSON text of the values, nulls kept."""
-    return F.to_json(F.struct(*[v.alias(k) for k, v in values.items()]), {"ignoreNullFields": "false"})
 
+@dataclass(frozen=True)
+class Cleaner:
+    """steps: the first may use ``raw`` and ``value`` (stripped); among them they yield method and cleaned (null where there is no
+    result). confidence: by method, 0 for others; with own_confidence a column of that name says it. flagged: methods
+    whose cells need a look, besides the common ones. details: by method, JSON text."""
 
-def cell(agent: str, original: Column, cleaned: Column | None, confidence: float | Column, method: str | Column, flagged: bool | Column = False, info: Column | None = None) -> Column:
-    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(
-        original.cast("string").alias("original_value"),
-        (F.lit(None) if cleaned is None else cleaned).cast("string").alias("cleaned_value"),
-        as_column(confidence).cast("double").alias("confidence"),
-        as_column(method).alias("method"),
-        F.lit(agent).alias("agent_type"),
-        as_column(flagged).cast("boolean").alias("flagged"),
-        (F.lit("{}") if info is None else info).alias("details"),
-    )
+    agent: str
+    steps: tuple[Step, ...]
+    confidence: dict[str, float]
+    flagged: frozenset[str] = frozenset()
+    details: Callable[[Parts], dict[str, Column]] = field(default=lambda p: {})
+    own_confidence: bool = False
 
 
-def unparseable(agent: str, value: Column) -> Column:
-    return cell(agent, value, None, NONE, "unparseable", True)
+@dataclass(frozen=True)
+class Source:
+    """Where a cell comes from: its cleaner, the raw text, and a prior human correction if there may be one."""
 
+    cleaner: Cleaner
+    raw: Column
+    correction: Column | None = None
 
-def failed(agent: str, raw: Column) -> Column:
-    """A value whose shape was recognised but that stands for nothing, such as a day that does not exist."""
-    return cell(agent, raw, None, NONE, "error_unprocessed", True, F.lit('{"error":"unhandled_exception_during_cleaning"}'))
 
-
-def or_failed(agent: str, raw: Column, cleaned: Column, good: Column) -> Column:
-    return F.when(cleaned.isNull(), failed(agent, raw)).otherwise(good)
+def details(**values: Column) -> Column:
+    """JSON text of the values, nulls kept."""
+    return F.to_json(F.struct(*[v.alias(k) for k, v in values.items()]), {"ignoreNullFields": "false"})
 
 
-def guarded(agent: str, raw: Column, cleaned_cell: Column, correction: Column | None = None) -> Column:
-    """The common order: missing values first, then a prior human correction, then the cleaner."""
-    out = F.when(is_missing(raw), cell(agent, raw, None, NONE, "missing_value", True))
-    if correction is not None:
-        reused = cell(agent, raw, correction, HIGH, "reused_prior_feedback", False, F.lit('{"influenced_by_prior_feedback":true}'))
-        out = out.when(correction.isNotNull(), reused)
-    return out.otherwise(cleaned_cell)
+def with_cells(df: DataFrame, sources: dict[str, Source]) -> DataFrame:
+    """df with a cell column for each of sources, in common projections."""
+    parts = {out: (lambda name, out=out: F.col(f"`_{out}_{name}`")) for out in sources}
+    name = lambda out, columns: {f"_{out}_{k}": c for k, c in columns.items()}
+    made = df.withColumns({k: c for out, s in sources.items() for k, c in name(out, {"raw": s.raw.cast("string")} | ({} if s.correction is None else {"fix": s.correction})).items()})
+    made = made.withColumns({k: c for out in sources for k, c in name(out, {"value": strip(parts[out]("raw"))}).items()})
+    for level in range(max((len(s.cleaner.steps) for s in sources.values()), default=0)):
+        made = made.withColumns({k: c for out, s in sources.items() if level < len(s.cleaner.steps) for k, c in name(out, s.cleaner.steps[level](parts[out])).items()})
+    made = made.withColumns({k: c for out, s in sources.items() for k, c in name(out, {"how": _method(parts[out], s)}).items()})
+    return made.select(*[F.col(f"`{c}`") for c in df.columns], *[_cell(parts[out], s).alias(out) for out, s in sources.items()])
+
+
+def _method(p: Parts, source: Source) -> Column:
+    """Missing values come first, then a prior correction, then what the cleaner found."""
+    out = F.when(p("value").isNull() | (p("value") == ""), MISSING)
+    if source.correction is not None:
+        out = out.when(p("fix").isNotNull(), REUSED)
+    return out.otherwise(p("method"))
+
+
+def _cell(p: Parts, source: Source) -> Column:
+    c, how = source.cleaner, p("how")
+    by_confidence: dict[float, list[str]] = {}
+    for method, x in c.confidence.items():
+        by_confidence.setdefault(x, []).append(method)
+    by_confidence.setdefault(HIGH, []).append(REUSED)
+    confidence = F.when(how == MISSING, NONE)
+    for x, methods in by_confidence.items():
+        confidence = confidence.when(how.isin(methods), x)
+    confidence = confidence.otherwise(p("confidence") if c.own_confidence else F.lit(NONE))
+    cleaned, original = F.when(how == MISSING, None), F.when(how.isin(MISSING, REUSED, FAILED), p("raw")).otherwise(p("value"))
+    if source.correction is not None:
+        cleaned = cleaned.when(how == REUSED, p("fix"))
+    info = F.when(how == FAILED, '{"error":"unhandled_exception_during_cleaning"}')
+    if source.correction is not None:
+        info = info.when(how == REUSED, '{"influenced_by_prior_feedback":true}')
+    for method, text in c.details(p).items():
+        info = info.when(how == method, text)
+    return F.struct(
+        original.alias("original_value"),
+        cleaned.otherwise(p("cleaned")).cast("string").alias("cleaned_value"),
+        confidence.alias("confidence"),
+        how.alias("method"),
+        F.lit(c.agent).alias("agent_type"),
+        how.isin(MISSING, UNPARSEABLE, FAILED, *sorted(c.flagged)).alias("flagged"),
+        info.otherwise("{}").alias("details"),
+    )
 
 
-def stripped(raw: Column) -> Column:
-    return strip(raw)
+def cells_of(df: DataFrame, raw: Column, cleaner: Cleaner, out: str = "cell", correction: Column | None = None) -> DataFrame:
+    """df with one cell column."""
+    return with_cells(df, {out: Source(cleaner, raw, correction)})

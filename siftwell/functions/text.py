@@ -1,4 +1,4 @@
-"""Text and number expressions shared by the cleaners. All run inside whole-stage code generation."""
+"""Text and number expressions shared by the cleaners: built-in functions only."""
 
 from __future__ import annotations
 
@@ -7,12 +7,13 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space at both ends, Unicode kinds included (Spark's own trim takes spaces only).
-_ENDS = r"(?U)^\s+|\s+$"
+#: White space of all kinds, as a general-purpose language strips it.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _ENDS, "")
+    """Without white space at both ends."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def is_missing(c: Column) -> Column:
@@ -30,18 +31,15 @@ def lookup(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())]), key)
 
 
-def matched(c: Column, pattern: str, *groups: int) -> list[Column]:
-    """Groups of a pattern; each is the empty text where the pattern fails."""
-    return [F.regexp_extract(c, pattern, g) for g in groups]
-
-
 def calendar_date(year: Column, month: Column, day: Column) -> Column:
     """A date from texts of digits; null where there is no such day."""
     return F.concat(F.lpad(year, 4, "0"), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")).try_cast("date")
 
 
+def first_held(text: Column, table: Column, part: str) -> Column:
+    """The first element of an array of structs whose field the text contains; null if there is none."""
+    return F.get(F.filter(table, lambda x: F.contains(text, x[part])), F.lit(0))
+
+
 def contains_any(c: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | c.contains(w)
-    return out
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.cells import HIGH, MEDIUM, TEXT_NUMBER, cell, guarded, unparseable
-from ..functions.text import lookup, strip
+from ..functions.cells import HIGH, MEDIUM, TEXT_NUMBER, UNPARSEABLE, Cleaner, Parts
+from ..functions.text import lookup
 
 AGENT = "NumericAgent"
 LEAST, MOST = 0, 120
 _ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+# Methods.
+AS_TYPED, STRIPPED, WORDS, FAR = "rule_based_normalization", "whitespace_stripped", "text_to_number_pattern", "implausible_range"
 
 
 def number_words() -> dict[str, int]:
@@ -20,15 +22,27 @@ def number_words() -> dict[str, int]:
     return out | {f"{t} {o}": 10 * (i + 2) + j for i, t in enumerate(_TENS) for j, o in enumerate(_ONES[:10]) if j}
 
 
-def clean(raw: Column, correction: Column | None = None) -> Column:
-    value = strip(raw)
-    number = value.try_cast("decimal(38,0)")
-    text = number.cast("string")
-    method = F.when(raw == value, F.lit("rule_based_normalization")).otherwise("whitespace_stripped")
-    words = lookup(number_words(), F.regexp_replace(F.lower(value), r"[\s-]+", " "))
-    far = cell(AGENT, value, text, MEDIUM, "implausible_range", True, F.lit(f'{{"plausible_range":[{LEAST},{MOST}]}}'))
-    digits = F.when((number < LEAST) | (number > MOST), far).otherwise(cell(AGENT, value, text, HIGH, method))
-    found = (
-        F.when(value.rlike(r"^-?\d+$") & number.isNotNull(), digits).when(words.isNotNull(), cell(AGENT, value, words.cast("string"), TEXT_NUMBER, "text_to_number_pattern")).otherwise(unparseable(AGENT, value))
+def cleaner() -> Cleaner:
+    def digits(p: Parts) -> dict[str, Column]:
+        return {"number": F.when(p("value").rlike(r"^-?\d+$"), p("value").try_cast("decimal(38,0)"))}
+
+    def words(p: Parts) -> dict[str, Column]:
+        return {"word": F.when(p("number").isNull(), lookup(number_words(), F.regexp_replace(F.lower(p("value")), r"[\s-]+", " ")))}
+
+    def judge(p: Parts) -> dict[str, Column]:
+        number, word = p("number"), p("word")
+        method = (
+            F.when(~number.between(LEAST, MOST), FAR)
+            .when(number.isNotNull(), F.when(p("raw") == p("value"), AS_TYPED).otherwise(STRIPPED))
+            .when(word.isNotNull(), WORDS)
+            .otherwise(UNPARSEABLE)
+        )
+        return {"method": method, "cleaned": F.coalesce(number.cast("string"), word.cast("string"))}
+
+    return Cleaner(
+        AGENT,
+        (digits, words, judge),
+        {AS_TYPED: HIGH, STRIPPED: HIGH, WORDS: TEXT_NUMBER, FAR: MEDIUM},
+        frozenset({FAR}),
+        lambda p: {FAR: F.lit(f'{{"plausible_range":[{LEAST},{MOST}]}}')},
     )
-    return guarded(AGENT, raw, found, correction)

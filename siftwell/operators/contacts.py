@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.cells import HIGH, MEDIUM, NONE, cell, guarded
-from ..functions.text import strip
+from ..functions.cells import HIGH, MEDIUM, Cleaner, Parts
 
 AGENT = "ContactAgent"
 PHONE_SHAPE = r"^\+?[\d\s().\-/]{3,}$"
@@ -20,47 +19,56 @@ EMAIL = r"^[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)*@(
 RESERVED = r"(?i)(^|\.)(invalid|localhost|local|test|example)$"
 
 
-def e164(value: Column) -> Column:
-    """The number in E.164 form; null if there is no valid one."""
-    digits = F.regexp_replace(value, r"\D", "")
-    international = value.startswith("+") | digits.startswith("00")
-    digits = F.when(digits.startswith("00"), F.substring(digits, 3, 40)).otherwise(digits)
-    national = F.when(international & digits.startswith("90"), F.regexp_replace(digits, "^90", "")).when(~international, F.regexp_replace(digits, "^(90(?=[2-5][0-9]{9}$)|0)", ""))
-    turkish = F.when(national.rlike(r"^[2-5]\d{9}$"), F.concat(F.lit("+90"), national))
-    abroad = F.when(international & ~digits.startswith("90") & digits.rlike(r"^[1-9]\d{7,14}$"), F.concat(F.lit("+"), digits))
-    return F.coalesce(turkish, abroad)
+# Methods.
+E164, TO_E164, BAD_SHAPE, BAD_NUMBER = "valid_e164", "normalized_to_e164", "unparseable_phone", "invalid_phone_number"
+EMAIL_AS_IS, EMAIL_LOWERED, BAD_EMAIL = "valid_email", "cleaned_then_validated", "invalid_email"
 
 
-def clean_phone(raw: Column, correction: Column | None = None) -> Column:
-    value = strip(raw)
-    number = e164(value)
-    as_is = F.replace(value, F.lit(" "), F.lit("")) == number
-    found = (
-        F.when(~value.rlike(PHONE_SHAPE), cell(AGENT, value, None, NONE, "unparseable_phone", True))
-        .when(number.isNull(), cell(AGENT, value, None, NONE, "invalid_phone_number", True))
-        .otherwise(cell(AGENT, value, number, F.when(as_is, HIGH).otherwise(MEDIUM), F.when(as_is, F.lit("valid_e164")).otherwise("normalized_to_e164")))
-    )
-    return guarded(AGENT, raw, found, correction)
+def phone_cleaner() -> Cleaner:
+    def digits(p: Parts) -> dict[str, Column]:
+        return {"digits": F.when(p("value").rlike(PHONE_SHAPE), F.regexp_replace(p("value"), r"\D", ""))}
 
+    def prefix(p: Parts) -> dict[str, Column]:
+        zeros = p("digits").startswith("00")
+        return {"abroad": p("value").startswith("+") | zeros, "rest": F.when(zeros, F.substring(p("digits"), 3, 40)).otherwise(p("digits"))}
 
-def valid_email(value: Column) -> Column:
-    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    return value.rlike(EMAIL) & (F.length(local) <= 64) & (F.length(value) <= 254) & ~domain.rlike(RESERVED)
+    def national(p: Parts) -> dict[str, Column]:
+        rest, abroad = p("rest"), p("abroad")
+        country = rest.startswith("90") & (abroad | ((F.length(rest) == 12) & F.substring(rest, 3, 1).between("2", "5")))
+        own = F.when(country, F.substring(rest, 3, 40)).when(~abroad & rest.startswith("0"), F.substring(rest, 2, 40)).when(~abroad, rest)
+        return {"own": own}
 
+    def number(p: Parts) -> dict[str, Column]:
+        own, rest = p("own"), p("rest")
+        turkish = F.when((F.length(own) == 10) & F.substring(own, 1, 1).between("2", "5"), F.concat(F.lit("+90"), own))
+        other = F.when(p("abroad") & ~rest.startswith("90") & F.length(rest).between(8, 15) & ~rest.startswith("0"), F.concat(F.lit("+"), rest))
+        return {"cleaned": F.coalesce(turkish, other)}
 
-def clean_email(raw: Column, correction: Column | None = None) -> Column:
-    value = strip(raw)
-    lower = F.lower(value)
-    normal = F.concat(F.substring_index(value, "@", 1), F.lit("@"), F.lower(F.substring_index(value, "@", -1)))
-    found = (
-        F.when(valid_email(value), cell(AGENT, value, normal, HIGH, "valid_email"))
-        .when(valid_email(lower), cell(AGENT, value, lower, MEDIUM, "cleaned_then_validated"))
-        .otherwise(cell(AGENT, value, None, NONE, "invalid_email", True))
-    )
-    return guarded(AGENT, raw, found, correction)
+    def judge(p: Parts) -> dict[str, Column]:
+        as_is = F.replace(p("value"), F.lit(" "), F.lit("")) == p("cleaned")
+        return {"method": F.when(p("digits").isNull(), BAD_SHAPE).when(p("cleaned").isNull(), BAD_NUMBER).when(as_is, E164).otherwise(TO_E164)}
 
+    return Cleaner(AGENT, (digits, prefix, national, number, judge), {E164: HIGH, TO_E164: MEDIUM}, frozenset({BAD_SHAPE, BAD_NUMBER}))
 
-def clean(raw: Column, kind: str, correction: Column | None = None) -> Column:
+
+def email_cleaner() -> Cleaner:
+    def fits(p: Parts) -> dict[str, Column]:
+        v = p("value")
+        return {"fits": v.rlike(EMAIL), "lower": F.lower(v), "local": F.substring_index(v, "@", 1), "domain": F.lower(F.substring_index(v, "@", -1))}
+
+    def checks(p: Parts) -> dict[str, Column]:
+        local, whole = p("local"), p("value")
+        return {"sound": (F.length(local) <= 64) & (F.length(whole) <= 254) & ~p("domain").rlike(RESERVED), "fits_lower": p("fits") | p("lower").rlike(EMAIL)}
+
+    def judge(p: Parts) -> dict[str, Column]:
+        good, lowered = p("fits") & p("sound"), p("fits_lower") & p("sound")
+        as_is = F.concat(p("local"), F.lit("@"), p("domain"))
+        return {"method": F.when(good, EMAIL_AS_IS).when(lowered, EMAIL_LOWERED).otherwise(BAD_EMAIL), "cleaned": F.when(good, as_is).when(lowered, p("lower"))}
+
+    return Cleaner(AGENT, (fits, checks, judge), {EMAIL_AS_IS: HIGH, EMAIL_LOWERED: MEDIUM}, frozenset({BAD_EMAIL}))
+
+
+def cleaner(kind: str) -> Cleaner:
     if kind not in ("phone", "email"):
         raise ValueError(f"a contact column is phone or email, not {kind!r}")
-    return (clean_phone if kind == "phone" else clean_email)(raw, correction)
+    return (phone_cleaner if kind == "phone" else email_cleaner)()

@@ -5,36 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.cells import HIGH, MEDIUM, cell, details, guarded, unparseable
+from ..functions.cells import HIGH, MEDIUM, UNPARSEABLE, Cleaner, Parts, details
 from ..functions.text import is_missing, strip, two_decimals
 
 AGENT = "CurrencyAgent"
-# The written forms, in the order in which they are tried.
+# The written forms and the methods they are known by, in the order in which they are tried.
 DOLLAR = r"^\$\s?\d[\d,]*\.?\d*$"
 LIRA_SUFFIX = r"^\d[\d.]*\s?TL$"
 LIRA_SYMBOL = r"^₺\s?\d[\d,]*$"
 COMMA_DECIMAL = r"^\d+,\d{1,2}$"
 PLAIN = r"^\d+(\.\d+)?$"
+FORMS = {"symbol_usd": DOLLAR, "suffix_tl": LIRA_SUFFIX, "symbol_try": LIRA_SYMBOL, "bare_comma_decimal_currency_assumed": COMMA_DECIMAL, "plain_number_currency_assumed": PLAIN}
 ASSUMED = "TRY"
 
 
-def clean(raw: Column, hint: Column | None = None, correction: Column | None = None) -> Column:
+def cleaner(hint: Column | None = None) -> Cleaner:
     """hint: the currency code that the same row gives elsewhere."""
-    value = strip(raw)
-    assumed = F.lit(ASSUMED) if hint is None else F.when(is_missing(hint), F.lit(ASSUMED)).otherwise(strip(hint))
-
-    def amount(text: Column, confidence: float, method: str, info: Column) -> Column:
-        return cell(AGENT, value, two_decimals(text.try_cast("double")), confidence, method, False, info)
-
-    known = lambda code: details(currency_code=F.lit(code))
-    guessed = details(currency_code=assumed, currency_assumed=F.lit(True))
-    digits = F.regexp_replace(value, r"[^\d.]", "")
-    found = (
-        F.when(value.rlike(DOLLAR), amount(digits, HIGH, "symbol_usd", known("USD")))
-        .when(value.rlike(LIRA_SUFFIX), amount(F.regexp_replace(value, r"\D", ""), HIGH, "suffix_tl", known("TRY")))
-        .when(value.rlike(LIRA_SYMBOL), amount(digits, HIGH, "symbol_try", known("TRY")))
-        .when(value.rlike(COMMA_DECIMAL), amount(F.replace(value, F.lit(","), F.lit(".")), MEDIUM, "bare_comma_decimal_currency_assumed", guessed))
-        .when(value.rlike(PLAIN), amount(value, MEDIUM, "plain_number_currency_assumed", guessed))
-        .otherwise(unparseable(AGENT, value))
-    )
-    return guarded(AGENT, raw, found, correction)
+
+    def form(p: Parts) -> dict[str, Column]:
+        method = F.coalesce(*[F.when(p("value").rlike(pattern), name) for name, pattern in FORMS.items()], F.lit(UNPARSEABLE))
+        return {"method": method, "hint": F.lit(ASSUMED) if hint is None else F.when(is_missing(hint), ASSUMED).otherwise(F.upper(strip(hint)))}
+
+    def number(p: Parts) -> dict[str, Column]:
+        v, how = p("value"), p("method")
+        marks = F.when(how == "suffix_tl", r"\D").otherwise(r"[^\d.]")
+        text = F.when(how == "bare_comma_decimal_currency_assumed", F.replace(v, F.lit(","), F.lit("."))).when(how == "plain_number_currency_assumed", v)
+        return {"text": text.when(how != UNPARSEABLE, F.regexp_replace(v, marks, F.lit("")))}
+
+    def amount(p: Parts) -> dict[str, Column]:
+        return {"cleaned": two_decimals(p("text").try_cast("double"))}
+
+    known = lambda code: F.lit(f'{{"currency_code":"{code}"}}')
+
+    def info(p: Parts) -> dict[str, Column]:
+        guessed = details(currency_code=p("hint"), currency_assumed=F.lit(True))
+        return {"symbol_usd": known("USD"), "suffix_tl": known("TRY"), "symbol_try": known("TRY"), "bare_comma_decimal_currency_assumed": guessed, "plain_number_currency_assumed": guessed}
+
+    return Cleaner(AGENT, (form, number, amount), dict(zip(FORMS, [HIGH, HIGH, HIGH, MEDIUM, MEDIUM])), details=info)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cells import Source, cells_of, with_cells
 from ..functions.text import two_decimals
 from ..operators import addresses, ages, contacts, currencies, dates, feedback, narratives, profiling, quantities, rules, statistics
 from ..sources import export
@@ -97,7 +98,7 @@ def date_ambiguity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def missing_and_error_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey") % 6
     text = F.when(k == 0, "  ").when(k == 1, "31/02/2024").when(k == 2, "03/04/2024").when(k == 3, "00/04/2024").when(k == 4, "soon").otherwise("Foo 12, 2024")
-    return table(spark, sf_dir, "orders").select("o_orderkey", dates.clean(text, F.lit(None).cast("boolean"), F.lit(0)).alias("cell")).select("o_orderkey", *flat())
+    return cells_of(table(spark, sf_dir, "orders"), text, dates.cleaner(F.lit(None).cast("boolean"), F.lit(0))).select("o_orderkey", *flat())
 
 
 # Amounts, quantities, ages.
@@ -124,8 +125,8 @@ def currency_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 4, cents)
         .otherwise(F.concat(F.lit("about "), cents))
     )
-    hint = F.when(k == 3, "USD").otherwise("")
-    cells = table(spark, sf_dir, "orders").select("o_orderkey", currencies.clean(text, hint).alias("cell"))
+    hint = F.when(k == 3, " usd ").otherwise("")
+    cells = cells_of(table(spark, sf_dir, "orders"), text, currencies.cleaner(hint))
     return cells.select("o_orderkey", *flat(), F.get_json_object("cell.details", "$.currency_code").alias("currency_code"))
 
 
@@ -144,7 +145,7 @@ def quantity_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 4, F.concat(F.lit("$"), p, F.lit("M")))
         .otherwise(F.concat(p, F.lit("%")))
     )
-    cells = table(spark, sf_dir, "part").select("p_partkey", quantities.clean(text).alias("cell"))
+    cells = cells_of(table(spark, sf_dir, "part"), text, quantities.cleaner())
     return cells.select("p_partkey", *flat(), *[F.get_json_object("cell.details", f"$.{x}").alias(x) for x in ("currency_code", "unit", "magnitude")])
 
 
@@ -164,7 +165,7 @@ def numeric_age_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 3, (n + 200).cast("string"))
         .when(k == 4, F.concat(n.cast("string"), F.lit(".5")))
     )
-    return table(spark, sf_dir, "part").select("p_partkey", ages.clean(text).alias("cell")).select("p_partkey", *flat())
+    return cells_of(table(spark, sf_dir, "part"), text, ages.cleaner()).select("p_partkey", *flat())
 
 
 # Contacts and addresses.
@@ -183,7 +184,7 @@ def email_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 2, F.concat(F.lit("user."), n, F.lit("@sub.mail.org")))
         .otherwise(F.concat(F.lit("user"), n, F.lit("@mail")))
     )
-    return table(spark, sf_dir, "customer").select("c_custkey", contacts.clean(text, "email").alias("cell")).select("c_custkey", *flat())
+    return cells_of(table(spark, sf_dir, "customer"), text, contacts.cleaner("email")).select("c_custkey", *flat())
 
 
 @_registered(
@@ -202,7 +203,7 @@ def phone_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 4, F.concat(F.lit("no. "), d))
         .otherwise(d)
     )
-    return table(spark, sf_dir, "customer").select("c_custkey", contacts.clean(text, "phone").alias("cell")).select("c_custkey", *flat())
+    return cells_of(table(spark, sf_dir, "customer"), text, contacts.cleaner("phone")).select("c_custkey", *flat())
 
 
 @_registered(
@@ -213,7 +214,7 @@ def phone_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def address_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("c_custkey")
     text = F.element_at(F.array(*[F.lit(x) for x in ["Çankaya - Ankara - Türkiye", "no 5, nilüfer, BURSA", "Somewhere in Antalya", "Türkiye, Konya, Meram", "221b Baker Street"]]), (n % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "customer").select("c_custkey", addresses.clean(text).alias("cell")).select("c_custkey", *flat())
+    return cells_of(table(spark, sf_dir, "customer"), text, addresses.cleaner()).select("c_custkey", *flat())
 
 
 @_registered("select c_custkey, case c_custkey % 3 when 0 then 'Abdalpur, Kolkata, India' when 1 then 'Mumbai, India' else 'India' end as answer, c_custkey % 3 = 0 as grounded from customer")
@@ -295,7 +296,8 @@ def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long cells of the orders' dates and amounts: record_id, ordinal, column_name, column_type, row_index, cell."""
     k = F.col("o_orderkey")
     amount = F.when(k % 10 == 0, F.lit("")).when(k % 10 == 1, "free").otherwise(F.concat(F.lit("$"), two_decimals(F.col("o_totalprice"))))
-    wide = dirty_orders(spark, sf_dir).select(k.alias("row_index"), dates.clean(F.col("dirty"), F.lit(True), F.lit(9)).alias("k0"), currencies.clean(amount).alias("k1"))
+    sources = {"k0": Source(dates.cleaner(F.lit(True), F.lit(9)), F.col("dirty")), "k1": Source(currencies.cleaner(), amount)}
+    wide = with_cells(dirty_orders(spark, sf_dir), sources).select(k.alias("row_index"), *sources)
     plan = cleaning.Plan(["order_date", "order_amount"], [profiling.ColumnType("order_date", "date", "DateAgent", 1.0, 50), profiling.ColumnType("order_amount", "currency", "CurrencyAgent", 1.0, 50)])
     return cleaning.unpivoted(wide, plan).withColumn("record_id", F.col("row_index") * 2 + F.col("ordinal"))
 
@@ -362,7 +364,7 @@ def feedback_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = feedback.latest(corrections(spark), "mktsegment")
     df = table(spark, sf_dir, "customer").withColumn("value", F.concat(F.lit(" "), F.col("c_mktsegment")))
     df = feedback.with_correction(df, "value", found, "fix", len(_FIXES))
-    return df.select("c_custkey", addresses.clean(F.col("value"), F.col("fix")).alias("cell")).select("c_custkey", *flat())
+    return cells_of(df, F.col("value"), addresses.cleaner(), "cell", F.col("fix")).select("c_custkey", *flat())
 
 
 @_registered(

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cells import CELL_TYPE, Source, with_cells
 from ..functions.text import is_missing, strip
 from ..operators import addresses, ages, contacts, currencies, dates, feedback, profiling, quantities, resolvers
 from ..operators.narratives import Writer
@@ -62,7 +63,7 @@ def route(df: DataFrame, columns: list[str], writer: Writer | None = None, log:
 
 
 def cells(df: DataFrame, plan: Plan, corrections: DataFrame | None = None, resolver: addresses.Resolver | None = None) -> DataFrame:
-    """row_index, k0, k1, ...: the cells of the columns that plan cleans, side by side, in one projection over the table.
+    """row_index, k0, k1, ...: the cells of the columns that plan cleans, side by side, in one pass over the table.
 
     Joins are only with small sides: a row of date evidence, and the latest corrections of a type.
     """
@@ -96,33 +97,32 @@ def cells(df: DataFrame, plan: Plan, corrections: DataFrame | None = None, resol
             found = addresses.resolve(df, f"c{i}", resolver, examples).select(F.col("value").alias(f"place{i}"), F.col("resolved").alias(f"resolved{i}"))
             out = out.join(found, strip(F.col(f"c{i}")) == F.col(f"place{i}"), "left")
             answers[i] = F.col(f"resolved{i}")
-    made = {}
+    made: dict[str, Source] = {}
     for i in wanted:
-        raw, t, fix = F.col(f"c{i}"), plan.types[i], reuse.get(i)
+        t = plan.types[i]
         if t.agent == "DateAgent":
             a, b = evidence[i]
-            made[f"k{i}"] = dates.clean(raw, F.lit(a >= b if a + b else None).cast("boolean"), F.lit(a + b), fix)
+            cleaner = dates.cleaner(F.lit(a >= b if a + b else None).cast("boolean"), F.lit(a + b))
         elif t.agent == "CurrencyAgent":
-            made[f"k{i}"] = currencies.clean(raw, hint, fix)
+            cleaner = currencies.cleaner(hint)
         elif t.agent == "QuantityAgent":
-            made[f"k{i}"] = quantities.clean(raw, fix)
+            cleaner = quantities.cleaner()
         elif t.agent == "ContactAgent":
-            made[f"k{i}"] = contacts.clean(raw, t.detected_type if t.detected_type in ("phone", "email") else "email", fix)
+            cleaner = contacts.cleaner(t.detected_type if t.detected_type in ("phone", "email") else "email")
         elif t.agent == "NumericAgent":
-            made[f"k{i}"] = ages.clean(raw, fix)
+            cleaner = ages.cleaner()
         elif t.agent == "AddressAgent":
-            made[f"k{i}"] = addresses.clean(raw, fix, answers.get(i), resolver is not None)
+            cleaner = addresses.cleaner(answers.get(i), resolver is not None)
         else:
             raise ValueError(f"no cleaner for {t.agent!r}")
-    return out.select(ROW_INDEX, *[c.alias(k) for k, c in made.items()])
+        made[f"k{i}"] = Source(cleaner, F.col(f"c{i}"), reuse.get(i))
+    return with_cells(out, made).select(ROW_INDEX, *made)
 
 
 def unpivoted(wide: DataFrame, plan: Plan) -> DataFrame:
     """ordinal (among the cleaned columns), column_name, column_type, row_index, cell."""
     wanted = plan.cleaned()
     if not wanted:
-        from ..functions.cells import CELL_TYPE
-
         return wide.sparkSession.createDataFrame([], f"ordinal int, column_name string, column_type string, row_index bigint, cell {CELL_TYPE}")
     each = [F.struct(F.lit(n).alias("ordinal"), F.lit(plan.columns[i]).alias("column_name"), F.lit(plan.types[i].detected_type).cast("string").alias("column_type"), F.col(f"k{i}").alias("cell")) for n, i in enumerate(wanted)]
     return wide.select(ROW_INDEX, F.inline(F.array(*each))).select("ordinal", "column_name", "column_type", ROW_INDEX, "cell")

@@ -5,12 +5,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from siftwell.functions.cells import Source, cells_of, with_cells
 from siftwell.operators import addresses, ages, contacts, currencies, dates, quantities
 
 
 def cleaned(spark, values, build):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, raw string")
-    rows = df.select("i", build(F.col("raw")).alias("c")).orderBy("i").collect()
+    rows = cells_of(df, F.col("raw"), build, "c").orderBy("i").collect()
     return [r["c"] for r in rows]
 
 
@@ -39,7 +40,7 @@ def test_dates_without_evidence(spark):
         (None, None, 0, "missing_value", True),
         ("  ", None, 0, "missing_value", True),
     ]
-    got = check(spark, table, lambda c: dates.clean(c, F.lit(None).cast("boolean"), F.lit(0)))
+    got = check(spark, table, dates.cleaner(F.lit(None).cast("boolean"), F.lit(0)))
     assert json.loads(got[9].details) == {"error": "unhandled_exception_during_cleaning"} and got[9].original_value == "31/02/2024"
     assert got[1].original_value == "2024-3-5"
 
@@ -72,9 +73,9 @@ def test_currencies(spark):
         ("twelve", None, 0, "unparseable", True),
         ("", None, 0, "missing_value", True),
     ]
-    got = check(spark, table, currencies.clean)
+    got = check(spark, table, currencies.cleaner())
     assert json.loads(got[5].details)["currency_code"] == "TRY"
-    hinted = cleaned(spark, ["85,50"], lambda c: currencies.clean(c, F.lit("USD")))[0]
+    hinted = cleaned(spark, ["85,50"], currencies.cleaner(F.lit(" usd ")))[0]
     assert json.loads(hinted.details) == {"currency_code": "USD", "currency_assumed": True}
 
 
@@ -95,7 +96,7 @@ def test_quantities(spark):
         ("-5", None, 0, "unparseable", True),
         ("1.2.3", None, 0, "unparseable", True),
     ]
-    got = check(spark, table, quantities.clean)
+    got = check(spark, table, quantities.cleaner())
     assert json.loads(got[5].details) == {"currency_code": "INR", "magnitude": "K", "unit": "sqft"}
     assert json.loads(got[4].details) == {"currency_code": None, "magnitude": None, "unit": "percent"}
 
@@ -109,7 +110,7 @@ def test_contacts(spark):
         ("call me", None, 0, "unparseable_phone", True),
         (None, None, 0, "missing_value", True),
     ]
-    check(spark, phones, lambda c: contacts.clean(c, "phone"))
+    check(spark, phones, contacts.cleaner("phone"))
     emails = [
         ("alice@mail.com", "alice@mail.com", 95, "valid_email", False),
         ("Alice@Mail.COM", "Alice@mail.com", 95, "valid_email", False),
@@ -117,9 +118,9 @@ def test_contacts(spark):
         ("not-an-email", None, 0, "invalid_email", True),
         ("a..b@mail.com", None, 0, "invalid_email", True),
     ]
-    check(spark, emails, lambda c: contacts.clean(c, "email"))
+    check(spark, emails, contacts.cleaner("email"))
     with pytest.raises(ValueError):
-        contacts.clean(F.lit("x"), "fax")
+        contacts.cleaner("fax")
 
 
 def test_ages(spark):
@@ -135,7 +136,7 @@ def test_ages(spark):
         ("banana", None, 0, "unparseable", True),
         (None, None, 0, "missing_value", True),
     ]
-    got = check(spark, table, ages.clean)
+    got = check(spark, table, ages.cleaner())
     assert json.loads(got[5].details) == {"plausible_range": [0, 120]}
 
 
@@ -146,7 +147,7 @@ def test_addresses(spark):
         ("istanbul", None, 0, "unresolved", True),
         ("1 Main Street", None, 0, "unresolved", True),
     ]
-    check(spark, table, addresses.clean)
+    check(spark, table, addresses.cleaner())
 
 
 def test_address_answers_are_accepted_only_if_borne_out(spark):
@@ -160,7 +161,8 @@ def test_address_answers_are_accepted_only_if_borne_out(spark):
 
     df = spark.createDataFrame([("Abdalpur Kolkata",), ("somewhere",), ("capital, Turkiye",), ("Konya",)], "a string")
     found = addresses.resolve(df, "a", resolver, [])
-    joined = df.join(found, df["a"] == found["value"], "left").select("a", addresses.clean(F.col("a"), None, F.col("resolved"), True).alias("c")).collect()
+    joined = df.join(found, df["a"] == found["value"], "left")
+    joined = cells_of(joined, F.col("a"), addresses.cleaner(F.col("resolved"), True), "c").collect()
     got = {r["a"]: (r["c"].cleaned_value, r["c"].confidence, r["c"].method) for r in joined}
     assert got == {
         "Abdalpur Kolkata": ("Abdalpur, Kolkata, India", 70, "llm_international_resolution"),
@@ -170,9 +172,27 @@ def test_address_answers_are_accepted_only_if_borne_out(spark):
     }
 
 
-def test_cleaners_need_no_python(spark):
-    df = spark.createDataFrame([("x",)], "raw string")
-    c = F.col("raw")
-    plan = df.select(dates.clean(c, F.lit(True), F.lit(3)), currencies.clean(c), quantities.clean(c), contacts.clean_phone(c), contacts.clean_email(c), ages.clean(c), addresses.clean(c))
-    text = plan._jdf.queryExecution().executedPlan().toString()
+def all_cells(df, copies=1):
+    """Every cleaner over the column raw, ``copies`` times."""
+    made = [dates.cleaner(F.lit(True), F.lit(3)), currencies.cleaner(), quantities.cleaner(), contacts.cleaner("phone"), contacts.cleaner("email"), ages.cleaner(), addresses.cleaner()]
+    return with_cells(df, {f"k{i}": Source(c, F.col("raw"), F.col("fix")) for i, c in enumerate(made * copies)}).drop("raw", "fix")
+
+
+def test_cleaners_need_no_python_and_few_patterns(spark):
+    """No Python in the plan, and no more than ten patterns run for any cell: expressions are bound, not repeated."""
+    df = spark.createDataFrame([("x", None)], "raw string, fix string")
+    text = all_cells(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text
+    for c in all_cells(df).columns:
+        plan = all_cells(df).select(c)._jdf.queryExecution().optimizedPlan().toString()
+        assert sum(plan.count(x) for x in ("RLIKE", "regexp_", "split(")) <= 10, c
+
+
+def test_cleaners_compile(spark):
+    """The generated code of all cleaners side by side, twice over, stays within the limits of the machine's methods."""
+    df = spark.range(10).select(F.col("id").cast("string").alias("raw"), F.lit(None).cast("string").alias("fix"))
+    wide = all_cells(df, 2)
+    debug = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$")
+    stages = debug.codegenStringSeq(wide._jdf.queryExecution().executedPlan())
+    assert stages.size() > 0 and all("FailedToCompile" not in str(stages.apply(i)) for i in range(stages.size()))
+    assert wide.count() == 10 and wide.where("k0.method is null").count() == 0
