@@ -116,34 +116,37 @@ def detect(df: DataFrame, columns: list[str], row_index: str = "row_index") -> l
 
 
 def profiles(df: DataFrame, columns: list[str]) -> list[dict]:
-    """null_pct, unique_count, inferred_dtype, min_value and max_value of every column, in one aggregation."""
+    """null_pct, unique_count, inferred_dtype, min_value and max_value of every column. Each column's values are counted by value
+    first, so a shuffled row is a distinct value of a column, however many columns there are."""
     if not columns:
         return []
-    aggregates = [F.count("*").alias("rows")]
-    for i, c in enumerate(columns):
-        v = F.col(f"`{c}`").cast("string")
-        whole, real, truth = v.rlike(r"^\s*[+-]?\d+\s*$"), F.when(v.isNotNull(), v.try_cast("double").isNotNull()), v.isin("True", "False", "true", "false", "TRUE", "FALSE")
-        aggregates += [
-            F.count(v).alias(f"n{i}"), F.countDistinct(v).alias(f"u{i}"), F.bool_and(whole).alias(f"i{i}"), F.bool_and(real).alias(f"f{i}"), F.bool_and(truth).alias(f"b{i}"),
-            F.min(v).alias(f"a{i}"), F.max(v).alias(f"z{i}"), F.min(v.try_cast("double")).alias(f"x{i}"), F.max(v.try_cast("double")).alias(f"y{i}"),
-        ]
-    r = df.agg(*aggregates).first()
+    v = F.col("value")
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(columns)])).alias("c")).select("c.*")
+    values = cells.groupBy("ordinal", "value").agg(F.count("*").alias("n"))
+    number = v.try_cast("double")
+    rows = values.groupBy("ordinal").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(v.isNotNull(), F.col("n"))), F.lit(0)).alias("n"), F.count(v).alias("u"), F.bool_and(v.rlike(r"^\s*[+-]?\d+\s*$")).alias("i"),
+        F.bool_and(F.when(v.isNotNull(), number.isNotNull())).alias("f"), F.bool_and(v.isin("True", "False", "true", "false", "TRUE", "FALSE")).alias("b"), F.min(v).alias("a"), F.max(v).alias("z"), F.min(number).alias("x"), F.max(number).alias("y"),
+    )
+    found = {x["ordinal"]: x for x in rows.collect()}  # a row a column
+    none = dict.fromkeys(("rows", "n", "u"), 0) | dict.fromkeys("ifbazxy")
     out = []
     for i in range(len(columns)):
-        n, total = r[f"n{i}"], r["rows"]
+        r = found.get(i, none)
+        n, total = r["n"], r["rows"]
         if not n:
             kind = "float64" if total else "object"
-        elif r[f"b{i}"]:
+        elif r["b"]:
             kind = "bool" if n == total else "object"
-        elif r[f"i{i}"]:
+        elif r["i"]:
             kind = "int64" if n == total else "float64"
         else:
-            kind = "float64" if r[f"f{i}"] else "object"
+            kind = "float64" if r["f"] else "object"
         numeric = kind in ("int64", "float64") and n
-        low, high = (r[f"x{i}"], r[f"y{i}"]) if numeric else (r[f"a{i}"], r[f"z{i}"])
+        low, high = (r["x"], r["y"]) if numeric else (r["a"], r["z"])
         if kind == "int64":
             low, high = int(low), int(high)
-        out.append({"null_pct": round(100 * (1 - n / total), 2) if total else 0.0, "unique_count": r[f"u{i}"], "inferred_dtype": kind, "min_value": None if low is None else str(low), "max_value": None if high is None else str(high), "llm_attempted": False, "llm_agent_guess": None})
+        out.append({"null_pct": round(100 * (1 - n / total), 2) if total else 0.0, "unique_count": r["u"], "inferred_dtype": kind, "min_value": None if low is None else str(low), "max_value": None if high is None else str(high), "llm_attempted": False, "llm_agent_guess": None})
     return out
 
 

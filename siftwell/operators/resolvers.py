@@ -10,7 +10,7 @@ from typing import Any
 from .narratives import Writer
 
 # Marks of a provider that is out of quota or out of order, and how long it is left alone.
-OUTAGE_MARKS = ("429", "503", "rate limit", "rate_limit", "quota", "resource_exhausted", "overloaded", "unavailable", "timeout", "timed out")
+OUTAGE_MARKS = ("429", "503", "rate limit", "rate_limit", "quota", "resource_exhausted", "overloaded", "unavailable", "timeout", "timed out", "high demand", "server_error")
 COOLDOWN_S = 300.0
 AGENTS = ("DateAgent", "CurrencyAgent", "QuantityAgent", "ContactAgent", "NumericAgent", "AddressAgent")
 MOST_SAMPLES = 20

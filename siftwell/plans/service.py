@@ -218,9 +218,10 @@ class Service:
             found.unpersist()
         return {"applied_rule_ids": sorted(set(rule_ids)), "violation_count": count}
 
-    def violations(self, upload_id: int) -> list[dict]:
+    def violations(self, upload_id: int, limit: int = MAX_PAGE, offset: int = 0) -> list[dict]:
+        """A page of violations in the order they were found; store.violations has all of them as a table."""
         self.store.upload(upload_id)
-        return [r.asDict() for r in self.store.violations(upload_id).collect()]
+        return [r.asDict() for r in self.store.violations(upload_id).offset(offset).limit(min(limit, MAX_PAGE)).collect()]
 
     def audit(self, upload_id: int, limit: int = 100, offset: int = 0) -> list[dict]:
         return [r.asDict() for r in self.store.audit(upload_id).orderBy("batch", "place").offset(offset).limit(min(limit, MAX_PAGE)).collect()]

@@ -1,16 +1,30 @@
 """Stored tables: cells and audit events as partitioned Parquet, small tables as replaced versions.
 
 Cells of an upload are written once, under ``upload_id=...``; human corrections are an overlay joined at reading. An
-upload's cells and audit events are staged first and count only when its row says ``completed``, so a failed write
-leaves nothing visible. Small tables (uploads, corrections for reuse, rules, applied rules) are written as a new
-version directory and switched to when it is complete; the version before is then removed.
+upload's cells and audit events count only when its row says ``completed``, which is the last thing to be written, so
+a failed or unfinished write shows nothing. Small tables (uploads, corrections for reuse, rules, applied rules) and
+the audit part of an upload are kept in version directories; the newest complete one counts, so replacing one is a
+single step, and what a crash leaves behind is never read.
+
+Whoever changes a table holds its lock, a file that is created only if it is not there; within one process threads wait for each other
+first. Ids are given under the lock. A lock that is older than STALE_S belongs to a writer that is gone and is taken away.
 """
 
 from __future__ import annotations
 
+import threading
+import time
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Seconds after which a lock is taken to be left over.
+STALE_S = 900
+_threads: dict[tuple[str, str], threading.RLock] = defaultdict(threading.RLock)
+
 SCHEMA_VERSION = 1
 SMALL = {
     "uploads": "upload_id bigint, filename string, uploaded_at timestamp, row_count bigint, status string, insights_json string, record_base bigint",
@@ -57,6 +71,33 @@ class Store:
         names = [s.getPath().getName() for s in fs.listStatus(p)]
         return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and self.exists(f"{self.root}/{table}/{n}/_SUCCESS"))
 
+    @contextmanager
+    def exclusive(self, name: str) -> Iterator[None]:
+        """One writer at a time, whichever process it is in."""
+        p, fs = self._path(f"{self.root}/locks/{name}")
+        with _threads[self.root, name]:
+            while True:
+                try:
+                    fs.create(p, False).close()  # only if it is not there
+                    break
+                except Exception as error:  # there, or gone again by now
+                    if "AlreadyExists" not in str(error):
+                        raise
+                    if fs.exists(p) and time.time() * 1000 - fs.getFileStatus(p).getModificationTime() > STALE_S * 1000:
+                        fs.delete(p, False)
+                    time.sleep(0.05)
+            try:
+                yield
+            finally:
+                fs.delete(p, False)
+
+    def _write_version(self, table: str, rows: DataFrame) -> None:
+        """rows as the newest version of a table whose lock is held; the version just left may still be read."""
+        versions = self._versions(table)
+        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/v{(versions[-1] if versions else 0) + 1}")
+        for old in versions[:-1]:
+            self.remove(f"{self.root}/{table}/v{old}")
+
     # Small tables.
 
     def table(self, name: str) -> DataFrame:
@@ -65,29 +106,31 @@ class Store:
             return self.spark.createDataFrame([], SMALL[name])
         return self.spark.read.schema(SMALL[name]).parquet(f"{self.root}/{name}/v{versions[-1]}")
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        versions = self._versions(name)
-        new = (versions[-1] if versions else 0) + 1
-        rows.select([F.col(f.split()[0]).cast(f.split()[1]).alias(f.split()[0]) for f in SMALL[name].split(", ")]).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}/v{new}")
-        for old in versions[:-1]:  # the version just left may still be read
-            self.remove(f"{self.root}/{name}/v{old}")
+    def change(self, name: str, make: Callable[[DataFrame], DataFrame]) -> None:
+        """Replaces a small table by what make says of its rows, with no other writer in between."""
+        columns = [tuple(f.split()) for f in SMALL[name].split(", ")]
+        with self.exclusive(name):
+            self._write_version(name, make(self.table(name)).select([F.col(c).cast(t).alias(c) for c, t in columns]).coalesce(1))
+
+    def insert(self, name: str, key: str, stamp: str, row: dict) -> int:
+        """Appends a row with the next id under key and the time under stamp; returns the id."""
+        given: list[int] = []
 
-    def next_id(self, table: str, key: str) -> int:
-        return (self.table(table).agg(F.max(key)).first()[0] or 0) + 1
+        def make(rows: DataFrame) -> DataFrame:
+            given.append((rows.agg(F.max(key)).first()[0] or 0) + 1)
+            one = self.spark.createDataFrame([row | {key: given[-1], stamp: None}], SMALL[name])
+            return rows.unionByName(one.withColumn(stamp, F.current_timestamp()))
 
-    def append(self, name: str, row: dict) -> None:
-        self.replace(name, self.table(name).unionByName(self.spark.createDataFrame([row], SMALL[name])))
+        self.change(name, make)
+        return given[-1]
 
     def update(self, name: str, where: Column, **values: Column) -> None:
-        self.replace(name, self.table(name).withColumns({k: F.when(where, v).otherwise(F.col(k)) for k, v in values.items()}))
+        self.change(name, lambda rows: rows.withColumns({k: F.when(where, v).otherwise(F.col(k)) for k, v in values.items()}))
 
     # Uploads.
 
     def create_upload(self, filename: str, row_count: int | None = None) -> int:
-        upload_id = self.next_id("uploads", "upload_id")
-        self.append("uploads", {"upload_id": upload_id, "filename": filename, "row_count": row_count, "status": "pending", "insights_json": None, "uploaded_at": None, "record_base": None})
-        self.update("uploads", F.col("upload_id") == upload_id, uploaded_at=F.current_timestamp())
-        return upload_id
+        return self.insert("uploads", "upload_id", "uploaded_at", {"filename": filename, "row_count": row_count, "status": "pending", "insights_json": None, "record_base": None})
 
     def set_status(self, upload_id: int, status: str, row_count: int | None = None) -> None:
         self.upload(upload_id)
@@ -111,54 +154,73 @@ class Store:
         for name in ("cells", "audit", "overlay"):
             self.remove(f"{self.root}/{name}/upload_id={upload_id}")
         for name in ("applied", "rules", "uploads"):
-            self.replace(name, self.table(name).where((F.col("upload_id") != upload_id) | F.col("upload_id").isNull()))
+            self.change(name, lambda rows: rows.where((F.col("upload_id") != upload_id) | F.col("upload_id").isNull()))
 
     # Cells and audit events.
 
+    def _shown(self, upload_id: int) -> bool:
+        return self.table("uploads").where((F.col("upload_id") == upload_id) & (F.col("status") == "completed")).count() > 0
+
     def _part(self, name: str, schema: str, upload_id: int) -> DataFrame:
+        """What is stored of a completed upload; of others there is nothing to be seen."""
         path = f"{self.root}/{name}/upload_id={upload_id}"
-        if not self.exists(path):
+        if name == "audit":
+            versions = self._versions(f"audit/upload_id={upload_id}")
+            path = f"{path}/v{versions[-1] if versions else 0}"
+        if not self.exists(path) or not self._shown(upload_id):
             return self.spark.createDataFrame([], schema)
         inner = ", ".join(f for f in schema.split(", ") if f.split()[0] != "upload_id")
         return self.spark.read.schema(inner).parquet(path).withColumn("upload_id", F.lit(upload_id).cast("bigint"))
 
+    def _reserve(self, upload_id: int, records: int) -> int:
+        """So many record numbers of its own for an upload; returns the one before the first."""
+        base: list[int] = []
+
+        def make(rows: DataFrame) -> DataFrame:
+            base.append(rows.agg(F.max("record_base")).first()[0] or 0)
+            return rows.withColumn("record_base", F.when(F.col("upload_id") == upload_id, base[-1] + records).otherwise(F.col("record_base")))
+
+        self.change("uploads", make)
+        return base[-1]
+
     def write_cells(self, upload_id: int, cells: DataFrame, audit: bool = True) -> None:
         """cells: column_name, ordinal, row_index, column_type and the cell struct. All or nothing; with audit, an event for
-        every cell."""
-        row = self.upload(upload_id)
+        every cell. What was stored of the upload before is replaced."""
+        self.upload(upload_id)
         # Numbers follow column after column, row after row, without a shuffle.
-        size = cells.agg(F.max("row_index"), F.min("cell.confidence"), F.max("cell.confidence"), F.count_if(F.col("cell.confidence").isNull())).first()
-        if size[0] is not None and (size[1] < 0 or size[2] > 100 or size[3]):
+        size = cells.agg(F.max("row_index"), F.max("ordinal"), F.min("cell.confidence"), F.max("cell.confidence"), F.count_if(F.col("cell.confidence").isNull())).first()
+        if size[0] is not None and (size[2] < 0 or size[3] > 100 or size[4]):
             self.set_status(upload_id, "failed")
             raise StoreError("Confidence scores lie between 0 and 100.")
-        base = row["record_base"]
-        if base is None:
-            base = self.table("uploads").agg(F.max("record_base")).first()[0] or 0
         height = (size[0] or 0) + 1
+        base = self._reserve(upload_id, height * ((size[1] if size[1] is not None else -1) + 1))
         record_id = F.lit(base) + F.col("ordinal").cast("bigint") * height + F.col("row_index") + 1
-        numbered = cells.select(record_id.alias("record_id"), "column_name", "row_index", "column_type", "cell", "ordinal")
+        numbered = cells.select(record_id.alias("record_id"), "column_name", "row_index", "column_type", "cell")
+        self.set_status(upload_id, "pending")  # nothing is shown until both are there
         try:
             numbered.select(
                 "record_id", "column_name", "row_index", "cell.original_value", "cell.cleaned_value", F.col("cell.confidence").alias("confidence_score"), "cell.agent_type", "column_type", F.current_timestamp().alias("created_at")
             ).write.mode("overwrite").parquet(f"{self.root}/cells/upload_id={upload_id}")
+            self.remove(f"{self.root}/audit/upload_id={upload_id}")
             if audit:
                 inner = F.col("cell.details")
                 rest = F.when(inner == "{}", F.lit("}")).otherwise(F.concat(F.lit(", "), F.substring(inner, 2, 1_000_000_000)))
                 info = F.concat(F.lit('{"method": "'), F.col("cell.method"), F.lit('", "flagged": '), F.col("cell.flagged").cast("string"), rest)
                 events = numbered.select("record_id", F.col("cell.agent_type").alias("agent_name"), F.lit("clean_value").alias("action"), info.alias("details"), F.col("record_id").alias("place"))
                 self.write_audit(upload_id, events)
-            width = numbered.agg(F.max("ordinal")).first()[0]
         except Exception as error:
             for name in ("cells", "audit"):
                 self.remove(f"{self.root}/{name}/upload_id={upload_id}")
             self.set_status(upload_id, "failed")
             raise StoreError(f"Cells of upload {upload_id} could not be written.") from error
-        self.update("uploads", F.col("upload_id") == upload_id, record_base=F.lit(base + height * ((width if width is not None else -1) + 1)), status=F.lit("completed"))
+        self.set_status(upload_id, "completed")
 
     def write_audit(self, upload_id: int, events: DataFrame) -> None:
         """events: record_id, agent_name, action, details, place (their order within this call)."""
-        seen = self.audit(upload_id).agg(F.max("batch")).first()[0]
-        events.select("record_id", "agent_name", "action", "details", F.current_timestamp().alias("timestamp"), F.lit((seen or 0) + 1).cast("bigint").alias("batch"), F.col("place").cast("bigint").alias("place")).write.mode("append").parquet(f"{self.root}/audit/upload_id={upload_id}")
+        with self.exclusive(f"audit-{upload_id}"):
+            version = (self._versions(f"audit/upload_id={upload_id}") or [1])[-1]
+            seen = self.audit(upload_id).agg(F.max("batch")).first()[0]
+            events.select("record_id", "agent_name", "action", "details", F.current_timestamp().alias("timestamp"), F.lit((seen or 0) + 1).cast("bigint").alias("batch"), F.col("place").cast("bigint").alias("place")).write.mode("append").parquet(f"{self.root}/audit/upload_id={upload_id}/v{version}")
 
     def audit(self, upload_id: int) -> DataFrame:
         """Events; (batch, place) is their order."""
@@ -191,6 +253,10 @@ class Store:
         self.cell(upload_id, record_id)
         return self.audit(upload_id).where(F.col("record_id") == record_id).orderBy("batch", "place")
 
+    def lineages(self, upload_id: int, records: DataFrame) -> DataFrame:
+        """The events of all cells whose record_id is in records; (record_id, batch, place) is their order."""
+        return self.audit(upload_id).join(records.select("record_id").distinct(), "record_id", "left_semi")
+
     def cell(self, upload_id: int, record_id: int) -> dict:
         row = self.cells(upload_id).where(F.col("record_id") == record_id).first()
         if row is None:
@@ -202,17 +268,21 @@ class Store:
         from ..operators import feedback
 
         cell = self.cell(upload_id, record_id)
-        n = self._part("overlay", OVERLAY, upload_id).count()
-        one = self.spark.range(1).select(F.lit(record_id).cast("bigint").alias("record_id"), F.lit(value).alias("corrected_value"), F.current_timestamp().alias("corrected_at"), F.lit(n).cast("bigint").alias("place"))
-        one.write.mode("append").parquet(f"{self.root}/overlay/upload_id={upload_id}")
+        with self.exclusive(f"overlay-{upload_id}"):
+            self._lay_over(upload_id, record_id, value)
         if cell["original_value"] is not None:
             kind = cell["column_type"] or cell["agent_type"]
             change = self.spark.createDataFrame([(kind, cell["original_value"], cell["cleaned_value"], value)], "column_type string, original_value string, agent_output string, corrected_value string").withColumn("created_at", F.current_timestamp())
-            self.replace("feedback", feedback.upsert(self.table("feedback"), change))
+            self.change("feedback", lambda rows: feedback.upsert(rows, change))
         info = F.to_json(F.struct(F.lit(cell["cleaned_value"]).cast("string").alias("previous_value"), F.lit(value).alias("corrected_value")), {"ignoreNullFields": "false"})
         self.write_audit(upload_id, self.spark.range(1).select(F.lit(record_id).cast("bigint").alias("record_id"), F.lit("UserFeedback").alias("agent_name"), F.lit("user_correction").alias("action"), info.alias("details"), F.lit(0).alias("place")))
         return self.cell(upload_id, record_id)
 
+    def _lay_over(self, upload_id: int, record_id: int, value: str) -> None:
+        n = self._part("overlay", OVERLAY, upload_id).count()
+        one = self.spark.range(1).select(F.lit(record_id).cast("bigint").alias("record_id"), F.lit(value).alias("corrected_value"), F.current_timestamp().alias("corrected_at"), F.lit(n).cast("bigint").alias("place"))
+        one.write.mode("append").parquet(f"{self.root}/overlay/upload_id={upload_id}")
+
     # Rules.
 
     def rules(self, upload_id: int | None = None, active_only: bool = False) -> list:
@@ -229,9 +299,7 @@ class Store:
         return [Rule(**(r | {"condition_value": None if r["condition_value"] is None else json.loads(r["condition_value"])})) for r in found]
 
     def create_rule(self, rule) -> int:
-        rule.rule_id = self.next_id("rules", "rule_id")
-        self.append("rules", rule.row() | {"created_at": None})
-        self.update("rules", F.col("rule_id") == rule.rule_id, created_at=F.current_timestamp())
+        rule.rule_id = self.insert("rules", "rule_id", "created_at", rule.row())
         return rule.rule_id
 
     def update_rule(self, rule_id: int, **fields) -> None:
@@ -246,37 +314,40 @@ class Store:
         """The rule stays as inactive; it is applied nowhere any more and its violations go."""
         for row in self.table("applied").where(F.col("rule_id") == rule_id).select("upload_id").distinct().collect():
             self.clear_violations(row[0], [rule_id])
-        self.replace("applied", self.table("applied").where(F.col("rule_id") != rule_id))
+        self.change("applied", lambda rows: rows.where(F.col("rule_id") != rule_id))
         self.update("rules", F.col("rule_id") == rule_id, is_active=F.lit(False))
 
     def applied_rules(self, upload_id: int) -> list[int]:
         return sorted(r[0] for r in self.table("applied").where(F.col("upload_id") == upload_id).select("rule_id").collect())
 
     def set_applied(self, upload_id: int, rule_ids: list[int]) -> tuple[set[int], set[int]]:
-        now, wanted = set(self.applied_rules(upload_id)), set(rule_ids)
-        add, drop = wanted - now, now - wanted
+        """Makes these the applied rules; violations of rules that no longer are go. Returns what was added and removed."""
+        from ..operators.rules import applied_difference
+
+        moved: list[set[int]] = []
+
+        def make(rows: DataFrame) -> DataFrame:
+            mine = rows.where(F.col("upload_id") == upload_id).select("rule_id")
+            add, drop = applied_difference(mine, self.spark.createDataFrame([(r,) for r in set(rule_ids)], "rule_id bigint"))
+            moved[:] = [{r[0] for r in add.collect()}, {r[0] for r in drop.collect()}]  # the rules of one upload
+            first = (rows.agg(F.max("applied_id")).first()[0] or 0) + 1
+            new = self.spark.createDataFrame([(first + i, upload_id, r, None) for i, r in enumerate(sorted(moved[0]))], SMALL["applied"]).withColumn("applied_at", F.current_timestamp())
+            return rows.where((F.col("upload_id") != upload_id) | ~F.col("rule_id").isin(sorted(moved[1]) or [-1])).unionByName(new)
+
+        self.change("applied", make)
+        add, drop = moved
         if drop:
             self.clear_violations(upload_id, sorted(drop))
-        if add or drop:
-            others = self.table("applied").where((F.col("upload_id") != upload_id) | ~F.col("rule_id").isin(sorted(drop) or [-1]))
-            first = self.next_id("applied", "applied_id")
-            new = self.spark.createDataFrame([(first + i, upload_id, r, None) for i, r in enumerate(sorted(add))], SMALL["applied"]).withColumn("applied_at", F.current_timestamp())
-            self.replace("applied", others.unionByName(new))
         return add, drop
 
     def clear_violations(self, upload_id: int, rule_ids: list[int]) -> None:
-        """Rewrites the upload's audit part without the violations of these rules."""
-        path = f"{self.root}/audit/upload_id={upload_id}"
-        if not self.exists(path):
-            return
-        rule = F.get_json_object("details", "$.rule_id").cast("bigint")
-        gone = (F.col("action") == "rule_violation") & rule.isin(rule_ids)
-        staged = f"{self.root}/audit_staged/upload_id={upload_id}"
-        self.audit(upload_id).where(~F.coalesce(gone, F.lit(False))).drop("upload_id").write.mode("overwrite").parquet(staged)
-        self.remove(path)
-        p, fs = self._path(staged)
-        fs.mkdirs(self._path(f"{self.root}/audit")[0])
-        fs.rename(p, self._path(path)[0])
+        """A new version of the upload's audit part without the violations of these rules."""
+        with self.exclusive(f"audit-{upload_id}"):
+            if not self._versions(f"audit/upload_id={upload_id}") or not self._shown(upload_id):
+                return
+            rule = F.get_json_object("details", "$.rule_id").cast("bigint")
+            gone = (F.col("action") == "rule_violation") & rule.isin(rule_ids)
+            self._write_version(f"audit/upload_id={upload_id}", self.audit(upload_id).where(~F.coalesce(gone, F.lit(False))).drop("upload_id"))
 
     def write_violations(self, upload_id: int, found: DataFrame) -> None:
         """found: rows of operators.rules.violations."""

@@ -16,13 +16,16 @@ from ..operators.ages import number_words
 from ..functions.text import lookup, two_decimals
 
 # Fixed values of the data set.
-CATEGORIES = "Electronics;Clothing;Home & Garden;Groceries;Books;Toys & Games;Sports & Outdoors;Beauty & Personal Care".split(";")
-SEGMENTS = {"Budget": (0.35, 8, 16, -45.0), "Regular": (0.35, 3, 8, 0.0), "Premium": (0.20, 1, 4, 150.0), "New": (0.10, 1, 2, 15.0)}  # share, fewest and most orders, adjustment
+CATEGORIES = ["Electronics", "Clothing", "Home & Garden", "Groceries", "Books", "Toys & Games", "Sports & Outdoors", "Beauty & Personal Care"]
+SEGMENT_SHARES = {"Budget": 0.35, "Regular": 0.35, "Premium": 0.20, "New": 0.10}
+SEGMENT_ORDERS = {"Budget": (8, 16), "Regular": (3, 8), "Premium": (1, 4), "New": (1, 2)}  # fewest and most
+SEGMENT_ADJUSTMENTS = {"Budget": -45.0, "Regular": 0.0, "Premium": 150.0, "New": 15.0}
 PAYLOADS = ["Robert'); DROP TABLE customers;--", "Alice'); DROP TABLE cleaned_records;--"]
-TYPO_DOMAINS = "gmial.com hotnail.com yaho.com outlok.com".split()
+TYPO_DOMAINS = ["gmial.com", "hotnail.com", "yaho.com", "outlok.com"]
 FIRST_NAMES = "Ada Ali Ayla Can Deniz Ece Efe Elif Emre Filiz Kaya Lale Mert Nil Ozan Selin Tuna Umut Yasemin Zeki".split()
 LAST_NAMES = "Acar Aksoy Arslan Aydin Bulut Demir Dogan Erdem Kara Kaplan Koc Ozturk Polat Sahin Tekin Toprak Uslu Yalcin Yildiz Yilmaz".split()
 END = "2026-07-01"
+HISTORY_MONTHS = 18
 SPIKE_MONTH, SPIKE = "2025-12", 2.75
 OUTLIERS, AMBIGUOUS_SHARE = 5, 0.015
 COLUMNS = "customer_id name email phone signup_date order_date address order_amount currency_hint customer_age category customer_segment".split()
@@ -58,8 +61,8 @@ def customers(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     d, k = Dice(seed), "customer_id"
     name = F.concat_ws(" ", d.pick("first", FIRST_NAMES, k), d.pick("last", LAST_NAMES, k))
     place = d.pick("city", list(PROVINCES), k)
-    base = spark.range(1, n + 1).select(F.col("id").cast("int").alias(k)).withColumns({"name_true": name, "city": place, "segment": d.weighted("segment", [s[0] for s in SEGMENTS.values()], [F.lit(s) for s in SEGMENTS], k)})
-    towns = F.split(lookup(PROVINCES, F.col("city")), " ")
+    base = spark.range(1, n + 1).select(F.col("id").cast("int").alias(k)).withColumns({"name_true": name, "city": place, "segment": d.weighted("segment", list(SEGMENT_SHARES.values()), [F.lit(s) for s in SEGMENT_SHARES], k)})
+    towns = F.try_element_at(F.create_map(*[x for p, inner in PROVINCES.items() for x in (F.lit(p), F.array(*[F.lit(t) for t in inner]))]), F.col("city"))
     return base.withColumns(
         {
             "district": F.element_at(towns, (F.floor(d.share("district", k) * F.size(towns)) + 1).cast("int")),
@@ -74,11 +77,16 @@ def customers(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
 
 def orders(people: DataFrame, seed: int = 42) -> DataFrame:
     d = Dice(seed)
-    least, most, adjust = [lookup({k: v[i] for k, v in SEGMENTS.items()}, F.col("segment")) for i in (1, 2, 3)]
+    least, most = [lookup({k: v[i] for k, v in SEGMENT_ORDERS.items()}, F.col("segment")) for i in (0, 1)]
+    adjust = lookup(SEGMENT_ADJUSTMENTS, F.col("segment"))
     count = (least + F.floor(d.share("orders", "customer_id") * (most - least + 1))).cast("int")
     rows = people.withColumn("adjust", adjust).withColumn("order_no", F.explode(F.sequence(F.lit(1), count)))
     keys = ("customer_id", "order_no")
-    rows = rows.withColumns({"order_date_true": F.date_sub(F.lit(END).cast("date"), d.whole("day", 0, 365, *keys)), "category": d.pick("category", CATEGORIES, *keys)})
+    # Orders fall evenly into the last 18 months, or the time since the customer signed up if that is shorter.
+    end = F.lit(END).cast("date")
+    start = F.greatest("signup_date_true", F.date_sub(end, 30 * HISTORY_MONTHS))
+    day = F.floor(d.share("day", *keys) * (F.greatest(F.lit(1), F.datediff(end, start)) + 1)).cast("int")
+    rows = rows.withColumns({"order_date_true": F.date_add(start, day), "category": d.pick("category", CATEGORIES, *keys)})
     # The spike: a month of one category is repeated, with numbers of its own, until it is so many times the usual month.
     mine = rows.where((F.col("category") == CATEGORIES[0]))
     months = mine.groupBy(F.date_format("order_date_true", "yyyy-MM").alias("m")).agg(F.count("*").alias("n"))
@@ -97,13 +105,18 @@ def generate(spark: SparkSession, n_customers: int = 500, seed: int = 42) -> tup
     """The dirty table, its ground truth (both with row_index) and a manifest."""
     d = Dice(seed)
     rows = orders(customers(spark, n_customers, seed), seed)
-    order = Window.orderBy("order_date_true", "customer_id", "order_no")  # the rows of one generated data set
-    rows = rows.withColumn("row_index", F.row_number().over(order) - 1)
-    odd = Window.orderBy(F.xxhash64(F.lit(seed), F.lit("outlier"), F.col("row_index")))
-    vague = Window.partitionBy(F.dayofmonth("order_date_true") <= 12).orderBy(F.xxhash64(F.lit(seed), F.lit("vague"), F.col("row_index")))
-    total = F.count("*").over(Window.partitionBy())
-    rows = rows.withColumns({"is_outlier": F.row_number().over(odd) <= OUTLIERS, "is_ambiguous": (F.dayofmonth("order_date_true") <= 12) & (F.row_number().over(vague) <= F.greatest(F.lit(3), F.round(total * AMBIGUOUS_SHARE)))})
     k = "row_index"
+    # Rows are numbered day by day: a day's first number is the count of all rows of earlier days, of which there are some hundreds.
+    days = rows.groupBy("order_date_true").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("order_date_true")) - F.col("n"))
+    within = Window.partitionBy("order_date_true").orderBy("customer_id", "order_no")
+    rows = rows.join(F.broadcast(days.select("order_date_true", "base")), "order_date_true").withColumn(k, (F.col("base") + F.row_number().over(within) - 1).cast("int")).drop("base")
+    lot = lambda purpose: F.xxhash64(F.lit(seed), F.lit(purpose), F.col(k))
+    odd = rows.select(k).orderBy(lot("outlier"), k).limit(OUTLIERS)
+    # The ambiguous rows are those with the smallest lots; a lot is as good as unique, so its bound says which.
+    early = F.dayofmonth("order_date_true") <= 12
+    wanted = max(3, round(rows.count() * AMBIGUOUS_SHARE))
+    bound = rows.where(early).select(lot("vague").alias("lot")).orderBy("lot").limit(wanted).agg(F.max("lot")).scalar()
+    rows = rows.join(F.broadcast(odd.withColumn("is_outlier", F.lit(True))), k, "left").withColumns({"is_outlier": F.coalesce("is_outlier", F.lit(False)), "is_ambiguous": early & (lot("vague") <= bound)})
     rows = rows.withColumn("order_amount_true", F.round(F.when(F.col("is_outlier"), F.col("amount_true") * (8 + 10 * d.share("factor", k))).otherwise(F.col("amount_true")), 2)).persist()
 
     def date(purpose: str, c: str) -> Column:

@@ -30,6 +30,9 @@ def rows(found):
         ("regex_match", "ab", ["abc", "xab", None], [1, 2]),
         ("regex_match", ".*", [None, ""], []),
         ("regex_match", "(", ["a"], [0]),
+        ("regex_match", r"(?P<first_one>a)b(?P=first_one)\Z", ["aba", "abab", "abb"], [1, 2]),
+        ("regex_match", r"\w\d$", ["é٣", "é٣\n", "é٣x"], [2]),
+        ("regex_match", "a.b", ["a\rb", "a\nb"], [1]),
         ("not_null", None, ["x", "", "  ", None], [1, 2, 3]),
     ],
 )
@@ -55,6 +58,6 @@ def test_validation():
     assert validate(rule("gte", "5")) and validate(rule("in", "a")) and validate(rule("regex_match", "(")) and validate(rule("not_null", 1))
     assert validate(rule("gte", 5, target="w"), {"v"}) and not validate(rule("gte", 5), {"v"})
     assert validate(rule("gte", 5, "detected_type", "colour"))
-    assert "Conflicts" in validate(rule("gte", 10), None, [rule("lte", 5, i=2)])[0]
+    assert "clashes" in validate(rule("gte", 10), None, [rule("lte", 5, i=2)])[0]
     assert validate(rule("gte", 5), None, [rule("lte", 5, i=2), rule("lte", 1, target="w", i=3)]) == []
-    assert "Conflicts" in validate(rule("lte", 1), None, [rule("gte", 5, i=2)])[0]
+    assert "clashes" in validate(rule("lte", 1), None, [rule("gte", 5, i=2)])[0]

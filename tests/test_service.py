@@ -121,6 +121,45 @@ def test_a_failed_write_leaves_nothing(service, spark):
         service.store.write_cells(999, bad)
 
 
+def test_an_unfinished_write_shows_nothing(service, spark, monkeypatch):
+    """Cells are written, then the writer is gone: readers go by the upload's status."""
+    upload = service.ingest(CSV, "a.csv")["upload_id"]
+    cells = service.store.cells(upload).count()
+    service.store.set_status(upload, "pending")
+    assert cells > 0 and service.store.cells(upload).count() == 0 and service.store.audit(upload).count() == 0 and service.columns(upload) == []
+    service.store.set_status(upload, "completed")
+    rule = service.create_rule(upload, name="big", target_kind="column_name", target_value="order_amount", condition_operator="gte", condition_value=100)
+    service.apply_rules(upload, [rule.rule_id])
+    events = service.store.audit(upload).count()
+    remove = service.store.remove
+
+    def gone(path):  # the process ends when the old version would be removed
+        raise SystemExit
+
+    for _ in range(2):  # the version before the last stays for readers, so the second time one is removed
+        monkeypatch.setattr(service.store, "remove", gone)
+        try:
+            service.store.clear_violations(upload, [rule.rule_id])
+        except SystemExit:
+            pass
+    monkeypatch.setattr(service.store, "remove", remove)
+    assert service.store.audit(upload).count() == events - 2 and service.violations(upload) == []
+    assert {e["action"] for e in service.audit(upload)} == {"clean_value"}
+
+
+def test_eight_writers_at_once(service):
+    """No update and no id is lost."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(8) as pool:
+        ids = list(pool.map(lambda i: service.store.create_upload(f"{i}.csv", i), range(24)))
+    assert sorted(ids) == list(range(1, 25)) and {(r["filename"], r["row_count"]) for r in service.store.table("uploads").collect()} == {(f"{i}.csv", i) for i in range(24)}
+    with ThreadPoolExecutor(8) as pool:
+        bases = list(pool.map(lambda i: service.store._reserve(i, 10), ids[:8]))
+    assert sorted(bases) == list(range(0, 80, 10))
+    assert not service.store.exists(f"{service.store.root}/locks/uploads")
+
+
 def test_canonical_numbers(spark):
     df = uploads.load(b"a,b,c\n007,1,x\n8,,y\n", "a.csv").frame(spark)
     assert [tuple(r)[1:] for r in uploads.canonical(df, ["a", "b", "c"]).orderBy("row_index").collect()] == [("7", "1.0", "x"), ("8", None, "y")]
