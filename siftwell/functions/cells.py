@@ -60,6 +60,8 @@ def details(**values: Column) -> Column:
 
 def with_cells(df: DataFrame, sources: dict[str, Source]) -> DataFrame:
     """df with a cell column for each of sources, in common projections."""
+    if not sources:
+        return df
     parts = {out: (lambda name, out=out: F.col(f"`_{out}_{name}`")) for out in sources}
     name = lambda out, columns: {f"_{out}_{k}": c for k, c in columns.items()}
     made = df.withColumns({k: c for out, s in sources.items() for k, c in name(out, {"raw": s.raw.cast("string")} | ({} if s.correction is None else {"fix": s.correction})).items()})
@@ -67,7 +69,9 @@ def with_cells(df: DataFrame, sources: dict[str, Source]) -> DataFrame:
     for level in range(max((len(s.cleaner.steps) for s in sources.values()), default=0)):
         made = made.withColumns({k: c for out, s in sources.items() if level < len(s.cleaner.steps) for k, c in name(out, s.cleaner.steps[level](parts[out])).items()})
     made = made.withColumns({k: c for out, s in sources.items() for k, c in name(out, {"how": _method(parts[out], s)}).items()})
-    return made.select(*[F.col(f"`{c}`") for c in df.columns], *[_cell(parts[out], s).alias(out) for out, s in sources.items()])
+    # Inlined from an array of one, the cells are what a later filter starts from: it is not taken apart into the steps.
+    cells = F.struct(*[_cell(parts[out], s).alias(out) for out, s in sources.items()])
+    return made.select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(cells)))
 
 
 def _method(p: Parts, source: Source) -> Column:

@@ -33,10 +33,13 @@ def _registered(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from . import stored_queries  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -330,24 +333,6 @@ def column_cleaning_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.summary(order_cells(spark, sf_dir))
 
 
-@_registered(_CELLS + "select column_name, case when confidence >= 90 then 'High' when confidence >= 60 then 'Medium' else 'Low' end as band, count(*) as n from cells group by all")
-def confidence_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("cell.confidence")
-    return order_cells(spark, sf_dir).groupBy("column_name", F.when(c >= 90, "High").when(c >= 60, "Medium").otherwise("Low").alias("band")).agg(F.count("*").alias("n"))
-
-
-@_registered(
-    _CELLS
-    + """select record_id, row_index, cleaned_value, confidence, (row_index % 3 = 0) as has_rule_violation from cells where column_name = 'order_amount' and confidence < 95 order by confidence desc nulls last, record_id limit 50 offset 10"""
-)
-def page_filter_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page is the feature here: 50 cells from the tenth on."""
-    rows = order_cells(spark, sf_dir).where("column_name = 'order_amount' and cell.confidence < 95").select("record_id", "row_index", F.col("cell.cleaned_value").alias("cleaned_value"), F.col("cell.confidence").alias("confidence"))
-    page = rows.orderBy(F.desc_nulls_last("confidence"), "record_id").offset(10).limit(50)
-    hit = rows.where("row_index % 3 = 0").select("record_id", F.lit(True).alias("has_rule_violation"))
-    return page.join(hit, "record_id", "left").withColumn("has_rule_violation", F.coalesce("has_rule_violation", F.lit(False)))
-
-
 _FIXES = [(1, "mktsegment", "BUILDING", "Construction", 1), (2, "mktsegment", " building ", "Buildings", 3), (3, "mktsegment", "Automobile", "Cars", 2), (4, "other", "MACHINERY", "Machines", 4)]
 
 
@@ -422,17 +407,6 @@ for _r, _n in zip(RULES, ("rule_gte", "rule_lte", "rule_eq", "rule_in", "rule_re
     _rule_query(_r, _n)
 
 
-@_registered(_VIOLATED + "select rule_id, severity, count(*) as n from violated group by all")
-def rule_violation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return violated(spark, sf_dir, RULES).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
-
-
-@_registered(_VIOLATED + "select record_id, rule_id, severity, case when rule_id <> 8 then 'rule ' || rule_id end as rule_name from violated")
-def rule_violation_join_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(r.rule_id, r.name) for r in RULES if r.rule_id != 8], "rule_id bigint, rule_name string")
-    return violated(spark, sf_dir, RULES).join(F.broadcast(names), "rule_id", "left").select("record_id", "rule_id", "severity", "rule_name")  # a row a rule
-
-
 @_registered(
     """with e as (select distinct p_size as rule_id from part where p_size <= 30), d as (select distinct p_size as rule_id from part where p_size > 20)
     select cast(rule_id as bigint) as rule_id, 'add' as change from (select * from d except select * from e) union all select cast(rule_id as bigint), 'remove' from (select * from e except select * from d)"""
@@ -443,19 +417,6 @@ def rule_apply_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add.withColumn("change", F.lit("add")).unionByName(remove.withColumn("change", F.lit("remove")))
 
 
-@_registered(
-    _VIOLATED
-    + """select record_id, agent_type as agent_name, 'clean_value' as action, cast(0 as bigint) as step, method as what from cells where record_id in (select record_id from violated where rule_id = 2)
-    union all select record_id, 'RuleEngine', 'rule_violation', rule_id, severity from violated where record_id in (select record_id from violated where rule_id = 2)"""
-)
-def lineage_by_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events of the cells that break one rule, in order."""
-    found = violated(spark, sf_dir, RULES)
-    wanted = found.where("rule_id = 2").select("record_id")
-    cleaned = order_cells(spark, sf_dir).select("record_id", F.col("cell.agent_type").alias("agent_name"), F.lit("clean_value").alias("action"), F.lit(0).cast("bigint").alias("step"), F.col("cell.method").alias("what"))
-    broken = found.select("record_id", F.lit("RuleEngine").alias("agent_name"), F.lit("rule_violation").alias("action"), F.col("rule_id").alias("step"), F.col("severity").alias("what"))
-    return cleaned.unionByName(broken).join(wanted, "record_id", "left_semi").orderBy("record_id", "step")
-
 
 # Statistics.
 
@@ -505,12 +466,13 @@ trends as (select 'numeric_sum' as dimension, 'o_totalprice' as label, period, r
 """
 
 
-@_registered(_MONTHS + "select * from trends")
+@_registered(_ORDER_DATES + _MONTHS.replace("with m as", ", m as", 1).replace("strftime(o_orderdate, '%Y-%m')", "substr(cleaned_value, 1, 7)", 1).replace("from orders group by 1", "from clean group by 1", 1) + "select * from trends")
 def monthly_sum_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = dates.clean_column(dirty_orders(spark, sf_dir).where("o_orderkey % 4 <> 2"), "dirty", "cell").withColumn("date", F.col("cell.cleaned_value").try_cast("date"))
-    rest = dirty_orders(spark, sf_dir).where("o_orderkey % 4 = 2")  # month first: cleaned as a column of its own
-    rest = dates.clean_column(rest, "dirty", "cell").withColumn("date", F.col("cell.cleaned_value").try_cast("date"))
-    return statistics.numeric_trends(df.unionByName(rest), "date", ["o_totalprice"]).drop("ordinal")
+    """By months of cleaned dates: where day and month are in doubt, the column's evidence decides."""
+    cells = cleaned_orders(spark, sf_dir).select("o_orderkey", F.col("o_orderkey").alias("row_index"), F.col("o_totalprice").cast("string").alias("c1"), F.col("cell").alias("k0"), F.col("dirty").alias("c0"))
+    plan = cleaning.Plan(["order_date", "o_totalprice"], [profiling.ColumnType("order_date", "date", "DateAgent", 1.0, 50), profiling.ColumnType("o_totalprice", None, profiling.UNCLASSIFIED, 0.0, 50)])
+    typed = cleaning.analysis_table(cells, plan).withColumnsRenamed({"c0": "date", "c1": "o_totalprice"})
+    return statistics.numeric_trends(typed, "date", ["o_totalprice"]).drop("ordinal")
 
 
 @_registered(_MONTHS + "select period, round(total, 2) as value from m")
@@ -573,10 +535,10 @@ def json_details_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_registered()
 def synthetic_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The synthetic dirty table, routed and cleaned: its cells."""
+    """The synthetic dirty table for as many customers as the tables have suppliers and parts, routed and cleaned: its cells."""
     from ..sources import synthetic
 
-    dirty, _, _ = synthetic.generate(spark)
+    dirty, _, _ = synthetic.generate(spark, table(spark, sf_dir, "supplier").count() + table(spark, sf_dir, "part").count() // 10)
     columns = synthetic.COLUMNS
     df = dirty.select("row_index", *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
     plan = cleaning.route(df, columns)

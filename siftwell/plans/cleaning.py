@@ -138,9 +138,15 @@ def summary(long: DataFrame) -> DataFrame:
     )
 
 
-def analysis_table(df: DataFrame, wide: DataFrame, plan: Plan) -> DataFrame:
-    """row_index, c0, c1, ...: cleaned values in place of raw ones, amounts as doubles and dates as dates."""
-    out = df.join(wide, ROW_INDEX)
+def bands(cells: DataFrame, confidence: str = "cell.confidence") -> DataFrame:
+    """Cells of each column by how far they can be trusted: column_name, band, n."""
+    c = F.col(confidence)
+    return cells.groupBy("column_name", F.when(c >= 90, "High").when(c >= 60, "Medium").otherwise("Low").alias("band")).agg(F.count("*").alias("n"))
+
+
+def analysis_table(both: DataFrame, plan: Plan) -> DataFrame:
+    """row_index, c0, c1, ...: cleaned values in place of raw ones, amounts as doubles and dates as dates. both: row_index, c0, c1, ...,
+    and the cells k0, k1, ... of the cleaned columns."""
     casts = {"date": "date", "currency": "double", "quantity": "double", "numeric_age": "double"}
     columns = []
     for i, t in enumerate(plan.types):
@@ -149,4 +155,4 @@ def analysis_table(df: DataFrame, wide: DataFrame, plan: Plan) -> DataFrame:
         else:
             value = F.col(f"k{i}.cleaned_value")
             columns.append((value.try_cast(casts[t.detected_type]) if t.detected_type in casts else value).alias(f"c{i}"))
-    return out.select(ROW_INDEX, *columns)
+    return both.select(ROW_INDEX, *columns)

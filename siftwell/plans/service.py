@@ -77,7 +77,7 @@ class Service:
             df.unpersist()
 
     def analyse(self, df: DataFrame, wide: DataFrame, plan: cleaning.Plan) -> dict:
-        table = cleaning.analysis_table(df, wide, plan)
+        table = cleaning.analysis_table(df.join(wide, cleaning.ROW_INDEX), plan)
         of = lambda *kinds: [f"c{i}" for i in plan.cleaned() if plan.types[i].detected_type in kinds]
         numbers = of("currency", "numeric_age", "quantity")
         if not numbers:  # every column of numbers then

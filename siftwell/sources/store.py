@@ -124,7 +124,7 @@ class Store:
         self.change(name, make)
         return given[-1]
 
-    def update(self, name: str, where: Column, **values: Column) -> None:
+    def update(self, name: str, where: Column, /, **values: Column) -> None:
         self.change(name, lambda rows: rows.withColumns({k: F.when(where, v).otherwise(F.col(k)) for k, v in values.items()}))
 
     # Uploads.
