@@ -281,7 +281,7 @@ class _Fixed:
 
 
 @_registered(
-    """select * from (values ('count', 'NumericAgent', 0.8, null, null), ('notes', 'unclassified', 0.0, true, 'unknown'), ('odd', 'unclassified', 0.0, true, null), ('kind', 'unclassified', 0.96, false, null)) t(column_name, agent, confidence, llm_attempted, llm_agent_guess), (select 'count:20 notes:20 odd:20' as asked)"""
+    """select * from (values ('count', 'NumericAgent', 0.8, 'no profile', null), ('notes', 'unclassified', 0.0, 'yes', 'unknown'), ('odd', 'unclassified', 0.0, 'yes', null), ('kind', 'unclassified', 0.96, 'no', null)) t(column_name, agent, confidence, llm_attempted, llm_agent_guess), (select 'count:20 notes:20 odd:20' as asked)"""
 )
 def routing_with_a_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns that no detector placed are put to the classifier with at most 20 values; confidences beyond 100 are no answer."""
@@ -290,8 +290,8 @@ def routing_with_a_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     client = _Fixed({"count": {"agent_type": "NumericAgent", "confidence": 80}, "notes": {"agent_type": "unknown", "confidence": 10}, "odd": {"agent_type": "DateAgent", "confidence": 250}})
     plan = cleaning.route(df, ["count", "notes", "odd", "kind"], client, DecisionLog())
     asked = " ".join(f"{c}:{n}" for c, n in client.asked)
-    rows = [(t.column, t.agent, float(t.confidence), *((t.profile["llm_attempted"], t.profile["llm_agent_guess"]) if t.profile else (None, None)), asked) for t in plan.types]
-    return spark.createDataFrame(rows, "column_name string, agent string, confidence double, llm_attempted boolean, llm_agent_guess string, asked string")
+    rows = [(t.column, t.agent, float(t.confidence), *(("yes" if t.profile["llm_attempted"] else "no", t.profile["llm_agent_guess"]) if t.profile else ("no profile", None)), asked) for t in plan.types]
+    return spark.createDataFrame(rows, "column_name string, agent string, confidence double, llm_attempted string, llm_agent_guess string, asked string")
 
 
 @_registered("select * from (values (0, true, false), (1, false, true), (2, false, true), (3, true, false), (4, false, false), (5, true, false)) t(step, answered, open)")
