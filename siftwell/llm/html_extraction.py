@@ -57,9 +57,6 @@ NOT_ARTICLE = ADVERT | COMMENT | set(
 NEUTRAL = set(
     "area articles bar block body bottom box buttons center col column consent container content desktop fixed floating global google group holder icons inline inner item items left links list main message mobile module news outer page panel placeholder post posts primary reader right row secondary section side signup site slot space sticky stories text thread title top unit user wrap wrapper".split()
 )
-ARTICLE = set(
-    "ad ads advert advertisement advertorial adsense alert banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disclaimer disqus feedback footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup popular promo promoted promotion recommended related replies respond search share sharing sidebar skip social sponsor sponsored subscribe subscription tags toc toolbar widget widgets".split()
-)
 ARTICLE = set("article articlebody articlecontent articletext content contentbody entry entrycontent hentry main maincontent maintext pagecontent post postbody postcontent story storybody".split())
 
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>|[^<]+|<", re.S)
