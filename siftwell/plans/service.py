@@ -42,15 +42,34 @@ class Service:
         upload_id = self.store.create_upload(filename, len(loaded.rows))
         try:
             df = loaded.frame(self.spark, cleaning.internal(loaded.columns))
-            # What was uploaded is kept with empty cells only as missing, for the export.
+            self.spark.createDataFrame([(bytearray(raw),)], "content binary").coalesce(1).write.mode("overwrite").parquet(self._original(upload_id))
+            # Its rows are kept too, with empty cells only as missing, for the export.
             kept = uploads.Upload(*uploads.parse(uploads.decode(raw)[0], [""])[:2], "", [])
-            kept.frame(self.spark, cleaning.internal(kept.columns)).write.mode("overwrite").parquet(self._raw(upload_id))
-            self.spark.createDataFrame([(json.dumps(loaded.columns),)], "value string").coalesce(1).write.mode("overwrite").text(self._header(upload_id))
+            self._keep(upload_id, kept.frame(self.spark, cleaning.internal(kept.columns)), loaded.columns)
             return self.clean(upload_id, df, loaded.columns) | {"warnings": loaded.warnings, "filename": filename}
         except Exception:
             self.store.set_status(upload_id, "failed")
             raise
 
+    def ingest_folder(self, path: str, columns: list[str]) -> dict:
+        """Cleans and stores all CSV files of a folder, which share the header ``columns``, as one upload of any size: Spark reads
+        them and no row comes to the driver. Rows are numbered where they are read, with gaps, and keep the numbers
+        that were written."""
+        names = cleaning.internal(columns)
+        upload_id = self.store.create_upload(path)
+        try:
+            rows = uploads.read_folder(self.spark, path, names, [""])
+            self._keep(upload_id, rows.select(F.monotonically_increasing_id().alias(uploads.ROW_INDEX), *names), columns)
+            kept = self.spark.read.parquet(self._raw(upload_id))
+            return self.clean(upload_id, kept.withColumns({n: uploads.without_no_value(F.col(n)) for n in names}), columns)
+        except Exception:
+            self.store.set_status(upload_id, "failed")
+            raise
+
+    def _keep(self, upload_id: int, rows: DataFrame, columns: list[str]) -> None:
+        rows.write.mode("overwrite").parquet(self._raw(upload_id))
+        self.spark.createDataFrame([(json.dumps(columns),)], "value string").coalesce(1).write.mode("overwrite").text(self._header(upload_id))
+
     def clean(self, upload_id: int, df: DataFrame, columns: list[str]) -> dict:
         """df: row_index, c0, c1, ... as text."""
         df = df.persist()
@@ -99,6 +118,9 @@ class Service:
     def _raw(self, upload_id: int) -> str:
         return f"{self.store.root}/raw/upload_id={upload_id}"
 
+    def _original(self, upload_id: int) -> str:
+        return f"{self.store.root}/originals/upload_id={upload_id}"
+
     def _header(self, upload_id: int) -> str:
         return f"{self.store.root}/headers/upload_id={upload_id}"
 
@@ -110,7 +132,7 @@ class Service:
 
     def delete_upload(self, upload_id: int) -> dict:
         self.store.delete_upload(upload_id)
-        for path in (self._raw(upload_id), self._header(upload_id)):
+        for path in (self._original(upload_id), self._raw(upload_id), self._header(upload_id)):
             try:  # best effort
                 self.store.remove(path)
             except Exception:
@@ -157,6 +179,13 @@ class Service:
         raw = self.spark.read.parquet(self._raw(upload_id)).toDF("row_index", *columns)
         return export.cleaned_table(raw, self.store.cells(upload_id), columns, self.store.columns(upload_id)).drop("row_index")
 
+    def original(self, upload_id: int) -> bytes:
+        """The uploaded file as it came. What was read from a folder has none."""
+        self.store.upload(upload_id)
+        if not self.store.exists(self._original(upload_id)):
+            raise NotFound(f"The file of upload {upload_id} is gone.")
+        return bytes(self.spark.read.parquet(self._original(upload_id)).first()[0])
+
     def download_name(self, upload_id: int) -> str:
         return export.download_name(self.store.upload(upload_id)["filename"])
 

@@ -43,6 +43,26 @@ def test_bytes():
     assert uploads.load("ad\nGöl\n".encode("latin-1"), "a.csv").encoding != "utf-8"
 
 
+def test_a_folder_is_one_upload(service, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i, body in enumerate(("2024-03-05,N/A\n25/03/2024,\"x\ny\"\n", "soon\n,z\n")):
+        (tmp_path / "in" / f"{i}.csv").write_text("order_date,note\n" + body)
+    done = service.ingest_folder(str(tmp_path / "in"), ["order_date", "note"])
+    assert done["rows"] == 4 and set(done["columns_cleaned"]) == {"order_date"} and service.upload(done["upload_id"])["status"] == "completed"
+    rows = {tuple(r) for r in service.export(done["upload_id"]).collect()}
+    assert rows == {("2024-03-05", "N/A"), ("2024-03-25", "x\ny"), (None, None), (None, "z")}
+    with pytest.raises(NotFound):
+        service.original(done["upload_id"])
+
+
+def test_a_file_is_kept_as_it_came(service):
+    raw = "\ufefforder_date,note\r\n2024-03-05,G\xf6l\r\n".encode()
+    upload = service.ingest(raw, "a.csv")["upload_id"]
+    assert service.original(upload) == raw
+    service.delete_upload(upload)
+    assert not service.store.exists(service._original(upload))
+
+
 def test_a_file_is_cleaned_and_read(service):
     done = service.ingest(CSV, "dir/orders.csv")
     upload = done["upload_id"]
