@@ -39,6 +39,44 @@ s as (select q.vec_id as query_id, c.vec_id, list_reduce(list_transform(list_zip
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= {k}"""
 
 
+_FINITE = "list_bool_and(list_transform(cast(embedding as double[]), lambda x: x is not null and isfinite(x)))"
+
+
+def hard_negatives(positives: int = 5, negatives: int = 3) -> str:
+    """For integers below 2^31 a component."""
+    score = "cast(list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2])) as bigint)"
+    return f"""
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(cast(embedding as double[]), lambda x: cast(floor(256 * x) as bigint)) as e from embeddings where label is not null and embedding is not null and coalesce({_FINITE}, true)),
+s as (select a.vec_id as anchor_id, c.vec_id as other, a.label = c.label as same, {score} as score from v a join v c on a.vec_id % 50 = 0 and c.vec_id <> a.vec_id),
+p as (select anchor_id, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= {positives}),
+n as (select p.*, s.other as negative_id, s.score as negative_score, cast(row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.other) as integer) as rank from p join s on s.anchor_id = p.anchor_id and not s.same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= {negatives}"""
+
+
+def lexical_search(k: int = 50) -> str:
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+with d as (select doc_id, {words} as words from documents),
+c as (select count(*) as docs, cast(sum(len(words)) as bigint) as total from d where len(words) > 0),
+q as (select distinct item_id, unnest({words}) as term from benchmark),
+t as (select doc_id, term, count(*) as tf from (select doc_id, unnest(words) as term from d) where term in (select term from q) group by 1, 2),
+w as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w from t, c group by term, docs),
+m as (select doc_id, 100 - 50 + (50 * len(words) * docs) // total as m from d, c where len(words) > 0),
+s as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score from q join t using (term) join w using (term) join m using (doc_id) group by 1, 2),
+r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= {k}"""
+
+
+def near_duplicate_vectors(threshold: float = 0.93) -> str:
+    return f"""
+with recursive f as (select vec_id, label, cast(embedding as double[]) as e, coalesce({_FINITE}, false) and label is not null as fine from embeddings where vec_id is not null),
+v as (select *, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from f where fine and list_max(list_transform(e, lambda x: abs(x))) > 0),
+edges as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (a.norm * b.norm) >= {threshold}),
+reach as (select vec_id as x, vec_id as y from f union select r.x, e.y from reach r join edges e on e.x = r.y),
+c as (select x, min(y) as component_id from reach group by x)
+select f.vec_id, (select count(*) from edges where edges.x = f.vec_id) as n_links, c.component_id, f.vec_id = c.component_id as kept from f join c on c.x = f.vec_id"""
+
+
 def _distance(pairs: str, key: str) -> str:
     """Jensen-Shannon distance of shares p and q by key."""
     term = "case when {0} > 0 then {0} * log2({0} / ((p + q) / 2)) else 0 end"

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quantization, html_extraction, language_id, ngram_jaccard_join, oracles, packing, quality_classifier, quality_rules, training_order, url_filters
+from . import additive_quantization, euclidean_hashing, html_extraction, language_id, lexical_search, ngram_jaccard_join, norm_bucket_mining, oracles, packing, quality_classifier, quality_rules, training_order, url_filters
 from .byte_bpe import ByteBpe, load_ranks
 from .common import id_remainder, map_batches, table
 
@@ -117,6 +117,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_batches(docs, run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
+def op11_norm_bucket_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return norm_bucket_mining.mine(moved, id_col="vec_id", vector_col="embedding", label_col="label", is_anchor=lambda i: i % 50 == 0)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
+    return lexical_search.search(table(spark, sf_dir, "benchmark"), index, item_col="item_id", text_col="text")
+
+
+def op13_euclidean_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return euclidean_hashing.near_duplicates(table(spark, sf_dir, "embeddings"), id_col="vec_id", vector_col="embedding", label_col="label")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -135,6 +150,9 @@ def queries() -> dict:
         op8_quality_rules,
         op9_training_order,
         op10_byte_bpe,
+        op11_norm_bucket_mining,
+        op12_lexical_search,
+        op13_euclidean_hashing,
         pipeline,
     )
     return {f.__name__: f for f in found}
@@ -147,4 +165,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_ngram_jaccard_join": oracles.jaccard_join(),
         "op7_url_filters": oracles.url_filters(HOST_RULES),
         "op8_quality_rules": oracles.quality_rules(),
+        "op11_norm_bucket_mining": oracles.hard_negatives(),
+        "op12_lexical_search": oracles.lexical_search(),
+        "op13_euclidean_hashing": oracles.near_duplicate_vectors(),
     }
