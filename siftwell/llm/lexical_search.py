@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, materialise
 
-#: A term for Java's patterns.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Shares of the merge's first step.
 _SHARES = 64
@@ -106,9 +104,17 @@ class _Shard:
 def build(docs: DataFrame, *, id_col: str, text_col: str, shard_terms: int = 2_000_000) -> Index:
     """An index of all documents and all their terms, written to the shared folder."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # The collection's figures come from plain expressions: no text leaves its task, and no Python runs.
-    count = F.regexp_count("text", F.lit(TERM)).cast("long")
-    documents, terms = source.select(count.alias("n")).where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    def count(batches: Iterator[dict]) -> Iterator[dict]:
+        documents = terms = 0
+        for b in batches:
+            for text in b["text"]:
+                n = len(terms_of(text))
+                documents, terms = documents + (n > 0), terms + n
+        yield {"documents": [documents], "terms": [terms]}
+
+    counted = map_batches(source.select("text"), count, "documents bigint, terms bigint", rows=200)
+    documents, terms = counted.agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         shard = _Shard()
@@ -165,11 +171,12 @@ def _search_block(index: Index, items: list[tuple[int, list[bytes]]], k: int) ->
 
     def frequencies(batches: Iterator[dict]) -> Iterator[dict]:
         found: dict[bytes, int] = {}
+        asked = wanted.value
         for b in batches:
             for terms, starts in zip(b["terms"], b["starts"]):
                 counts = np.diff(np.frombuffer(starts, np.int64)).tolist()
                 for term, df in zip(terms.split(b"\n"), counts):
-                    if term in wanted.value:
+                    if term in asked:
                         found[term] = found.get(term, 0) + df
         yield {"term": list(found), "df": list(found.values())}
 
@@ -179,17 +186,18 @@ def _search_block(index: Index, items: list[tuple[int, list[bytes]]], k: int) ->
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         best: dict[int, list[tuple[int, bool, int]]] = {}
+        weight_of = weights.value
         for b in batches:
             for docs, names, starts, places, impacts in zip(*(b[c] for c in ("docs", "terms", "starts", "places", "impacts"))):
                 starts, places, impacts = np.frombuffer(starts, np.int64), np.frombuffer(places, np.int32), np.frombuffer(impacts, np.int32)
-                at = {t: i for i, t in enumerate(names.split(b"\n")) if t in weights.value}
+                at = {t: i for i, t in enumerate(names.split(b"\n")) if t in weight_of}
                 for row, terms in shared.value:
                     scores = np.zeros(len(docs), np.int64)
                     for term in terms:
                         i = at.get(term)
                         if i is not None:
                             part = slice(starts[i], starts[i + 1])
-                            scores[places[part]] += weights.value[term] * impacts[part].astype(np.int64)
+                            scores[places[part]] += weight_of[term] * impacts[part].astype(np.int64)
                     mine = [(-int(scores[p]), docs[p] is None, docs[p] or 0) for p in _best(scores, k)]
                     if mine:
                         best[row] = sorted(best.get(row, []) + mine)[:k]
