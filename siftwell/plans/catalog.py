@@ -352,15 +352,6 @@ def feedback_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells_of(df, F.col("value"), addresses.cleaner(), "cell", F.col("fix")).select("c_custkey", *flat())
 
 
-@_registered(
-    """select * from (values (1::bigint, 'mktsegment', 'BUILDING', 'x', 'Sites'), (2, 'mktsegment', ' building ', null, 'Buildings'), (3, 'mktsegment', 'Automobile', null, 'Cars'), (4, 'other', 'MACHINERY', null, 'Machines'), (5, 'mktsegment', 'HOUSEHOLD', 'y', 'Home'))
-    t(feedback_id, column_type, original_value, agent_output, corrected_value)"""
-)
-def feedback_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = spark.createDataFrame([("mktsegment", "BUILDING", "x", "Sites"), ("mktsegment", "HOUSEHOLD", "y", "Home")], "column_type string, original_value string, agent_output string, corrected_value string").withColumn("created_at", F.timestamp_seconds(F.lit(9)))
-    return feedback.upsert(corrections(spark), changes).drop("created_at")
-
-
 # Rules.
 
 

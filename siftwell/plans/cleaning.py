@@ -63,7 +63,7 @@ def route(df: DataFrame, columns: list[str], writer: Writer | None = None, log:
 
 
 def cells(df: DataFrame, plan: Plan, corrections: DataFrame | None = None, resolver: addresses.Resolver | None = None) -> DataFrame:
-    """row_index, k0, k1, ...: the cells of the columns that plan cleans, side by side, in one pass over the table.
+    """df's columns and k0, k1, ...: the cells of the columns that plan cleans, side by side, in one pass over the table.
 
     Joins are only with small sides: a row of date evidence, and the latest corrections of a type.
     """
@@ -116,7 +116,7 @@ def cells(df: DataFrame, plan: Plan, corrections: DataFrame | None = None, resol
         else:
             raise ValueError(f"no cleaner for {t.agent!r}")
         made[f"k{i}"] = Source(cleaner, F.col(f"c{i}"), reuse.get(i))
-    return with_cells(out, made).select(ROW_INDEX, *made)
+    return with_cells(out, made).select(*df.columns, *made)
 
 
 def unpivoted(wide: DataFrame, plan: Plan) -> DataFrame:

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import json
 import logging
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import addresses, profiling, rules
 from ..operators.narratives import Writer
-from ..sources import export, uploads
+from ..sources import csv_folder, export, uploads
 from ..sources.decisions import DecisionLog
-from ..sources.store import MAX_PAGE, SORTABLE, NotFound, Store
+from ..sources.store import EVENT_ORDER, MAX_PAGE, SORTABLE, NotFound, Store
 from . import cleaning, insights
+from .cleaning import ROW_INDEX
 
 _log = logging.getLogger(__name__)
 
@@ -51,52 +53,74 @@ class Service:
             self.store.set_status(upload_id, "failed")
             raise
 
-    def ingest_folder(self, path: str, columns: list[str]) -> dict:
-        """Cleans and stores all CSV files of a folder, which share the header ``columns``, as one upload of any size: Spark reads
-        them and no row comes to the driver. Rows are numbered where they are read, with gaps, and keep the numbers
-        that were written."""
-        names = cleaning.internal(columns)
+    def ingest_folder(self, path: str, columns: list[str] | None = None, *, refuse: bool = True) -> dict:
+        """Cleans and stores all CSV files of a folder as one upload of any size: Spark reads them, each by its own header, and no
+        row comes to the driver. columns: those that are wanted, else all that any file has. Rows are numbered by file and place.
+        With refuse, the first file or row that cannot be read fails the upload; without, such rows are left out and kept for
+        ``refused``."""
         upload_id = self.store.create_upload(path)
+        work = f"{self.store.root}/work/upload_id={upload_id}"
         try:
-            rows = uploads.read_folder(self.spark, path, names, [""])
-            self._keep(upload_id, rows.select(F.monotonically_increasing_id().alias(uploads.ROW_INDEX), *names), columns)
+            found = csv_folder.read(self.spark, path, work, columns, extensions=self.extensions, no_value=[""])
+            errors = found.errors.persist()
+            first = errors.orderBy("file", "row").first()
+            if first is not None and refuse:
+                place = "" if first["row"] is None else f", row {first['row']}"
+                raise getattr(uploads, first["error"])(f"{first['file']}{place}: {first['message']}")
+            if not found.columns:
+                raise uploads.EmptyFileError(f"There is no table in {path}.")
+            errors.write.mode("overwrite").parquet(self._refused(upload_id))
+            names = cleaning.internal(found.columns)
+            self._keep(upload_id, found.rows.select(uploads.ROW_INDEX, *[F.col(f"`{c}`").alias(n) for c, n in zip(found.columns, names)]), found.columns)
             kept = self.spark.read.parquet(self._raw(upload_id))
-            return self.clean(upload_id, kept.withColumns({n: uploads.without_no_value(F.col(n)) for n in names}), columns)
+            return self.clean(upload_id, kept.withColumns({n: uploads.without_no_value(F.col(n)) for n in names}), found.columns) | {"refused": errors.count()}
         except Exception:
             self.store.set_status(upload_id, "failed")
             raise
+        finally:
+            self.store.remove(work)
+
+    def refused(self, upload_id: int) -> DataFrame:
+        """file, row (null: the whole file), error and message of what was left out of a folder."""
+        self.store.upload(upload_id)
+        path = self._refused(upload_id)
+        return self.spark.read.parquet(path) if self.store.exists(path) else self.spark.createDataFrame([], csv_folder.ERRORS)
 
     def _keep(self, upload_id: int, rows: DataFrame, columns: list[str]) -> None:
         rows.write.mode("overwrite").parquet(self._raw(upload_id))
         self.spark.createDataFrame([(json.dumps(columns),)], "value string").coalesce(1).write.mode("overwrite").text(self._header(upload_id))
 
     def clean(self, upload_id: int, df: DataFrame, columns: list[str]) -> dict:
-        """df: row_index, c0, c1, ... as text."""
-        df = df.persist()
+        """df: row_index, c0, c1, ... as text. The cleaned table is written before it is used, so that a lost executor costs a read
+        and nobody is asked for an answer twice."""
+        df = df.select(ROW_INDEX, *cleaning.internal(columns))
         plan = cleaning.route(df, columns, self.writer, self.log, upload_id)
-        wide = cleaning.cells(df, plan, self._corrections(), self.resolver).persist()
+        made = f"{self.store.root}/work/cleaned-{upload_id}-{uuid.uuid4().hex}"
+        cleaning.cells(df, plan, self._corrections(), self.resolver).write.parquet(made)
+        wide = self.spark.read.parquet(made)
         try:
             long = cleaning.unpivoted(wide, plan)
             self.store.write_cells(upload_id, long)
-            self.store.set_status(upload_id, "completed", df.count())
+            rows = wide.count()
+            self.store.set_status(upload_id, "completed", rows)
             per_column = {r["column_name"]: {k: v for k, v in r.asDict().items() if k != "column_name"} for r in cleaning.summary(long).collect()}
             try:  # enrichment: the upload stands without it
-                self.store.save_insights(upload_id, json.dumps(self.analyse(df, wide, plan)))
+                self.store.save_insights(upload_id, json.dumps(self.analyse(wide, plan)))
             except Exception:
                 _log.exception("Insights of upload %s could not be computed.", upload_id)
             return {
                 "upload_id": upload_id,
-                "rows": df.count(),
+                "rows": rows,
                 "columns_cleaned": {plan.columns[i]: per_column.get(plan.columns[i]) for i in plan.cleaned()},
                 "columns_unclassified": plan.unclassified(),
                 "columns_profiled": {t.column: {"detected_type": t.detected_type} | t.profile for t in plan.types if t.profile is not None},
             }
         finally:
-            wide.unpersist()
-            df.unpersist()
+            self.store.remove(made)
 
-    def analyse(self, df: DataFrame, wide: DataFrame, plan: cleaning.Plan) -> dict:
-        table = cleaning.analysis_table(df.join(wide, cleaning.ROW_INDEX), plan)
+    def analyse(self, wide: DataFrame, plan: cleaning.Plan) -> dict:
+        """wide: row_index, c0, c1, ... and the cells beside them; no join."""
+        table = cleaning.analysis_table(wide, plan)
         of = lambda *kinds: [f"c{i}" for i in plan.cleaned() if plan.types[i].detected_type in kinds]
         numbers = of("currency", "numeric_age", "quantity")
         if not numbers:  # every column of numbers then
@@ -118,6 +142,9 @@ class Service:
     def _raw(self, upload_id: int) -> str:
         return f"{self.store.root}/raw/upload_id={upload_id}"
 
+    def _refused(self, upload_id: int) -> str:
+        return f"{self.store.root}/refused/upload_id={upload_id}"
+
     def _original(self, upload_id: int) -> str:
         return f"{self.store.root}/originals/upload_id={upload_id}"
 
@@ -132,7 +159,7 @@ class Service:
 
     def delete_upload(self, upload_id: int) -> dict:
         self.store.delete_upload(upload_id)
-        for path in (self._original(upload_id), self._raw(upload_id), self._header(upload_id)):
+        for path in (self._original(upload_id), self._raw(upload_id), self._header(upload_id), self._refused(upload_id)):
             try:  # best effort
                 self.store.remove(path)
             except Exception:
@@ -141,19 +168,23 @@ class Service:
 
     # Reading.
 
-    def cells(self, upload_id: int, column: str | None = None, max_confidence: float | None = None, sort_by: str = "record_id", sort_dir: str = "asc", limit: int = 50, offset: int = 0) -> dict:
+    def cells(self, upload_id: int, column: str | None = None, max_confidence: float | None = None, sort_by: str = "record_id", sort_dir: str = "asc", limit: int = 50, offset: int = 0, after: int | None = None) -> dict:
+        """after: the last record_id of the page before, in the order of record_id; cheaper than an offset."""
         self.store.upload(upload_id)
         if sort_by not in SORTABLE:
             raise BadRequest(f"sort_by is one of {', '.join(SORTABLE)}.")
         if sort_dir not in ("asc", "desc") or limit < 1 or offset < 0 or (max_confidence is not None and not 0 <= max_confidence <= 100):
             raise BadRequest("sort_dir, limit, offset or max_confidence is out of range.")
-        page = self.store.page(upload_id, column, max_confidence, sort_by, sort_dir == "desc", limit, offset)
-        total = self.store.cells(upload_id)
-        total = total.where(F.col("column_name") == column) if column is not None else total
-        total = total.where(F.col("confidence_score") < max_confidence) if max_confidence is not None else total
+        page = self.store.page(upload_id, column, max_confidence, sort_by, sort_dir == "desc", limit, offset, after)
+        if column is None and max_confidence is None:
+            total = self.store.count(upload_id)
+        else:
+            rows = self.store.cells(upload_id)
+            rows = rows.where(F.col("column_name") == column) if column is not None else rows
+            total = (rows.where(F.col("confidence_score") < max_confidence) if max_confidence is not None else rows).count()
         order = F.desc_nulls_last(sort_by) if sort_dir == "desc" else F.asc_nulls_first(sort_by)
         items = self.store.with_violation_flag(upload_id, page).orderBy(order, "record_id")
-        return {"items": [r.asDict() for r in items.collect()], "total": total.count(), "limit": min(limit, MAX_PAGE), "offset": offset}
+        return {"items": [r.asDict() for r in items.collect()], "total": total, "limit": min(limit, MAX_PAGE), "offset": offset}
 
     def columns(self, upload_id: int) -> list[str]:
         self.store.upload(upload_id)
@@ -243,7 +274,7 @@ class Service:
             found = rules.violations(self.store.cells(upload_id), [own[r] for r in sorted(set(rule_ids))]).persist()
             count = found.count()
             if count:
-                self.store.write_violations(upload_id, found)
+                self.store.write_violations(upload_id, found, count)
             found.unpersist()
         return {"applied_rule_ids": sorted(set(rule_ids)), "violation_count": count}
 
@@ -253,4 +284,4 @@ class Service:
         return [r.asDict() for r in self.store.violations(upload_id).offset(offset).limit(min(limit, MAX_PAGE)).collect()]
 
     def audit(self, upload_id: int, limit: int = 100, offset: int = 0) -> list[dict]:
-        return [r.asDict() for r in self.store.audit(upload_id).orderBy("batch", "place").offset(offset).limit(min(limit, MAX_PAGE)).collect()]
+        return [r.asDict() for r in self.store.audit(upload_id).orderBy(*EVENT_ORDER).offset(offset).limit(min(limit, MAX_PAGE)).collect()]

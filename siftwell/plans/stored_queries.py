@@ -6,7 +6,6 @@ one cell is corrected by hand, and rules are defined, applied, changed and taken
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 
@@ -15,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import cells_of
 from ..functions.text import two_decimals
-from ..operators import addresses, contacts, dates, feedback, narratives, profiling, quantities, resolvers, rules, statistics
-from ..sources import export, synthetic, uploads
+from ..operators import addresses, contacts, dates, feedback, narratives, profiling, quantities, rules, statistics
+from ..sources import csv_folder, export
 from ..sources.decisions import DecisionLog
 from ..sources.store import NotFound
 from . import cleaning
@@ -192,17 +191,29 @@ def rule_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_registered(
-    """select * from (values ('fits', 0), ('text for a number', 1), ('no list', 1), ('no pattern', 1), ('a value for not_null', 1), ('unknown type', 1), ('unknown column', 1), ('unknown operator', 1), ('clash', 1), ('no clash with an inactive rule', 0), ('two faults', 2)) t(what, n_errors)"""
+    """select p_partkey, case p_partkey % 9 when 0 then 0 when 1 then 1 when 2 then 1 when 3 then 1 when 4 then 1 when 5 then 1 when 6 then 1 when 7 then case when p_size > 25 then 1 else 0 end else case when p_size > 25 then 2 else 1 end end as n_errors from part"""
 )
 def rule_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rule = lambda op, value, kind="column_name", target="v": rules.Rule(0, 1, "r", kind, target, op, value)
-    low, off = rules.Rule(1, 1, "low", "column_name", "v", "lte", 5), rules.Rule(2, 1, "off", "column_name", "v", "lte", 5, is_active=False)
-    cases = {
-        "fits": (rule("gte", 5), ()), "text for a number": (rule("gte", "5"), ()), "no list": (rule("in", "a"), ()), "no pattern": (rule("regex_match", "("), ()), "a value for not_null": (rule("not_null", 1), ()),
-        "unknown type": (rule("gte", 5, "detected_type", "colour"), ()), "unknown column": (rule("gte", 5, target="w"), ()), "unknown operator": (rule("near", 5), ()), "clash": (rule("gte", 10), (low,)),
-        "no clash with an inactive rule": (rule("gte", 10), (off,)), "two faults": (rule("gte", "x", target="w"), (low,)),
-    }
-    return spark.createDataFrame([(k, len(rules.validate(r, {"v"}, others))) for k, (r, others) in cases.items()], "what string, n_errors int")
+    """A definition for every part: sound ones, conditions of the wrong kind, unknown targets, bounds that clash with a rule that is there."""
+    k = F.col("p_partkey") % 9
+    parts = table(spark, sf_dir, "part").select("p_partkey", k.alias("k"), F.col("p_size").cast("double").alias("size"))
+    schema = "p_partkey bigint, n_errors int"
+
+    def check(batches):
+        import pandas as pd
+
+        there = [rules.Rule(1, 1, "most", "column_name", "v", "lte", 25.0), rules.Rule(2, 1, "off", "column_name", "v", "lte", 1.0, is_active=False)]
+        for b in batches:
+            made = []
+            for kind, size in zip(b["k"], b["size"]):
+                op, value, target, target_kind = [
+                    ("not_null", None, "v", "column_name"), ("gte", str(size), "v", "column_name"), ("in", "a", "v", "column_name"), ("regex_match", "(", "v", "column_name"), ("not_null", size, "v", "column_name"),
+                    ("eq", size, "colour", "detected_type"), ("near", size, "v", "column_name"), ("gte", size, "v", "column_name"), ("gte", "x" if size > 25 else size, "w", "column_name"),
+                ][kind]
+                made.append(len(rules.validate(rules.Rule(0, 1, "r", target_kind, target, op, value), {"v"}, there)))
+            yield pd.DataFrame({"p_partkey": b["p_partkey"], "n_errors": made})
+
+    return parts.mapInPandas(check, schema)
 
 
 @_registered(_STORED + "select cast(1 as bigint) as feedback_id, 'currency' as column_type, 'free' as original_value, cast(null as varchar) as agent_output, '77.00' as corrected_value, 100.0::double as confidence_score, '{\"previous_value\":null,\"corrected_value\":\"77.00\"}' as details")
@@ -227,10 +238,32 @@ def feedback_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.latest(made, "name")
 
 
-@_registered("select * from (values (1::bigint, 'Construction'), (2::bigint, 'Buildings')) t(feedback_id, corrected_value) where feedback_id = 1")
+def _segment_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A correction for every customer: its name, spelt in two ways, stands for its segment."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        k.cast("bigint").alias("feedback_id"), F.when(k % 4 == 0, "other").otherwise("name").alias("column_type"), F.when(k % 3 == 0, F.concat(F.lit(" "), F.lower("c_name"))).otherwise(F.col("c_name")).alias("original_value"),
+        F.lit(None).cast("string").alias("agent_output"), F.col("c_mktsegment").alias("corrected_value"), F.timestamp_seconds(k).alias("created_at"),
+    )
+
+
+@_registered("select cast(max(c_custkey) as bigint) as feedback_id, arg_max(c_mktsegment, c_custkey) as corrected_value from customer where c_custkey % 4 <> 0 and c_custkey % 3 <> 0 and c_name = (select max(c_name) from customer where c_custkey % 4 <> 0 and c_custkey % 3 <> 0)")
 def feedback_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact value only: not the one that differs by white space and case."""
-    return feedback.exact(corrections(spark), "mktsegment", "BUILDING").select("feedback_id", "corrected_value")
+    made = _segment_corrections(spark, sf_dir)
+    name = made.where("column_type = 'name' and original_value not like ' %'").agg(F.max("original_value")).first()[0]
+    return feedback.exact(made, "name", name).select("feedback_id", "corrected_value")
+
+
+@_registered(
+    """select cast(c_custkey as bigint) as feedback_id, case when c_custkey % 4 = 0 then 'other' else 'name' end as column_type, case when c_custkey % 3 = 0 then ' ' || lower(c_name) else c_name end as original_value,
+      case when c_custkey % 5 = 0 and c_custkey % 3 <> 0 and c_custkey % 4 <> 0 then 'was' end as agent_output, case when c_custkey % 5 = 0 and c_custkey % 3 <> 0 and c_custkey % 4 <> 0 then 'n' || c_nationkey else c_mktsegment end as corrected_value from customer
+    union all select (select max(c_custkey) from customer) + row_number() over (order by c_name), 'name', c_name, 'was', 'n' || c_nationkey from customer where c_custkey % 5 = 0 and (c_custkey % 3 = 0 or c_custkey % 4 = 0)"""
+)
+def feedback_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new value for every fifth customer's name, exactly as it is written: some are there and are replaced, others are added."""
+    changes = table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.lit("name").alias("column_type"), F.col("c_name").alias("original_value"), F.lit("was").alias("agent_output"), F.concat(F.lit("n"), "c_nationkey").alias("corrected_value"), F.timestamp_seconds(F.lit(9)).alias("created_at"))
+    return feedback.upsert(_segment_corrections(spark, sf_dir), changes).drop("created_at")
 
 
 # Types, routing, narratives.
@@ -294,19 +327,6 @@ def routing_with_a_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "column_name string, agent string, confidence double, llm_attempted string, llm_agent_guess string, asked string")
 
 
-@_registered("select * from (values (0, true, false), (1, false, true), (2, false, true), (3, true, false), (4, false, false), (5, true, false)) t(step, answered, open)")
-def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An answer, an outage, a call that is skipped, one after the pause, an error that is no outage, an answer."""
-    now = [0.0]
-    client = _Fixed({"fine": {"x": 1}, "busy": RuntimeError("503: high demand"), "bad": RuntimeError("no such field")})
-    breaker = resolvers.CircuitBreaker(client, clock=lambda: now[0])
-    rows = []
-    for step, (at, name) in enumerate([(0, "fine"), (1, "busy"), (2, "fine"), (302, "fine"), (303, "bad"), (304, "fine")]):
-        now[0] = float(at)
-        rows.append((step, breaker.extract_structured(system_prompt="", data={"column_name": name}) is not None, breaker.open))
-    return spark.createDataFrame(rows, "step int, answered boolean, open boolean")
-
-
 @_registered(
     """with l as (select *, l_extendedprice * (1 - l_discount) as net from lineitem), r as (select 'l_quantity' as a, 'l_extendedprice' as b, round(corr(l_quantity, l_extendedprice), 3) as r from l union all select 'l_quantity', 'net', round(corr(l_quantity, net), 3) from l union all select 'l_extendedprice', 'net', round(corr(l_extendedprice, net), 3) from l)
     select 'As ' || a || ' increases, ' || b || ' tends to ' || case when r > 0 then 'increase' else 'decrease' end || ' (r=' || r || '). Correlation does not imply causation.' as text from r where abs(r) >= 0.4"""
@@ -327,13 +347,6 @@ def narrative_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", narratives.known_numbers_only(text, [share]).alias("known"))
 
 
-@_registered("select * from (values (0, 'template', 'template_fallback_no_llm'), (1, 'template', 'template_fallback_llm_unavailable'), (2, 'template', 'template_fallback_hallucination_guard'), (3, 'It rose by 71%.', 'llm_generated')) t(step, text, method)")
-def narrative_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = [None, {}, {"trend": {"text": "It rose by 90%."}}, {"trend": {"text": "It rose by 71%."}}]
-    rows = [(i, *narratives.narrate({"metric": "trend", "r": 0.71}, "template", None if a is None else _Fixed(a))) for i, a in enumerate(answers)]
-    return spark.createDataFrame(rows, "step int, text string, method string")
-
-
 # Cleaners at their edges.
 
 
@@ -391,37 +404,60 @@ def address_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Files and the service's edges.
 
 
-@_registered(
-    """select * from (values (0, 'EmptyFileError', null, 0), (1, 'FileTooLargeError', null, 0), (2, null, 'a', 1), (3, 'InvalidFileTypeError', null, 0), (4, 'InvalidFileTypeError', null, 0), (5, 'InvalidFileTypeError', null, 0), (6, 'EmptyFileError', null, 0), (7, 'CSVParseError', null, 0), (8, null, 'a,b', 0),
-    (9, null, 'n,n.1,n.2', 1), (10, null, 'ad', 1), (11, null, 'a,b', 2)) t(step, error, columns, n_rows)"""
-)
-def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = [
-        (b"", "x.csv"), (b"a\n12345\n", "x.csv"), (b"a\n1234\n", "x.CSV"), (b"a\n1\n", "x.txt"), (b"%PDF-1\n", "x.csv"), (b"a\x00b\n1\n", "x.csv"), (b"\n\n", "x.csv"), (b"a\n1,2\n", "x.csv"), (b"a,b\n", "x.csv"),
-        (b"n,n,n\n1\n", "x.csv"), ("ad\nö\n".encode("latin-1"), "x.csv"), (b"a,b\n1,\nNA\n", "x.csv"),
-    ]
-    rows = []
-    for step, (raw, name) in enumerate(cases):
-        try:
-            found = uploads.load(raw, name, 7 if step in (1, 2) else uploads.MAX_BYTES)
-            rows.append((step, None, ",".join(found.columns), len(found.rows)))
-        except uploads.UploadError as error:
-            rows.append((step, type(error).__name__, None, 0))
-    return spark.createDataFrame(rows, "step int, error string, columns string, n_rows int")
-
-
 @_registered("select c_custkey % 5 = 0 or c_custkey % 5 = 1 as missing, count(*) as n, count(distinct c_custkey) as n_keys from customer group by all")
 def folder_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files written and read as text by Spark: texts that stand for no value are null, quoted line breaks stay."""
     k = F.col("c_custkey")
     value = F.when(k % 5 == 0, "NA").when(k % 5 == 1, "").otherwise(F.concat(F.lit('two\nlines, "quoted" '), k.cast("string")))
-    path = scratch(spark) + "/files"
-    table(spark, sf_dir, "customer").select(k.cast("string").alias("key"), value.alias("value")).write.csv(path, header=True, escape='"')
-    read = uploads.read_folder(spark, path, ["key", "value"])
+    path = scratch(spark)
+    table(spark, sf_dir, "customer").select(k.cast("string").alias("key"), value.alias("value")).write.csv(f"{path}/files", header=True, escape='"')
+    read = csv_folder.read(spark, f"{path}/files", f"{path}/work", ["key", "value"]).rows
     whole = F.col("value") == F.concat(F.lit('two\nlines, "quoted" '), F.col("key"))
     return read.where(F.col("value").isNull() | whole).groupBy(F.col("value").isNull().alias("missing")).agg(F.count("*").alias("n"), F.countDistinct("key").alias("n_keys"))
 
 
+@_registered(
+    """select cast(c_custkey as varchar) as key, case when c_custkey % 3 <> 2 then c_name || chr(10) || 'said "' || c_mktsegment || '", twice' else c_name end as name, cast(c_nationkey as varchar) as nation, cast(null as varchar) as error, cast(1 as bigint) as n from customer where c_custkey % 50 <> 5 or c_custkey % 3 <> 2
+    union all select null, null, null, 'CSVParseError', count(*) from customer where c_custkey % 50 = 5 and c_custkey % 3 = 2 having count(*) > 0"""
+)
+def files_of_unlike_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with their columns in three orders, line breaks and quotes in fields, and rows with a field too many: every row by name, and
+    every row that cannot be read as an error."""
+    k, path = F.col("c_custkey"), scratch(spark)
+    rows = table(spark, sf_dir, "customer").select(k.alias("k"), k.cast("string").alias("key"), "c_name", F.concat(F.col("c_name"), F.lit('\nsaid "'), F.col("c_mktsegment"), F.lit('", twice')).alias("name"), F.col("c_nationkey").cast("string").alias("nation"))
+    rows.where("k % 3 = 0").select("key", "name", "nation").write.csv(f"{path}/files/a", header=True, escape='"')
+    rows.where("k % 3 = 1").select("nation", F.lit("x").alias("other"), "key", "name").write.csv(f"{path}/files/b", header=True, escape='"')
+    surplus = F.when(F.col("k") % 50 == 5, F.concat(F.col("c_name"), F.lit(",surplus"))).otherwise(F.col("c_name"))
+    rows.where("k % 3 = 2").select(F.concat_ws(",", surplus, "nation", "key").alias("name,nation,key")).write.csv(f"{path}/files/c", header=True, sep="\t")
+    found = csv_folder.read(spark, f"{path}/files", f"{path}/work", ["key", "name", "nation"])
+    good = found.rows.select("key", "name", "nation", F.lit(None).cast("string").alias("error"), F.lit(1).cast("long").alias("n"))
+    none = F.lit(None).cast("string")
+    return good.unionByName(found.errors.groupBy("error").agg(F.count("*").alias("n")).select(none.alias("key"), none.alias("name"), none.alias("nation"), "error", "n"))
+
+
+#: Letters of the texts, and those that stand for them in a Turkish and, with the plain ones, in a Russian file.
+_WESTERN, _TURKISH = "éóèñçüêäößíÉÈÑÓÇÄÊÜÖÍ", "ıöüğçüâşöşıİÜĞÖÇŞÂÜÖİ"
+_PLAIN, _RUSSIAN = "abcdefghijklmnopqrstuvwxyz" + _WESTERN, "абцдефгхийклмнопярстувшызж" + "еоенцуеаосиеенощаеуои"
+
+
+@_registered(
+    f"""with d as (select doc_id, regexp_replace(text, '[^\\x20-\\x7E\\n{_WESTERN}]', '', 'g') as t from documents where doc_id is not null),
+    r as (select doc_id, case doc_id % 4 when 2 then translate(t, '{_WESTERN}', '{_TURKISH}') when 3 then translate(t, '{_PLAIN}', '{_RUSSIAN}') else t end as t from d)
+    select cast(doc_id as varchar) as key, md5(t) as digest from r where t <> ''"""
+)
+def files_of_four_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in files of UTF-8, a western, a Turkish and a Russian code page; whole texts come back."""
+    path = scratch(spark)
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.regexp_replace("text", f"[^\\x20-\\x7E\\n{_WESTERN}]", "").alias("text")).where("text <> ''")
+    image = lambda letters, encoding: letters.encode(encoding).decode("latin-1")  # noqa: E731  the characters that Latin-1 has for a page's bytes
+    made = {"utf-8": F.col("text"), "iso-8859-1": F.col("text"), "windows-1254": F.translate("text", _WESTERN, image(_TURKISH, "windows-1254")), "windows-1251": F.translate("text", _PLAIN, image(_RUSSIAN, "windows-1251"))}
+    for i, (name, text) in enumerate(made.items()):
+        mine = docs.where(F.col("doc_id") % 4 == i).select(F.col("doc_id").cast("string").alias("key"), text.alias("text"))
+        mine.write.csv(f"{path}/files/{name}", header=True, escape='"', encoding="utf-8" if i == 0 else "iso-8859-1", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    found = csv_folder.read(spark, f"{path}/files", f"{path}/work", ["key", "text"], no_value=[])
+    return found.rows.select("key", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @_registered("select * from (values ('bad sort', 'BadRequest'), ('bad direction', 'BadRequest'), ('limit 0', 'BadRequest'), ('confidence 101', 'BadRequest'), ('unknown upload', 'NotFound'), ('unknown record', 'NotFound'), ('foreign rule', 'Unprocessable'), ('limit 500', '200'), ('most megabytes', '20'), ('extensions', '.csv')) t(what, answer)")
 def service_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     service = served(spark, sf_dir)
@@ -437,77 +473,3 @@ def service_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
         except (BadRequest, NotFound, Unprocessable) as error:
             rows.append((what, type(error).__name__))
     return spark.createDataFrame(rows, "what string, answer string")
-
-
-_FILE = b"customer_id,order_date,order_amount,customer_age\n1,2024-03-05,\"85,50\",34\n2,25/03/2024,$120.50, thirty-five\n3,soon,free,\n"
-
-
-@_registered(
-    """select * from (values ('rows', '3'), ('columns_cleaned', 'customer_age order_amount order_date'), ('columns_profiled', 'customer_id'), ('cells', '9'), ('audit', '9'), ('flagged order_date', '1'), ('exported', '2024-03-05 2024-03-25 NULL'), ('kept as uploaded', '2024-03-05 25/03/2024 soon'), ('cells only: cells', '9'), ('cells only: audit', '0'),
-    ('deleted: cells', '0'), ('deleted: upload', 'NotFound'), ('deleted: export', 'NotFound'), ('decisions', '4')) t(what, answer)"""
-)
-def life_of_an_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file is validated, routed, cleaned, stored, exported, stored again without events, and deleted."""
-
-    class Kept:
-        def __init__(self):
-            self.lines = []
-
-        def write(self, decision: dict) -> None:
-            self.lines.append(json.dumps(decision))
-
-    class Broken:
-        def write(self, decision: dict) -> None:
-            raise OSError("no space left")
-
-    kept = Kept()
-    service = Service(spark, scratch(spark), log=DecisionLog([Broken(), kept]))
-    done = service.ingest(_FILE, "in/a.csv")
-    upload, store = done["upload_id"], service.store
-    text = lambda rows: " ".join("NULL" if r[0] is None else r[0] for r in rows)
-    out = {
-        "rows": done["rows"], "columns_cleaned": " ".join(sorted(done["columns_cleaned"])), "columns_profiled": " ".join(sorted(done["columns_profiled"])), "cells": store.cells(upload).count(), "audit": store.audit(upload).count(),
-        "flagged order_date": done["columns_cleaned"]["order_date"]["rows_flagged"], "exported": text(service.export(upload).select("order_date").collect()), "kept as uploaded": text(spark.read.parquet(service._raw(upload)).orderBy("row_index").select("c1").collect()),
-    }
-    cells = store.cells(upload)
-    other = store.create_upload("b.csv")
-    cell = F.struct("original_value", "cleaned_value", F.col("confidence_score").alias("confidence"), F.lit("m").alias("method"), "agent_type", F.lit(False).alias("flagged"), F.lit("{}").alias("details"))
-    store.write_cells(other, cells.select(F.dense_rank().over(_by_column()).alias("ordinal"), "column_name", "column_type", "row_index", cell.alias("cell")).withColumn("ordinal", F.col("ordinal") - 1), audit=False)
-    out |= {"cells only: cells": store.cells(other).count(), "cells only: audit": store.audit(other).count()}
-    service.delete_upload(upload)
-    out["deleted: cells"] = store.cells(upload).count()
-    for what, call in (("deleted: upload", service.upload), ("deleted: export", service.export)):
-        try:
-            out[what] = str(call(upload))
-        except NotFound:
-            out[what] = "NotFound"
-    out["decisions"] = len(kept.lines)
-    return spark.createDataFrame([(k, str(v)) for k, v in out.items()], "what string, answer string")
-
-
-def _by_column():
-    from pyspark.sql import Window
-
-    return Window.orderBy("column_name")  # the nine cells of one small file
-
-
-# Synthetic data.
-
-
-@_registered("select 400 as customers, true as joined, true as ages, true as segments, true as within_history, true as amounts, 5 as outliers, true as ambiguous, 2 as payloads, true as spike, true as correlated, true as truth")
-def synthetic_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What must hold of the synthetic orders and their ground truth, whatever the seed's numbers are."""
-    n = 400
-    dirty, truth, m = synthetic.generate(spark, n)
-    people = synthetic.customers(spark, n)
-    pairs = truth.join(people.select("customer_id", "age_true", "segment"), "customer_id")
-    facts = pairs.agg(
-        F.count("*").alias("rows"), F.bool_and(F.col("age_true").between(18, 75)).alias("ages"), (F.countDistinct("segment") == 4).alias("segments"), F.bool_and(F.col("order_amount_true") >= 8).alias("amounts"),
-        F.bool_and((F.col("order_date_true") >= F.greatest("signup_date_true", F.lit("2025-01-07"))) | F.col("order_date_true").startswith(synthetic.SPIKE_MONTH)).alias("within"),
-    ).first()
-    share = len(m["ambiguous_date_rows"]) / m["n_orders"]
-    row = (
-        people.count(), facts["rows"] == m["n_orders"] == dirty.count(), facts["ages"], facts["segments"], facts["within"], facts["amounts"], len(m["outlier_rows"]), abs(share - 0.015) < 0.001,
-        dirty.where(F.col("name").contains("DROP TABLE")).select("customer_id").distinct().count(), 2.4 < m["seasonal_anomaly"]["spike_multiplier"] < 3.1, m["age_amount_correlation"]["pearson_r"] > 0.2, truth.columns[0] == "row_index" and len(m["segment_pattern"]) == 4,
-    )
-    return spark.createDataFrame([row], "customers int, joined boolean, ages boolean, segments boolean, within_history boolean, amounts boolean, outliers int, ambiguous boolean, payloads int, spike boolean, correlated boolean, truth boolean")

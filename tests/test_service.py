@@ -1,13 +1,15 @@
 """A file's way through the service: validation, cleaning, reading, correcting, rules, export, deletion."""
 
 import json
+import threading
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftwell.operators.resolvers import CircuitBreaker
 from siftwell.plans.service import BadRequest, Service, Unprocessable
-from siftwell.sources import uploads
+from siftwell.sources import commits, csv_folder, store, uploads
 from siftwell.sources.decisions import DecisionLog, JsonLines
 from siftwell.sources.store import NotFound, StoreError
 
@@ -142,7 +144,7 @@ def test_a_failed_write_leaves_nothing(service, spark):
 
 
 def test_an_unfinished_write_shows_nothing(service, spark, monkeypatch):
-    """Cells are written, then the writer is gone: readers go by the upload's status."""
+    """Cells are written, then the writer is gone: readers go by the upload's status and by its commits."""
     upload = service.ingest(CSV, "a.csv")["upload_id"]
     cells = service.store.cells(upload).count()
     service.store.set_status(upload, "pending")
@@ -150,23 +152,106 @@ def test_an_unfinished_write_shows_nothing(service, spark, monkeypatch):
     service.store.set_status(upload, "completed")
     rule = service.create_rule(upload, name="big", target_kind="column_name", target_value="order_amount", condition_operator="gte", condition_value=100)
     service.apply_rules(upload, [rule.rule_id])
-    events = service.store.audit(upload).count()
-    remove = service.store.remove
+    events, create = service.store.audit(upload).count(), commits.Files.create
 
-    def gone(path):  # the process ends when the old version would be removed
+    def gone(self, path, text):  # the process ends when all is written but the commit
         raise SystemExit
 
-    for _ in range(2):  # the version before the last stays for readers, so the second time one is removed
-        monkeypatch.setattr(service.store, "remove", gone)
-        try:
-            service.store.clear_violations(upload, [rule.rule_id])
-        except SystemExit:
-            pass
-    monkeypatch.setattr(service.store, "remove", remove)
+    monkeypatch.setattr(commits.Files, "create", gone)
+    with pytest.raises(SystemExit):
+        service.store.clear_violations(upload, [rule.rule_id])
+    monkeypatch.setattr(commits.Files, "create", create)
+    assert service.store.audit(upload).count() == events and len(service.violations(upload)) == 2
+    service.store.clear_violations(upload, [rule.rule_id])
     assert service.store.audit(upload).count() == events - 2 and service.violations(upload) == []
     assert {e["action"] for e in service.audit(upload)} == {"clean_value"}
 
 
+def cells_of(spark, rows, columns=2, confidence=50.0):
+    cell = F.struct(F.col("row_index").cast("string").alias("original_value"), F.concat(F.lit("v"), F.col("row_index")).alias("cleaned_value"), (F.lit(confidence) + F.col("row_index") % 40).alias("confidence"), F.lit("m").alias("method"), F.lit("A").alias("agent_type"), F.lit(False).alias("flagged"), F.lit("{}").alias("details"))
+    return spark.range(rows).select(F.col("id").alias("row_index")).select(F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("ordinal"), "row_index").select("ordinal", F.concat(F.lit("col"), "ordinal").alias("column_name"), F.lit("date").alias("column_type"), "row_index", cell.alias("cell"))
+
+
+def test_lookups_open_few_files(service, spark, monkeypatch):
+    """A cell and its lineage are in one file each of many; pages go through the files in order, from a place or by what they skip."""
+    monkeypatch.setattr(store, "FILE_ROWS", 50)
+    s, upload = service.store, service.store.create_upload("a.csv")
+    s.write_cells(upload, cells_of(spark, 400))
+    zones = s.zones(upload, "cells").orderBy("low").collect()
+    assert len(zones) >= 12 and sum(z["rows"] for z in zones) == 800 == s.count(upload) and all(a["high"] < b["low"] for a, b in zip(zones, zones[1:]))
+    assert len(s._record(upload, "cells", 555).inputFiles()) == 1 and s.cell(upload, 555)["row_index"] == 154
+    assert len(s._record(upload, "audit", 555).inputFiles()) == 1 and s.lineage(upload, 555).count() == 1
+    s.correct(upload, 555, "new")
+    assert len(s._record(upload, "audit", 555).inputFiles()) == 2 and [r["action"] for r in s.lineage(upload, 555).collect()] == ["clean_value", "user_correction"]
+    with pytest.raises(NotFound):
+        s.cell(upload, 9999)
+    ids = lambda page: [r["record_id"] for r in page.collect()]
+    assert s.columns(upload) == ["col0", "col1"]
+    first = s.page(upload, limit=30)
+    assert ids(first) == list(range(1, 31)) and len(first.inputFiles()) <= 3
+    assert ids(s.page(upload, limit=30, after=610)) == list(range(611, 641)) and len(s.page(upload, limit=30, after=610).inputFiles()) <= 4
+    assert ids(s.page(upload, limit=5, descending=True)) == [800, 799, 798, 797, 796] and ids(s.page(upload, limit=5, descending=True, after=10)) == [9, 8, 7, 6, 5]
+    assert ids(s.page(upload, column="col1", limit=3, offset=200)) == [601, 602, 603]
+    assert ids(s.page(upload, max_confidence=51.0, limit=100)) == [i for i in range(1, 801) if (i - 1) % 400 % 40 == 0] and ids(s.page(upload, max_confidence=50.0)) == []
+
+
+def test_a_failed_replacement_keeps_what_was_there(service, spark):
+    s, upload = service.store, service.store.create_upload("a.csv")
+    s.write_cells(upload, cells_of(spark, 5))
+    with pytest.raises(StoreError):
+        s.write_cells(upload, cells_of(spark, 5, confidence=90.0 + 20))
+    assert service.upload(upload)["status"] == "completed" and s.cells(upload).count() == 10 == s.audit(upload).count()
+    s.write_cells(upload, cells_of(spark, 7), audit=False)
+    assert s.cells(upload).count() == 14 and s.audit(upload).count() == 0 and s.cells(upload).agg(F.min("record_id")).first()[0] == 11
+
+
+def test_a_slow_writer_loses_nothing(service, spark, tmp_path, monkeypatch):
+    """Two writers of unlike processes (their turns are not shared): one is held up in the middle of its change while the other goes on."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    fast, held = store.Store(spark, f"file:{tmp_path}/store"), threading.Event()
+    slow, create, tried = service.store, commits.Files.create, []
+
+    def wait(self, path, text):
+        if path.startswith("file:///"):
+            tried.append(path)
+            held.wait(60)
+        return create(self, path, text)
+
+    monkeypatch.setattr(commits.Files, "create", wait)
+    with ThreadPoolExecutor(1) as pool:
+        late = pool.submit(slow.create_upload, "slow.csv")
+        early = [fast.create_upload(f"{i}.csv") for i in range(2)]
+        fast.update("uploads", F.col("upload_id") == early[0], status=F.lit("failed"))
+        held.set()
+        assert early == [1, 2] and late.result(120) == 3 and len(tried) == 2
+    assert [(r["upload_id"], r["filename"], r["status"]) for r in slow.table("uploads").orderBy("upload_id").collect()] == [(1, "0.csv", "failed"), (2, "1.csv", "pending"), (3, "slow.csv", "pending")]
+    assert commits.Files(spark).create(f"{tmp_path}/new", "a") and not commits.Files(spark).create(f"{tmp_path}/new", "b") and (tmp_path / "new").read_text() == "a"
+
+
+def test_many_small_writes_are_folded(service, spark, monkeypatch):
+    monkeypatch.setattr(store, "MOST_SMALL", 3)
+    s, upload = service.store, service.store.create_upload("a.csv")
+    s.write_cells(upload, cells_of(spark, 3))
+    for i in range(6):
+        s.correct(upload, 1 + i % 2, str(i))
+    assert len(s._parts(upload, "overlay")) <= 3 and {r["record_id"]: r["cleaned_value"] for r in s.cells(upload).where("record_id < 3").collect()} == {1: "4", 2: "5"}
+    assert [json.loads(r["details"])["corrected_value"] for r in s.lineage(upload, 1).collect()[1:]] == ["0", "2", "4"]
+    assert [s.create_upload(f"{i}.csv") for i in range(5)] == [2, 3, 4, 5, 6] and len(s._history("uploads").snapshot().parts) <= 3
+
+
+def test_large_record_numbers(service, spark):
+    """Violations of the largest numbers are written, in order of record, then rule."""
+    s, upload = service.store, service.store.create_upload("a.csv")
+    s.write_cells(upload, cells_of(spark, 1))
+    big = (1 << 63) - 2
+    found = spark.createDataFrame([(5, big, "c", 0, "v", "low", "flag"), (2, big, "c", 0, "v", "low", "flag"), (9, 1, "c", 0, "v", "low", "flag")], "rule_id bigint, record_id bigint, column_name string, row_index bigint, cleaned_value string, severity string, action string")
+    s.write_violations(upload, found, 3)
+    assert [(r["record_id"], r["rule_id"]) for r in s.violations(upload).collect()] == [(1, 9), (big, 2), (big, 5)]
+    s.clear_violations(upload, [5])
+    assert [(r["record_id"], r["rule_id"]) for r in s.violations(upload).collect()] == [(1, 9), (big, 2)]
+
+
 def test_eight_writers_at_once(service):
     """No update and no id is lost."""
     from concurrent.futures import ThreadPoolExecutor
@@ -177,7 +262,6 @@ def test_eight_writers_at_once(service):
     with ThreadPoolExecutor(8) as pool:
         bases = list(pool.map(lambda i: service.store._reserve(i, 10), ids[:8]))
     assert sorted(bases) == list(range(0, 80, 10))
-    assert not service.store.exists(f"{service.store.root}/locks/uploads")
 
 
 def test_canonical_numbers(spark):
@@ -185,14 +269,26 @@ def test_canonical_numbers(spark):
     assert [tuple(r)[1:] for r in uploads.canonical(df, ["a", "b", "c"]).orderBy("row_index").collect()] == [("7", "1.0", "x"), ("8", None, "y")]
 
 
-def test_folders_are_inspected(spark, tmp_path):
+def test_folders_are_inspected(service, spark, tmp_path):
     for name, raw in {"ok.csv": b"a\n1\n", "x.txt": b"a", "p.csv": b"%PDF-1.4", "n.csv": b"a\x00"}.items():
         (tmp_path / name).write_bytes(raw)
-    got = {r["path"].rsplit("/", 1)[-1]: r["error"] for r in uploads.inspect_folder(spark, str(tmp_path)).collect()}
+    got = {r["file"].rsplit("/", 1)[-1]: r["error"] for r in csv_folder.inspect(spark, f"{tmp_path}/*.*").collect()}
     assert got == {"ok.csv": None, "x.txt": "InvalidFileTypeError", "p.csv": "InvalidFileTypeError", "n.csv": "InvalidFileTypeError"}
+    with pytest.raises(uploads.InvalidFileTypeError):
+        service.ingest_folder(f"{tmp_path}/*.*", ["a"])
+
+
+def test_folders_of_unlike_files(service, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.csv").write_bytes(b'a,b\n1,"x\ny"\nNA,z\n')
-    assert {tuple(r) for r in uploads.read_folder(spark, str(tmp_path / "in"), ["a", "b"]).collect()} == {("1", "x\ny"), (None, "z")}
+    (tmp_path / "in/a.csv").write_bytes(b'order_date,note\n2024-03-05,"x\ny"\n2024-03-06,u,surplus\n')
+    (tmp_path / "in/b.csv").write_bytes("note,order_date\nG\u00f6l,25/03/2024\n".encode("windows-1252"))
+    with pytest.raises(uploads.CSVParseError, match="row 2"):
+        service.ingest_folder(str(tmp_path / "in"), ["order_date", "note"])
+    done = service.ingest_folder(str(tmp_path / "in"), refuse=False)
+    upload = done["upload_id"]
+    assert done["refused"] == 1 and [(r["row"], r["error"]) for r in service.refused(upload).collect()] == [(2, "CSVParseError")]
+    assert {tuple(r) for r in service.export(upload).select("order_date", "note").collect()} == {("2024-03-05", "x\ny"), ("2024-03-25", "G\u00f6l")}
+    assert not service.store.exists(f"{service.store.root}/work/upload_id={upload}")
 
 
 def test_decisions_and_breaker(tmp_path):
