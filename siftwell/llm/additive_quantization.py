@@ -13,8 +13,8 @@ no near copy is lost to the cut.
 Queries meet all codes in a grid of query blocks and code blocks, so neither side is broadcast; a task holds one
 block of each and the lookup tables of QUERIES_AT_ONCE queries. Defined results: vectors that are null, zero, of another
 length than most (of equally common lengths the shorter) or that hold a null or a non-finite component take no part on
-either side; a query with fewer candidates gets all of them; ties go to the smaller id; of the rows of one id that can
-take part the one with the smallest vector does; rows with a null id take no part; an empty table gives an empty
+either side; a query with fewer candidates gets all of them; ties go to the smaller id; rows that share an id are rows of their own, each a
+query with 20 answers and each a candidate of the other; rows with a null id take no part; an empty table gives an empty
 result; columns besides the two named ones are not read, whatever they are called.
 """
 
@@ -146,15 +146,16 @@ def search(
     kind = vectors.schema[vector_col].dataType.simpleString()
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v")).where("id is not null").where(usable("v"))
-    # The commonest length is the index's; rows of other lengths go before one row of each id is chosen.
+    # The commonest length is the index's.
     lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     total, dimensions = (lengths[0]["count"], lengths[0]["n"]) if lengths else (0, 1)
     size_of = lambda n: n * _WIDE * (dimensions + 4)
-    rows = materialise(rows.where(F.size("v") == dimensions).groupBy("id").agg(F.min("v").alias("v")), "vectors", size_of(total)).withColumn("q", is_query(F.col("id")))
-    # One row a vector: its k + 1 smallest ids are all that any query can need of it. The limit works before the shuffle too.
-    copies = Window.partitionBy("v").orderBy("id")
-    few = rows.select("id", "v").withColumn("place", F.row_number().over(copies)).where(F.col("place") <= k + 1)
-    vectors = materialise(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "v", "ids"), "distinct-vectors", size_of(total))
+    numbered = rows.where(F.size("v") == dimensions).withColumn("row", F.monotonically_increasing_id())
+    rows = materialise(numbered, "vectors", size_of(total)).withColumn("q", is_query(F.col("id")))
+    # One row a vector: its k + 1 first rows are all that any query can need of it. The limit works before the shuffle too.
+    copies = Window.partitionBy("v").orderBy("id", "row")
+    few = rows.select("id", "row", "v").withColumn("place", F.row_number().over(copies)).where(F.col("place") <= k + 1)
+    vectors = materialise(few.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "row"))).alias("ids")).select(F.col("ids")[0]["id"].alias("id"), "v", "ids"), "distinct-vectors", size_of(total))
     total = vectors.count() if total else 0
     share = min(1.0, train_rows / max(1, total))  # at most 2 * train_rows vectors come to the driver
     picked = vectors.where(F.pmod(F.xxhash64("id", F.lit("codebooks")), F.lit(1_000_003)) < share * 1_000_003).select("id", "v").limit(2 * train_rows).collect()
@@ -163,8 +164,8 @@ def search(
         return spark.createDataFrame([], schema)
     sample = _matrix([r["v"] for r in sorted(picked)] or [vectors.select("v").first()["v"]])
     books = spark.sparkContext.broadcast(train(sample, levels=levels, size=size, beam=beam))
-    # Queries with equal vectors ask as one, named by the smallest.
-    asking = materialise(rows.where("q").groupBy("v").agg(F.min("id").alias("query")).select("query", "v"), "query-vectors", size_of(total))
+    # Queries with equal vectors ask as one, named by one of their rows.
+    asking = materialise(rows.where("q").groupBy("v").agg(F.min("row").alias("query")).select("query", "v"), "query-vectors", size_of(total))
     queries = asking.count()
     parallel = max(2, spark.sparkContext.defaultParallelism)
     code_blocks = -(-total // code_block)
@@ -178,7 +179,7 @@ def search(
                 codes, norms = encode(books.value, _matrix(b["v"]))
                 yield b | {"code": [c.tobytes() for c in codes.astype(word)], "norm": norms.tolist()}
 
-    coded = materialise(map_batches(vectors, code, f"id bigint, v {kind}, ids array<bigint>, code binary, norm float").withColumn("key", F.xxhash64("code")), "vector-codes")
+    coded = materialise(map_batches(vectors, code, f"id bigint, v {kind}, ids array<struct<id:bigint,row:bigint>>, code binary, norm float").withColumn("key", F.xxhash64("code")), "vector-codes")
     codes = coded.groupBy("key").agg(F.min("code").alias("code"), F.min("norm").alias("norm"))
     grid_codes = codes.withColumn("c", F.pmod(F.xxhash64("key"), F.lit(code_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).select("key", "code", "norm", "c", "q")
     asked = asking.select("query", "v", F.pmod(F.xxhash64("query", F.lit("query")), F.lit(query_blocks)).cast("int").alias("q"))
@@ -216,12 +217,13 @@ def search(
     term = (lambda a, b: a * b) if measure == "inner" else (lambda a, b: -(a - b) * (a - b))
     wide = lambda c: c.cast("double")
     exact = F.aggregate(F.zip_with("v", "w", lambda a, b: term(wide(a), wide(b))), F.lit(0.0), lambda s, x: s + x)
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    # The best k + 1 vectors hold the best k + 1 ids, for a vector goes by its smallest id; one of them may be the query itself.
-    best = pairs.select("query", "id", "ids", exact.alias("score")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
-    best = best.select("query", "score", F.explode("ids").alias("id")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
-    askers = rows.where("q").select(F.col("id").alias("query_id"), "v").join(asking, "v").select("query_id", "query")
-    answers = askers.join(best.select("query", "id", "score"), "query").where("query_id != id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = answers.select("query_id", "id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # The best k + 1 vectors hold the best k + 1 rows, for a vector goes by its first row; one of them may be the query itself.
+    first = Window.partitionBy("query").orderBy(F.desc("score"), "id", F.col("ids")[0]["row"])
+    best = pairs.select("query", "id", "ids", exact.alias("score")).withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id", "row")
+    best = best.select("query", "score", F.inline("ids")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    askers = rows.where("q").select(F.col("id").alias("query_id"), F.col("row").alias("asker"), "v").join(asking, "v").select("query_id", "asker", "query")
+    answers = askers.join(best.select("query", "id", "row", "score"), "query").where("asker != row")
+    order = Window.partitionBy("asker").orderBy(F.desc("score"), "id", "row")
+    ranked = answers.select("query_id", "asker", "id", "row", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score")

@@ -8,7 +8,8 @@ bucket's size to keep its positions in order, so very long pre-tokens take nearl
 
 Short pre-tokens repeat, so their ids are kept in a bounded cache. Defined results: a null text counts as
 empty and has no ids; special-token strings are ordinary text; any byte string can be decoded; repeated rows and
-repeated ids are encoded row by row; an empty table gives an empty result.
+repeated ids are encoded row by row; an empty table gives an empty result; a text may be of any length and is encoded whole, pre-token
+by pre-token, in memory in proportion to the text; the query reads the id and the text only, whatever other columns are called.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ holds almost nothing of the page's running text, falls back on its own best cont
 
 Menus, headers outside the article, footers, side bars, notices, adverts, forms, scripts, styles and reader
 comments are never text, whichever container holds them. What an element is follows from its tag, or from a class
-name, role or (outside the article) id all of whose words say so: ``ad-slot`` and ``site-footer`` do, ``share-price``
-and ``notice-period`` do not. Headings, paragraphs, table cells and inline elements are dropped by such a name only
+name, role or id all of whose words say so: ``ad-slot``, ``adsbygoogle`` and ``site-footer`` do, ``share-price``
+and ``notice-period`` do not; sizes such as ``300x250`` say nothing. Within the article the ids of containers count, but only those of adverts and
+comments (``comments``, ``respond``, ``disqus_thread``). Headings, paragraphs, table cells and inline elements are dropped by such a name only
 if it is that of an advert. Where an element that is dropped by its name holds most of the article or nearly
 all of the page, its name is taken to mean something else, unless it is one of reader comments. Within the article
 every other block is kept: character references are decoded, white space inside a block becomes one space, empty
@@ -45,7 +46,7 @@ BLOCKS = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = set("article body center details div main section table tbody td tr figure blockquote html".split())
-DROPPED = set("aside audio button canvas dialog footer form head iframe input math menu nav noscript object search select script style svg template textarea title video".split())
+DROPPED = set("annotation annotation-xml aside audio button canvas dialog footer form head iframe input menu nav noscript object search select script style svg template textarea title video".split())
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "tr td th thead tbody", "tfoot": "tr td th thead tbody"}
 #: Names of these make an element an advert even where it is a paragraph, a cell or inline.
 ADVERT = {"ad", "ads", "advert", "advertisement", "sponsored"}
@@ -55,13 +56,17 @@ NOT_ARTICLE = ADVERT | COMMENT | set(
     "adsense advertorial alert banner breadcrumb breadcrumbs complementary contentinfo cookie cookies disclaimer feedback footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup popular promo promoted promotion recommended related search share sharing sidebar skip social sponsor subscribe subscription tags toc toolbar widget widgets".split()
 )
 NEUTRAL = set(
-    "area articles bar block body bottom box buttons center col column consent container content desktop fixed floating global google group holder icons inline inner item items left links list main message mobile module news outer page panel placeholder post posts primary reader right row secondary section side signup site slot space sticky stories text thread title top unit user wrap wrapper".split()
+    "area articles bar block body bottom box buttons center col column consent container content desktop discussion fixed floating global google group holder icons inline inner item items left links list main message mobile module news outer page panel placeholder post posts primary reader right row secondary section side signup site slot space sticky stories text thread title top unit user wrap wrapper".split()
 )
 ARTICLE = set("article articlebody articlecontent articletext content contentbody entry entrycontent hentry main maincontent maintext pagecontent post postbody postcontent story storybody".split())
 
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
+#: Sizes in names, as of a place for an advert.
+_SIZE = re.compile(r"\d+x\d+")
+#: Words that are an advert's mark and another word written together.
+_JOINED = re.compile(r"ads?(?:by[a-z]+|banner|block|box|container|frame|holder|label|sense|slot|space|unit|wrap|wrapper|zone)s?")
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 #: Elements that are dropped by any name that says so; others only by an advert's.
@@ -129,13 +134,21 @@ def path_key(path: str) -> int:
     return key
 
 
+def _words(name: str) -> set[str]:
+    return {"ad" if _JOINED.fullmatch(w) else w for w in _WORDS.findall(_SIZE.sub("", name))}
+
+
 def _named(tag: str, attributes: dict[str, str], within: bool) -> str:
-    """What the element's names say it is: "", "part" or "comment". All words of a name must agree."""
-    text = f"{attributes.get('class', '')} {attributes.get('role', '')} {'' if within else attributes.get('id', '')}".lower()
+    """What the element's names say it is: "", "part" or "comment". All words of a name must agree. In an article an id counts
+    only for containers, and only if it is that of an advert or of reader comments."""
+    names = f"{attributes.get('class', '')} {attributes.get('role', '')}".lower().split()
+    ids = attributes.get("id", "").lower().split() if not within or tag in NAMED else []
     found = ""
-    for name in text.split():
-        words = set(_WORDS.findall(name))
+    for i, name in enumerate(names + ids):
+        words = _words(name)
         marks = words & NOT_ARTICLE
+        if within and i >= len(names) and not marks & (ADVERT | COMMENT):
+            continue
         if not marks or words - marks - NEUTRAL or (tag not in NAMED and not marks & ADVERT):
             continue
         if tag not in NAMED and len(words) > 1 and not words <= ADVERT:
@@ -343,8 +356,14 @@ def main_text(html: str | None, path: str | None, least_share: float = 0.2) -> s
     if not chosen or sum(n.text for n in chosen) < least_share * total:
         for n in chosen:
             n.chosen = False
-        best = max(nodes, key=lambda n: score(n, total))
-        (best if score(best, total) > 0 else nodes[0]).chosen = True
+        by: dict[int, list] = {}
+        for n in nodes:
+            if (value := score(n, total)) > 0:
+                group = by.setdefault(n.key, [0.0, n.depth, -n.key, []])
+                group[0] += value
+                group[3].append(n)
+        for n in max(by.values(), key=lambda g: g[:3])[3] if by else nodes[:1]:  # all of the best path, as votes count
+            n.chosen = True
     for n in nodes[1:]:
         n.chosen = n.chosen or n.parent.chosen
     out = []

@@ -13,7 +13,7 @@ the threshold survives all splits.
 
 Buckets compare minwise sketches and hand on only a spanning forest of likely links, never all pairs. The
 clusters that these make are verified on their exact n-gram sets, read from the texts once more: a cluster of up to
-``tile`` members in one task. Of a larger one every text travels once, to a block of its cluster where the cluster's
+``tile`` members and ``held_grams`` n-grams in one task. Of a larger one every text travels once, to a block of its cluster where the cluster's
 centre is too, and is kept as its difference from the centre: the centre's n-grams that it lacks and those that it
 has besides. Blocks then meet in tiles of ``diff_tile`` by ``diff_tile`` differences, which say exactly how many
 n-grams any two members share. Links are counted there and classes are the components of the verified links.
@@ -46,6 +46,8 @@ COORDINATES = 128
 BROADCAST_ROWS = 1_000_000
 #: The same for tables of keys and counts inside the join.
 BROADCAST_KEYS = 200_000
+#: n-grams of the texts that one task of exact verification holds (8 bytes each besides the texts).
+HELD_GRAMS = 2_000_000
 _rng = np.random.default_rng(2023)
 _MULTIPLY = (_rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
 _ADD = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -178,7 +180,7 @@ def _links(ids: np.ndarray, own: np.ndarray, copies: np.ndarray, size: np.ndarra
 
 
 def classes(
-    docs: DataFrame, *, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, recall: float = 0.999, bucket: int = 64, depth: int = 3, tile: int = 512, diff_tile: int = 512, slack: float = 0.14, broadcast_rows: int = BROADCAST_ROWS
+    docs: DataFrame, *, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, recall: float = 0.999, bucket: int = 64, depth: int = 3, tile: int = 512, diff_tile: int = 512, slack: float = 0.14, held_grams: int = HELD_GRAMS, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Every document: id_col, class_id (the smallest id of its class) and n_links (documents linked with it, copies included)."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
@@ -186,19 +188,20 @@ def classes(
     def sign(batches: Iterator[dict]) -> Iterator[dict]:
         hashes = _WordHashes()
         for b in batches:
-            out: dict[str, list] = {"id": b["id"], "digest": [], "signature": []}
+            out: dict[str, list] = {"id": b["id"], "digest": [], "signature": [], "grams": []}
             for text in b["text"]:
                 grams = shingles(text, n, hashes)
                 out["digest"].append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
                 out["signature"].append(minwise(grams).tobytes() if len(grams) else None)
+                out["grams"].append(len(grams))
             yield out
 
-    signed = materialise(map_batches(source, sign, "id bigint, digest binary, signature binary"), "signatures")
+    signed = materialise(map_batches(source, sign, "id bigint, digest binary, signature binary, grams bigint"), "signatures")
     rows = signed.count()
     few = min(broadcast_rows, BROADCAST_KEYS)
-    distinct = signed.where("digest is not null").groupBy("digest", "id").agg(F.first("signature").alias("signature"))  # rows with one id count once
-    reps = distinct.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
-    reps = materialise(reps, "representatives", rows * (4 * COORDINATES + 48))
+    distinct = signed.where("digest is not null").groupBy("digest", "id").agg(F.first("signature").alias("signature"), F.first("grams").alias("grams"))  # rows with one id count once
+    reps = distinct.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"), F.first("grams").alias("grams"))
+    reps = materialise(reps, "representatives", rows * (4 * COORDINATES + 56))
     runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, depth))))
 
     def roots(batches: Iterator[dict]) -> Iterator[dict]:
@@ -258,10 +261,15 @@ def classes(
     clusters = connected_components(edges, a="a", b="b", most_edges=edges.count(), few=few)
     count = clusters.count()
     kept: list[DataFrame] = []
-    clusters = joined_by_key(clusters, clusters.groupBy("component").agg(F.count("*").alias("n")), "component", count, few, 24, kept)
-    clusters = clusters.join(reps.groupBy(F.col("rep").alias("node")).agg(F.max("copies").alias("copies")), "node")
-    # Clusters of up to a tile are whole; of others every block gets the centre, the cluster's smallest member, besides its own.
-    clusters = clusters.withColumn("blocks", F.when(F.col("n") <= tile, 0).otherwise(_blocks("n", diff_tile)))
+    clusters = clusters.join(reps.groupBy(F.col("rep").alias("node")).agg(F.max("copies").alias("copies"), F.sum("grams").alias("grams")), "node")
+    clusters = materialise(clusters, "likely-clusters", count * 40)
+    kept.append(clusters)
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"), F.sum("grams").alias("all"))
+    clusters = joined_by_key(clusters, sizes, "component", count, few, 32, kept)
+    # Clusters of up to a tile, and of texts that a task can hold, are whole; of others every block gets the centre, the cluster's
+    # smallest member, besides its own.
+    held = F.ceil(F.col("all") / F.lit(held_grams)).cast("int")
+    clusters = clusters.withColumn("blocks", F.when((F.col("n") <= tile) & (held <= 1), 0).otherwise(F.greatest(_blocks("n", diff_tile), F.least(held, F.col("n").cast("int")))))
     clusters = clusters.withColumn("own", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks"))).otherwise(0).cast("int"))
     clusters = clusters.select(F.col("node").alias("id"), "component", "blocks", "own", "copies", F.lit(False).alias("centre"))
     centres = clusters.where("blocks > 0 and id = component").withColumns({"own": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "centre": F.lit(True)})
@@ -339,13 +347,16 @@ def without_duplicates(docs: DataFrame, *, id_col: str, text_col: str, **options
         if gone.count() <= few:
             gone = F.broadcast(gone)  # ids only, counted; the texts then stay where they are
         return docs.join(gone, id_col, "left_anti")
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
-    mine = rows.where(F.col(id_col).isNotNull())
-    found = materialise(classes(mine, id_col="_row", text_col=text_col, **options), "classes", 24 * rows.count())
-    keys = mine.select("_row", F.col(id_col).alias("id"), F.sha2(F.col(text_col).cast("binary"), 256).alias("digest")).join(found.select("_row", "class_id"), "_row")
-    best = keys.groupBy("class_id").agg(F.min(F.struct("id", "digest", "_row")).alias("best")).select("best.*")
-    best = best.groupBy("id", "digest").agg(F.min("_row").alias("_row"))  # texts without a word are in no class with others
-    gone = materialise(found.select("_row").join(best.select("_row"), "_row", "left_anti"), "gone", 12 * rows.count())
+    row = "_row"
+    while row in docs.columns:  # a name that docs has not
+        row += "_"
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
+    mine = rows.where(F.col(id_col).isNotNull()).select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = materialise(classes(mine, id_col="row", text_col="text", **options), "classes", 24 * rows.count())
+    keys = mine.select("row", "id", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).join(found.select("row", "class_id"), "row")
+    best = keys.groupBy("class_id").agg(F.min(F.struct("id", "digest", "row")).alias("best")).select("best.*")
+    best = best.groupBy("id", "digest").agg(F.min("row").alias("row"))  # texts without a word are in no class with others
+    gone = materialise(found.select("row").join(best.select("row"), "row", "left_anti").select(F.col("row").alias(row)), "gone", 12 * rows.count())
     if gone.count() <= few:
         gone = F.broadcast(gone)
-    return rows.join(gone, "_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return rows.join(gone, row, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -15,7 +15,7 @@ def url_filters(host_rules: list[tuple[str, str]]) -> str:
 with rules(verdict, rule, host, path) as (values {rules}),
 a as (select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
 fits as (select a.page_id, r.rule, r.verdict, row_number() over (partition by a.page_id order by length(r.rule) desc, r.rule) as n from a join rules r on (a.host = r.host or a.host like '%.' || r.host) and starts_with(a.path, r.path))
-select a.page_id, a.host, a.path, f.rule, case when f.rule is not null then f.verdict when len(list_intersect(regexp_extract_all(a.host || a.path, '[A-Za-z0-9_%\\x{{80}}-\\x{{10FFFF}}-]+'), [{parts}])) > 0 then 'block' else 'allow' end as verdict
+select a.page_id, a.host, a.path, f.rule, case when f.rule is not null then f.verdict when len(list_intersect(regexp_extract_all(translate(a.host || a.path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z0-9_%\\x{{80}}-\\x{{10FFFF}}-]+'), [{parts}])) > 0 then 'block' else 'allow' end as verdict
 from a left join fits f on f.page_id = a.page_id and f.n = 1"""
 
 
@@ -34,7 +34,7 @@ select w.doc_id, (select min(y) from reach where reach.x = w.doc_id) as class_id
 def nearest_neighbours(k: int = 20) -> str:
     """Equal to the search where a query's candidates are no more than it reranks."""
     return f"""
-with v as (select cast(vec_id as bigint) as vec_id, cast(embedding as double[]) as e from embeddings),
+with v as (select cast(vec_id as bigint) as vec_id, cast(embedding as double[]) as e from embeddings where vec_id is not null),
 s as (select q.vec_id as query_id, c.vec_id, list_reduce(list_transform(list_zip(c.e, q.e), lambda p: p[1] * p[2]), lambda a, b: a + b) as score from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id)
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= {k}"""
 

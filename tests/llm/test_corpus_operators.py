@@ -50,8 +50,8 @@ def test_op4_equals_brute_force(spark):
     assert as_dict(queries.op4_ngram_jaccard_join(spark, SF)) == brute_links(rows)
 
 
-@pytest.mark.parametrize("bucket, depth, tile, diff_tile, few", [(64, 3, 512, 1024, 10**6), (4, 2, 16, 40, 10**6), (8, 3, 30, 1024, 0)])
-def test_join_of_large_groups(spark, bucket, depth, tile, diff_tile, few):
+@pytest.mark.parametrize("bucket, depth, tile, diff_tile, few, held", [(64, 3, 512, 1024, 10**6, 2_000_000), (4, 2, 16, 40, 10**6, 2_000_000), (8, 3, 30, 1024, 0, 2_000_000), (64, 3, 512, 1024, 10**6, 700)])
+def test_join_of_large_groups(spark, bucket, depth, tile, diff_tile, few, held):
     """Near copies beyond a bucket and a tile, exact copies, and a passage that unlike documents share."""
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
@@ -65,7 +65,7 @@ def test_join_of_large_groups(spark, bucket, depth, tile, diff_tile, few):
     rows += [(len(rows) + i, " ".join(base)) for i in range(30)]
     rows += [(len(rows) + i, " ".join(passage + [word() for _ in range(100)])) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = as_dict(ngram_jaccard_join.classes(df, id_col="doc_id", text_col="text", bucket=bucket, depth=depth, tile=tile, diff_tile=diff_tile, broadcast_rows=few))
+    got = as_dict(ngram_jaccard_join.classes(df, id_col="doc_id", text_col="text", bucket=bucket, depth=depth, tile=tile, diff_tile=diff_tile, broadcast_rows=few, held_grams=held))
     want = brute_links(rows)
     assert got.keys() == want.keys() and all(got[i] == want[i] for i in want if want[i][1] == 0)
     assert sum(g[1] for g in got.values()) >= 0.999 * sum(w[1] for w in want.values()) and all(got[i][1] <= want[i][1] for i in want)
@@ -406,6 +406,15 @@ def test_vectors_that_take_no_part(spark):
     assert additive_quantization.search(df.limit(0), id_col="vec_id", vector_col="embedding", is_query=lambda i: i % 20 == 0).count() == 0
 
 
+def test_every_row_of_an_id_is_a_candidate(spark):
+    rows = [(1, [5.0, 0.0]), (1, [-5.0, 0.0]), (2, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 1.0]), (2, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in additive_quantization.search(df, id_col="vec_id", vector_col="embedding", is_query=lambda i: i % 20 == 0, levels=2, size=4).collect())
+    first = [(20, 1, 1, 5.0), (20, 2, 2, 1.0), (20, 3, 2, 1.0), (20, 4, 20, 0.0), (20, 5, 1, -5.0)]
+    second = [(20, 1, 1, 0.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0), (20, 4, 2, 0.0), (20, 5, 20, 0.0)]
+    assert got == sorted(first + second)
+
+
 def test_euclidean(spark):
     r = np.random.default_rng(0)
     a = r.normal(size=(200, 8))
@@ -468,6 +477,15 @@ def test_pipeline_stages(spark):
     assert sorted(corpus_pipeline.run(spark, SF).select("doc_id", "piece", "ids_crc32").collect())
 
 
+def test_a_column_of_any_name_stays(spark):
+    """Where ids repeat, rows are numbered in a column of a name that the table has not."""
+    rows = [(7, "one two three four five six", "keep1", "a"), (7, "one two three four five six", "keep2", "b"), (7, "other words that are not the same here", "keep3", "c"), (9, "one two three four five six", "keep4", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string, row string").selectExpr("*", "'x' as _row_", "'i' as id", "'d' as digest")
+    kept = ngram_jaccard_join.without_duplicates(df, id_col="doc_id", text_col="text")
+    assert kept.columns == df.columns and sorted((r["doc_id"], r["text"][:3], r["_row_"]) for r in kept.collect()) == [(7, "one", "x"), (7, "oth", "x")]
+    assert {r["_row"] for r in kept.collect()} <= {"keep1", "keep2", "keep3"} and {(r["_row"], r["row"]) for r in kept.collect()} <= {x[2:] for x in rows}
+
+
 def test_pipeline_of_odd_tables(spark):
     """Extra columns whose names the operators use themselves, null rows, and no row at all."""
     import corpus_pipeline

@@ -1,5 +1,6 @@
 """Operators that judge or encode one row at a time: held against plain versions, with odd rows."""
 
+import time
 import base64
 import hashlib
 import random
@@ -244,6 +245,22 @@ def test_thousands_of_rules_from_a_table(spark):
     assert url_filters.judge(df.limit(0), rules, id_col="page_id", url_col="url").count() == 0
 
 
+def test_a_hundred_thousand_rules(spark):
+    """Filed once a worker, compiled when fetched."""
+    rules = [url_filters.pattern_rule("block", f"||host{i}.example^part{i % 7}^") for i in range(99_999)] + [url_filters.host_rule("allow", "host5.example/")]
+    df = spark.createDataFrame([(i, f"https://www.host{i * 37}.example/part{i * 37 % 7}/x") for i in range(2000)] + [(5000, "http://host5.example/part5"), (5001, "http://HOST6.example/PART6/")], "page_id long, url string").repartition(8)
+    began = time.perf_counter()
+    got = {r["page_id"]: r["verdict"] for r in url_filters.judge(df, rules, id_col="page_id", url_col="url").collect()}
+    assert time.perf_counter() - began < 60
+    assert all(got[i] == "block" for i in range(2000) if i * 37 < 99_999) and got[5000] == "allow" and got[5001] == "block"
+
+
+def test_patterns_take_letters_as_equal():
+    fits = lambda rule, url: bool(url_filters.RuleIndex([rule], {}).fits(*url_filters.address(url)))
+    assert fits(url_filters.pattern_rule("block", "^Login^"), "http://a.b/LOGIN?x") and not fits(url_filters.pattern_rule("block", "^login^"), "http://a.b/login\u00e9")
+    assert fits(url_filters.host_rule("block", "b/En"), "http://A.B/En/x") and not fits(url_filters.host_rule("block", "b/en"), "http://a.b/EN/x")
+
+
 def test_op7(spark):
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in queries.op7_url_filters(spark, SF).collect()}
     rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
@@ -313,6 +330,44 @@ def test_names_drop_only_what_they_name(inner, kept):
     assert html_extraction.main_text(page, None) == f"{ARTICLE_TEXT.strip()} {kept}".strip()
 
 
+@pytest.mark.parametrize(
+    "inner, kept",
+    [
+        ('<ins class="adsbygoogle">ADV</ins>', ""),
+        ('<div class="adsbygoogle">ADV</div>', ""),
+        ('<div class="ad-300x250">ADV</div><div class="adslot_728x90 ad-unit">ADV</div>', ""),
+        ('<div id="ad-container-2">ADV</div>', ""),
+        ('<div id="comments"><p>COM</p></div>', ""),
+        ('<div id="respond"><p>RESP</p></div>', ""),
+        ('<section id="disqus_thread">DQ</section>', ""),
+        ('<ol id="comments-list"><li>COM</ol>', ""),
+        ('<div class="comments discussion">COM</div>', ""),
+        ('<h2 id="comments">On comments</h2><p id="reply">Her reply.</p>', "On comments Her reply."),
+        ('<div id="notice-board">A board.</div><div id="footer">Feet.</div>', "A board. Feet."),
+        ('<section class="discussion"><p>We discuss.</p></section>', "We discuss."),
+        ('<div class="address adult advice">Where.</div>', "Where."),
+        ("<p>Let <math><mi>x</mi><annotation>x</annotation></math> be.</p>", "Let x be."),
+        ('<figure><img src="a"><figcaption>A picture.</figcaption></figure>', "A picture."),
+        ('<div class="share-buttons">SHARE</div><div class="related-posts"><a href="x">MORE</a></div>', ""),
+        ('<div class="newsletter-signup"><form><input></form>JOIN</div>', ""),
+        ("<table><caption>Prices</caption><tr><td>1<td>2</table>", "Prices 1 2"),
+        ('<nav class="toc"><ul><li>TOC</ul></nav><p>Body.</p>', "Body."),
+        ('<div role="complementary">SIDE</div><div role="note">A note.</div>', "A note."),
+    ],
+)
+def test_pages_as_sites_write_them(inner, kept):
+    lead, tail = "The lead says what the rest is about, in a sentence.", "The end of a story that is long enough to be one."
+    page = f'<html><head><title>T</title></head><body><header>SITE</header><nav>MENU</nav><div id="main"><article class="post-12"><h1>Title</h1><p>{lead}</p>{inner}<p>{tail}</p></article><aside>SIDE</aside></div><div id="comments"><p>COM</p></div><footer>FOOT</footer></body></html>'
+    want = " ".join(x for x in ("Title", lead, kept, tail) if x)
+    assert html_extraction.main_text(page, None) == want
+    assert html_extraction.main_text(page, html_extraction.best_containers(page)[0][0]) == want
+
+
+def test_the_best_path_counts_not_one_of_its_elements():
+    page = '<body><div class="nav">MENU</div><div class="post"><p>One part of the text, of some length.</p></div><div class="post"><p>And another part of it, as long.</p></div></body>'
+    assert html_extraction.main_text(page, None) == "One part of the text, of some length. And another part of it, as long."
+
+
 def test_a_name_does_not_drop_nearly_all_of_a_page():
     text = lambda h: html_extraction.main_text(h, None)
     assert text(f'<div class="post-form"><p>{ARTICLE_TEXT}</p></div><p>rest</p>') == ARTICLE_TEXT + "rest"
