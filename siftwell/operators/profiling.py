@@ -167,7 +167,14 @@ def category_column(df: DataFrame, columns: list[str]) -> str | None:
     """Of the text columns with 2 to 50 distinct values that are fewer than a tenth of the rows, the one with most."""
     if not columns:
         return None
-    counts = df.agg(F.count("*").alias("rows"), *[F.countDistinct(f"`{c}`").alias(str(i)) for i, c in enumerate(columns)], *[F.bool_and(F.when(F.col(f"`{c}`").isNotNull(), F.col(f"`{c}`").try_cast("double").isNotNull())).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    # Values are counted by value first, so a shuffled row is a distinct value of a column, however many columns there are.
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(columns)])))
+    values = cells.groupBy("ordinal", "value").agg(F.count("*").alias("n"))
+    v = F.col("value")
+    found = values.groupBy("ordinal").agg(F.sum("n").alias("rows"), F.count(v).alias("u"), F.bool_and(F.when(v.isNotNull(), v.try_cast("double").isNotNull())).alias("numbers")).collect()  # a row a column
+    counts = {"rows": max([r["rows"] for r in found], default=0)} | {str(i): 0 for i in range(len(columns))} | {f"n{i}": None for i in range(len(columns))}
+    for r in found:
+        counts |= {str(r["ordinal"]): r["u"], f"n{r['ordinal']}": r["numbers"]}
     best, most = None, -1
     for i, c in enumerate(columns):
         n = counts[str(i)]

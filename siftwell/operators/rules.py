@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from . import rule_index
 
 OPERATORS = ("gte", "lte", "eq", "in", "regex_match", "not_null")
 NUMERIC = ("gte", "lte")
+#: Rules up to which each is an expression of the plan.
+FEW_RULES = 64
 DETECTED_TYPES = ("address", "categorical", "currency", "date", "email", "numeric_age", "phone", "quantity")
 #: Constructs that only one of the two pattern languages has.
 _FOREIGN_PATTERN = re.compile(r"\(\?\(|\\[phRXGQEHN]|&&|\(\?[aLu]|\(\?-?[imsx]*[aLu]")
@@ -140,7 +143,9 @@ def hits(rules: list[Rule]) -> Column:
 
 def violations(cells: DataFrame, rules: list[Rule]) -> DataFrame:
     """cells: record_id, column_name, column_type, row_index, cleaned_value. One row for each violated rule of a cell, in one
-    pass without a join."""
+    pass without a join: by an expression a rule for a few rules, by an index of each target for many."""
+    if len(rules) > FEW_RULES:
+        return rule_index.violations(cells, rules, _pattern_compiles)
     found = cells.select("record_id", "column_name", "row_index", "cleaned_value", hits(rules).alias("hits"))
     return found.select("record_id", "column_name", "row_index", "cleaned_value", F.explode("hits").alias("hit")).select("hit.rule_id", "record_id", "column_name", "row_index", "cleaned_value", "hit.severity", "hit.action")
 

@@ -10,12 +10,18 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import comoments
+
 # Thresholds of the insights.
 LEAST_R, STRONG_R, MODERATE_R = 0.4, 0.6, 0.3
 IQR_FACTOR, LEAST_VALUES = 1.5, 4
 MONTH_CHANGE, LEAST_MONTH_ROWS = 0.20, 3
 SPIKE_CHANGE, LEAST_MONTH_COUNT = 0.75, 3
 MOST_POINTS = 300
+#: Columns up to which every pair is an expression of its own.
+FEW_COLUMNS = 12
+#: Accuracy of the sketch that brackets a quantile: its ranks are off by one in so many at most.
+ACCURACY = 10_000
 
 
 def _number(c: str) -> Column:
@@ -35,8 +41,14 @@ def strength(r: Column) -> Column:
 
 
 def pairwise(df: DataFrame, columns: list[str]) -> DataFrame:
-    """place, col1, col2, r of all pairs of columns, from one aggregation over the table."""
+    """place, col1, col2, r of all pairs of columns, from one aggregation over the table: an expression a pair for a few columns,
+    matrices by blocks for more, as a plan does not grow with the square of the columns then."""
     pairs = list(combinations(range(len(columns)), 2))
+    if len(columns) > FEW_COLUMNS:
+        names = F.array(*[F.lit(c) for c in columns])
+        n = F.lit(len(columns))
+        place = (F.col("i") * (2 * n - F.col("i") - 1) / 2 + F.col("j") - F.col("i") - 1).cast("int")
+        return comoments.matrix(df, columns).select(place.alias("place"), F.get(names, "i").alias("col1"), F.get(names, "j").alias("col2"), "r")
     if not pairs:
         return df.sparkSession.createDataFrame([], "place int, col1 string, col2 string, r double")
     one = df.agg(*[_correlation(_number(columns[i]), _number(columns[j])).alias(f"r{k}") for k, (i, j) in enumerate(pairs)])
@@ -67,53 +79,64 @@ def long_numbers(df: DataFrame, columns: list[str], row_index: str = "row_index"
     return df.select(F.col(row_index).alias("row_index"), values).where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def quantiles(cells: DataFrame, shares: tuple[float, ...] = (0.25, 0.75), in_memory: int = 2_000_000, bins: int = 2048, few: int = 20_000) -> DataFrame:
+def quantiles(cells: DataFrame, shares: tuple[float, ...] = (0.25, 0.75), in_memory: int = 2_000_000, bins: int = 1000, few: int = 20_000) -> DataFrame:
     """ordinal, n, mean, sd, q (the exact quantiles, linear between neighbours) of the values of each ordinal.
 
     Up to in_memory values the built-in exact percentile does it in one pass. Its state grows with the distinct values, so beyond
-    that the ranks are bracketed instead: a histogram of the bracket, a bounded number of rows, says which bin holds the rank,
-    that bin is the next bracket, and when it holds few values those are read.
+    that the ranks are bracketed: a sketch of all columns and shares in one pass says between which values a rank lies, and
+    is repeated within the brackets until each holds few values besides its ends; these are counted and the rank is picked.
     """
     moments = cells.groupBy("ordinal").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"))
     small = cells.groupBy("ordinal").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", F.array(*[F.lit(x) for x in shares])).alias("q"))
     known = [r.asDict() for r in moments.collect()] if in_memory else []  # a row a column
     if sum(r["n"] for r in known) <= in_memory:
         return small
-    rows = []
+    spark = cells.sparkSession
+    chosen = _selected(cells, known, shares, bins, few)
+    stats = spark.createDataFrame([(r["ordinal"], r["n"], r["mean"], r["sd"]) for r in known], "ordinal int, n bigint, mean double, sd double")
+    q = chosen.groupBy("ordinal").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("q"))
+    return stats.join(F.broadcast(q), "ordinal").select("ordinal", "n", "mean", "sd", F.transform("q", lambda x: x["value"]).alias("q"))  # a row a column
+
+
+def _bracketed(r: dict, bins: int) -> tuple[float, float]:
+    """Values of the sketch's grid that hold both order statistics, whatever the sketch's error is."""
+    slack = r["inside"] / ACCURACY + 1
+    at = lambda rank: rank / r["inside"] * bins
+    low, high = int(at(r["first"] - r["below"] - slack)) - 1, int(at(r["second"] - r["below"] + slack)) + 2
+    return r["grid"][max(0, low)] if low > 0 else r["low"], r["grid"][min(bins, high)] if high < bins else r["high"]
+
+
+def _selected(cells: DataFrame, known: list[dict], shares: tuple[float, ...], bins: int, few: int, most_rounds: int = 60) -> DataFrame:
+    """ordinal, k (of shares), value."""
+    spark = cells.sparkSession
+    targets = []
     for r in known:
-        mine = cells.where(F.col("ordinal") == r["ordinal"]).select("value")
-        rows.append((r["ordinal"], r["n"], r["mean"], r["sd"], [_quantile(mine, r["n"], r["low"], r["high"], x, bins, few) for x in shares]))
-    return cells.sparkSession.createDataFrame(rows, "ordinal int, n bigint, mean double, sd double, q array<double>")
-
-
-def _quantile(values: DataFrame, n: int, low: float, high: float, share: float, bins: int, few: int) -> float:
-    rank = (n - 1) * share
-    first, below, inside = int(rank), 0, n  # the order statistics first and first + 1 are wanted
-    second = min(first + 1, n - 1)
-    while inside > few and low < high:
-        bracket = values.where(F.col("value").between(low, high))
-        place = F.least(F.floor((F.col("value") - low) / F.lit((high - low) / bins)), F.lit(bins - 1)).cast("int")
-        counts = sorted(tuple(x) for x in bracket.groupBy(place.alias("bin")).agg(F.min("value").alias("a"), F.max("value").alias("z"), F.count("*").alias("n")).collect())  # at most bins rows
-        seen, held = below, []
-        for _, a, z, count in counts:
-            if seen + count > first and seen <= second:
-                held.append((a, z, count, seen))
-            seen += count
-        new = held[0][0], held[-1][1]
-        if new == (low, high):
+        for k, share in enumerate(shares):
+            first = int((r["n"] - 1) * share)
+            targets.append({"ordinal": r["ordinal"], "k": k, "part": (r["n"] - 1) * share - first, "first": first, "second": min(first + 1, r["n"] - 1), "low": r["low"], "high": r["high"]})
+    value, schema = F.col("value"), "ordinal int, k int, part double, first bigint, second bigint, low double, high double"
+    for _ in range(most_rounds):
+        wanted = F.broadcast(spark.createDataFrame([tuple(t[c.split()[0]] for c in schema.split(", ")) for t in targets], schema))  # some rows a column
+        inside = value.between(F.col("low"), F.col("high"))
+        grid = F.percentile_approx(F.when(inside, value), F.array(*[F.lit(i / bins) for i in range(bins + 1)]), ACCURACY)
+        met = cells.join(wanted, "ordinal")
+        found = met.groupBy("ordinal", "k").agg(F.count_if(value < F.col("low")).alias("below"), F.count_if(inside).alias("inside"), F.count_if((value > F.col("low")) & (value < F.col("high"))).alias("loose"), grid.alias("grid"))
+        by = {(r["ordinal"], r["k"]): r.asDict() for r in found.collect()}
+        if all(r["loose"] <= few for r in by.values()):
             break
-        low, high, below, inside = *new, held[0][3], sum(x[2] for x in held)
-    if low == high:
-        return float(low)
-    counted = sorted(tuple(x) for x in values.where(F.col("value").between(low, high)).groupBy("value").count().collect())
-    at = below
-    found = {}
-    for value, count in counted:
-        for wanted in (first, second):
-            if at <= wanted < at + count:
-                found[wanted] = value
-        at += count
-    return found[first] + (found[second] - found[first]) * (rank - first)
+        for t in targets:
+            r = by[t["ordinal"], t["k"]]
+            if r["loose"] > few:
+                t["low"], t["high"] = _bracketed(t | r, bins)
+    else:
+        raise RuntimeError(f"no end after {most_rounds} rounds")
+    below = F.broadcast(spark.createDataFrame([(o, k, r["below"]) for (o, k), r in by.items()], "ordinal int, k int, below bigint"))
+    counts = met.where(inside).groupBy("ordinal", "k", "part", "first", "second", "value").agg(F.count("*").alias("n")).join(below, ["ordinal", "k"])
+    upto = Window.partitionBy("ordinal", "k").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)  # few values and two ends
+    ranked = counts.withColumn("end", F.col("below") + F.sum("n").over(upto)).withColumn("start", F.col("end") - F.col("n"))
+    at = lambda rank: F.max(F.when((F.col("start") <= F.col(rank)) & (F.col(rank) < F.col("end")), value))
+    pair = ranked.groupBy("ordinal", "k", "part").agg(at("first").alias("a"), at("second").alias("b"))
+    return pair.select("ordinal", "k", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
 
 
 def anomalies(df: DataFrame, columns: list[str], row_index: str = "row_index") -> DataFrame:

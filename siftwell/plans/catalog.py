@@ -428,6 +428,26 @@ def corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.correlations(priced_lines(spark, sf_dir), _NUMBERS)
 
 
+def _derived(i: int) -> str:
+    """The i-th of many columns, with a gap in every seventh line, in words of both SQLs."""
+    return f"case when l_linenumber % 7 <> {i % 7} then l_quantity * {i + 1} + l_extendedprice / {i + 1} * ((l_orderkey + {i}) % 5) end"
+
+
+_MANY = 64
+_PAIRS = [(i, j) for i in range(_MANY) for j in range(i + 1, _MANY)]
+
+
+@_registered(
+    f"""with v as (select {', '.join(f'{_derived(i)} as x{i}' for i in range(_MANY))} from lineitem), m as (select [{', '.join(f'corr(x{i}, x{j})' for i, j in _PAIRS)}] as r from v)
+    select unnest([{', '.join(f"'x{i}'" for i, _ in _PAIRS)}]) as col1, unnest([{', '.join(f"'x{j}'" for _, j in _PAIRS)}]) as col2, round(unnest(r), 6) as r from m"""
+)
+def corr_of_many_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of 64 columns with gaps, over all lines."""
+    columns = [f"x{i}" for i in range(_MANY)]
+    df = table(spark, sf_dir, "lineitem").selectExpr(*[f"{_derived(i)} as x{i}" for i in range(_MANY)])
+    return statistics.pairwise(df, columns).select("col1", "col2", F.round("r", 6).alias("r"))
+
+
 @_registered(
     """with l as (select *, l_extendedprice * (1 - l_discount) as net from lineitem), h as (select 'l_quantity' as "row", 'l_extendedprice' as "column", round(corr(l_quantity, l_extendedprice), 3) as r from l union all select 'l_quantity', 'net', round(corr(l_quantity, net), 3) from l
       union all select 'l_extendedprice', 'net', round(corr(l_extendedprice, net), 3) from l)

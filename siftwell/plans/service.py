@@ -195,7 +195,17 @@ class Service:
         return {"record_id": record_id, "has_lineage": bool(events), "entries": events}
 
     def correct(self, upload_id: int, record_id: int, value: str) -> dict:
-        return self.store.correct(upload_id, record_id, value)
+        """A human's value for a cell; the applied rules judge it at once."""
+        cell = self.store.correct(upload_id, record_id, value)
+        self.reevaluate(upload_id)
+        return cell
+
+    def correct_many(self, upload_id: int, values: DataFrame) -> int:
+        """values: record_id, corrected_value. As correct, for any number of cells in one step."""
+        self.store.upload(upload_id)
+        n = self.store.correct_many(upload_id, values)
+        self.reevaluate(upload_id)
+        return n
 
     def insights(self, upload_id: int) -> dict:
         text = self.store.upload(upload_id)["insights_json"]
@@ -268,15 +278,32 @@ class Service:
         if unknown := [r for r in rule_ids if r not in own]:
             raise Unprocessable(f"Unknown, inactive or foreign rules: {unknown}.")
         self.store.set_applied(upload_id, rule_ids)
-        self.store.clear_violations(upload_id, sorted(rule_ids))
-        count = 0
-        if rule_ids:
-            found = rules.violations(self.store.cells(upload_id), [own[r] for r in sorted(set(rule_ids))]).persist()
-            count = found.count()
-            if count:
-                self.store.write_violations(upload_id, found, count)
-            found.unpersist()
-        return {"applied_rule_ids": sorted(set(rule_ids)), "violation_count": count}
+        as_of = self.store.version(upload_id)
+        found = rules.violations(self.store.cells(upload_id), [own[r] for r in sorted(set(rule_ids))])
+        return {"applied_rule_ids": sorted(set(rule_ids)), "violation_count": self._judged(upload_id, found, as_of)}
+
+    def _judged(self, upload_id: int, found: DataFrame, as_of: int, records: DataFrame | None = None) -> int:
+        """Violations are written before they are counted and stored, so that rules run once."""
+        path = f"{self.store.root}/work/violations-{upload_id}-{uuid.uuid4().hex}"
+        try:
+            found.write.parquet(path)
+            kept = self.spark.read.schema(found.schema).parquet(path)
+            count = kept.count()
+            self.store.replace_violations(upload_id, kept, count, as_of, records)
+            return count
+        finally:
+            self.store.remove(path)
+
+    def reevaluate(self, upload_id: int) -> int:
+        """Judges the cells that were corrected since the applied rules last saw them, and these only. Returns how many there are."""
+        applied = set(self.applied_rules(upload_id))
+        as_of = self.store.version(upload_id)
+        changed = self.store.changed_since(upload_id, self.store.judged_at(upload_id))
+        n = changed.count() if applied else 0
+        if n:
+            own = [r for r in self.store.rules(upload_id, True) if r.rule_id in applied]
+            self._judged(upload_id, rules.violations(self.store.some_cells(upload_id, changed), own), as_of, changed)
+        return n
 
     def violations(self, upload_id: int, limit: int = MAX_PAGE, offset: int = 0) -> list[dict]:
         """A page of violations in the order they were found; store.violations has all of them as a table."""

@@ -266,6 +266,50 @@ def feedback_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.upsert(_segment_corrections(spark, sf_dir), changes).drop("created_at")
 
 
+def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k.cast("bigint").alias("record_id"), F.lit("price").alias("column_name"), F.lit("currency").alias("column_type"), k.alias("row_index"), two_decimals(F.col("o_totalprice")).alias("cleaned_value"))
+
+
+@_registered(
+    """with r as (select p_partkey as rule_id, p_partkey % 4 as kind, p_retailprice as price, p_size from part),
+    c as (select o_orderkey as record_id, printf('%.2f', o_totalprice) as v, cast(printf('%.2f', o_totalprice) as double) as x from orders),
+    span as (select max(x) as top from c)
+    select cast(rule_id as bigint) as rule_id, cast(record_id as bigint) as record_id from r, c, span where (kind = 0 and x < price) or (kind = 1 and x > top - price) or (kind = 2 and p_size = 1 and not starts_with(v, '1')) or (kind = 3 and p_size = 50 and v not in (printf('%.2f', price), printf('%.2f', price + 1)))"""
+)
+def rules_by_the_thousand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for every part over the prices of all orders: lower and upper bounds, a pattern and values to choose from for some."""
+    cells = _prices(spark, sf_dir)
+    top = cells.agg(F.max(F.col("cleaned_value").cast("double"))).first()[0]
+    made = []
+    for p in table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size").collect():  # the rules of one upload, at most rule_index.MOST
+        price, kind = p["p_retailprice"], p["p_partkey"] % 4
+        op, value = [("gte", price), ("lte", top - price), ("regex_match", "1"), ("in", [f"{price:.2f}", f"{price + 1:.2f}"])][kind]
+        if kind < 2 or p["p_size"] == (1 if kind == 2 else 50):
+            made.append(rules.Rule(p["p_partkey"], 1, "r", "column_name" if kind else "detected_type", "price" if kind else "currency", op, value))
+    return rules.violations(cells, made).select("rule_id", "record_id")
+
+
+@_registered(
+    """with v as (select c_custkey, case when c_custkey % 10 = 3 then case when c_custkey % 20 = 3 then -1.0 else 5000.0 end else cast(printf('%.2f', c_acctbal) as double) end as x from customer)
+    select cast(c_custkey as bigint) as row_index, rule_id from v, (values ('least'), ('most')) r(rule_id) where (rule_id = 'least' and x < 0) or (rule_id = 'most' and x > 9000)"""
+)
+def violations_after_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over the balances of all customers are applied, a tenth of the cells is corrected, and only these are judged anew: what
+    stands is what a judgement of all cells would say."""
+    service = Service(spark, scratch(spark))
+    upload = service.store.create_upload("balances.csv")
+    value = two_decimals(F.col("c_acctbal"))
+    cell = F.struct(value.alias("original_value"), value.alias("cleaned_value"), F.lit(95.0).alias("confidence"), F.lit("m").alias("method"), F.lit("CurrencyAgent").alias("agent_type"), F.lit(False).alias("flagged"), F.lit("{}").alias("details"))
+    service.store.write_cells(upload, table(spark, sf_dir, "customer").select(F.lit(0).alias("ordinal"), F.lit("balance").alias("column_name"), F.lit("currency").alias("column_type"), F.col("c_custkey").cast("bigint").alias("row_index"), cell.alias("cell")))
+    ids = [service.create_rule(upload, name=n, target_kind="column_name", target_value="balance", condition_operator=op, condition_value=v).rule_id for n, op, v in (("least", "gte", 0), ("most", "lte", 9000))]
+    service.apply_rules(upload, ids)
+    cells = service.store.cells(upload)
+    service.correct_many(upload, cells.where("row_index % 10 = 3").select("record_id", F.when(F.col("row_index") % 20 == 3, "-1.0").otherwise("5000.0").alias("corrected_value")))
+    found = service.store.violations(upload).join(cells.select("record_id", "row_index"), "record_id")
+    return found.select("row_index", F.col("rule_name").alias("rule_id"))
+
+
 # Types, routing, narratives.
 
 

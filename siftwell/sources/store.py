@@ -12,7 +12,9 @@ Human corrections are an overlay joined at reading.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,8 @@ SORTABLE = ("record_id", "column_name", "confidence_score", "original_value", "c
 MAX_PAGE = 200
 #: Rows of a file of cells or events; folders of up to FEW_ROWS rows are folded into one when there are more than MOST_SMALL of them.
 FILE_ROWS, FEW_ROWS, MOST_SMALL = 500_000, 10_000, 30
+#: Records that are looked up by themselves.
+_FEW_IDS = 100
 
 
 class StoreError(RuntimeError):
@@ -326,20 +330,46 @@ class Store:
         return row.asDict()
 
     def correct(self, upload_id: int, record_id: int, value: str) -> dict:
-        """A human's value for a cell: laid over the cell and recorded, in one commit, and kept for reuse."""
+        """A human's value for a cell."""
+        self.cell(upload_id, record_id)
+        one = self.spark.range(1).select(F.lit(record_id).cast("bigint").alias("record_id"), F.lit(value).alias("corrected_value"))
+        self._correct(upload_id, self._corrected(upload_id, self._record(upload_id, "cells", record_id)), one, 1)
+        return self.cell(upload_id, record_id)
+
+    def correct_many(self, upload_id: int, values: DataFrame) -> int:
+        """values: record_id, corrected_value, one row a cell, as many as wanted; of cells that are not there nothing is kept. Returns
+        how many were corrected."""
+        n = values.join(self.cells(upload_id), "record_id", "left_semi").count()
+        if n:
+            self._correct(upload_id, self.cells(upload_id), values, n)
+        return n
+
+    def _correct(self, upload_id: int, cells: DataFrame, values: DataFrame, n: int) -> None:
+        """Values are laid over their cells and recorded, in one commit, and kept for reuse."""
         from ..operators import feedback
 
-        cell = self.cell(upload_id, record_id)
-        info = F.to_json(F.struct(F.lit(cell["cleaned_value"]).cast("string").alias("previous_value"), F.lit(value).alias("corrected_value")), {"ignoreNullFields": "false"})
-        one = self.spark.range(1).select(F.lit(record_id).cast("bigint").alias("record_id"))
-        event = one.select("record_id", F.lit("UserFeedback").alias("agent_name"), F.lit("user_correction").alias("action"), info.alias("details"), F.lit(0).alias("place"))
-        over = one.withColumns({"corrected_value": F.lit(value), "corrected_at": F.current_timestamp()})
-        self._append(upload_id, lambda now: [("overlay", "overlay", over.withColumn("place", F.lit(now.version + 1).cast("bigint")), 1), ("audit", "corrections", self._events(event, now.version + 1), 1)])
-        if cell["original_value"] is not None:
-            kind = cell["column_type"] or cell["agent_type"]
-            change = self.spark.createDataFrame([(kind, cell["original_value"], cell["cleaned_value"], value)], "column_type string, original_value string, agent_output string, corrected_value string").withColumn("created_at", F.current_timestamp())
-            self.change("feedback", lambda rows: feedback.upsert(rows, change))
-        return self.cell(upload_id, record_id)
+        path = f"{self.root}/work/corrections-{upload_id}-{uuid.uuid4().hex}"
+        met = cells.join(values.select("record_id", "corrected_value"), "record_id").select("record_id", "original_value", F.coalesce("column_type", "agent_type").alias("kind"), F.col("cleaned_value").alias("before"), "corrected_value", F.current_timestamp().alias("at"))
+        met.write.parquet(path)  # what was there before, as it is now
+        met = self.spark.read.schema(met.schema).parquet(path)
+        try:
+            info = F.to_json(F.struct(F.col("before").alias("previous_value"), "corrected_value"), {"ignoreNullFields": "false"})
+            events = met.select("record_id", F.lit("UserFeedback").alias("agent_name"), F.lit("user_correction").alias("action"), info.alias("details"), F.col("record_id").alias("place"))
+            over = met.select("record_id", "corrected_value", F.col("at").alias("corrected_at"))
+            self._append(upload_id, lambda now: [("overlay", "overlay", over.withColumn("place", F.lit(now.version + 1).cast("bigint")), n), ("audit", "corrections", self._events(events, now.version + 1), n)])
+            kept = met.where("original_value is not null").groupBy(F.col("kind").alias("column_type"), "original_value").agg(F.max_by(F.struct(F.col("before").alias("agent_output"), "corrected_value", F.col("at").alias("created_at")), "record_id").alias("x")).select("column_type", "original_value", "x.*")
+            self.change("feedback", lambda rows: feedback.upsert(rows, kept))
+        finally:
+            self.remove(path)
+
+    def some_cells(self, upload_id: int, records: DataFrame) -> DataFrame:
+        """The cells whose record_id is in records; of a few, from the files that can hold them."""
+        ids = [r[0] for r in records.select("record_id").distinct().limit(_FEW_IDS + 1).collect()]
+        if len(ids) > _FEW_IDS:
+            return self.cells(upload_id).join(records.select("record_id").distinct(), "record_id", "left_semi")
+        hit = reduce(lambda a, i: a | ((F.col("low") <= i) & (F.col("high") >= i)), ids, F.lit(False))
+        paths = [r["file"] for r in self.zones(upload_id, "cells").where(hit).collect()]
+        return self._corrected(upload_id, self._read(upload_id, "cells", paths).where(F.col("record_id").isin(ids)))
 
     def version(self, upload_id: int) -> int:
         """The number of the upload's latest commit."""
@@ -421,14 +451,37 @@ class Store:
                 gone = gone & F.col("own").isNotNull()
             left = rows.where(~gone).drop("own").select("record_id", "agent_name", "action", "details", "timestamp", *EVENT_ORDER)
             part = self._write(history, "audit", "violations", left, sum(p["rows"] for p in parts))
-            return [part], [p["folder"] for p in parts]
+            return [part | {"as_of": max(p.get("as_of", 0) for p in parts)}], [p["folder"] for p in parts]
 
         history.change(write)
 
-    def write_violations(self, upload_id: int, found: DataFrame, n: int) -> None:
-        """found: rows of operators.rules.violations, n of them. Their order is record_id, then rule_id."""
+    @staticmethod
+    def _violation_events(found: DataFrame) -> DataFrame:
+        """Their order is record_id, then rule_id."""
         info = F.to_json(F.struct("rule_id", "severity", "action", F.col("column_name").alias("column")))
-        self.write_audit(upload_id, found.select("record_id", F.lit("RuleEngine").alias("agent_name"), F.lit("rule_violation").alias("action"), info.alias("details"), F.col("record_id").alias("place"), F.col("rule_id").alias("step")), "violations", n)
+        return found.select("record_id", F.lit("RuleEngine").alias("agent_name"), F.lit("rule_violation").alias("action"), info.alias("details"), F.col("record_id").alias("place"), F.col("rule_id").alias("step"))
+
+    def write_violations(self, upload_id: int, found: DataFrame, n: int) -> None:
+        """found: rows of operators.rules.violations, n of them, beside those that are there."""
+        self.write_audit(upload_id, self._violation_events(found), "violations", n)
+
+    def replace_violations(self, upload_id: int, found: DataFrame, n: int, as_of: int, records: DataFrame | None = None) -> None:
+        """found in place of all violations, or of those of some records; they hold for the cells as they were at the commit as_of."""
+        history = self._of(upload_id)
+
+        def write(now: Snapshot):
+            parts = [p for p in now.parts if p["kind"] == "violations"]
+            rows, size = self._events(self._violation_events(found), now.version + 1), n
+            if records is not None and parts:
+                old = self._read(upload_id, "audit", [f"{history.path}/{p['folder']}/files" for p in parts]).drop("upload_id")
+                rows, size = rows.unionByName(old.join(records.select("record_id"), "record_id", "left_anti")), n + sum(p["rows"] for p in parts)
+            return [self._write(history, "audit", "violations", rows, size) | {"as_of": as_of}], [p["folder"] for p in parts]
+
+        history.change(write)
+
+    def judged_at(self, upload_id: int) -> int:
+        """The commit up to which the rules have seen the cells."""
+        return max([p.get("as_of", 0) for p in self._of(upload_id).snapshot().parts if p["kind"] == "violations"], default=0)
 
     def _violating(self, upload_id: int) -> DataFrame:
         return self._whole(upload_id, "audit", "violations")

@@ -1,7 +1,10 @@
 """The truth table of the operators, validation and violations."""
 
+import random
+
 import pytest
 
+from siftwell.operators import rule_index, rules
 from siftwell.operators.rules import Rule, validate, violations
 
 
@@ -14,6 +17,26 @@ def broken(spark, rules, values, column_type=None):
     return sorted((r["rule_id"], r["row_index"]) for r in violations(cells, rules).collect())
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_many_rules_are_judged_as_a_few(spark, monkeypatch, seed):
+    """The index against an expression a rule: all operators, two kinds of targets, odd values."""
+    r = random.Random(seed)
+    made = []
+    for i in range(120):
+        op = r.choice(["gte", "lte", "eq", "in", "regex_match", "not_null"])
+        value = {"gte": r.choice([r.randint(-5, 30), 7.5]), "lte": r.randint(-5, 30), "eq": r.choice([5, "a", "None", 5.0, True]), "in": r.choice([[], ["a", 5], ["", "None"], ["7"]]), "regex_match": r.choice(["a", "[0-9]+$", "(", "(?P<x>a)(?P=x)", "", "N", "(?i)A", r"\\d{2}"]), "not_null": None}[op]
+        made.append(rule(op, value, *r.choice([("column_name", "v"), ("column_name", "w"), ("detected_type", "currency"), ("detected_type", "date")]), i=i, is_active=r.random() < 0.9, severity=r.choice(["low", "high"])))
+    values = ["10", "7", "7.5", "5", "5.0", "a", "aa", "A", "abc", None, "", "  ", "NaN", "-3", "1e1", "None", "True", "inf", "29", "٣٣"]
+    cells = spark.createDataFrame([(i, c, t, i, v) for i, v in enumerate(values) for c, t in (("v", "currency"), ("w", None), ("x", "date"), ("x", None))], "record_id bigint, column_name string, column_type string, row_index bigint, cleaned_value string")
+    found = lambda: sorted(map(repr, violations(cells, made).collect()))
+    many = found()
+    monkeypatch.setattr(rules, "FEW_RULES", 1000)
+    assert many == found() and len(many) > 1000
+    monkeypatch.setattr(rules, "FEW_RULES", 1)
+    monkeypatch.setattr(rule_index, "PIECE", 10)
+    assert many == found()
+
+
 def rows(found):
     return [r for _, r in found]
 

@@ -240,6 +240,20 @@ def test_many_small_writes_are_folded(service, spark, monkeypatch):
     assert [s.create_upload(f"{i}.csv") for i in range(5)] == [2, 3, 4, 5, 6] and len(s._history("uploads").snapshot().parts) <= 3
 
 
+def test_corrections_are_judged_at_once(service, spark):
+    """Only corrected cells are judged anew; the rest of the violations stays as it was."""
+    upload = service.ingest(CSV, "a.csv")["upload_id"]
+    rule = service.create_rule(upload, name="big", target_kind="column_name", target_value="order_amount", condition_operator="gte", condition_value=100)
+    assert service.apply_rules(upload, [rule.rule_id])["violation_count"] == 2 and service.reevaluate(upload) == 0
+    low, good, bad = sorted(service.cells(upload, "order_amount")["items"], key=lambda r: r["row_index"])
+    service.correct(upload, low["record_id"], "500")
+    assert [v["record_id"] for v in service.violations(upload)] == [bad["record_id"]]
+    values = spark.createDataFrame([(good["record_id"], "5"), (bad["record_id"], "100"), (10**9, "7")], "record_id bigint, corrected_value string")
+    assert service.correct_many(upload, values) == 2 and [v["record_id"] for v in service.violations(upload)] == [good["record_id"]]
+    assert [json.loads(e["details"])["corrected_value"] for e in service.lineage(upload, good["record_id"])["entries"] if e["action"] == "user_correction"] == ["5"]
+    assert service.apply_rules(upload, [rule.rule_id])["violation_count"] == 1 and service.reevaluate(upload) == 0
+
+
 def test_large_record_numbers(service, spark):
     """Violations of the largest numbers are written, in order of record, then rule."""
     s, upload = service.store, service.store.create_upload("a.csv")

@@ -2,6 +2,10 @@
 
 import random
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
 from siftwell.operators import narratives, statistics
 from siftwell.plans import insights
 
@@ -101,3 +105,38 @@ def test_quantiles_by_brackets_equal_the_built_in_ones(spark):
     for few in (10, 500):
         got = {x["ordinal"]: x["q"] for x in statistics.quantiles(cells, in_memory=1, bins=16, few=few).collect()}
         assert got.keys() == exact.keys() and all(abs(a - b) <= 1e-9 * max(1, abs(a)) for k in exact for a, b in zip(got[k], exact[k]))
+
+
+def test_quantiles_of_many_columns_take_few_jobs(spark, monkeypatch):
+    """200 columns, two shares: equal to the exact percentile, in four jobs at most."""
+    df = spark.range(4000).select(*[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(10 ** (1 + i % 6))) / F.lit(1.0 + i)).alias(f"v{i}") for i in range(200)])
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.col(f"v{i}").alias("value")) for i in range(200)])))
+    exact = {x["ordinal"]: x["q"] for x in statistics.quantiles(cells).collect()}
+    kind, actions = type(cells), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: actions.append(1) or collect(self))
+    got = {x["ordinal"]: x["q"] for x in statistics.quantiles(cells, in_memory=1, few=500).collect()}
+    assert got.keys() == exact.keys() and all(abs(a - b) <= 1e-12 * max(1, abs(b)) for o in exact for a, b in zip(got[o], exact[o]))
+    assert len(actions) <= 4  # the one of the result is among them
+
+
+def test_correlations_of_many_columns(spark):
+    """70 columns with gaps, copies and constants, far from zero: as an expression a pair has them."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(900, 70)) + 0.7 * r.normal(size=(900, 1)) * (np.arange(70) % 3 == 0) + 1e6
+    x[:, 5] = 3.25
+    x[:, 7] = -2 * x[:, 6]
+    x[r.random(x.shape) < 0.1] = np.nan
+    x[:, 9] = np.nan
+    x[:, 11] = np.where(np.isnan(x[:, 10]), r.normal(size=900), 8.5)  # constant wherever column 10 is there
+    columns = [f"c.{i}" for i in range(70)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=columns)).repartition(5)
+    got = {(p["col1"], p["col2"]): p["r"] for p in statistics.pairwise(df, columns).collect()}
+    assert len(got) == 70 * 69 // 2 and [p["place"] for p in statistics.pairwise(df, columns).orderBy("place").limit(80).collect()] == list(range(80))
+    for i in range(70):
+        for j in range(i + 1, 70):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            a, b = x[both, i], x[both, j]
+            want = None if len(a) < 2 or a.min() == a.max() or b.min() == b.max() else np.corrcoef(a, b)[0, 1]
+            have = got[columns[i], columns[j]]
+            assert (have is None) == (want is None) and (want is None or abs(have - want) < 1e-9), (i, j)
