@@ -15,6 +15,8 @@ from ..functions.text import contains_any, strip
 from . import addresses, quantities
 
 SAMPLE = 50
+#: Numbers of first rows in which the sample is looked for before the whole table is.
+FIRST_ROWS = (1_000, 1_000_000)
 # The thresholds of type detection.
 LEAST_RATE, LEAST_SCORE, HEADER_BONUS = 0.30, 0.50, 0.15
 MOST_CATEGORIES, MOST_CATEGORY_RATIO = 50, 0.2
@@ -110,8 +112,18 @@ def decide(header: str, row: dict | None) -> ColumnType:
 
 
 def detect(df: DataFrame, columns: list[str], row_index: str = "row_index") -> list[ColumnType]:
-    """The type of every column; one row a column comes to the driver."""
-    rows = {r["ordinal"]: r.asDict() for r in match_rates(unpivot(df, columns, row_index)).collect()}
+    """The type of every column; one row a column comes to the driver. The first values are looked for among the first rows, then
+    among more, and in the whole table only for the columns that still lack some: files and parts of files that hold none of
+    these rows are passed over by what their footers say."""
+    rows: dict[int, dict] = {}
+    open_ = list(range(len(columns)))
+    for bound in (*FIRST_ROWS, None):
+        if not open_:
+            break
+        part = df if bound is None else df.where(F.col(row_index) < bound)
+        found = {open_[r["ordinal"]]: r.asDict() for r in match_rates(unpivot(part, [columns[i] for i in open_], row_index)).collect()}
+        rows |= found
+        open_ = [i for i in open_ if i not in found or found[i]["sample_size"] < SAMPLE]
     return [decide(c, rows.get(i)) for i, c in enumerate(columns)]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import logging
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,10 +39,12 @@ class Service:
 
     # Uploads.
 
-    def ingest(self, raw: bytes, filename: str) -> dict:
-        """Validates, routes, cleans, stores and analyses one file."""
+    def ingest(self, raw: bytes, filename: str, begun: Callable[[int], None] | None = None) -> dict:
+        """Validates, routes, cleans, stores and analyses one file. begun is told the upload's number before anything is stored of it."""
         loaded = uploads.load(raw, filename, self.max_bytes, self.extensions)
         upload_id = self.store.create_upload(filename, len(loaded.rows))
+        if begun is not None:
+            begun(upload_id)
         try:
             df = loaded.frame(self.spark, cleaning.internal(loaded.columns))
             self.spark.createDataFrame([(bytearray(raw),)], "content binary").coalesce(1).write.mode("overwrite").parquet(self._original(upload_id))
@@ -53,12 +56,14 @@ class Service:
             self.store.set_status(upload_id, "failed")
             raise
 
-    def ingest_folder(self, path: str, columns: list[str] | None = None, *, refuse: bool = True) -> dict:
+    def ingest_folder(self, path: str, columns: list[str] | None = None, *, refuse: bool = True, begun: Callable[[int], None] | None = None) -> dict:
         """Cleans and stores all CSV files of a folder as one upload of any size: Spark reads them, each by its own header, and no
         row comes to the driver. columns: those that are wanted, else all that any file has. Rows are numbered by file and place.
         With refuse, the first file or row that cannot be read fails the upload; without, such rows are left out and kept for
         ``refused``."""
         upload_id = self.store.create_upload(path)
+        if begun is not None:
+            begun(upload_id)
         work = f"{self.store.root}/work/upload_id={upload_id}"
         try:
             found = csv_folder.read(self.spark, path, work, columns, extensions=self.extensions, no_value=[""])

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import cells_of
 from ..functions.text import two_decimals
-from ..operators import addresses, contacts, dates, feedback, narratives, profiling, quantities, rules, statistics
-from ..sources import csv_folder, export
+from ..operators import addresses, contacts, dates, feedback, gazetteer, narratives, profiling, quantities, rules, statistics
+from ..sources import csv_folder, export, uploads
 from ..sources.decisions import DecisionLog
 from ..sources.store import NotFound
 from . import cleaning
@@ -27,13 +27,16 @@ _services: dict[tuple[str, str], Service] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that the driver and the executors share."""
+    """A new folder that the driver and the executors share, removed when the driver's JVM ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="siftwell-store-")
-    return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def served(spark: SparkSession, sf_dir: str) -> Service:
@@ -86,6 +89,14 @@ def _what():
     return F.coalesce(*[F.get_json_object("details", f"$.{x}") for x in ("method", "severity", "corrected_value")]).alias("what")
 
 
+@_registered(_STORED + "select 'cells' as what, count(*) as n from cells union all select 'events', count(*) from events union all select 'violations', count(*) from violated")
+def orders_cleaned_and_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the other queries read, made anew: typing, cleaning, storing, insights, a correction and rules."""
+    store = _set_up(spark, sf_dir).store
+    count = lambda what, rows: rows.agg(F.lit(what).alias("what"), F.count("*").alias("n"))
+    return count("cells", store.cells(UPLOAD)).unionByName(count("events", store.audit(UPLOAD))).unionByName(count("violations", store.violations(UPLOAD)))
+
+
 # Reading.
 
 
@@ -445,6 +456,32 @@ def address_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells_of(df, F.col("raw"), addresses.cleaner(F.col("resolved"), True)).select("c_custkey", *flat(), F.col("cell.details").alias("details"))
 
 
+_WORD = "[A-Za-z\u00e0-\u00ff]{8,}"
+
+
+@_registered(
+    f"""with words as (select distinct unnest(regexp_extract_all(lower(text), '{_WORD}')) as name from documents),
+    outers as (select distinct left(name, 6) as name from words),
+    d as (select doc_id, lower(text) as t from documents),
+    chosen as (select doc_id, t, min(md5(o.name) || o.name) as o from d join outers o on contains(t, o.name) group by doc_id, t),
+    parts as (select c.doc_id, min(md5(w.name) || w.name) as w from chosen c join words w on left(w.name, 6) = substr(c.o, 33) and contains(c.t, w.name) group by c.doc_id)
+    select d.doc_id, substr(c.o, 33) as outer_name, substr(p.w, 33) as inner_name from d left join chosen c using (doc_id) left join parts p using (doc_id)"""
+)
+def places_of_a_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gazetteer of all long words of the documents under their first letters, looked up in all documents: the first in order of the
+    outer names that a text holds, then the first of its own."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({_WORD})"))).alias("name")).distinct()
+    path = scratch(spark)
+    both = words.select("name", F.substring("name", 1, 6).alias("outer")).unionByName(words.select(F.substring("name", 1, 6).alias("name"), F.lit(None).cast("string").alias("outer")).distinct())
+    key = lambda level, name: F.xxhash64(F.lit(level), name)
+    of = F.col("outer")
+    order = F.conv(F.substring(F.md5(F.col("name").cast("binary")), 1, 15), 16, 10).cast("bigint")  # the first sixty bits
+    both.select(key(of.isNotNull(), F.col("name")).alias("id"), "name", F.when(of.isNotNull(), key(F.lit(False), of)).alias("outer_id"), order.alias("rank")).write.parquet(path)
+    found = gazetteer.places(docs, "text", spark.read.parquet(path))
+    return found.select("doc_id", F.col("place.outer").alias("outer_name"), F.col("place.inner").alias("inner_name"))
+
+
 # Files and the service's edges.
 
 
@@ -460,6 +497,16 @@ def folder_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.where(F.col("value").isNull() | whole).groupBy(F.col("value").isNull().alias("missing")).agg(F.count("*").alias("n"), F.countDistinct("key").alias("n_keys"))
 
 
+@_registered(
+    """select cast(c_custkey as bigint) as row_index, cast(c_custkey as varchar) as whole, case when c_custkey % 3 > 0 then cast(c_nationkey as varchar) || '.0' end as gaps, case when c_custkey % 2 = 0 then 'x' else '0' || c_custkey end as text, cast(c_custkey as varchar) || '.5' as decimals from customer where c_custkey > 0"""
+)
+def canonical_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells as a table with inferred types prints them: leading zeros go, whole numbers beside blanks or decimals gain a decimal."""
+    k = F.col("c_custkey")
+    df = table(spark, sf_dir, "customer").where("c_custkey > 0").select(k.cast("bigint").alias("row_index"), F.concat(F.lit("00"), k).alias("whole"), F.when(k % 3 > 0, F.concat(F.lit(" "), "c_nationkey")).alias("gaps"), F.when(k % 2 == 0, "x").otherwise(F.concat(F.lit("0"), k)).alias("text"), F.concat(k, F.lit(".50")).alias("decimals"))
+    return uploads.canonical(df, ["whole", "gaps", "text", "decimals"])
+
+
 @_registered(
     """select cast(c_custkey as varchar) as key, case when c_custkey % 3 <> 2 then c_name || chr(10) || 'said "' || c_mktsegment || '", twice' else c_name end as name, cast(c_nationkey as varchar) as nation, cast(null as varchar) as error, cast(1 as bigint) as n from customer where c_custkey % 50 <> 5 or c_custkey % 3 <> 2
     union all select null, null, null, 'CSVParseError', count(*) from customer where c_custkey % 50 = 5 and c_custkey % 3 = 2 having count(*) > 0"""

@@ -26,6 +26,7 @@ SMALL = {
     "uploads": "upload_id bigint, filename string, uploaded_at timestamp, row_count bigint, status string, insights_json string, record_base bigint",
     "feedback": "feedback_id bigint, column_type string, original_value string, agent_output string, corrected_value string, created_at timestamp",
     "rules": "rule_id bigint, upload_id bigint, name string, target_kind string, target_value string, condition_operator string, condition_value string, action string, severity string, is_active boolean, created_at timestamp",
+    "inbox": "inbox_id bigint, path string, modified timestamp, upload_id bigint, taken_at timestamp",
     "applied": "applied_id bigint, upload_id bigint, rule_id bigint, applied_at timestamp",
 }
 CELLS = "record_id bigint, column_name string, row_index bigint, original_value string, cleaned_value string, confidence_score double, agent_type string, column_type string, created_at timestamp, upload_id bigint"

@@ -31,6 +31,27 @@ OUTLIERS, AMBIGUOUS_SHARE = 5, 0.015
 COLUMNS = "customer_id name email phone signup_date order_date address order_amount currency_hint customer_age category customer_segment".split()
 
 
+#: Customers whose orders of a day are numbered in one task, and row numbers that a manifest lists.
+CUSTOMERS_A_BLOCK, MOST_LISTED = 50_000, 10_000
+
+
+def kth_smallest(rows: DataFrame, column: str, k: int) -> int | None:
+    """The k-th smallest 64-bit number of a column, or the largest if there are fewer: sixteen bits at a time, from counts."""
+    low, skipped, found = -(1 << 63), 0, None
+    for shift in (48, 32, 16, 0):
+        part = rows.where(F.col(column).between(F.lit(low), F.lit(low + (1 << (shift + 16)) - 1)))
+        digit = F.floor((F.col(column).cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(1 << shift).cast("decimal(20,0)")).cast("int")
+        counts = sorted(tuple(r) for r in part.groupBy(digit.alias("digit")).count().collect())  # at most 65,536 rows
+        if not counts:
+            return None
+        for found, n in counts:
+            if skipped + n >= k:
+                break
+            skipped += n
+        low += found << shift
+    return low
+
+
 class Dice:
     def __init__(self, seed: int):
         self.seed = seed
@@ -106,16 +127,23 @@ def generate(spark: SparkSession, n_customers: int = 500, seed: int = 42) -> tup
     d = Dice(seed)
     rows = orders(customers(spark, n_customers, seed), seed)
     k = "row_index"
-    # Rows are numbered day by day: a day's first number is the count of all rows of earlier days, of which there are some hundreds.
-    days = rows.groupBy("order_date_true").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("order_date_true")) - F.col("n"))
-    within = Window.partitionBy("order_date_true").orderBy("customer_id", "order_no")
-    rows = rows.join(F.broadcast(days.select("order_date_true", "base")), "order_date_true").withColumn(k, (F.col("base") + F.row_number().over(within) - 1).cast("int")).drop("base")
+    # Rows are numbered day by day, and within a day by blocks of customers: a block's first number is the count of all rows of
+    # earlier days and blocks. No task holds more than a block of a day.
+    rows = rows.withColumn("block", F.floor(F.col("customer_id") / F.lit(CUSTOMERS_A_BLOCK)).cast("int"))
+    counts = rows.groupBy("order_date_true", "block").agg(F.count("*").alias("n"))
+    days = counts.groupBy("order_date_true").agg(F.sum("n").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("order_date_true")) - F.col("n")).drop("n")  # some hundreds
+    earlier = F.sum("n").over(Window.partitionBy("order_date_true").orderBy("block")) - F.col("n")
+    bases = counts.withColumn("earlier", earlier).join(F.broadcast(days), "order_date_true").select("order_date_true", "block", (F.col("before") + F.col("earlier")).alias("base"))
+    within = Window.partitionBy("order_date_true", "block").orderBy("customer_id", "order_no")
+    rows = rows.join(bases, ["order_date_true", "block"]).withColumn(k, (F.col("base") + F.row_number().over(within) - 1).cast("int")).drop("base", "block")
     lot = lambda purpose: F.xxhash64(F.lit(seed), F.lit(purpose), F.col(k))
     odd = rows.select(k).orderBy(lot("outlier"), k).limit(OUTLIERS)
     # The ambiguous rows are those with the smallest lots; a lot is as good as unique, so its bound says which.
     early = F.dayofmonth("order_date_true") <= 12
     wanted = max(3, round(rows.count() * AMBIGUOUS_SHARE))
-    bound = rows.where(early).select(lot("vague").alias("lot")).orderBy("lot").limit(wanted).agg(F.max("lot")).scalar()
+    lots = rows.where(early).select(lot("vague").alias("lot")).persist()
+    bound = F.lit(kth_smallest(lots, "lot", wanted))
+    lots.unpersist()
     rows = rows.join(F.broadcast(odd.withColumn("is_outlier", F.lit(True))), k, "left").withColumns({"is_outlier": F.coalesce("is_outlier", F.lit(False)), "is_ambiguous": early & (lot("vague") <= bound)})
     rows = rows.withColumn("order_amount_true", F.round(F.when(F.col("is_outlier"), F.col("amount_true") * (8 + 10 * d.share("factor", k))).otherwise(F.col("amount_true")), 2)).persist()
 
@@ -151,7 +179,8 @@ def generate(spark: SparkSession, n_customers: int = 500, seed: int = 42) -> tup
         F.col("district").alias("district_true"), F.lit(COUNTRY).alias("country_true"), "order_amount_true", F.col("age_true").alias("customer_age_true"),
     )
     spike = rows.where(F.col("category") == CATEGORIES[0]).groupBy(F.date_format("order_date_true", "yyyy-MM").alias("m")).count().groupBy().agg(F.avg(F.when(F.col("m") != SPIKE_MONTH, F.col("count"))).alias("a"), F.max(F.when(F.col("m") == SPIKE_MONTH, F.col("count"))).alias("b")).first()
-    listed = lambda c: sorted(r[0] for r in rows.where(c).select(k).collect())  # noqa: E731  a few rows of one generated data set
+    # Rows are listed while they are few; of more the truth table tells which they are.
+    listed = lambda c: sorted(r[0] for r in rows.where(c).select(k).collect()) if rows.where(c).limit(MOST_LISTED + 1).count() <= MOST_LISTED else rows.where(c).count()
     manifest = {
         "seed": seed, "n_customers": n_customers, "n_orders": rows.count(), "sql_injection_rows": listed("payload is not null"), "ambiguous_date_rows": listed("is_ambiguous"), "outlier_rows": listed("is_outlier"),
         "seasonal_anomaly": {"category": CATEGORIES[0], "month": SPIKE_MONTH, "normal_avg_monthly_count": round(spike["a"], 1), "spike_month_count": spike["b"], "spike_multiplier": round(spike["b"] / spike["a"], 2)},

@@ -1,7 +1,10 @@
 """The registered queries, synthetic data and the inbox."""
 
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from siftwell.plans import catalog
@@ -40,6 +43,64 @@ def test_synthetic_data(spark):
     assert m["age_amount_correlation"]["pearson_r"] > 0.2
 
 
+def test_facts_of_synthetic_data(spark):
+    """What must hold of the orders and their ground truth, whatever the seed's numbers are."""
+    n = 300
+    dirty, truth, m = synthetic.generate(spark, n)
+    people = synthetic.customers(spark, n)
+    pairs = truth.join(people.select("customer_id", "age_true", "segment"), "customer_id")
+    facts = pairs.agg(
+        F.count("*").alias("rows"), F.bool_and(F.col("age_true").between(18, 75)).alias("ages"), (F.countDistinct("segment") == 4).alias("segments"), F.bool_and(F.col("order_amount_true") >= 8).alias("amounts"),
+        F.bool_and((F.col("order_date_true") >= F.greatest("signup_date_true", F.lit("2025-01-07"))) | F.col("order_date_true").startswith(synthetic.SPIKE_MONTH)).alias("within"), (F.countDistinct("row_index") == F.max("row_index") + 1).alias("numbered"),
+    ).first()
+    assert people.count() == n and facts["rows"] == m["n_orders"] == dirty.count() and all(facts[x] for x in ("ages", "segments", "amounts", "within", "numbered"))
+    assert abs(len(m["ambiguous_date_rows"]) / m["n_orders"] - 0.015) < 0.001 and 2.4 < m["seasonal_anomaly"]["spike_multiplier"] < 3.1 and len(m["segment_pattern"]) == 4
+
+
+def test_blocks_of_customers_number_rows_alike(spark, monkeypatch):
+    whole = {(r["row_index"], r["customer_id"], r["order_date"]) for r in synthetic.generate(spark, 60)[0].collect()}
+    monkeypatch.setattr(synthetic, "CUSTOMERS_A_BLOCK", 7)
+    monkeypatch.setattr(synthetic, "MOST_LISTED", 1)
+    dirty, _, m = synthetic.generate(spark, 60)
+    assert {(r["row_index"], r["customer_id"], r["order_date"]) for r in dirty.collect()} == whole and m["outlier_rows"] == 5
+
+
+def test_the_kth_smallest(spark):
+    r = random.Random(2)
+    values = [r.randrange(-(1 << 63), 1 << 63) for _ in range(200)] + [5] * 30 + [-(1 << 63), (1 << 63) - 1]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    for k in (1, 2, 100, 115, 130, 231, 232, 500):
+        assert synthetic.kth_smallest(df, "v", k) == sorted(values)[min(k, len(values)) - 1]
+    assert synthetic.kth_smallest(df.limit(0), "v", 3) is None
+
+
+def test_an_inbox_batch_that_is_run_again(spark, tmp_path):
+    """The stream fails after its first file is stored and half-way through its second; run again it takes each once."""
+    from siftwell.plans.service import Service
+    from siftwell.streaming import inbox
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name in ("a", "b"):
+        (folder / f"{name}.csv").write_bytes(b"order_date\n2024-01-01\n")
+    service = Service(spark, f"file://{tmp_path}/store", max_bytes=1000)
+    (folder / "large.csv").write_bytes(b"order_date\n" + b"2024-01-02\n" * 200)
+    clean, calls = service.clean, []
+
+    def broken(upload_id, df, columns):
+        calls.append(upload_id)
+        if len(calls) == 2:
+            raise RuntimeError("gone")
+        return clean(upload_id, df, columns)
+
+    service.clean = broken
+    with pytest.raises(Exception):
+        inbox.watch(service, str(folder), str(tmp_path / "checkpoint")).awaitTermination(120)
+    inbox.watch(service, str(folder), str(tmp_path / "checkpoint")).awaitTermination(240)
+    done = service.uploads()
+    assert sorted(u["filename"].rsplit("/", 1)[-1] for u in done) == ["a.csv", "b.csv", "large.csv"] and {u["status"] for u in done} == {"completed"} and sorted(u["row_count"] for u in done) == [1, 1, 200]
+
+
 def test_inbox(spark, tmp_path):
     from siftwell.plans.service import Service
     from siftwell.streaming import inbox

@@ -140,3 +140,16 @@ def test_correlations_of_many_columns(spark):
             want = None if len(a) < 2 or a.min() == a.max() or b.min() == b.max() else np.corrcoef(a, b)[0, 1]
             have = got[columns[i], columns[j]]
             assert (have is None) == (want is None) and (want is None or abs(have - want) < 1e-9), (i, j)
+
+
+def test_narratives_by_what_the_model_said():
+    class Fixed:
+        def __init__(self, answer):
+            self.answer = answer
+
+        def extract_structured(self, **_):
+            return self.answer
+
+    answers = [None, Fixed(None), Fixed({"text": "It rose by 90%."}), Fixed({"text": "It rose by 71%."})]
+    said = [narratives.narrate({"metric": "trend", "r": 0.71}, "template", a) for a in answers]
+    assert [tuple(x) for x in said] == [("template", "template_fallback_no_llm"), ("template", "template_fallback_llm_unavailable"), ("template", "template_fallback_hallucination_guard"), ("It rose by 71%.", "llm_generated")]
