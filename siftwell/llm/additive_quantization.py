@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 from .common import map_batches, materialise
 
 
-#: Queries whose lookup tables a task holds at a time: levels x size x 4 bytes each.
-QUERIES_AT_ONCE = 256
+#: Queries whose lookup tables a task holds at a time: levels x size x 4 bytes each, and 4 bytes a code of the block.
+QUERIES_AT_ONCE = 64
+#: Codes whose sums are taken at a time, so that they stay near the processor.
+CODES_AT_ONCE = 4096
 #: Bytes of a component, and of an id or a count, by which tables are bounded.
 _WIDE = 9
 
@@ -198,11 +200,16 @@ def search(
             norms = right["norm"].to_numpy()[order] * np.float32(-0.5 if measure == "euclidean" else 0)
             for at in range(0, len(left), QUERIES_AT_ONCE):
                 part = left.iloc[at : at + QUERIES_AT_ONCE]
-                tables = _matrix(part["v"].tolist()) @ b.words.reshape(-1, b.words.shape[2]).T
-                for query, table in zip(part["query"], tables):
-                    guess = norms + table[flat[0]]
-                    for level in flat[1:]:
-                        guess += table[level]
+                # A word's line of the tables has its products with all queries at hand, so a code's sum is taken for all of them at once.
+                tables = b.words.reshape(-1, b.words.shape[2]) @ _matrix(part["v"].tolist()).T
+                guesses = np.empty((len(part), len(keys)), np.float32)
+                for lo in range(0, len(keys), CODES_AT_ONCE):
+                    piece = slice(lo, lo + CODES_AT_ONCE)
+                    total = norms[piece, None] + tables[flat[0, piece]]
+                    for level in flat[1:, piece]:
+                        total += tables[level]
+                    guesses[:, piece] = total.T
+                for query, guess in zip(part["query"], guesses):
                     best = np.flatnonzero(guess >= np.partition(guess, len(guess) - keep)[len(guess) - keep])
                     out["query"].append(np.full(len(best), query))
                     out["key"].append(keys[best])
