@@ -11,7 +11,7 @@ from siftwell.plans import catalog
 from siftwell.sources import synthetic
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
 
 def same(value):
