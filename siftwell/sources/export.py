@@ -22,7 +22,7 @@ def cleaned_table(raw: DataFrame, cells: DataFrame, columns: list[str], cleaned:
 
 def write_csv(table: DataFrame, path: str) -> None:
     """Range-ordered part files with a header; nulls are empty fields."""
-    table.drop("row_index").write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", nullValue="")
+    table.drop("row_index").write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def download_name(filename: str) -> str:

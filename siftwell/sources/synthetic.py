@@ -33,6 +33,8 @@ COLUMNS = "customer_id name email phone signup_date order_date address order_amo
 
 #: Customers whose orders of a day are numbered in one task, and row numbers that a manifest lists.
 CUSTOMERS_A_BLOCK, MOST_LISTED = 50_000, 10_000
+#: Rows of a written file.
+ROWS_A_FILE = 1_000_000
 
 
 def kth_smallest(rows: DataFrame, column: str, k: int) -> int | None:
@@ -194,7 +196,10 @@ def write(spark: SparkSession, path: str, n_customers: int = 500, seed: int = 42
     """Both tables as CSV, the manifest and a dictionary of the columns as text."""
     dirty, truth, manifest = generate(spark, n_customers, seed)
     for name, df in (("dirty", dirty), ("truth", truth)):
-        df.orderBy("row_index").drop("row_index").coalesce(1).write.mode("overwrite").csv(f"{path}/{name}", header=True, escape='"', emptyValue="", nullValue="")
+        # In order, a file for so many rows; the files' names keep the order.
+        parts = -(-manifest["n_orders"] // ROWS_A_FILE)
+        dealt = df.repartitionByRange(max(1, parts), "row_index").sortWithinPartitions("row_index")
+        dealt.drop("row_index").write.mode("overwrite").csv(f"{path}/{name}", header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)  # blanks are part of the dirt
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     lines = [f"{c}: text" for c in COLUMNS] + [f"Rows: {manifest['n_orders']}; customers: {n_customers}; seed: {seed}."]
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/dictionary")

@@ -57,6 +57,20 @@ def test_facts_of_synthetic_data(spark):
     assert abs(len(m["ambiguous_date_rows"]) / m["n_orders"] - 0.015) < 0.001 and 2.4 < m["seasonal_anomaly"]["spike_multiplier"] < 3.1 and len(m["segment_pattern"]) == 4
 
 
+def test_written_synthetic_data_is_read_back(spark, tmp_path, monkeypatch):
+    """Several files, in order, that the reader of folders numbers as they were."""
+    from siftwell.sources import csv_folder
+
+    monkeypatch.setattr(synthetic, "ROWS_A_FILE", 100)
+    m = synthetic.write(spark, f"file://{tmp_path}/out", 60)
+    dirty = synthetic.generate(spark, 60)[0].orderBy("row_index").collect()
+    found = csv_folder.read(spark, f"file://{tmp_path}/out/dirty/*.csv", f"file://{tmp_path}/work", synthetic.COLUMNS, no_value=[])
+    got = found.rows.orderBy("row_index").collect()
+    assert found.errors.count() == 0 and len(got) == m["n_orders"] == len(dirty) and found.files.count() >= 2
+    assert all([g[c] for c in synthetic.COLUMNS] == [d[c] or "" for c in synthetic.COLUMNS] and g["row_index"] == d["row_index"] for g, d in zip(got, dirty))
+    assert (tmp_path / "out/manifest").exists() and (tmp_path / "out/dictionary").exists()
+
+
 def test_blocks_of_customers_number_rows_alike(spark, monkeypatch):
     whole = {(r["row_index"], r["customer_id"], r["order_date"]) for r in synthetic.generate(spark, 60)[0].collect()}
     monkeypatch.setattr(synthetic, "CUSTOMERS_A_BLOCK", 7)
