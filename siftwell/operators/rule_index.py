@@ -29,7 +29,7 @@ class _Target:
     """The rules of one column or type; what each kind of rule a cell breaks is answered as places in ``rules``."""
 
     def __init__(self, rules: list, compiles):
-        self.rules = rules
+        self.columns = {"rule_id": np.array([r.rule_id for r in rules], np.int64)} | {c: np.array([getattr(r, c) for r in rules], object) for c in ("severity", "action")}
         bounds = {op: sorted((float(r.condition_value), i) for i, r in enumerate(rules) if r.condition_operator == op) for op in ("gte", "lte")}
         self.bounds = {op: (np.array([b for b, _ in x]), np.array([i for _, i in x], np.int64)) for op, x in bounds.items()}
         self.not_null = np.array([i for i, r in enumerate(rules) if r.condition_operator == "not_null"], np.int64)
@@ -95,25 +95,26 @@ def violations(cells: DataFrame, rules: list, compiles) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = RuleIndex(*shared.value)
         for b in batches:
-            cell, rule, held = [], [], 0
+            cell, broken, held = [], [], 0
             texts = [None if pd.isna(v) else v for v in b["cleaned_value"]]
             for i, (column, kind, text, number, blank) in enumerate(zip(b["column_name"], b["column_type"], texts, b["number"], b["blank"])):
                 for target in index.of(column, kind):
                     places = target.broken(text, number, blank)
                     if len(places):
                         cell.append(np.full(len(places), i))
-                        rule.append(np.array(target.rules, object)[places])
+                        broken.append((target, places))
                         held += len(places)
                 if held >= PIECE:
-                    yield _rows(b, cell, rule)
-                    cell, rule, held = [], [], 0
+                    yield _rows(b, cell, broken)
+                    cell, broken, held = [], [], 0
             if held:
-                yield _rows(b, cell, rule)
+                yield _rows(b, cell, broken)
 
     return source.mapInPandas(run, SCHEMA)
 
 
-def _rows(b: pd.DataFrame, cell: list[np.ndarray], rule: list[np.ndarray]) -> pd.DataFrame:
-    at, rules = np.concatenate(cell), np.concatenate(rule)
-    own = b.iloc[at]
-    return pd.DataFrame({"rule_id": [r.rule_id for r in rules]} | {c: own[c].to_numpy() for c in ("record_id", "column_name", "row_index", "cleaned_value")} | {"severity": [r.severity for r in rules], "action": [r.action for r in rules]})
+def _rows(b: pd.DataFrame, cell: list[np.ndarray], broken: list[tuple[_Target, np.ndarray]]) -> pd.DataFrame:
+    at = np.concatenate(cell)
+    of_cells = {c: b[c].to_numpy()[at] for c in ("record_id", "column_name", "row_index", "cleaned_value")}
+    of_rules = {c: np.concatenate([t.columns[c][places] for t, places in broken]) for c in ("rule_id", "severity", "action")}
+    return pd.DataFrame({"rule_id": of_rules["rule_id"]} | of_cells | {"severity": of_rules["severity"], "action": of_rules["action"]})
