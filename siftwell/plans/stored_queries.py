@@ -290,7 +290,7 @@ def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rules_by_the_thousand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule for every part over the prices of all orders: lower and upper bounds, a pattern and values to choose from for some."""
-    cells = _prices(spark, sf_dir)
+    cells = _prices(spark, sf_dir).repartition("record_id")  # one small file makes as many rows as there are cells times rules
     top = cells.agg(F.max(F.col("cleaned_value").cast("double"))).first()[0]
     made = []
     for p in table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size").collect():  # the rules of one upload, at most rule_index.MOST
