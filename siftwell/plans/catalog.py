@@ -33,7 +33,7 @@ def _registered(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import stored_queries  # noqa: F401  registers its own
+    from . import stored_queries, synthetic_queries  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
@@ -542,15 +542,3 @@ def narrative_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_registered("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
 def json_details_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-
-
-@_registered()
-def synthetic_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The synthetic dirty table for as many customers as the tables have suppliers and parts, routed and cleaned: its cells."""
-    from ..sources import synthetic
-
-    dirty, _, _ = synthetic.generate(spark, table(spark, sf_dir, "supplier").count() + table(spark, sf_dir, "part").count() // 10)
-    columns = synthetic.COLUMNS
-    df = dirty.select("row_index", *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    plan = cleaning.route(df, columns)
-    return cleaning.unpivoted(cleaning.cells(df, plan), plan).select("column_name", "column_type", "row_index", "cell.*")

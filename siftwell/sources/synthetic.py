@@ -1,12 +1,15 @@
 """A synthetic dirty order table with its ground truth, made by Spark.
 
-Every pseudo-random number is a hash of (seed, purpose, row), so the tables are the same however they are partitioned.
+Every pseudo-random number is a digest of (seed, purpose, row), so the tables are the same however they are partitioned, and
+any SQL engine that has MD5 can say what they hold. Customers are numbered from 1 without gaps.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
 from itertools import accumulate
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +31,8 @@ END = "2026-07-01"
 HISTORY_MONTHS = 18
 SPIKE_MONTH, SPIKE = "2025-12", 2.75
 OUTLIERS, AMBIGUOUS_SHARE = 5, 0.015
+#: Dates of these days of a month can be read in two ways.
+EARLY_DAYS = 12
 COLUMNS = "customer_id name email phone signup_date order_date address order_amount currency_hint customer_age category customer_segment".split()
 
 
@@ -58,9 +63,18 @@ class Dice:
     def __init__(self, seed: int):
         self.seed = seed
 
+    def number(self, purpose: str, digits: int, *keys: str) -> Column:
+        """Of so many hexadecimal digits, at most 15."""
+        text = F.concat_ws("/", F.lit(str(self.seed)), F.lit(purpose), *[F.col(k).cast("string") for k in keys])
+        return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("bigint")
+
     def share(self, purpose: str, *keys: str) -> Column:
         """In [0, 1)."""
-        return F.pmod(F.xxhash64(F.lit(self.seed), F.lit(purpose), *[F.col(k) for k in keys]), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        return self.number(purpose, 10, *keys) / F.lit(float(1 << 40))
+
+    def lot(self, purpose: str, *keys: str) -> Column:
+        """As good as unique."""
+        return self.number(purpose, 15, *keys)
 
     def whole(self, purpose: str, low: int, high: int, *keys: str) -> Column:
         """low to high, both included."""
@@ -81,10 +95,15 @@ class Dice:
 
 
 def customers(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+    return people(spark.range(1, n + 1).select(F.col("id").alias("customer_id")), seed)
+
+
+def people(ids: DataFrame, seed: int = 42) -> DataFrame:
+    """A customer for each customer_id."""
     d, k = Dice(seed), "customer_id"
     name = F.concat_ws(" ", d.pick("first", FIRST_NAMES, k), d.pick("last", LAST_NAMES, k))
     place = d.pick("city", list(PROVINCES), k)
-    base = spark.range(1, n + 1).select(F.col("id").cast("int").alias(k)).withColumns({"name_true": name, "city": place, "segment": d.weighted("segment", list(SEGMENT_SHARES.values()), [F.lit(s) for s in SEGMENT_SHARES], k)})
+    base = ids.select(F.col(k).cast("bigint").alias(k)).withColumns({"name_true": name, "city": place, "segment": d.weighted("segment", list(SEGMENT_SHARES.values()), [F.lit(s) for s in SEGMENT_SHARES], k)})
     towns = F.try_element_at(F.create_map(*[x for p, inner in PROVINCES.items() for x in (F.lit(p), F.array(*[F.lit(t) for t in inner]))]), F.col("city"))
     return base.withColumns(
         {
@@ -93,7 +112,7 @@ def customers(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
             "digits": F.concat(F.lit("53"), F.lpad(F.floor(d.share("phone", k) * 100_000_000).cast("string"), 8, "0")),
             "signup_date_true": F.date_sub(F.lit(END).cast("date"), d.whole("signup", 200, 1800, k)),
             "age_true": d.whole("age", 18, 75, k),
-            "payload": F.when(F.col(k) <= len(PAYLOADS), F.element_at(F.array(*[F.lit(p) for p in PAYLOADS]), F.least(F.col(k), F.lit(len(PAYLOADS))))),
+            "payload": F.when(F.col(k) <= len(PAYLOADS), F.element_at(F.array(*[F.lit(p) for p in PAYLOADS]), F.least(F.col(k), F.lit(len(PAYLOADS))).cast("int"))),
         }
     )
 
@@ -114,40 +133,52 @@ def orders(people: DataFrame, seed: int = 42) -> DataFrame:
     mine = rows.where((F.col("category") == CATEGORIES[0]))
     months = mine.groupBy(F.date_format("order_date_true", "yyyy-MM").alias("m")).agg(F.count("*").alias("n"))
     usual = months.agg(F.avg(F.when(F.col("m") != SPIKE_MONTH, F.col("n"))).alias("usual"), F.coalesce(F.max(F.when(F.col("m") == SPIKE_MONTH, F.col("n"))), F.lit(0)).alias("have"))
-    wanted = F.greatest(F.lit(0), F.round(F.col("usual") * SPIKE) - F.col("have")).cast("int")
-    extra = usual.select(F.explode(F.sequence(F.lit(1), F.greatest(wanted, F.lit(1)))).alias("i"), wanted.alias("w")).where("i <= w").select((F.lit(1_000_000) + F.col("i")).cast("int").alias("order_no"))
+    wanted = F.greatest(F.lit(0), F.round(F.col("usual") * SPIKE) - F.col("have")).cast("bigint")
+    more = people.sparkSession.range(1, (usual.select(wanted).first()[0] or 0) + 1)  # one number comes to the driver, and tasks make the rows
     n = people.agg(F.max("customer_id")).scalar()
-    extra = extra.withColumn("customer_id", (F.floor(d.share("extra", "order_no") * n) + 1).cast("int"))
+    extra = more.select((F.lit(1_000_000) + F.col("id")).cast("int").alias("order_no"))
+    extra = extra.withColumn("customer_id", F.floor(d.share("extra", "order_no") * n).cast("bigint") + 1)
     extra = extra.join(people.withColumn("adjust", adjust), "customer_id").withColumns({"order_date_true": F.date_add(F.lit(SPIKE_MONTH + "-01").cast("date"), d.whole("extra day", 0, 27, *keys)), "category": F.lit(CATEGORIES[0])})
     rows = rows.unionByName(extra)
     amount = F.greatest(F.lit(8.0), 30 + 5.5 * F.col("age_true") + F.col("adjust") + 18 * d.normal("noise", *keys))
     return rows.withColumn("amount_true", amount)
 
 
-def generate(spark: SparkSession, n_customers: int = 500, seed: int = 42) -> tuple[DataFrame, DataFrame, dict]:
-    """The dirty table, its ground truth (both with row_index) and a manifest."""
+def labelled(customers_: DataFrame, seed: int = 42) -> DataFrame:
+    """The orders of customers as they truly are, numbered by row_index, those marked that become outliers or ambiguous."""
     d = Dice(seed)
-    rows = orders(customers(spark, n_customers, seed), seed)
+    rows = orders(customers_, seed)
     k = "row_index"
     # Rows are numbered day by day, and within a day by blocks of customers: a block's first number is the count of all rows of
     # earlier days and blocks. No task holds more than a block of a day.
     rows = rows.withColumn("block", F.floor(F.col("customer_id") / F.lit(CUSTOMERS_A_BLOCK)).cast("int"))
     counts = rows.groupBy("order_date_true", "block").agg(F.count("*").alias("n"))
-    days = counts.groupBy("order_date_true").agg(F.sum("n").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("order_date_true")) - F.col("n")).drop("n")  # some hundreds
+    days, n_rows = [], 0
+    for day, n in counts.groupBy("order_date_true").agg(F.sum("n")).orderBy("order_date_true").collect():  # some hundreds
+        days.append((day, n_rows, n))
+        n_rows += n
+    spark = rows.sparkSession
+    firsts = F.broadcast(spark.createDataFrame(days, "order_date_true date, before bigint, n bigint").drop("n"))
     earlier = F.sum("n").over(Window.partitionBy("order_date_true").orderBy("block")) - F.col("n")
-    bases = counts.withColumn("earlier", earlier).join(F.broadcast(days), "order_date_true").select("order_date_true", "block", (F.col("before") + F.col("earlier")).alias("base"))
+    bases = counts.withColumn("earlier", earlier).join(firsts, "order_date_true").select("order_date_true", "block", (F.col("before") + F.col("earlier")).alias("base"))
     within = Window.partitionBy("order_date_true", "block").orderBy("customer_id", "order_no")
-    rows = rows.join(bases, ["order_date_true", "block"]).withColumn(k, (F.col("base") + F.row_number().over(within) - 1).cast("int")).drop("base", "block")
-    lot = lambda purpose: F.xxhash64(F.lit(seed), F.lit(purpose), F.col(k))
-    odd = rows.select(k).orderBy(lot("outlier"), k).limit(OUTLIERS)
+    rows = rows.join(bases, ["order_date_true", "block"]).withColumn(k, (F.col("base") + F.row_number().over(within) - 1).cast("bigint")).drop("base", "block")
+    # What is drawn depends on row numbers alone, and those of a day are a range, so nothing is generated again to draw.
+    numbers = spark.range(n_rows).toDF(k)
+    odd = [r[0] for r in numbers.orderBy(d.lot("outlier", k), k).limit(OUTLIERS).collect()]
+    early = reduce(or_, [F.col(k).between(before, before + n - 1) for day, before, n in days if day.day <= EARLY_DAYS], F.lit(False))
     # The ambiguous rows are those with the smallest lots; a lot is as good as unique, so its bound says which.
-    early = F.dayofmonth("order_date_true") <= 12
-    wanted = max(3, round(rows.count() * AMBIGUOUS_SHARE))
-    lots = rows.where(early).select(lot("vague").alias("lot")).persist()
-    bound = F.lit(kth_smallest(lots, "lot", wanted))
+    lots = numbers.where(early).select(d.lot("vague", k).alias("lot")).persist()
+    bound = kth_smallest(lots, "lot", max(3, round(n_rows * AMBIGUOUS_SHARE)))
     lots.unpersist()
-    rows = rows.join(F.broadcast(odd.withColumn("is_outlier", F.lit(True))), k, "left").withColumns({"is_outlier": F.coalesce("is_outlier", F.lit(False)), "is_ambiguous": early & (lot("vague") <= bound)})
-    rows = rows.withColumn("order_amount_true", F.round(F.when(F.col("is_outlier"), F.col("amount_true") * (8 + 10 * d.share("factor", k))).otherwise(F.col("amount_true")), 2)).persist()
+    vague = (F.dayofmonth("order_date_true") <= EARLY_DAYS) & (d.lot("vague", k) <= F.lit(-1 if bound is None else bound))
+    rows = rows.withColumns({"is_outlier": F.col(k).isin(odd), "is_ambiguous": vague})
+    return rows.withColumn("order_amount_true", F.round(F.when(F.col("is_outlier"), F.col("amount_true") * (8 + 10 * d.share("factor", k))).otherwise(F.col("amount_true")), 2))
+
+
+def tables(rows: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """What is made of labelled orders: the dirty table and its ground truth, both with row_index."""
+    d, k = Dice(seed), "row_index"
 
     def date(purpose: str, c: str) -> Column:
         return d.weighted(purpose, [0.40, 0.25, 0.20, 0.15], [F.date_format(c, f) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "MM-dd-yyyy", "MMMM dd, yyyy")], k)
@@ -180,22 +211,40 @@ def generate(spark: SparkSession, n_customers: int = 500, seed: int = 42) -> tup
         k, "customer_id", "name_true", "email_true", F.concat(F.lit("+90"), p).alias("phone_true_e164"), F.col("signup_date_true").cast("string"), F.col("order_date_true").cast("string"), F.col("city").alias("city_true"),
         F.col("district").alias("district_true"), F.lit(COUNTRY).alias("country_true"), "order_amount_true", F.col("age_true").alias("customer_age_true"),
     )
+    return dirty, truth
+
+
+def manifest_of(rows: DataFrame, n_customers: int, seed: int = 42) -> dict:
+    """What is to be found in labelled orders."""
+    k = "row_index"
+    hundredths = lambda n, of: (2 * n + of) // (2 * of) / 100  # noqa: E731  in whole numbers, half up
     spike = rows.where(F.col("category") == CATEGORIES[0]).groupBy(F.date_format("order_date_true", "yyyy-MM").alias("m")).count().groupBy().agg(F.avg(F.when(F.col("m") != SPIKE_MONTH, F.col("count"))).alias("a"), F.max(F.when(F.col("m") == SPIKE_MONTH, F.col("count"))).alias("b")).first()
     # Rows are listed while they are few; of more the truth table tells which they are.
     listed = lambda c: sorted(r[0] for r in rows.where(c).select(k).collect()) if rows.where(c).limit(MOST_LISTED + 1).count() <= MOST_LISTED else rows.where(c).count()
-    manifest = {
+    return {
         "seed": seed, "n_customers": n_customers, "n_orders": rows.count(), "sql_injection_rows": listed("payload is not null"), "ambiguous_date_rows": listed("is_ambiguous"), "outlier_rows": listed("is_outlier"),
         "seasonal_anomaly": {"category": CATEGORIES[0], "month": SPIKE_MONTH, "normal_avg_monthly_count": round(spike["a"], 1), "spike_month_count": spike["b"], "spike_multiplier": round(spike["b"] / spike["a"], 2)},
         "age_amount_correlation": {"pearson_r": round(rows.agg(F.corr("age_true", "order_amount_true")).first()[0], 3)},
-        "segment_pattern": {r["segment"]: {"avg_orders_per_customer": round(r["o"] / r["c"], 2), "avg_amount": round(r["m"], 2)} for r in rows.groupBy("segment").agg(F.count("*").alias("o"), F.countDistinct("customer_id").alias("c"), F.avg("order_amount_true").alias("m")).collect()},
+        "segment_pattern": {r["segment"]: {"avg_orders_per_customer": hundredths(100 * r["o"], r["c"]), "avg_amount": hundredths(r["cents"], r["o"])} for r in rows.groupBy("segment").agg(F.count("*").alias("o"), F.countDistinct("customer_id").alias("c"), F.sum(F.round(F.col("order_amount_true") * 100).cast("bigint")).alias("cents")).collect()},
     }
-    return dirty, truth, manifest
+
+
+def generate(spark: SparkSession, n_customers: int = 500, seed: int = 42) -> tuple[DataFrame, DataFrame, dict]:
+    """The dirty table, its ground truth (both with row_index) and a manifest."""
+    rows = labelled(customers(spark, n_customers, seed), seed)
+    return *tables(rows, seed), manifest_of(rows, n_customers, seed)
 
 
 def write(spark: SparkSession, path: str, n_customers: int = 500, seed: int = 42) -> dict:
     """Both tables as CSV, the manifest and a dictionary of the columns as text."""
-    dirty, truth, manifest = generate(spark, n_customers, seed)
-    for name, df in (("dirty", dirty), ("truth", truth)):
+    return write_for(customers(spark, n_customers, seed), path, n_customers, seed)
+
+
+def write_for(customers_: DataFrame, path: str, n_customers: int, seed: int = 42) -> dict:
+    spark = customers_.sparkSession
+    rows = labelled(customers_, seed).persist()
+    manifest = manifest_of(rows, n_customers, seed)
+    for name, df in zip(("dirty", "truth"), tables(rows, seed)):
         # In order, a file for so many rows; the files' names keep the order.
         parts = -(-manifest["n_orders"] // ROWS_A_FILE)
         dealt = df.repartitionByRange(max(1, parts), "row_index").sortWithinPartitions("row_index")
@@ -203,4 +252,5 @@ def write(spark: SparkSession, path: str, n_customers: int = 500, seed: int = 42
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     lines = [f"{c}: text" for c in COLUMNS] + [f"Rows: {manifest['n_orders']}; customers: {n_customers}; seed: {seed}."]
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/dictionary")
+    rows.unpersist()
     return manifest
