@@ -28,8 +28,9 @@ class Moments:
         self.n, self.mean, self.dev, self.cross, self.low, self.high = parts
 
     @classmethod
-    def of(cls, x: np.ndarray) -> Moments:
-        """x: rows by columns, NaN where there is no value."""
+    def of(cls, x: np.ndarray, varied: np.ndarray | None = None) -> Moments:
+        """x: rows by columns, NaN where there is no value. varied[i, j]: i is known to vary beside j from rows before; its range is no
+        longer looked for among the rows that have both, as a range only tells whether a column varies."""
         there = ~np.isnan(x)
         middle = np.where(there, x, 0).sum(0) / np.maximum(there.sum(0), 1)
         d, m = np.where(there, x - middle, 0.0), there.astype(float)
@@ -38,7 +39,10 @@ class Moments:
         mean = (d.T @ m) / some
         low, high = (np.repeat(f(np.where(there, x, fill), axis=0)[:, None], x.shape[1], 1) for f, fill in ((np.min, np.inf), (np.max, -np.inf)))
         for j in np.flatnonzero(~there.all(0)):  # only beside a column with gaps can a pair's range be narrower
-            low[:, j], high[:, j] = (f(np.where(there & there[:, [j]], x, fill), axis=0) for f, fill in ((np.min, np.inf), (np.max, -np.inf)))
+            i = np.arange(x.shape[1]) if varied is None else np.flatnonzero(~varied[:, j])
+            if len(i):
+                both = there[:, i] & there[:, [j]]
+                low[i, j], high[i, j] = (f(np.where(both, x[:, i], fill), axis=0) for f, fill in ((np.min, np.inf), (np.max, -np.inf)))
         return cls(n, mean + middle[:, None], np.maximum((d * d).T @ m - n * mean**2, 0), d.T @ d - n * mean * mean.T, low, high)
 
     def add(self, other: Moments, theirs: tuple[np.ndarray, np.ndarray] | None = None) -> Moments:
@@ -52,14 +56,17 @@ class Moments:
 
 def _lines(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row a column and task: i and that line of every matrix, with the means of the other columns beside it."""
-    source = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    # Many columns that are computed make one generated method too large for the JVM to compile, and slow; beside an array function
+    # they are projected outside of it.
+    beside = F.exists(F.array(F.spark_partition_id()), lambda p: p >= 0).alias("beside")
+    source = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)], beside)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for b in batches:
-            x = b.to_numpy(float)
+            x = b.iloc[:, : len(columns)].to_numpy(float)
             for at in range(0, len(x), BLOCK):
-                part = Moments.of(x[at : at + BLOCK])
+                part = Moments.of(x[at : at + BLOCK], None if total is None else total.low < total.high)
                 total = part if total is None else total.add(part)
         if total is not None:
             out = {"i": np.arange(len(columns), dtype=np.int32)} | {f: [line.tobytes() for line in getattr(total, f)] for f in _FIELDS}
@@ -98,10 +105,13 @@ def matrix(df: DataFrame, columns: list[str]) -> DataFrame:
                 j = np.arange(len(n))
                 yield pd.DataFrame({"i": np.full(len(n), r.i), "j": j, "n": n, "dev": dev, "cross": cross, "varied": low < high})
 
-    # The deviations of j beside i are in j's line.
-    flat = whole.mapInPandas(correlate, "i int, j int, n double, dev double, cross double, varied boolean")
-    other = flat.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("dev").alias("dev_j"), F.col("varied").alias("varied_j"))
-    fine = F.col("varied") & F.col("varied_j") & (F.col("n") > 1)
+    # The deviations of j beside i are in j's line: both lines of a pair meet by grouping, so that nothing is computed twice.
+    flat = whole.mapInPandas(correlate, "i int, j int, n double, dev double, cross double, varied boolean").where("i <> j")
+    own = F.col("i") < F.col("j")
+    pairs = flat.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(
+        F.max(F.when(own, F.col("dev"))).alias("dev"), F.max(F.when(~own, F.col("dev"))).alias("dev_j"), F.max(F.when(own, F.col("cross"))).alias("cross"), F.max("n").alias("n"), F.min("varied").alias("varied")
+    )
+    fine = F.col("varied") & (F.col("n") > 1)
     r = F.when(fine, F.col("cross") / F.nullif(F.sqrt("dev") * F.sqrt("dev_j"), F.lit(0.0)))
     bounded = F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
-    return flat.where("i < j").join(other.where("i < j"), ["i", "j"]).select("i", "j", bounded.alias("r"))
+    return pairs.select(F.col("a").alias("i"), F.col("b").alias("j"), bounded.alias("r"))

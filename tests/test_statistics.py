@@ -1,6 +1,7 @@
 """Correlations, trends, anomalies, charts and narratives."""
 
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -142,6 +143,17 @@ def test_correlations_of_many_columns(spark):
             assert (have is None) == (want is None) and (want is None or abs(have - want) < 1e-9), (i, j)
 
 
+def test_many_computed_columns_are_read_once_and_outside_of_one_method(spark):
+    """64 computed columns: no join with itself computes them twice, and their projection lies outside the generated method, which
+    would be too large to be compiled."""
+    df = spark.range(300).selectExpr(*[f"case when id % 7 <> {i % 7} then id * {i + 1} % 11 + id / {i + 1} end as x{i}" for i in range(64)])
+    found = statistics.pairwise(df, df.columns)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    at = plan.index("CASE WHEN")
+    assert plan.count("Range (0, 300") == 1 and not re.match(r".*\*\(\d+\) Project", plan[plan.rindex("\n", 0, at) : at])
+    assert found.count() == 64 * 63 // 2
+
+
 def test_narratives_by_what_the_model_said():
     class Fixed:
         def __init__(self, answer):
