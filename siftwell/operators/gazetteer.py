@@ -1,9 +1,10 @@
 """Places named in texts, from a table of names of any size and two levels.
 
 Of the outer names the first, in the table's order, that a text holds is its place; of that place's own inner names the first that it
-holds is its part. All names are found in one pass over a text by an automaton that a worker builds once for each block of
-names; blocks are bounded by bytes, counted before they are broadcast, and a larger table is taken block by block, each
-adding its best to the one so far. Texts stay where they are, and only they and a number go through Python.
+holds is its part. Names are found by automata. A level that is small, counted before it is broadcast, is one automaton a worker, and
+texts stay where they are. Of a larger level names and texts meet by groups: blocks of the outer names, or the inner names of
+one outer name (in blocks, if it has many). Of a partition's groups one at a time is in memory: its names come first, then its texts one after
+another. Texts of an outer name that has many are dealt to shares, each with these names. Equal texts are searched once.
 
 Names and texts are compared in small letters, as parts of the text whatever stands around them. Null and empty names are
 nowhere, and a null rank comes last; a null text has no place; ties of order go to the smaller id.
@@ -11,44 +12,43 @@ nowhere, and a null rank comes last; a null text has no place; ties of order go
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of names in a block.
-BLOCK_BYTES = 32 << 20
+#: Bytes of names in a block, and of a group's texts in a share, about.
+BLOCK_BYTES, SHARE_BYTES = 32 << 20, 64 << 20
+
+
+def _automaton(names: dict[str, object]):
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for name, value in names.items():
+        made.add_word(name, value)
+    made.make_automaton()
+    return made
 
 
 class _Names:
-    """What is broadcast of a block, and the automaton that a worker makes of it."""
+    """What is broadcast of a small level, and the automaton that a worker makes of it."""
 
     def __init__(self, rows: list[tuple[str, int | None, int, int]]):
         self.rows, self._automaton = rows, None
 
     def automaton(self):
         if self._automaton is None:
-            import ahocorasick
-
             by: dict[str, list[tuple[int | None, tuple[int, int]]]] = {}
             for name, outer, rank, place in self.rows:
                 by.setdefault(name, []).append((outer, (rank, place)))
-            self._automaton = ahocorasick.Automaton()
-            for name, places in by.items():
-                self._automaton.add_word(name, places)
-            self._automaton.make_automaton()
+            self._automaton, self.rows = _automaton(by), []
         return self._automaton
 
 
-def _blocks(names: DataFrame, block_bytes: int) -> list[_Names]:
-    """names: name (small letters), outer (null for outer names), rank and id."""
-    size = names.agg(F.coalesce(F.sum(F.octet_length("name") + 80), F.lit(0))).first()[0]
-    n = max(1, -(-size // block_bytes))
-    found = []
-    for i in range(n):
-        rows = names.where(F.pmod(F.xxhash64("name"), F.lit(n)) == i).select("name", "outer", "rank", "id").collect()  # one bounded block
-        if rows:
-            found.append(_Names([tuple(r) for r in rows]))
-    return found
+def _bytes(name: str) -> Column:
+    return F.octet_length(name) + 80
 
 
 def _finder(shared, inner: bool):
@@ -65,26 +65,75 @@ def _finder(shared, inner: bool):
     return held
 
 
-def _first(text: Column, outer: Column | None, blocks: list[_Names], spark) -> Column:
-    """rank and id of the first name in order that the text holds, over all blocks; null if there is none."""
-    best = []
-    for block in blocks:
-        found = _finder(spark.sparkContext.broadcast(block), outer is not None)(text, F.lit(None).cast("string") if outer is None else outer.cast("string"))  # as text: numbers beside nulls would pass as floating point
-        best.append(F.when(found["id"].isNotNull(), found))
-    if not best:
-        return F.lit(None).cast("struct<rank:bigint,id:bigint>")
-    return best[0] if len(best) == 1 else F.least(*best)
-
-
-def places(df: DataFrame, text_col: str, names: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of names and texts, group by group, names first: rank and id of the first name that each text holds."""
+    group, names, automaton = None, {}, None
+    for b in batches:
+        found = []
+        for outer, block, share, is_text, text, digest, rank, place in zip(*(b[c] for c in ("outer", "block", "share", "is_text", "text", "digest", "rank", "id"))):
+            key = (outer, block, share)
+            if key != group:
+                group, names, automaton = key, {}, None
+            if not is_text:
+                order = (int(rank), int(place))
+                names[text] = min(order, names.get(text, order))
+            elif names:
+                automaton = automaton or _automaton(names)
+                first = min((order for _, order in automaton.iter(text)), default=None)
+                if first is not None:
+                    found.append((digest, *first))
+        yield pd.DataFrame(found, columns=["digest", "rank", "id"])
+
+
+def _digest(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def _in_groups(texts: DataFrame, names: DataFrame, block_bytes: int, share_bytes: int) -> DataFrame:
+    """digest, rank and id of the first name in order that each text holds among those of its outer id. texts: digest, text and outer, one
+    row a text; names: name, outer, rank and id. Outer ids are null on both sides for the outer level."""
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / F.lit(block_bytes))).cast("int")
+    sizes = names.groupBy("outer").agg(blocks(F.sum(_bytes("name"))).alias("blocks"))
+    shares = texts.groupBy("outer").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("text") + 80) / F.lit(share_bytes))).cast("int").alias("shares"))
+    both = sizes.join(shares, sizes["outer"].eqNullSafe(shares["outer"])).select(sizes["outer"], "blocks", "shares")
+    met = lambda rows: rows.join(both.withColumnRenamed("outer", "its"), F.col("outer").eqNullSafe(F.col("its")))
+    none = F.lit(None)
+    of_names = met(names).select("outer", F.pmod(F.xxhash64("name"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(False).alias("is_text"), F.col("name").alias("text"), none.cast("string").alias("digest"), "rank", "id")
+    of_texts = met(texts).select("outer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("digest"), "shares").cast("int").alias("share"), F.lit(True).alias("is_text"), "text", "digest", none.cast("bigint").alias("rank"), none.cast("bigint").alias("id"))
+    group = ("outer", "block", "share")
+    dealt = of_names.unionByName(of_texts).repartition(*group).sortWithinPartitions(*group, "is_text")
+    # Whole numbers beside nulls would pass as floating point: they travel as text.
+    spelt = dealt.select(F.col("outer").cast("string").alias("outer"), "block", "share", "is_text", "text", "digest", F.col("rank").cast("string").alias("rank"), F.col("id").cast("string").alias("id"))
+    found = spelt.mapInPandas(_search, "digest string, rank bigint, id bigint")
+    return found.groupBy("digest").agg(F.min(F.struct("rank", "id")).alias("first")).select("digest", "first.rank", "first.id")
+
+
+def _with_first(df: DataFrame, names: DataFrame, outer: Column | None, out: str, block_bytes: int, share_bytes: int) -> DataFrame:
+    """df with the id of the first name in order that its column __text holds; null if there is none."""
+    size = names.agg(F.sum(_bytes("name"))).first()[0]
+    if size is None:
+        return df.withColumn(out, F.lit(None).cast("bigint"))
+    if size <= block_bytes:
+        rows = names.select("name", "outer", "rank", "id").collect()  # a small level
+        shared = df.sparkSession.sparkContext.broadcast(_Names([tuple(r) for r in rows]))
+        wanted = F.lit(None).cast("string") if outer is None else outer.cast("string")  # as text: numbers beside nulls would pass as floating point
+        return df.withColumn(out, _finder(shared, outer is not None)(F.col("__text"), wanted)["id"])
+    keyed = df.withColumn("__digest", _digest(F.col("__text")))
+    of = F.lit(None).cast("bigint") if outer is None else outer
+    texts = keyed.select(F.col("__digest").alias("digest"), F.col("__text").alias("text"), of.alias("outer")).where("text is not null" + ("" if outer is None else " and outer is not null"))
+    once = texts.groupBy("digest").agg(F.first("text").alias("text"), F.first("outer").alias("outer"))  # a text has one outer name
+    found = _in_groups(once, names, block_bytes, share_bytes).select(F.col("digest").alias("__digest"), F.col("id").alias(out))
+    return keyed.join(found, "__digest", "left").drop("__digest")
+
+
+def places(df: DataFrame, text_col: str, names: DataFrame, block_bytes: int = BLOCK_BYTES, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """df with place: a struct of outer and inner (names as the table spells them; null where none is held). names: id, name,
     outer_id (null for outer names) and rank, the order; ids and ranks are 64-bit numbers."""
-    spark = df.sparkSession
     rows = names.where("id is not null and name is not null and name <> ''").select(F.col("id").cast("bigint").alias("id"), F.col("name").alias("spelt"), F.lower("name").alias("name"), F.col("outer_id").cast("bigint").alias("outer"), F.coalesce(F.col("rank").cast("bigint"), F.lit((1 << 63) - 1)).alias("rank"))
-    text = F.lower(F.col(f"`{text_col}`"))
     own = [f"`{c}`" for c in df.columns]
     spelt = lambda level: rows.select(F.col("id").alias(f"__{level}_id"), F.col("spelt").alias(f"__{level}_name"))
-    found = df.withColumn("__outer_id", _first(text, None, _blocks(rows.where("outer is null"), block_bytes), spark)["id"])
-    found = found.withColumn("__inner_id", _first(text, F.col("__outer_id"), _blocks(rows.where("outer is not null"), block_bytes), spark)["id"])
+    found = df.withColumn("__text", F.lower(F.col(f"`{text_col}`")))
+    found = _with_first(found, rows.where("outer is null"), None, "__outer_id", block_bytes, share_bytes)
+    found = _with_first(found, rows.where("outer is not null"), F.col("__outer_id"), "__inner_id", block_bytes, share_bytes)
     found = found.join(spelt("outer"), "__outer_id", "left").join(spelt("inner"), "__inner_id", "left")
     return found.select(*own, F.struct(F.col("__outer_name").alias("outer"), F.col("__inner_name").alias("inner")).alias("place"))

@@ -49,3 +49,17 @@ def test_the_built_in_table_and_the_same_as_a_table(spark):
 def test_no_names(spark):
     df = spark.createDataFrame([("a",)], "t string")
     assert gazetteer.places(df, "t", spark.createDataFrame([], "id long, name string, outer_id long, rank long")).first()["place"] == (None, None)
+
+
+@pytest.mark.parametrize("share_bytes", [1 << 20, 300])
+def test_of_a_large_level_no_worker_holds_more_than_a_group(spark, monkeypatch, share_bytes):
+    """Names beyond a block are not broadcast, block after block, to stay in every worker; texts of one outer name are dealt to shares."""
+    outers = [(i, f"place{i}", None, -i) for i in range(9)]
+    inners = [(100 + i, f"part{i}", i % 2, i) for i in range(60)]
+    names = spark.createDataFrame(outers + inners, "id long, name string, outer_id long, rank long")
+    texts = [(i, f"Place0 and place1, PART{i % 60}.") for i in range(120)] + [(120, "nothing"), (121, None)]
+    monkeypatch.setattr(gazetteer, "_Names", None)
+    got = {r["k"]: tuple(r["place"]) for r in gazetteer.places(spark.createDataFrame(texts, "k long, text string"), "text", names, 200, **({} if share_bytes > 300 else {"share_bytes": share_bytes})).collect()}
+    part = lambda i: next((f"part{j}" for j in (i // 10, i) if j % 2 and (j < 10 or j == i)), None)  # noqa: E731  part5 is in part57
+    assert len(got) == 122 and got[120] == got[121] == (None, None)
+    assert all(got[i] == ("place1", part(i % 60) if i % 60 >= 10 else (f"part{i % 60}" if i % 2 else None)) for i in range(120))
