@@ -84,3 +84,16 @@ def test_validation():
     assert "clashes" in validate(rule("gte", 10), None, [rule("lte", 5, i=2)])[0]
     assert validate(rule("gte", 5), None, [rule("lte", 5, i=2), rule("lte", 1, target="w", i=3)]) == []
     assert "clashes" in validate(rule("lte", 1), None, [rule("gte", 5, i=2)])[0]
+
+
+def test_more_rules_than_are_broadcast(spark, monkeypatch):
+    """Blocks of a table of rules and shares of the cells: what single rules say, null cells and numbers included."""
+    made = [rules.Rule(i, None, "", *target, op, value) for i, (target, (op, value)) in enumerate(((t, c) for t in (("column_name", "v"), ("detected_type", "currency")) for c in [("gte", 2.5), ("lte", 3), ("eq", "7"), ("in", ["1", "x"]), ("regex_match", "[0-9]"), ("not_null", None)]), 1)]
+    made[4].is_active = False
+    cells = spark.createDataFrame([(i, "v" if i % 2 else "w", "currency" if i % 3 else None, i, v) for i, v in enumerate(["1", "2.5", None, "x", "7", " ", "9.25", "3", "12", "NaN"] * 3)], "record_id long, column_name string, column_type string, row_index long, cleaned_value string")
+    want = sorted(map(tuple, rules.violations(cells, made).select("rule_id", "record_id", "cleaned_value", "severity").collect()), key=str)
+    rows = spark.createDataFrame([tuple(r.row()[c] for c in rule_index.RULE_COLUMNS) for r in made], "rule_id long, target_kind string, target_value string, condition_operator string, condition_value string, action string, severity string, is_active boolean")
+    same = lambda found: sorted(map(tuple, found.select("rule_id", "record_id", "cleaned_value", "severity").collect()), key=str) == want
+    assert same(rules.violations_of_table(cells, rows)) and same(rule_index.violations_of_table(cells, rows, rules._pattern_compiles, 4, 7))
+    monkeypatch.setattr(rule_index, "MOST", 5)
+    assert same(rules.violations_of_table(cells, rows))
