@@ -199,3 +199,12 @@ def test_cleaners_compile(spark):
     stages = debug.codegenStringSeq(wide._jdf.queryExecution().executedPlan())
     assert stages.size() > 0 and all("FailedToCompile" not in str(stages.apply(i)) for i in range(stages.size()))
     assert wide.count() == 10 and wide.where("k0.method is null").count() == 0
+
+
+def test_cleaners_side_by_side_are_projected_outside_of_one_method(spark):
+    """No step of two cleaners beside each other is part of one generated method, which would be too large to be compiled."""
+    df = spark.range(20).select(F.col("id").alias("row_index"), F.lit("05/01/2020").alias("c0"), F.concat(F.lit("$"), F.col("id").cast("string"), F.lit(".50")).alias("c1"))
+    made = with_cells(df, {"k0": Source(dates.cleaner(F.lit(True), F.lit(9)), F.col("c0")), "k1": Source(currencies.cleaner(None), F.col("c1"))})
+    steps = [line for line in made._jdf.queryExecution().executedPlan().toString().splitlines() if "_k1_" in line and "Project [" in line]
+    assert len(steps) >= 3 and not any(line.lstrip(" :+-").startswith("*") for line in steps)
+    assert {(r["k0"]["cleaned_value"], r["k1"]["cleaned_value"]) for r in made.collect()} == {("2020-01-05", f"{i}.50") for i in range(20)}
