@@ -79,6 +79,21 @@ def test_blocks_of_customers_number_rows_alike(spark, monkeypatch):
     assert {(r["row_index"], r["customer_id"], r["order_date"]) for r in dirty.collect()} == whole and m["outlier_rows"] == 5
 
 
+def test_orders_are_made_by_all_cores_and_lie_in_parts(spark, monkeypatch):
+    """However few tasks the customers come from; a part's rows lie in order, so that writing them takes no shuffle."""
+    monkeypatch.setattr(synthetic, "LEAST_ROWS_A_FILE", 50)
+    people = synthetic.people(spark.range(1, 61, 1, 1).select(F.col("id").alias("customer_id")))
+    assert people.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    rows = synthetic.labelled(people)
+    got = rows.select(F.spark_partition_id().alias("task"), "part", "row_index").collect()
+    assert [r["row_index"] for r in sorted(got, key=lambda r: r["task"])] == list(range(len(got)))
+    assert len({r["part"] for r in got}) == len({r["task"] for r in got}) == len(got) // 50 > 4
+    dirty = synthetic.tables(rows.persist().sortWithinPartitions("part", "order_date_true", "customer_id", "order_no"))[0].drop("row_index")
+    plan = dirty._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    rows.unpersist()
+    assert "Exchange" not in plan
+
+
 def test_the_kth_smallest(spark):
     r = random.Random(2)
     values = [r.randrange(-(1 << 63), 1 << 63) for _ in range(200)] + [5] * 30 + [-(1 << 63), (1 << 63) - 1]
