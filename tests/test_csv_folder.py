@@ -114,3 +114,34 @@ def test_a_text_in_no_encoding():
     with pytest.raises(uploads.EncodingDetectionError):
         uploads.decode(b"a\xa6b\xacc" * 8)
     assert uploads.decode("name\nCafé René\n".encode("latin-1")) == ("name\nCafé René\n", "windows-1252")
+
+
+def test_lines_stay_in_their_task_and_records_are_cut_once(split, tmp_path):
+    """The scan shuffles and sorts no lines, inspection sorts none, and no filter cuts records a second time."""
+    folder = written(tmp_path / "in", {f"f{k}.csv": "p,q\n" + f'{k},"a, ""b"""\n' * 90 for k in range(3)})
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    lines = csv_folder._lines(split, folder).withColumnRenamed("line", "text")
+    assert not any(x in plan(csv_folder._scanned(lines)) for x in ("Exchange", "Sort", "Window"))
+    assert not any(x in plan(csv_folder.inspect(split, folder)) for x in ("SortAggregate", "Window"))
+    found = csv_folder.read(split, folder, f"file://{tmp_path}/work", ["p", "q"])
+    assert found.rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [(r["row_index"], r["p"], r["q"]) for r in found.rows.orderBy("row_index").collect()] == [(i, str(i // 90), 'a, "b"') for i in range(270)]
+
+
+def test_odd_quotes_in_batches_of_few_lines(split, tmp_path):
+    """Marks before a quoted header, quotes within plain fields that would turn commas inside out, records over many batches."""
+    files = {
+        "a.csv": '﻿"p, 1",q\n1,2\n',
+        "b.csv": '﻿"p\n",q\n1,2\n',
+        "c.csv": 'x"y,z"\n5" a,"b, c"\n"d ""e"", f",6"\n"",""\n"g"h,i\n',
+        "d.csv": "p,q\n" + "".join(f'{i},"{i}\n\n,{i}"\r\n' for i in range(60)),
+    }
+    split.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = csv_folder.read(split, written(tmp_path / "in", files), f"file://{tmp_path}/work", no_value=[])
+        assert found.columns == ["p", "p\n", "p, 1", 'x"y', "q", 'z"']
+        rows = [tuple(v for v in r[3:] if v is not None) for r in found.rows.orderBy("row_index").collect()]
+        assert rows == [("1", "2"), ("1", "2"), ('5" a', "b, c"), ('d "e", f', '6"'), ("", ""), *[(str(i), f"{i}\n\n,{i}") for i in range(60)]]
+        assert [(r["file"].rsplit("/", 1)[-1], r["row"], r["error"]) for r in found.errors.collect()] == [("c.csv", 4, "CSVParseError")]
+    finally:
+        split.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
