@@ -97,3 +97,43 @@ def test_more_rules_than_are_broadcast(spark, monkeypatch):
     assert same(rules.violations_of_table(cells, rows)) and same(rule_index.violations_of_table(cells, rows, rules._pattern_compiles, 4, 7))
     monkeypatch.setattr(rule_index, "MOST", 5)
     assert same(rules.violations_of_table(cells, rows))
+
+
+def test_what_python_gives_does_not_grow_with_the_pairs(monkeypatch):
+    """2,000 cells by 3,000 rules that most of them break: tiles hold each pair once, and cells and rules by far fewer times than pairs.
+    A pattern that many rules share is one."""
+    import numpy as np
+    import pyarrow as pa
+
+    made = [rule(*[("gte", i % 700), ("lte", 900 - i % 700), ("regex_match", "[13]"), ("in", [str(i % 50), "x"]), ("not_null",)][i % 5], i=i) for i in range(3000)]
+    texts = [[str(i % 1000), None, " ", "NaN"][max(0, i % 40 - 36)] for i in range(2000)]
+    numbers = np.array([float(t) if t and t.strip() else np.nan for t in texts])
+    blanks = np.array([not (t or "").strip() for t in texts])
+    cells = pa.RecordBatch.from_pydict({"record_id": pa.array(range(2000)), "column_name": ["v"] * 2000, "column_type": pa.array([None] * 2000, pa.string()), "row_index": pa.array(range(2000)), "cleaned_value": pa.array(texts), "number": numbers, "blank": blanks})
+    index = rule_index.RuleIndex(made, rules._pattern_compiles)
+    assert len(index.targets["column_name", "v"].patterns) == 1
+    want = set()
+    for cell, (text, number, blank) in enumerate(zip(texts, numbers, blanks)):
+        for r in made:
+            text_or_none, v = "None" if text is None else text, r.condition_value
+            met = {"gte": lambda: number >= v, "lte": lambda: number <= v, "regex_match": lambda: text_or_none[:1] in ("1", "3"), "in": lambda: text_or_none in v, "not_null": lambda: not blank}[r.condition_operator]()
+            if not met:
+                want.add((r.rule_id, cell))
+    for piece in (rule_index.PIECE, 700):
+        monkeypatch.setattr(rule_index, "PIECE", piece)
+        pairs, given = [], 0
+        for b in rule_index._judge(index, cells):
+            for tile in b.to_pylist():
+                assert len(tile["record_id"]) <= rule_index.TILE_CELLS and len(tile["rule_id"]) <= rule_index.TILE_RULES
+                given += len(tile["record_id"]) + len(tile["rule_id"])
+                pairs += [(r, c) for r in tile["rule_id"] for c in tile["record_id"]]
+        assert len(pairs) == len(want) > 2_000_000 and set(pairs) == want
+        assert piece == 700 or given < len(pairs) / 4
+
+
+def test_rows_of_violations_are_made_outside_of_python(spark):
+    cells = spark.createDataFrame([(i, "v", None, i, str(i)) for i in range(500)], "record_id bigint, column_name string, column_type string, row_index bigint, cleaned_value string")
+    found = violations(cells, [rule("eq", -i, i=i, severity="high") for i in range(400)])
+    assert found.count() == 500 * 400 - 1 and found.select("severity", "action").distinct().collect() == [("high", "flag")]
+    plan = found.select("rule_id", "record_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode") == 2
